@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import sentencepiece_codec
+from cadenza.llm import oracles, pii, sentencepiece_codec
 from cadenza.llm.common import table
 
 
@@ -27,9 +27,19 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found").select("doc_id", "found")
+    return found.select(
+        "doc_id",
+        *(pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.BASE_KINDS),
+        F.sha2(pii.listed(pii.base_only(F.col("found"))), 256).alias("base_sha256"),
+        pii.listed(F.col("found")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sentencepiece": op5_sentencepiece}
+    return {f.__name__: f for f in (op5_sentencepiece, op6_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.SQL
