@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import oracles, pii, sentencepiece_codec
+from cadenza.llm import language, oracles, pii, quality, sentencepiece_codec
 from cadenza.llm.common import table
 
 
@@ -37,8 +37,22 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.fit(docs, docs.where(quality.fold(3) != 1).select("doc_id", F.col("lang").alias("label")))
+    out = language.with_language(docs.select("doc_id", "text"), network)
+    return out.select("doc_id", (quality.fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(quality.fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    out = quality.with_score(docs.select("doc_id", "text"), quality.fit(docs, labels))
+    return out.select("doc_id", (quality.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_pii)}
+    return {f.__name__: f for f in (op5_sentencepiece, op6_pii, op8_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
