@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, oracles, pii, quality, sentencepiece_codec
+from cadenza.llm import language, oracles, pii, quality, sentencepiece_codec, url_filter, warc
 from cadenza.llm.common import table
 
 
@@ -17,6 +17,23 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: (verdict, host, path)
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Words of host labels that the block list of the query takes up.
+BLOCKED_WORDS = "bet|bets|casino|porn|poker|xxx"
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    listed = hosts.where(F.col("host").rlike(rf"(^|[.-])({BLOCKED_WORDS})([.-]|$)"))
+    return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return out.select(
@@ -52,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_sentencepiece, op6_pii, op8_language, op10_quality)}
+    return {f.__name__: f for f in (op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op8_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
