@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import language, oracles, pii, quality, sentencepiece_codec, url_filter, warc
+from cadenza.llm import decontaminate, language, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
 from cadenza.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -54,6 +58,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = token_counts.unigram_scores(tokenizer_path("piece_bpe_32k.model"))
+    return token_counts.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), scores).select("doc_id", "n_tokens", "n_pretokens")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = language.fit(docs, docs.where(quality.fold(3) != 1).select("doc_id", F.col("lang").alias("label")))
@@ -69,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op8_language, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
