@@ -32,6 +32,7 @@ from cadenza.llm.sentencepiece_codec import PairTable, blocks
 
 WORD = re.compile(r"\w+")
 SAMPLES, REPEATS, STRETCH, BLOCK_WORDS = 6, 32, 3, 500_000
+WINDOWS = 1024  # walked at once
 SCHEMA = "item_id long, word_start long, word_end long, distance int, item_words int"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,8 +147,8 @@ class Finder:
         every = np.unique(np.concatenate(list(wanted.values())))
         regions: dict[tuple[int, int], set[int]] = defaultdict(set)
         padded = np.concatenate([text, np.zeros(self.longest, np.int64)])
-        for first in range(0, len(every), 256):
-            part = every[first : first + 256]
+        for first in range(0, len(every), WINDOWS):
+            part = every[first : first + WINDOWS]
             reach = part[:, None] + np.arange(self.longest)
             shown, place = self.walk(np.where(reach < last[part][:, None], padded[reach], 0))
             for (n, most), near in wanted.items():
@@ -157,7 +158,8 @@ class Finder:
                 keys = self.sampled(shown, place, n, mine)
                 known, tables = self.keys[n]
                 for r in range(REPEATS):
-                    slot = np.searchsorted(known[r], keys[r]).clip(max=known.shape[1] - 1)
+                    slot = np.searchsorted(known[r], keys[r])
+                    slot[slot == known.shape[1]] = 0
                     for w in np.flatnonzero(known[r][slot] == keys[r]).tolist():
                         start = int(part[mine[w]])
                         for k in tables[r][int(keys[r][w])]:
@@ -166,6 +168,8 @@ class Finder:
         for (doc, k), places in regions.items():
             n, most, low = len(self.symbols[k]), self.most[k], int(limits[doc] - lengths[doc])
             for a, b in self._merged(sorted(places), n, most, low, int(limits[doc])):
+                if int(np.isin(text[a:b], self.symbols[k]).sum()) < n - most:  # fewer of its words than any such stretch keeps
+                    continue
                 distance, x, y = best_stretch(self.symbols[k], text[a:b])
                 found = (distance, a + x - low, a + y - low)
                 if distance <= most and ((doc, k) not in best or found < best[doc, k]):
