@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, language, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
+from cadenza.llm import decontaminate, language, near_dedup, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
 from cadenza.llm.common import table
 
 
@@ -70,6 +70,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    out = near_dedup.groups(docs, words_each=4, percent=80)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(quality.fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
@@ -78,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
