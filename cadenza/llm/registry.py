@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontaminate, language, near_dedup, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
+from cadenza.llm import chroma, decontaminate, language, near_dedup, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
 from cadenza.llm.common import table
 
 
@@ -21,6 +21,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds audio: the vectors of ``embeddings`` are played as tones. Queries: ids divisible by 100."""
+    audio = chroma.melody(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    out = chroma.align(chroma.with_fingerprints(audio, "audio", "vec_id"), F.col("vec_id") % 100 == 0, "vec_id")
+    return out.select("vec_id", "class_id", "n_frames", F.size("links").cast("long").alias("n_links"), "links")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -84,7 +91,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_chroma, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op9_near_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
