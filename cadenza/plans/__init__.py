@@ -1,4 +1,4 @@
 """All named queries."""
 
-from cadenza.plans import catalogue, curation  # noqa: F401
+from cadenza.plans import catalogue, curation, recommendation  # noqa: F401
 from cadenza.plans.registry import QUERIES, SQL  # noqa: F401
