@@ -31,10 +31,10 @@ def coherence(seeds: DataFrame, lists: DataFrame) -> DataFrame:
         F.count_if(used).alias("seeds_evaluated"),
         F.count_if(F.col("seed_genre").isNull()).alias("without_genre"),
         F.count_if(F.col("seed_genre").isNotNull() & (F.col("n") == 0)).alias("without_list"),
-        F.round(F.coalesce(F.avg(share), F.lit(0.0)), 6).alias("mean"),
-        F.round(F.coalesce(F.stddev_pop(share), F.lit(0.0)), 6).alias("deviation"),
-        F.round(F.coalesce(F.try_divide(F.stddev_pop(share), F.sqrt(F.count(share))), F.lit(0.0)), 6).alias("standard_error"),
-        F.round(F.coalesce(F.try_divide(F.count_if(used & (F.col("same") == F.col("n"))), F.count(share)), F.lit(0.0)), 6).alias("saturation"),
+        F.round(F.coalesce(F.avg(share), F.lit(0.0)), 12).alias("mean"),
+        F.round(F.coalesce(F.stddev_pop(share), F.lit(0.0)), 12).alias("deviation"),
+        F.round(F.coalesce(F.try_divide(F.stddev_pop(share), F.sqrt(F.count(share))), F.lit(0.0)), 12).alias("standard_error"),
+        F.round(F.coalesce(F.try_divide(F.count_if(used & (F.col("same") == F.col("n"))), F.count(share)), F.lit(0.0)), 12).alias("saturation"),
     )
 
 
@@ -48,7 +48,7 @@ def duplicates(seeds: DataFrame, lists: DataFrame, top_k: int) -> DataFrame:
         F.min(F.when(hit, F.col("rank"))).alias("first_rank"),
         F.sum(F.when(hit, F.col("cosine"))).alias("cosines"),
     )
-    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 12)
     return per_seed.agg(
         F.count("*").alias("seeds_evaluated"),
         zero(F.avg(F.col("hits") / F.least("siblings", F.lit(top_k)))).alias("recall"),

@@ -42,10 +42,10 @@ def similarity_index(spark, d):
     return index(spark, d).select("id", "genre", "is_imputed", F.round("length", 6).alias("length"))
 
 
-@query(P + " SELECT seed_id, id, round(cosine, 6) AS cosine FROM pairs")
+@query(P + " SELECT seed_id, id, cosine FROM pairs")
 def cosine_pairs(spark, d):
     i = index(spark, d)
-    return similarity.scored(seeds(i), i).select("seed_id", "id", F.round("cosine", 6).alias("cosine"))
+    return similarity.scored(seeds(i), i).select("seed_id", "id", "cosine")
 
 
 @query(f"{P}, {ranked_sql()} SELECT seed_id, id, rank FROM r WHERE rank <= {TOP}")
@@ -54,16 +54,16 @@ def knn_cosine_topn(spark, d):
     return similarity.neighbours(seeds(i), i, TOP).select("seed_id", "id", "rank")
 
 
-@query(f"{P}, {ranked_sql()} SELECT seed_id, id, rank, round(score, 6) AS score FROM r WHERE rank <= 100")
+@query(f"{P}, {ranked_sql()} SELECT seed_id, id, rank, score FROM r WHERE rank <= 100")
 def knn_diagnostic(spark, d):
     i = index(spark, d)
-    return similarity.neighbours(seeds(i), i, 100).select("seed_id", "id", "rank", F.round("score", 6).alias("score"))
+    return similarity.neighbours(seeds(i), i, 100).select("seed_id", "id", "rank", "score")
 
 
-@query(f"{P}, {ranked_sql(BOOSTED)} SELECT seed_id, id, rank, round(score, 6) AS score, seed_genre IS NULL OR seed_imputed AS fell_back FROM r WHERE rank <= {TOP}")
+@query(f"{P}, {ranked_sql(BOOSTED)} SELECT seed_id, id, rank, score, seed_genre IS NULL OR seed_imputed AS fell_back FROM r WHERE rank <= {TOP}")
 def knn_boost(spark, d):
     i = index(spark, d)
-    return similarity.neighbours(seeds(i), i, TOP, "boost").select("seed_id", "id", "rank", F.round("score", 6).alias("score"), "fell_back")
+    return similarity.neighbours(seeds(i), i, TOP, "boost").select("seed_id", "id", "rank", "score", "fell_back")
 
 
 @query(f"{P}, {ranked_sql(where='seed_genre IS NULL OR seed_imputed OR (genre = seed_genre AND NOT is_imputed)')} SELECT seed_id, id, rank FROM r WHERE rank <= {TOP}")
@@ -75,23 +75,23 @@ def knn_same_genre(spark, d):
 ADHOC = [0.1] * 32 + [-0.1] * 32
 
 
-@query(f"{P}, a AS (SELECT list(((CASE WHEN k <= 32 THEN 0.1 ELSE -0.1 END) - m) / d ORDER BY k) AS u FROM params) SELECT id, round(list_cosine_similarity(unit, u), 6) AS score FROM facts, a ORDER BY round(list_cosine_similarity(unit, u), 9) DESC, id LIMIT {TOP}")
+@query(f"{P}, a AS (SELECT list(((CASE WHEN k <= 32 THEN 0.1 ELSE -0.1 END) - m) / d ORDER BY k) AS u FROM params) SELECT id, round(list_cosine_similarity(unit, u), 9) AS score FROM facts, a ORDER BY round(list_cosine_similarity(unit, u), 9) DESC, id LIMIT {TOP}")
 def knn_adhoc(spark, d):
     base = items(spark, d)
     params = similarity.parameters(base, "vector", DIMS)
     asked = spark.createDataFrame([(-1, ADHOC, None, False)], "id long, vector array<double>, genre string, is_imputed boolean")
     found = similarity.neighbours(similarity.standardised(asked, "vector", params), similarity.standardised(base, "vector", params), TOP)
-    return found.select("id", F.round("score", 6).alias("score"))
+    return found.select("id", "score")
 
 
 SHARES = "s AS (SELECT seed_id, id, rank, x - 1 AS dimension, round(unit[x] * seed_unit[x] / sqrt(list_inner_product(unit, unit) * list_inner_product(seed_unit, seed_unit)), 9) AS share FROM r, range(1, 65) t(x) WHERE rank <= 10), n AS (SELECT *, row_number() OVER (PARTITION BY seed_id, id ORDER BY share DESC, dimension) AS k FROM s)"
 
 
-@query(f"{P}, {ranked_sql()}, {SHARES} SELECT seed_id, id, CAST(dimension AS INTEGER) AS dimension, round(share, 6) AS share FROM n WHERE k <= 3")
+@query(f"{P}, {ranked_sql()}, {SHARES} SELECT seed_id, id, CAST(dimension AS INTEGER) AS dimension, share FROM n WHERE k <= 3")
 def explain_topk(spark, d):
     i = index(spark, d)
     found = similarity.neighbours(seeds(i), i, TOP).select("seed_id", "id", F.explode(similarity.contributions(3)).alias("x"))
-    return found.select("seed_id", "id", F.col("x.dimension").alias("dimension"), F.round("x.share", 6).alias("share"))
+    return found.select("seed_id", "id", F.col("x.dimension").alias("dimension"), F.col("x.share").alias("share"))
 
 
 @query(f"{P}, {ranked_sql(BOOSTED)}, {SHARES} SELECT seed_id, id, any_value(rank) AS rank, string_agg(CAST(dimension AS VARCHAR), ',' ORDER BY k) AS reasons FROM n WHERE k <= 3 GROUP BY ALL")
@@ -131,12 +131,12 @@ b AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), q
 t AS (SELECT item, count(*) AS total FROM b GROUP BY 1), e AS (SELECT low, high, co_count, round(co_count / (l.total + h.total - co_count), 9) AS jaccard FROM q JOIN t l ON l.item = low JOIN t h ON h.item = high),
 c AS (SELECT * FROM (SELECT low AS seed_id, high AS id, co_count, jaccard FROM e UNION ALL SELECT high, low, co_count, jaccard FROM e) WHERE seed_id IN (SELECT id FROM items WHERE id % 100 = 0)),
 m AS (SELECT seed_id, min(score) AS lo, max(score) AS hi FROM w GROUP BY 1), n AS (SELECT seed_id, id, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS content FROM w JOIN m USING (seed_id))
-SELECT seed_id, id, round(round(0.65 * coalesce(content, 0) + 0.35 * coalesce(jaccard, 0), 9), 6) AS score, round(coalesce(content, 0), 6) AS content, coalesce(jaccard, 0) AS jaccard, coalesce(co_count, 0) AS co_count,
+SELECT seed_id, id, round(0.65 * coalesce(content, 0) + 0.35 * coalesce(jaccard, 0), 9) AS score, round(coalesce(content, 0), 9) AS content, coalesce(jaccard, 0) AS jaccard, coalesce(co_count, 0) AS co_count,
  CASE WHEN content IS NOT NULL AND jaccard IS NOT NULL THEN 'blended' WHEN jaccard IS NOT NULL THEN 'collaborative' END AS signal FROM n FULL JOIN c USING (seed_id, id)""")
 def blend(spark, d):
     i = index(spark, d)
     content = similarity.neighbours(seeds(i), i, WINDOW, "boost").select("seed_id", "id", "score")
-    return recommend.blend(content, edges_of_seeds(spark, d)).select("seed_id", "id", F.round("score", 6).alias("score"), F.round("content", 6).alias("content"), "jaccard", "co_count", "signal")
+    return recommend.blend(content, edges_of_seeds(spark, d)).select("seed_id", "id", "score", "content", "jaccard", "co_count", "signal")
 
 
 @query()
@@ -165,8 +165,8 @@ def dup_census(spark, d):
 
 
 @query(f"""{P}, {ranked_sql(BOOSTED)}, s AS (SELECT seed_id, CASE WHEN any_value(seed_imputed) THEN NULL ELSE any_value(seed_genre) END AS g, count(*) AS n, count(*) FILTER (genre = seed_genre) AS same FROM r WHERE rank <= {TOP} GROUP BY 1)
-SELECT count(*) FILTER (g IS NOT NULL) AS seeds_evaluated, count(*) FILTER (g IS NULL) AS without_genre, CAST(0 AS BIGINT) AS without_list, round(avg(same / n) FILTER (g IS NOT NULL), 6) AS mean, round(stddev_pop(same / n) FILTER (g IS NOT NULL), 6) AS deviation,
- round(stddev_pop(same / n) FILTER (g IS NOT NULL) / sqrt(count(g)), 6) AS standard_error, round(count(*) FILTER (g IS NOT NULL AND same = n) / count(g), 6) AS saturation FROM s""")
+SELECT count(*) FILTER (g IS NOT NULL) AS seeds_evaluated, count(*) FILTER (g IS NULL) AS without_genre, CAST(0 AS BIGINT) AS without_list, round(avg(same / n) FILTER (g IS NOT NULL), 12) AS mean, round(stddev_pop(same / n) FILTER (g IS NOT NULL), 12) AS deviation,
+ round(stddev_pop(same / n) FILTER (g IS NOT NULL) / sqrt(count(g)), 12) AS standard_error, round(count(*) FILTER (g IS NOT NULL AND same = n) / count(g), 12) AS saturation FROM s""")
 def eval_coherence(spark, d):
     i = index(spark, d)
     asked = seeds(i).select(F.col("id").alias("seed_id"), F.when(~F.col("is_imputed"), F.col("genre")).alias("seed_genre"))
@@ -175,7 +175,7 @@ def eval_coherence(spark, d):
 
 @query(f"""{P}, {ranked_sql()}, k AS (SELECT key, count(*) - 1 AS siblings FROM items GROUP BY 1 HAVING count(*) > 1), a AS (SELECT id AS seed_id, key AS seed_key, siblings FROM items JOIN k USING (key) WHERE id % 100 = 0),
 s AS (SELECT a.seed_id, any_value(siblings) AS siblings, count(rank) AS n, count(*) FILTER (key = seed_key) AS hits, min(rank) FILTER (key = seed_key) AS first_rank, sum(cosine) FILTER (key = seed_key) AS cosines FROM a LEFT JOIN r ON r.seed_id = a.seed_id AND rank <= 100 GROUP BY 1)
-SELECT count(*) AS seeds_evaluated, round(avg(hits / least(siblings, 100)), 6) AS recall, round(avg(CASE WHEN hits > 0 THEN 1e0 ELSE 0 END), 6) AS hit_rate, round(coalesce(avg(first_rank), 0), 6) AS mean_first_rank, round(coalesce(sum(cosines) / nullif(sum(hits), 0), 0), 6) AS sibling_cosine,
+SELECT count(*) AS seeds_evaluated, round(avg(hits / least(siblings, 100)), 12) AS recall, round(avg(CASE WHEN hits > 0 THEN 1e0 ELSE 0 END), 12) AS hit_rate, round(coalesce(avg(first_rank), 0), 12) AS mean_first_rank, round(coalesce(sum(cosines) / nullif(sum(hits), 0), 0), 12) AS sibling_cosine,
  count(*) FILTER (n > 0 AND hits = n) AS fully_duplicated, count(*) FILTER (hits >= 2) AS redundant, count(*) FILTER (n < 100) AS incomplete FROM s""")
 def eval_duplicates(spark, d):
     i = index(spark, d)
