@@ -7,7 +7,7 @@ and the classes of the node go on to one child for each chosen place, by their v
 threshold (the signature's bound is ``SLACK`` standard errors below it). Independent trees repeat this, until a pair at
 the threshold is missed with a probability below about 1e-4.
 
-The trees run in two batches. After the first few trees the confirmed links give components; in the later trees a node
+In these trees a node chooses one place: paths don't multiply, and more trees make up for it. They run in two batches. After the first few trees the confirmed links give components; in the later trees a node
 whose classes all lie in one component can add nothing and is dropped before it branches, so that large groups of copies
 are not walked again. Nodes that stay large at the last level are compared exhaustively too, in blocks of two slices of
 classes for each task. Links are confirmed on the full sets, which are hashed to 64 bits anew from the texts of those
@@ -36,9 +36,9 @@ from cadenza.llm.sentencepiece_codec import WordIndex, blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
-PLACES, SMALL_NODE, LEVELS, SLACK = 128, 300, 6, 4.0
-#: (trees, mean number of places that a node chooses) of each batch.
-BATCHES = ((2, 1.0), (10, 1.5))
+PLACES, SMALL_NODE, LEVELS, SLACK = 128, 400, 5, 4.0
+#: (trees, mean number of places that a node chooses; above 1 paths multiply) of each batch.
+BATCHES = ((2, 1.0), (24, 1.0))
 CACHE_WORDS = 300_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +97,10 @@ def key_of(items: np.ndarray) -> str | None:
 
 
 def describe(docs: DataFrame, words_each: int, places: int = PLACES) -> DataFrame:
-    """id, n_shingles, key of the set (two sums of its hashes, null for the empty set) and signature, from (id, text)."""
+    """id, n_shingles, key of the set (two sums of its hashes, null for the empty set) and signature, from (id, text).
+
+    ``sketch`` has the low halves of the signature's values: enough to compare two classes, half as much to move.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words_each)
@@ -105,13 +108,14 @@ def describe(docs: DataFrame, words_each: int, places: int = PLACES) -> DataFram
             for first, texts in blocks(batch, "text"):
                 sets = shingler.sets(texts)
                 keys = [key_of(s) for s in sets]
-                signs = [signature_of(s, places).tobytes() if len(s) else None for s in sets]
+                signs = [signature_of(s, places) if len(s) else None for s in sets]
+                full, short = ([None if s is None else s.astype(kind).tobytes() for s in signs] for kind in (np.uint32, np.uint16))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.string()), pa.array(signs, pa.binary())],
-                    names=["id", "n_shingles", "set_key", "signature"],
+                    [batch.column("id").slice(first, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.string()), pa.array(full, pa.binary()), pa.array(short, pa.binary())],
+                    names=["id", "n_shingles", "set_key", "signature", "sketch"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_key string, signature binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n_shingles long, set_key string, signature binary, sketch binary")
 
 
 def branched(rows: DataFrame, mean: float, level: int) -> DataFrame:
@@ -155,7 +159,7 @@ def by_node(rows: DataFrame, work, schema: str) -> DataFrame:
 
 def likely(node: dict, bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """node, id, label of the classes of a node that may have a link to one of another label, by their signatures."""
-    signs = np.stack([np.frombuffer(s, np.uint32) for s in node["signature"]])
+    signs = np.stack([np.frombuffer(s, np.uint16) for s in node["sketch"]])
     labels = node["label"]
     keep = np.zeros(len(signs), bool)
     for k in range(len(signs) - 1):
@@ -227,7 +231,7 @@ def links_of(docs: DataFrame, classes: DataFrame, leaves: DataFrame, words_each:
     """Confirmed spanning links (a, b) of the nodes."""
     t = percent / 100
     bound = t - SLACK * (t * (1 - t) / PLACES) ** 0.5
-    signed = leaves.join(classes.select("id", "signature"), "id")
+    signed = leaves.join(classes.select("id", "sketch"), "id")
     hopeful = materialize(by_node(signed, lambda n: likely(n, bound), "node long, id long, label long"), "likely")
     wanted = hopeful.select("id").distinct().join(classes.select("id", "set_key"), "id")
     texts = docs.select("id", "text").join(wanted, "id")
@@ -249,8 +253,8 @@ def groups(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame
     """For each row of ``docs`` (id, text): id, n_shingles, component_id (the least id that links reach, itself included)."""
     docs = docs.select(F.col("id").cast("long").alias("id"), "text")
     described = materialize(describe(docs, words_each), "described")
-    one_each = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "signature")).alias("least"))
-    classes = materialize(one_each.select("set_key", "least.id", "least.signature"), "classes")
+    one_each = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "signature", "sketch")).alias("least"))
+    classes = materialize(one_each.select("set_key", "least.*"), "classes")
     links, tree = None, 0
     labelled = classes.withColumn("label", F.col("id"))
     for trees, mean in BATCHES:
