@@ -34,7 +34,7 @@ WORD = re.compile(r"\w+")
 SAMPLES, REPEATS, STRETCH, BLOCK_WORDS = 6, 32, 3, 500_000
 WINDOWS = 1024  # walked at once
 SCHEMA = "item_id long, word_start long, word_end long, distance int, item_words int"
-MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -70,14 +70,21 @@ class Finder:
         self.number = {w: k for k, w in enumerate(vocabulary, 1)}
         self.symbols = [np.array([self.number[w] for w in ws], np.int64) for _, ws in self.items]
         self.most = [int((1 - similarity) * len(s) + 1e-9) for s in self.symbols]
-        pairs = {(a, b) for s in self.symbols for a, b in zip(s[:-1].tolist(), s[1:].tolist())}
-        known = np.array(sorted(pairs) or [(-1, -1)], np.int64)
-        self.pairs = PairTable(known[:, 0], known[:, 1], np.zeros((len(known), 1), np.int32))
-        self.by_size: dict[tuple[int, int], list[int]] = defaultdict(list)
+        self.by_size: dict[tuple[int, int], int] = {}
+        for k, s in enumerate(self.symbols):
+            self.by_size.setdefault((len(s), self.most[k]), len(self.by_size))
+        pairs: dict[tuple[int, int], set[int]] = defaultdict(set)  # to the sizes of the items that hold them
         for k, s in enumerate(self.symbols):
-            self.by_size[len(s), self.most[k]].append(k)
+            for pair in zip(s[:-1].tolist(), s[1:].tolist()):
+                pairs[pair].add(self.by_size[len(s), self.most[k]])
+        known = np.array(sorted(pairs) or [(-1, -1)], np.int64)
+        marks = np.zeros((len(known), len(self.by_size) // 31 + 1), np.int32)
+        for row, pair in enumerate(sorted(pairs)):
+            for size in pairs[pair]:
+                marks[row, size // 31] |= 1 << size % 31
+        self.pairs = PairTable(known[:, 0], known[:, 1], marks)
         rng = np.random.default_rng(seed)
-        self.salts = rng.integers(1, 2**62, (REPEATS, 1)).astype(np.uint64)
+        self.salts = rng.integers(1, 2**32, (REPEATS, 1)).astype(np.uint32)
         sizes = sorted({len(x) for x in self.symbols})
         self.longest = max(sizes, default=0)
         self.places = {n: rng.integers(0, STRETCH * n, (REPEATS, SAMPLES)) for n in sizes}
@@ -98,17 +105,19 @@ class Finder:
 
         A walk doesn't depend on the item's size, which only says where it ends: one walk serves all sizes.
         """
-        padded = np.concatenate([windows, np.zeros((len(windows), 1), np.int64)], axis=1)
+        width = self.longest + 1
+        padded = np.concatenate([windows, np.zeros((len(windows), 1), np.int64)], axis=1).astype(np.uint32).ravel()
         steps = STRETCH * self.longest
-        shown = np.zeros((steps, REPEATS, len(windows)), np.int32)
-        place = np.zeros((steps, REPEATS, len(windows)), np.int32)
-        rows, pointer = np.arange(len(windows)), np.zeros((REPEATS, len(windows)), np.int64)
+        shown = np.zeros((steps, REPEATS, len(windows)), np.uint32)
+        place = np.zeros((steps, REPEATS, len(windows)), np.uint8 if self.longest < 255 else np.int32)
+        rows, pointer = np.arange(len(windows), dtype=np.int32) * width, np.zeros((REPEATS, len(windows)), np.int32)
         for step in range(steps):
-            symbol = padded[rows, pointer]
+            symbol = padded.take(rows + pointer)
             shown[step], place[step] = symbol, pointer
-            salt = np.uint64(step * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-            bit = ((symbol.astype(np.uint64) + salt) * MIX ^ self.salts) * MIX >> np.uint64(63)
-            pointer = np.minimum(pointer + bit.astype(np.int64), self.longest)
+            mixed = (symbol * ODD + np.uint32(step * 0x85EBCA6B & 0xFFFFFFFF)) ^ self.salts
+            mixed ^= mixed >> np.uint32(15)
+            pointer += ((mixed * ODD) >> np.uint32(31)).astype(np.int32)
+            np.minimum(pointer, self.longest, out=pointer)
         return shown, place
 
     def sampled(self, shown: np.ndarray, place: np.ndarray, n: int, mine: np.ndarray) -> np.ndarray:
@@ -117,7 +126,8 @@ class Finder:
         keys = np.zeros((REPEATS, len(mine)), np.uint64)
         for k in range(SAMPLES):
             at = self.places[n][:, k]
-            symbol = np.where(place[at, each][:, mine] < n, shown[at, each][:, mine], 0).astype(np.uint64)
+            spot = at[:, None], each[:, None], mine
+            symbol = np.where(place[spot] < n, shown[spot], 0).astype(np.uint64)
             keys = (keys ^ symbol) * MIX + np.uint64(k)
         return keys
 
@@ -132,18 +142,25 @@ class Finder:
         owner = np.repeat(np.arange(len(docs)), lengths)
         last = limits[owner]  # of each word the end of its document
         at = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0) & (owner[1:] == owner[:-1]))
-        hit = np.zeros(size + 1, np.int64)
-        hit[at + 1] = self.pairs.find(text[at], text[at + 1]) >= 0
-        shared = np.cumsum(hit)  # word pairs of items that end before or at a word
-
-        def enough(starts: np.ndarray, reach: int, need: int) -> np.ndarray:
-            ends = np.minimum(starts + reach, last[starts])
-            return starts[shared[ends - 1] - shared[starts] >= need]
-
-        needs = [(n + most, n - 1 - 2 * most) for n, most in self.by_size]
-        starts = enough(np.arange(size), max(r for r, _ in needs), min(d for _, d in needs))
+        slot = self.pairs.find(text[at], text[at + 1])
+        at, marks = at[slot >= 0], self.pairs.values[slot[slot >= 0]]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        wanted = {(n, most): enough(starts, n + most, n - 1 - 2 * most) for n, most in self.by_size}
+        wanted: dict[tuple[int, int], np.ndarray] = {}
+        for (n, most), number in self.by_size.items():
+            here = at[marks[:, number // 31] >> number % 31 & 1 > 0]  # places of word pairs of items of this size
+            need, reach = n - 1 - 2 * most, n + most
+            if need <= 0:
+                wanted[n, most] = np.arange(size)
+                continue
+            # a window that holds ``need`` pairs starts at most ``reach`` before the last of some ``need`` in a row
+            close = np.flatnonzero(here[need - 1 :] - here[: len(here) - need + 1] < reach) if len(here) >= need else here[:0]
+            ends = here[close + need - 1] + 2
+            spread = np.zeros(size + 1, np.int32)
+            np.add.at(spread, np.maximum(ends - reach, 0), 1)
+            np.add.at(spread, here[close] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(spread[:-1]) > 0) if len(close) else close
+            inside = np.searchsorted(here, np.minimum(starts + reach, last[starts]) - 1) - np.searchsorted(here, starts)
+            wanted[n, most] = starts[inside >= need]
         every = np.unique(np.concatenate(list(wanted.values())))
         regions: dict[tuple[int, int], set[int]] = defaultdict(set)
         padded = np.concatenate([text, np.zeros(self.longest, np.int64)])
@@ -167,6 +184,10 @@ class Finder:
                                 regions[int(owner[start]), k].add(start)
         for (doc, k), places in regions.items():
             n, most, low = len(self.symbols[k]), self.most[k], int(limits[doc] - lengths[doc])
+            same = min((p for p in places if p + n <= limits[doc] and np.array_equal(text[p : p + n], self.symbols[k])), default=None)
+            if same is not None:  # a window without an edit always shares its keys, so no earlier one is overlooked
+                best[doc, k] = (0, same - low, same - low + n)
+                continue
             for a, b in self._merged(sorted(places), n, most, low, int(limits[doc])):
                 if int(np.isin(text[a:b], self.symbols[k]).sum()) < n - most:  # fewer of its words than any such stretch keeps
                     continue
