@@ -13,16 +13,22 @@ MODES = ("off", "boost", "same_genre")
 
 def parameters(df: DataFrame, vector: str, dims: int) -> DataFrame:
     """One row: means and population deviations of each dimension; a deviation below 1e-9 counts as 1."""
-    at = lambda k: F.get(vector, F.lit(k))
-    deviation = lambda k: F.when(F.stddev_pop(at(k)) < LEAST_DEVIATION, 1.0).otherwise(F.stddev_pop(at(k)))
-    return df.agg(F.array(*(F.avg(at(k)) for k in range(dims))).alias("means"), F.array(*(deviation(k) for k in range(dims))).alias("deviations"))
+    each = df.select(F.posexplode(vector).alias("k", "v")).where(F.col("k") < dims).groupBy("k").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    fixed = each.select(F.struct("k", "m", F.when(F.col("s") < LEAST_DEVIATION, 1.0).otherwise(F.col("s")).alias("d")).alias("x"))
+    ordered = fixed.agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return ordered.select(F.transform("x", lambda x: x["m"]).alias("means"), F.transform("x", lambda x: x["d"]).alias("deviations"))
 
 
 def standardised(df: DataFrame, vector: str, params: DataFrame) -> DataFrame:
-    """``df`` with ``unit`` (standardised vector) and ``length``."""
-    joined = df.crossJoin(F.broadcast(params))  # one row
-    shifted = F.zip_with(F.zip_with(vector, "means", lambda x, m: x - m), "deviations", lambda x, d: x / d)
-    return joined.withColumn("unit", shifted).drop("means", "deviations").withColumn("length", norm(F.col("unit")))
+    """``df`` with ``unit`` (standardised vector) and ``length``.
+
+    The parameters, one row of a fixed size, are computed once and become literals, so that an index that a plan reads
+    several times (seeds, candidates, facts) doesn't measure the table again each time.
+    """
+    row = params.first()
+    means, deviations = (F.array(*(F.lit(x).cast("double") for x in row[c])) for c in ("means", "deviations"))
+    shifted = F.zip_with(F.zip_with(vector, means, lambda x, m: x - m), deviations, lambda x, d: x / d)
+    return df.withColumn("unit", shifted).withColumn("length", norm(F.col("unit")))
 
 
 def index_of(items: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -37,7 +43,7 @@ def scored(seeds: DataFrame, index: DataFrame, mode: str = "off", boost: float =
     if boost < 0:
         raise ValueError("the boost must not be negative")
     asked = seeds.select(F.col("id").alias("seed_id"), F.col("unit").alias("seed_unit"), F.col("length").alias("seed_length"), F.when(~F.col("is_imputed"), F.nullif(F.trim("genre"), F.lit(""))).alias("seed_genre"))
-    few = asked.limit(MOST_SEEDS + 1).count() <= MOST_SEEDS
+    few = seeds.select("id").limit(MOST_SEEDS + 1).count() <= MOST_SEEDS
     pairs = index.crossJoin(F.broadcast(asked) if few else asked).where(F.col("id") != F.col("seed_id"))
     shares = F.coalesce((F.col("genre") == F.col("seed_genre")) & ~F.col("is_imputed"), F.lit(False))
     pairs = pairs.withColumn("cosine", F.round(cosine(F.col("unit"), F.col("seed_unit"), F.col("length"), F.col("seed_length")), 9))
