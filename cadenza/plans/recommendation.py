@@ -253,3 +253,28 @@ def model_gate(spark, d):
         out = out.unionByName(dataset.regression_metrics(pipeline.fit(train).transform(test), "popularity", "prediction").withColumn("model", F.lit(name)))
     least = baseline.select(F.col("mae").alias("base"))
     return out.crossJoin(F.broadcast(least)).select("model", "n", "mae", "rmse", "r2", (F.col("mae") <= 0.95 * F.col("base")).alias("passes"))
+
+
+@query()
+def model_importance(spark, d):
+    """Rise of the error when a column's values change places, five times each."""
+    rows = learnable(spark, d).withColumn("test", dataset.is_test(F.col("l_partkey").cast("string"))).persist()
+    numeric = ["size", "quantity", "discount"]
+    model = ml.pipeline(numeric, [], "popularity", linear=True).fit(rows.where("NOT test"))
+    found = ml.permutation_importance(model, rows.where("test"), numeric, "popularity", "l_partkey")
+    return spark.createDataFrame([(c, round(x, 6)) for c, x in found], "feature string, mae_rise double")
+
+
+@query()
+def model_cross_validation(spark, d):
+    rows = learnable(spark, d).persist()
+    mean, deviation = ml.cross_validated(rows, lambda: ml.pipeline(["size", "quantity", "discount"], ["genre"], "popularity", linear=True), "popularity", "l_partkey")
+    return spark.createDataFrame([(5, round(mean, 6), round(deviation, 6))], "folds int, r2_mean double, r2_deviation double")
+
+
+@query()
+def model_scoring(spark, d):
+    """Every row scored by trees, clamped to 0..100."""
+    rows = learnable(spark, d).persist()
+    model = ml.pipeline(["size", "quantity", "discount"], ["genre"], "popularity", trees=5).fit(rows)
+    return ml.scored(model, rows).select("l_partkey", F.round("prediction", 6).alias("prediction"), "clamped")

@@ -32,9 +32,10 @@ def rebuild(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_model(model, path: str, metrics: dict[str, float]) -> str:
-    """The model, and its description with a digest of the metrics and stages."""
+def save_model(spark, model, path: str, metrics: dict[str, float]) -> str:
+    """The model, and beside it its description; returns the description's SHA-256."""
     model.write().overwrite().save(f"{path}/model")
     description = json.dumps({"metrics": metrics, "stages": [type(s).__name__ for s in model.stages]}, sort_keys=True)
     digest = hashlib.sha256(description.encode()).hexdigest()
+    spark.createDataFrame([(digest, description)], "digest string, description string").write.mode("overwrite").json(f"{path}/description")
     return digest

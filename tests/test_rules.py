@@ -225,3 +225,32 @@ def test_ingest_counters(spark):
     batch = spark.createDataFrame([("a",), ("a",), ("b",), (" ",), (None,)], "k string")
     row = outbox.ingest_counters(batch, spark.createDataFrame([("b",)], "k string"), "k").first()
     assert (row.ingested, row.updated, row.duplicates, row.skipped) == (1, 1, 1, 2)
+
+
+def test_jobs_from_files_to_cooccurrence(spark, tmp_path):
+    from cadenza import jobs
+
+    names = ",".join(["", *[f.split()[0] for f in catalog_csv.CATALOG.split(", ")][1:]])
+    row = '{n},t{n},"Queen;Other",Album,Song {n},73,201000,False,0.5,0.6,5,-6.0,1,0.05,0.1,0.0,0.2,0.4,120.0,4,pop'
+    (tmp_path / "c.csv").write_text("\n".join([names, *(row.format(n=n) for n in (1, 2, 2, 3))]) + "\n")
+    lists = [(u, n) for u in "abc" for n in (1, 2)] + [("a", 9)]
+    (tmp_path / "p.csv").write_text('"user_id", "artistname", "trackname", "playlistname"\n' + "".join(f'"{u}","QUEEN","Song {n} - Live","mine"\n' for u, n in lists))
+    at = lambda x: f"file://{tmp_path}/{x}"
+    for _ in range(2):
+        jobs.seed_catalog(spark, at("c.csv"), at("catalog"))
+        jobs.seed_references(spark, at("catalog"), at("artists"))
+        jobs.seed_playlists(spark, at("p.csv"), at("catalog"), at("playlists"))
+        jobs.build_cooccurrence(spark, at("playlists"), at("edges"))
+    assert [spark.read.parquet(at(x)).count() for x in ("catalog", "artists", "playlists")] == [3, 2, 3]
+    edges = spark.read.parquet(at("edges")).collect()
+    assert [(e.low, e.high, e.co_count, e.jaccard) for e in edges] == [("t1", "t2", 3, 1.0)]
+
+
+def test_model_artifact(spark, tmp_path):
+    from cadenza.operators import ml
+
+    rows = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + 1).cast("double").alias("y"))
+    model = ml.pipeline(["x"], [], "y", linear=True).fit(rows)
+    digest = sinks.save_model(spark, model, f"file://{tmp_path}/m", {"mae": 0.5})
+    assert spark.read.json(f"file://{tmp_path}/m/description").first().digest == digest
+    assert dataset.regression_metrics(ml.scored(model, rows), "y", "prediction").first().mae < 0.01
