@@ -14,7 +14,7 @@ empty result; further columns stay outside (``key`` is kept).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,13 +87,15 @@ def fingerprint(pcm: bytes | None) -> np.ndarray:
     return packed(chroma(np.frombuffer(pcm[: len(pcm) // 2 * 2], "<i2"))) if pcm else np.zeros(0, np.int32)
 
 
-def with_fingerprints(df: DataFrame, audio_col: str, key: str) -> DataFrame:
-    """``key`` and ``fingerprint array<int>``."""
+def with_fingerprints(df: DataFrame, audio_col: str, key: str, to_pcm: Callable[[object], bytes] | None = None) -> DataFrame:
+    """``key`` and ``fingerprint array<int>``. ``to_pcm`` turns a value of the column into PCM where it isn't that yet:
+    decoded audio, many times as large, then never leaves the worker."""
     narrow = df.select(key, F.col(audio_col).alias("__audio"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py()) for x in batch.column(1)]
+            values = (x.as_py() for x in batch.column(1))
+            found = [fingerprint(to_pcm(x) if to_pcm else x) for x in values]
             ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             items = np.concatenate([*found, np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(items, pa.int32()))], names=[key, "fingerprint"])
@@ -101,26 +103,14 @@ def with_fingerprints(df: DataFrame, audio_col: str, key: str) -> DataFrame:
     return narrow.mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, fingerprint array<int>")
 
 
-def melody(df: DataFrame, vector_col: str, key: str) -> DataFrame:
-    """``key`` and ``audio``: each vector played as one tone for each number, higher numbers as higher tones."""
-    narrow = df.select(key, F.col(vector_col).cast("array<double>").alias("__vector"))
-    step = np.arange(HOP) / RATE
-
-    def play(vector: list[float] | None) -> bytes:
-        values = np.nan_to_num(np.array([v or 0.0 for v in vector or []]))
-        if not len(values):
-            return b""
-        scaled = np.tanh(values / max(float(np.abs(values).mean()), 1e-9) / 2)
-        hertz = 220.0 * 2 ** (np.round((scaled + 1) * 12) / 12)
-        return (np.sin(2 * np.pi * hertz[:, None] * step).ravel() * 20000).astype("<i2").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([play(v) for v in part.column(1).to_pylist()], pa.binary())], names=[key, "audio"])
-
-    return narrow.mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, audio binary")
+def melody(vector: list[float] | None) -> bytes:
+    """A vector played as one tone for each number, higher numbers as higher tones."""
+    values = np.nan_to_num(np.array([v or 0.0 for v in vector or []], np.float64))
+    if not len(values):
+        return b""
+    scaled = np.tanh(values / max(float(np.abs(values).mean()), 1e-9) / 2)
+    hertz = 220.0 * 2 ** (np.round((scaled + 1) * 12) / 12)
+    return (np.sin(2 * np.pi * hertz[:, None] * (np.arange(HOP) / RATE)).ravel() * 20000).astype("<i2").tobytes()
 
 
 def align(prints: DataFrame, is_query: F.Column, key: str, most_errors: float = 0.2, least_overlap: int = SPAN) -> DataFrame:

@@ -23,8 +23,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No table holds audio: the vectors of ``embeddings`` are played as tones. Queries: ids divisible by 100."""
-    audio = chroma.melody(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
-    out = chroma.align(chroma.with_fingerprints(audio, "audio", "vec_id"), F.col("vec_id") % 100 == 0, "vec_id")
+    prints = chroma.with_fingerprints(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", chroma.melody)
+    out = chroma.align(prints, F.col("vec_id") % 100 == 0, "vec_id")
     return out.select("vec_id", "class_id", "n_frames", F.size("links").cast("long").alias("n_links"), "links")
 
 

@@ -192,7 +192,7 @@ def test_integral_image_equals_plain_sums():
 
 def test_registered_search_equals_plain_histograms(spark):
     rows = {r.vec_id: r for r in registry.op2_chroma(spark, SMALL).collect()}
-    prints = {r.vec_id: np.array(r.fingerprint, np.int64) for r in chroma.with_fingerprints(chroma.melody(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "embedding", "vec_id"), "audio", "vec_id").collect()}
+    prints = {r.vec_id: np.array(r.fingerprint, np.int64) for r in chroma.with_fingerprints(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "embedding", "vec_id", chroma.melody).collect()}
     assert rows.keys() == prints.keys()
     queries = sorted(k for k in prints if k % 100 == 0)
     for k, own in list(prints.items())[:60]:
