@@ -29,7 +29,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for tables from which everything else has been written on."""
+    for df in written:
+        delete_path(df.sparkSession, df.written_path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

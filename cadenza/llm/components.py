@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import forget, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -33,6 +33,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = materialize(small, "small")
+        forget(large, edges)
         before, mark, edges = mark, _mark(small), small
         if mark == before:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.common import forget, materialize
 from cadenza.llm.components import connected
 from cadenza.llm.sentencepiece_codec import WordIndex, blocks
 
@@ -210,6 +210,7 @@ def leaves_of(classes: DataFrame, first_tree: int, trees: int, mean: float) -> D
         rows = materialize(rows, "paths")
         sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node", "n")
         open_rows = materialize(rows.join(sizes, "node"), "nodes")
+        forget(rows)
         found.append(open_rows.where(F.col("n") <= SMALL_NODE).select("node", "id", "label"))
         large = open_rows.where(F.col("n") > SMALL_NODE)
         if large.isEmpty():
@@ -255,6 +256,8 @@ def groups(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame
     described = materialize(describe(docs, words_each), "described")
     one_each = described.where("set_key IS NOT NULL AND id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "signature", "sketch")).alias("least"))
     classes = materialize(one_each.select("set_key", "least.*"), "classes")
+    narrow = materialize(described.select("id", "n_shingles", "set_key"), "sizes")
+    forget(described)
     links, tree = None, 0
     labelled = classes.withColumn("label", F.col("id"))
     for trees, mean in BATCHES:
@@ -264,5 +267,5 @@ def groups(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame
         tree += trees
         roots = materialize(connected(links), "roots")
         labelled = classes.join(roots, "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
-    joined = described.select("id", "n_shingles", "set_key").join(labelled.select("set_key", "label"), "set_key", "left")
+    joined = narrow.join(labelled.select("set_key", "label"), "set_key", "left")
     return joined.select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
