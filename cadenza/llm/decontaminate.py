@@ -8,7 +8,10 @@ share a key with an item are verified by exact edit distance against every stret
 
 Windows are taken at every word of the whole text. A window is embedded only where it can match at all: an edit changes
 at most two pairs of neighbouring words, so a stretch within t edits of an item of n words holds n - 1 - 2t of the
-items' word pairs or more; counting those pairs loses nothing.
+items' word pairs or more; counting those pairs loses nothing. Keys do lose passages, the more the longer an item is.
+So the same count is taken for each single item in the windows that pass, and where it reaches the item's number the
+stretch is verified too, whether it shares a key or not: no passage is missed, whatever its length. Items so short for
+the allowed edits that no pair need stay are counted by words, of which n - t stay.
 
 Defined results: null and empty texts and items hold nothing; items are read in blocks of ``BLOCK_WORDS`` words, so that
 any number of them fits a worker; of repeated items each id is reported; repeated documents are reported each; for a
@@ -33,6 +36,7 @@ from cadenza.llm.sentencepiece_codec import PairTable, blocks
 WORD = re.compile(r"\w+")
 SAMPLES, REPEATS, STRETCH, BLOCK_WORDS = 6, 32, 3, 500_000
 WINDOWS = 1024  # walked at once
+COUNTED = 4_000_000  # places of pairs by item that are counted at once
 SCHEMA = "item_id long, word_start long, word_end long, distance int, item_words int"
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
 
@@ -78,11 +82,15 @@ class Finder:
             for pair in zip(s[:-1].tolist(), s[1:].tolist()):
                 pairs[pair].add(self.by_size[len(s), self.most[k]])
         known = np.array(sorted(pairs) or [(-1, -1)], np.int64)
-        marks = np.zeros((len(known), len(self.by_size) // 31 + 1), np.int32)
+        marks = np.zeros((len(known), len(self.by_size) // 31 + 2), np.int32)
+        marks[:, -1] = np.arange(len(known))
         for row, pair in enumerate(sorted(pairs)):
             for size in pairs[pair]:
                 marks[row, size // 31] |= 1 << size % 31
         self.pairs = PairTable(known[:, 0], known[:, 1], marks)
+        rows = {pair: row for row, pair in enumerate(sorted(pairs))}
+        self.pair_items = self._postings([(rows[pair], k) for k, s in enumerate(self.symbols) for pair in set(zip(s[:-1].tolist(), s[1:].tolist()))])
+        self.word_items = self._postings([(w, k) for k, s in enumerate(self.symbols) if len(s) - 1 - 2 * self.most[k] <= 0 for w in set(s.tolist())])
         rng = np.random.default_rng(seed)
         self.salts = rng.integers(1, 2**32, (REPEATS, 1)).astype(np.uint32)
         sizes = sorted({len(x) for x in self.symbols})
@@ -100,6 +108,40 @@ class Finder:
                     tables[r][key].append(k)
             self.keys[n] = np.sort(got, axis=1), tables
 
+    def _postings(self, entries: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes of (pair or word, size), and beside each an item of that size that holds it."""
+        what, items = np.array(entries or np.zeros((0, 2)), np.int64).T
+        sizes = np.array([self.by_size[len(s), m] for s, m in zip(self.symbols, self.most, strict=True)], np.int64)
+        codes = what * len(self.by_size) + sizes[items]
+        order = np.argsort(codes, kind="stable")
+        return codes[order], items[order]
+
+    def counted(self, here: np.ndarray, what: np.ndarray, owner: np.ndarray, postings: tuple[np.ndarray, np.ndarray], number: int, need: int, span: int) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first place, last place) of each ``need`` places in a row, at most ``span`` apart, that one item has.
+
+        ``here``: places in the text, ascending; ``what``: the pair or word there.
+        """
+        codes, items = postings
+        low, high = (np.searchsorted(codes, what * len(self.by_size) + number, side) for side in ("left", "right"))
+        total = np.cumsum(high - low)
+        # cut only where no such row of places can reach across
+        cuts = np.flatnonzero((np.diff(here) > span) | (owner[here[1:]] != owner[here[:-1]])) + 1
+        first = 0
+        while first < len(here):
+            within = np.searchsorted(total, COUNTED + (total[first - 1] if first else 0), "right")
+            later = cuts[np.searchsorted(cuts, first, "right") :]
+            fit = later[: np.searchsorted(later, within, "right")]
+            end = len(here) if within >= len(here) else int(fit[-1]) if len(fit) else int(later[0]) if len(later) else len(here)
+            times = high[first:end] - low[first:end]
+            at = np.repeat(here[first:end], times)
+            item = items[np.repeat(low[first:end] - np.cumsum(times) + times, times) + np.arange(len(at))]
+            order = np.argsort(item, kind="stable")
+            at, item = at[order], item[order]
+            a, b = at[: max(0, len(at) - need + 1)], at[need - 1 :]
+            same = (item[: len(a)] == item[need - 1 :]) & (b - a <= span) & (owner[a] == owner[b])
+            yield from zip(owner[a[same]].tolist(), item[: len(a)][same].tolist(), a[same].tolist(), b[same].tolist(), strict=True)
+            first = end
+
     def walk(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each repeat, step and window, the word that the walk shows and its place in the window.
 
@@ -144,13 +186,18 @@ class Finder:
         at = np.flatnonzero((text[:-1] > 0) & (text[1:] > 0) & (owner[1:] == owner[:-1]))
         slot = self.pairs.find(text[at], text[at + 1])
         at, marks = at[slot >= 0], self.pairs.values[slot[slot >= 0]]
+        regions: dict[tuple[int, int], set[int]] = defaultdict(set)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         wanted: dict[tuple[int, int], np.ndarray] = {}
         for (n, most), number in self.by_size.items():
-            here = at[marks[:, number // 31] >> number % 31 & 1 > 0]  # places of word pairs of items of this size
+            mine = marks[:, number // 31] >> number % 31 & 1 > 0
+            here = at[mine]  # places of word pairs of items of this size
             need, reach = n - 1 - 2 * most, n + most
             if need <= 0:
                 wanted[n, most] = np.arange(size)
+                spots = np.flatnonzero(text)
+                hits = self.counted(spots, text[spots], owner, self.word_items, number, max(1, n - most), reach - 1)
+                self._add(regions, hits, 1, reach, limits - lengths)
                 continue
             # a window that holds ``need`` pairs starts at most ``reach`` before the last of some ``need`` in a row
             close = np.flatnonzero(here[need - 1 :] - here[: len(here) - need + 1] < reach) if len(here) >= need else here[:0]
@@ -160,9 +207,12 @@ class Finder:
             np.add.at(spread, here[close] + 1, -1)
             starts = np.flatnonzero(np.cumsum(spread[:-1]) > 0) if len(close) else close
             inside = np.searchsorted(here, np.minimum(starts + reach, last[starts]) - 1) - np.searchsorted(here, starts)
-            wanted[n, most] = starts[inside >= need]
+            wanted[n, most] = starts = starts[inside >= need]
+            before = np.searchsorted(starts, here, "right") - 1
+            close = (before >= 0) & (starts[before] >= here - reach + 2) if len(starts) else np.zeros(len(here), bool)
+            hits = self.counted(here[close], marks[mine, -1][close].astype(np.int64), owner, self.pair_items, number, need, reach - 2)
+            self._add(regions, hits, 2, reach, limits - lengths)
         every = np.unique(np.concatenate(list(wanted.values())))
-        regions: dict[tuple[int, int], set[int]] = defaultdict(set)
         padded = np.concatenate([text, np.zeros(self.longest, np.int64)])
         for first in range(0, len(every), WINDOWS):
             part = every[first : first + WINDOWS]
@@ -197,6 +247,12 @@ class Finder:
                     best[doc, k] = found
         return [(doc, self.items[k][0], a, b, d, len(self.symbols[k])) for (doc, k), (d, a, b) in sorted(best.items())]
 
+    @staticmethod
+    def _add(regions: dict[tuple[int, int], set[int]], hits: Iterator[tuple[int, int, int, int]], width: int, reach: int, least: np.ndarray) -> None:
+        """The first and the last start of a stretch that holds a hit; their surroundings overlap, so they cover all between."""
+        for doc, k, first, last in hits:
+            regions[doc, k].update((max(last + width - reach, int(least[doc])), first))
+
     @staticmethod
     def _merged(places: list[int], n: int, most: int, least: int, limit: int) -> Iterator[tuple[int, int]]:
         """Stretches around windows, overlapping ones as one."""

@@ -178,6 +178,43 @@ def test_item_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.find_items(docs, items).collect())) == whole and whole
 
 
+def edited(words, edits, rng, pool, mixed):
+    """Substitutions at different places, or a mixture of edits."""
+    words = list(words)
+    if not mixed:
+        for at in rng.sample(range(len(words)), edits):
+            words[at] = rng.choice(pool)
+        return words
+    for _ in range(edits):
+        at, kind = rng.randrange(len(words)), rng.randrange(3)
+        words[at : at + (kind != 1)] = [rng.choice(pool)] * (kind != 2)
+    return words
+
+
+@pytest.mark.parametrize("n", [5, 12, 38, 59, 100, 150, 200, 300])
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_no_passage_is_missed_whatever_its_length(n, similarity):
+    rng = random.Random(n)
+    pool = [f"w{k}" for k in range(400)]
+    items = [(k, rng.choices(pool, k=n)) for k in range(10)]
+    most = int((1 - similarity) * n + 1e-9)
+    docs = [[*rng.choices(pool, k=20), *edited(items[k % 10][1], most, rng, pool, k % 2), *rng.choices(pool, k=20)] for k in range(40)]
+    found = {(d, i): distance for d, i, _, _, distance, _ in decontaminate.Finder(items, similarity).find(docs)}
+    for d, words in enumerate(docs):
+        wanted = brute_distance(items[d % 10][1], words)
+        assert wanted <= most and found[d, d % 10] == wanted
+
+
+def test_counting_in_parts_gives_the_same(monkeypatch):
+    rng = random.Random(9)
+    pool = [f"w{k}" for k in range(60)]
+    items = [(k, rng.choices(pool, k=rng.choice([12, 30]))) for k in range(20)]
+    docs = [[*rng.choices(pool, k=rng.randrange(9)), *edited(rng.choice(items)[1], 3, rng, pool, True)] for _ in range(60)]
+    whole = decontaminate.Finder(items, 0.8).find(docs)
+    monkeypatch.setattr(decontaminate, "COUNTED", 5)
+    assert decontaminate.Finder(items, 0.8).find(docs) == whole and whole
+
+
 # -- 8 and 10
 
 
