@@ -99,7 +99,10 @@ def kind_spans(text: Column, kind: str) -> Column:
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        near = F.lower(F.right(pair["gap"], F.lit(CONTEXT_REACH))).rlike(CONTEXT[kind])
+        # from the whole text: other matches, confirmed or not, don't cut the context short
+        before = F.substr(text, F.greatest(start - CONTEXT_REACH, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_REACH)))
+        after = F.substr(text, end + 1, F.lit(CONTEXT_REACH))
+        near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
         found = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
         keep = confirmed(kind, pair["match"]) & (F.lit(kind in BASE_KINDS) | (score >= ADDED_LEAST))

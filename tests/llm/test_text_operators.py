@@ -123,6 +123,13 @@ def test_added_kinds_need_their_checks(spark):
     assert near > far
 
 
+def test_context_is_taken_from_both_sides_of_the_whole_text(spark):
+    rows = ["ssn 123-45-6789, 234-56-7890", "ssn 123-45-6789 000-45-6789 234-56-7890", "123-45-6789 is my ssn", "é😀 123-45-6789", "tax " + "x" * 37 + " 123-45-6789", "123-45-6789 " + "x" * 37 + " tax", "123-45-6789", "123-45-6789 " + "x " * 18 + "tax", "+49 30 1234567, +49 30 7654321 phone"]
+    got = pii.with_spans(texts(spark, rows)).orderBy("doc_id").collect()
+    assert [[s.start for s in r.spans if s.kind == "ssn"] for r in got] == [[4, 17], [4, 28], [0], [], [], [], [], [0], []]
+    assert [s.score for s in got[-1].spans] == pytest.approx([0.9, 0.9])
+
+
 def test_redaction_leaves_no_covered_character(spark):
     rows = [None, "", "a@b.co, +49 30 1234567 and 4111 1111 1111 1111@x.org.", "nothing", "é1.2.3.4é"]
     df = pii.with_spans(texts(spark, rows))
