@@ -130,6 +130,19 @@ def test_context_is_taken_from_both_sides_of_the_whole_text(spark):
     assert [s.score for s in got[-1].spans] == pytest.approx([0.9, 0.9])
 
 
+def test_account_numbers_of_all_countries(spark):
+    known = "GR16 0110 1250 0000 0001 2300 695|HU42 1177 3016 1111 1018 0000 0000|RO49 AAAA 1B31 0075 9384 0000|HR12 1001 0051 8630 0016 0|BG80 BNBG 9661 1020 3456 78|TR33 0006 1005 1978 6457 8413 26|SA03 8000 0000 6080 1016 7519|MT84 MALT 0110 0001 2345 MTLC AST0 01S|NO93 8601 1117 947|DE89 3704 0044 0532 0130 00".split("|")
+    made = []
+    for country, size in pii.IBAN_LENGTHS.items():
+        own = "".join(str(k % 10) for k in range(size - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in own + country + "00")) % 97
+        made.append(f"{country}{check:02}{own}")
+    numbers = known + made
+    got = pii.with_spans(texts(spark, [f"to {n} by" for n in numbers])).orderBy("doc_id").collect()
+    assert [[(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in got] == [[(3, 3 + len(n))] for n in numbers]
+    assert len(made) >= 80
+
+
 def test_redaction_leaves_no_covered_character(spark):
     rows = [None, "", "a@b.co, +49 30 1234567 and 4111 1111 1111 1111@x.org.", "nothing", "é1.2.3.4é"]
     df = pii.with_spans(texts(spark, rows))
