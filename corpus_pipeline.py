@@ -1,10 +1,11 @@
 """The corpus pipeline: stages of training-data preparation, each written as Parquet and read again by the next.
 
 Stages, all over whole texts and all rows that the stage before kept: documents of low quality go; of each group of near
-duplicates (five-word shingles, similarity 0.8) the one with the least id stays; documents that hold a benchmark passage
+duplicates (five-word shingles, similarity 0.8) the row with the least id stays; documents that hold a benchmark passage
 (up to a fifth of its words edited) go; personal data is replaced by marks; texts are encoded to token ids and decoded.
-Rows with a null text count as empty texts in every stage; repeated rows stay only if the near-duplicate stage keeps their
-id; an empty table passes through empty. The columns of ``documents``, extra ones included, stay up to the last stage,
+Rows with a null text count as empty texts in every stage; each row is decided by itself, by a key that a stage gives it,
+so ids may repeat or be null (in a group a row without an id comes last, and of equal ids one row stays); an empty table
+passes through empty. The columns of ``documents``, extra ones included, stay up to the last stage,
 which adds the ids and gives the decoded text. ``n_chars`` follows the text.
 """
 
@@ -16,10 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontaminate, near_dedup, pii, quality, sentencepiece_codec
-from cadenza.llm.common import fresh_path
+from cadenza.llm.common import fresh_path, materialize
 from cadenza.llm.registry import tokenizer_path
 
 LEAST_QUALITY = 0.2
+ROW = "__row"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key for each row, written once so that every later read sees the same keys."""
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +37,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group."""
-    groups = near_dedup.groups(docs.select(F.col("doc_id").alias("id"), "text"))
-    others = groups.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The row with the least id of each group."""
+    rows = with_row_key(docs)
+    groups = near_dedup.groups(rows.select(F.col(ROW).alias("id"), "text")).select(F.col("id").alias(ROW), "component_id")
+    joined = groups.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    members = materialize(groups.join(joined, "component_id").join(rows.select(ROW, "doc_id"), ROW), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW))[ROW]
+    kept = members.groupBy("component_id").agg(first.alias(ROW)).select(ROW)
+    others = members.select(ROW).join(kept, ROW, "left_anti")
+    return rows.join(others, ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    held = decontaminate.find_items(docs, benchmark).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    rows = with_row_key(docs)
+    held = decontaminate.find_items(rows, benchmark, key=ROW).select(ROW).distinct()
+    return rows.join(held, ROW, "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -239,3 +239,17 @@ def test_pipeline_edges(spark):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, out, SMALL)
         assert out.count() in (0, 3)
+
+
+def test_pipeline_decides_each_row_by_itself(spark):
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    copy, other, own = "one two three four five six seven", "red green blue black white grey", "north south east west up down"
+    rows = [(None, copy), (None, copy), (4, copy), (4, copy), (9, copy), (5, other), (5, own), (None, own), (7, own), (None, item), (6, item + " tail"), (6, "clean words only"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    order = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, SMALL)
+    assert single.columns == docs.columns
+    left = order(single)
+    assert [x for x in left if x[1] in (copy, other, own)] == sorted([(4, copy), (5, other), (5, own)], key=repr)
+    assert (6, "clean words only") in left and (None, None) in left and (None, "") in left
+    assert order(corpus_pipeline.decontamination_stage(spark, docs, SMALL)) == sorted([r for r in rows if r[1] not in (item, item + " tail")], key=repr)
