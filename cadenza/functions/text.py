@@ -87,3 +87,11 @@ def release_date(raw: Column) -> tuple[Column, Column, Column]:
 def duration_label(ms: Column) -> Column:
     seconds = F.floor(ms / 1000)
     return F.concat((F.floor(seconds / 60)).cast("string"), F.lit(":"), F.lpad((seconds % 60).cast("string"), 2, "0"))
+
+
+#: Fixed value: characters that are kept of names.
+MOST_CHARACTERS = 400
+
+
+def truncated(text: Column, most: int = MOST_CHARACTERS) -> Column:
+    return F.left(text, F.lit(most))

@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import functions as F
 
-from cadenza.functions.text import derived_id, match_key
+from cadenza.functions.text import derived_id, match_key, truncated
 from cadenza.operators import cooccurrence, matching
 from cadenza.operators.insights import MEASURES
 from cadenza.session import session
@@ -33,8 +33,10 @@ def seed_playlists(spark, source: str, catalog: str, target: str) -> None:
     rows = catalog_csv.read_playlists(spark, source).withColumn("row_id", F.monotonically_increasing_id())
     keyed = rows.withColumn("match_key", match_key(F.col("track"), F.col("artist")))
     found = keyed.join(matching.unique_keys(spark.read.parquet(catalog)), "match_key", "left")
-    named = found.select("row_id", derived_id(F.col("user_id"), F.col("playlist")).alias("playlist"), F.col("id").alias("track"))
-    sinks.append_new(matching.accumulate(named).withColumnRenamed("playlist", "id").drop("first_row"), target, "id")
+    named = found.select("row_id", derived_id(F.col("user_id"), F.col("playlist")).alias("playlist"), F.col("id").alias("track"), truncated(F.col("playlist")).alias("name"))
+    names = named.groupBy("playlist").agg(F.min("name").alias("name"))
+    lists = matching.accumulate(named.drop("name")).join(names, "playlist")
+    sinks.append_new(lists.select(F.col("playlist").alias("id"), "name", "track_ids"), target, "id")
 
 
 def build_cooccurrence(spark, playlists: str, target: str) -> None:

@@ -6,12 +6,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Items of a basket that are paired in one task; larger baskets are dealt to pairs of parts.
+PART = 500
+
+
 def pairs(memberships: DataFrame, least: int = 2) -> DataFrame:
-    """``memberships``: basket, item (repeats count once). Pairs low < high in at least ``least`` baskets."""
+    """``memberships``: basket, item (repeats count once). Pairs low < high in at least ``least`` baskets.
+
+    A basket of n items makes n * (n - 1) / 2 pairs, as its definition asks. Those with more than ``PART`` items are cut
+    into parts by a hash of the item, and each two parts meet under a key of their own, so that one basket spreads
+    over many tasks.
+    """
+    distinct = memberships.select("basket", "item").distinct()
+    large = distinct.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("basket", F.ceil(F.col("n") / PART).alias("parts"))
+    cut = distinct.join(large, "basket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0).cast("long")))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long")))))
+    placed = met.select("basket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "item")
+    a, b = placed.withColumnsRenamed({"item": "low", "own": "low_part"}), placed.withColumnsRenamed({"item": "high", "own": "high_part"})
+    both = a.join(b, ["basket", "x", "y"]).where("low < high AND (x = y OR low_part <> high_part)")
+    return both.groupBy("low", "high").agg(F.count("*").alias("co_count")).where(F.col("co_count") >= least)
+
+
+def seed_edges(memberships: DataFrame, seeds: DataFrame, least: int = 2) -> DataFrame:
+    """(seed, item, co_count, jaccard) of ``seeds`` (seed) alone: what ``of_seeds`` takes from the whole matrix, without making it."""
     distinct = memberships.select("basket", "item").distinct()
-    low, high = distinct.withColumnRenamed("item", "low"), distinct.withColumnRenamed("item", "high")
-    counted = low.join(high, "basket").where("low < high").groupBy("low", "high").agg(F.count("*").alias("co_count"))
-    return counted.where(F.col("co_count") >= least)
+    asked = distinct.join(seeds.select(F.col("seed").alias("item")).distinct(), "item", "left_semi").withColumnRenamed("item", "seed")
+    counted = asked.join(distinct, "basket").where("seed <> item").groupBy("seed", "item").agg(F.count("*").alias("co_count")).where(F.col("co_count") >= least)
+    totals = distinct.groupBy("item").agg(F.count("*").alias("total"))
+    sided = counted.join(totals.withColumnsRenamed({"item": "seed", "total": "seed_total"}), "seed").join(totals, "item")
+    weight = F.col("co_count") / (F.col("seed_total") + F.col("total") - F.col("co_count"))
+    return sided.select("seed", "item", "co_count", F.round(weight, 9).alias("jaccard"))
 
 
 def matrix(memberships: DataFrame, least: int = 2) -> DataFrame:

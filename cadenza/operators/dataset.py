@@ -78,20 +78,38 @@ def block_sets(blocks: list[str]) -> list[tuple[str, ...]]:
 
 
 def champion(maes: dict[tuple[str, ...], float], approved: list[str]) -> tuple[str, ...]:
+    """The feature set with the lowest error among the base and the sets of approved blocks."""
     open_sets = [s for s in maes if set(s) <= set(approved)]
     return min(open_sets, key=lambda s: (maes[s], len(s), s))
 
 
-#: Ranges of ad-hoc input.
-RANGES = {"unit": (0.0, 1.0), "tempo": (0.0, 300.0), "loudness": (-60.0, 5.0), "duration_ms": (1_000, 7_200_000), "key": (0, 11), "mode": (0, 1), "time_signature": (0, 7)}
+#: Ranges of ad-hoc input.
+RANGES = {
+    "danceability": (0.0, 1.0), "energy": (0.0, 1.0), "valence": (0.0, 1.0), "acousticness": (0.0, 1.0), "instrumentalness": (0.0, 1.0), "liveness": (0.0, 1.0), "speechiness": (0.0, 1.0),
+    "tempo": (0.0, 300.0), "loudness": (-60.0, 5.0), "duration_ms": (1_000, 7_200_000), "key": (0, 11), "mode": (0, 1), "time_signature": (0, 7),
+}
+#: Values of features that may be left out; all others must be given.
+DEFAULTS = {"key": 0, "mode": 0, "time_signature": 4, "explicit": False, "genre": None}
 
 
-def checked_input(track_id: str | None = None, features: dict[str, float] | None = None) -> tuple[str | None, dict[str, float] | None]:
-    """Either a track or its features, not both; features must lie in their ranges."""
+def checked_input(track_id: str | None = None, features: dict[str, object] | None = None) -> tuple[str | None, dict[str, object] | None]:
+    """Either a track or its features, not both; features must be known, complete and in their ranges."""
     if (track_id is None) == (features is None):
         raise ValueError("give a track or features, not both")
-    for name, value in (features or {}).items():
-        low, top = RANGES.get(name, RANGES["unit"])
-        if not low <= value <= top:
+    if features is None:
+        return track_id, None
+    if unknown := sorted(set(features) - set(RANGES) - set(DEFAULTS)):
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
+    whole = DEFAULTS | features
+    if missing := [n for n in RANGES if whole.get(n) is None]:
+        raise ValueError(f"missing features: {', '.join(missing)}")
+    for name, (low, top) in RANGES.items():
+        if not low <= whole[name] <= top:
             raise ValueError(f"{name} must lie between {low} and {top}")
-    return track_id, features
+    return None, whole
+
+
+def first_out_of_range(names: list[str]) -> Column:
+    """The first of the named columns, in the order of ``RANGES``, that is null or out of its range; null if none is."""
+    found = [F.when(F.col(n).isNull() | ~F.col(n).between(*RANGES[n]), n) for n in RANGES if n in names]
+    return F.coalesce(*found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,7 +70,37 @@ def list_sizes(collapsed: DataFrame) -> DataFrame:
 
 
 #: The gate's thresholds.
-GATE = {"coherence": 0.40, "lift": 2.0, "saturation_most": 0.50, "recall": 0.45, "hit_rate": 0.50, "sibling_cosine": 0.98, "self_hits_most": 0, "short_most": 0.05, "redundant_most": 0}
+GATE = {"coherence": 0.40, "lift": 2.0, "saturation_most": 0.50, "recall": 0.45, "hit_rate": 0.50, "sibling_cosine": 0.98, "self_hits_most": 0, "short_most": 0.05, "redundant_most": 0, "single_most": 0}
+#: The populations on which thresholds were set.
+LEADERS, MEMBERS = "leaders of large groups", "members of large groups"
+
+
+@dataclass(frozen=True)
+class Measurement:
+    """What was measured (one row of the functions above), over which seeds, and how the lists were made."""
+
+    values: dict[str, float]
+    population: str | None
+    mode: str = "boost"
+    strategy: str = "content"
+    dedupe: bool = False
+    top_n: int = 10
+
+    @property
+    def setting(self) -> tuple[str, str, bool, int]:
+        return self.mode, self.strategy, self.dedupe, self.top_n
+
+
+def sizes(collapsed: DataFrame, seeds: DataFrame, top_n: int) -> DataFrame:
+    """One row: seeds, the share of them with fewer than ``top_n`` items, and how many have one item only."""
+    counted = seeds.select("seed_id").join(collapsed.groupBy("seed_id").agg(F.count("*").alias("items")), "seed_id", "left").select(F.coalesce("items", F.lit(0).cast("long")).alias("items"))
+    short = F.coalesce(F.avg((F.col("items") < top_n).cast("double")), F.lit(0.0))
+    return counted.agg(F.count("*").alias("seeds_evaluated"), F.round(short, 12).alias("short"), F.count_if(F.col("items") == 1).alias("single"))
+
+
+def self_hits(lists: DataFrame) -> DataFrame:
+    """One row: how many lists hold their own seed."""
+    return lists.agg(F.count_if(F.col("seed_id") == F.col("id")).alias("self_hits"))
 
 
 def gate(measured: dict[str, float]) -> list[str]:
@@ -76,3 +108,39 @@ def gate(measured: dict[str, float]) -> list[str]:
     if absent := sorted(set(GATE) - set(measured)):
         raise ValueError(f"not measured: {', '.join(absent)}")
     return [k for k, limit in GATE.items() if (measured[k] > limit if k.endswith("_most") else measured[k] < limit)]
+
+
+def judged(plain: Measurement, boosted: Measurement, engine: Measurement, deduped: Measurement, lengths: Measurement) -> list[str]:
+    """The gate over measurements; those that don't fit together, or whose seeds say nothing about a threshold, are refused.
+
+    ``plain``, ``boosted``: coherence and self hits without and with the genre's boost; ``engine``: duplicates before they
+    are collapsed; ``deduped``: duplicates after; ``lengths``: list sizes.
+    """
+    rules = {
+        "the gate holds for recommendations by content alone": {plain.strategy, boosted.strategy} == {"content"},
+        "both coherences must be measured with the same collapse": plain.dedupe == boosted.dedupe,
+        "coherences need a named population": bool(plain.population and boosted.population),
+        "both coherences must be measured on the same seeds": plain.population == boosted.population,
+        "duplicates of the engine are measured before the collapse": not engine.dedupe,
+        "repeats are measured after the collapse": deduped.dedupe,
+        f"repeats are measured on the {LEADERS}, on one seed at least": deduped.population == LEADERS and deduped.values["seeds_evaluated"] > 0,
+        "list sizes must be measured as the boosted lists are made": lengths.setting == boosted.setting,
+        f"list sizes are measured on the {MEMBERS}": lengths.population == MEMBERS,
+    }
+    if broken := [rule for rule, holds in rules.items() if not holds]:
+        raise ValueError("; ".join(broken))
+    base = plain.values["mean"]
+    return gate(
+        {
+            "coherence": boosted.values["mean"],
+            "lift": boosted.values["mean"] / base if base > 0 else float("inf"),
+            "saturation_most": boosted.values["saturation"],
+            "recall": engine.values["recall"],
+            "hit_rate": engine.values["hit_rate"],
+            "sibling_cosine": engine.values["sibling_cosine"],
+            "self_hits_most": plain.values["self_hits"] + boosted.values["self_hits"],
+            "short_most": lengths.values["short"],
+            "redundant_most": deduped.values["redundant"],
+            "single_most": lengths.values["single"],
+        }
+    )

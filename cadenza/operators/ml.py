@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
@@ -10,23 +12,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import clamp
-from cadenza.operators.dataset import regression_metrics
+from cadenza.operators.dataset import approved_blocks, block_sets, champion, regression_metrics
+
+
+#: The columns of every model, and what each block adds: numbers, categories.
+BASE = ["danceability", "energy", "valence", "tempo", "acousticness", "instrumentalness", "liveness", "speechiness", "loudness", "duration_ms", "explicit"]
+BLOCKS: dict[str, tuple[list[str], list[str]]] = {"A": (["mode"], ["key", "time_signature"]), "B": ([], ["genre"])}
+UNKNOWN = "<unknown>"
+
+
+def feature_set(blocks: tuple[str, ...]) -> tuple[list[str], list[str]]:
+    """Numeric and categorical columns of the base with some blocks."""
+    return BASE + [c for b in blocks for c in BLOCKS[b][0]], [c for b in blocks for c in BLOCKS[b][1]]
+
+
+def prepared(df: DataFrame, categories: list[str]) -> DataFrame:
+    """Categories as text, missing ones named."""
+    return df.withColumns({c: F.coalesce(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")), F.lit(UNKNOWN)) for c in categories})
 
 
 def pipeline(numeric: list[str], categories: list[str], label: str, linear: bool = False, trees: int = 20) -> Pipeline:
-    """Numbers scaled to 0..1, categories one-hot with a slot for unknown values."""
+    """Categories one-hot with a slot for unknown values, all slots scaled to 0..1, then the model."""
     indexed, coded = [f"__i_{c}" for c in categories], [f"__o_{c}" for c in categories]
-    stages: list = [VectorAssembler(inputCols=numeric, outputCol="__numbers", handleInvalid="keep"), MinMaxScaler(inputCol="__numbers", outputCol="__scaled")]
+    stages: list = []
     if categories:
-        stages += [StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"), OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep")]
-    stages.append(VectorAssembler(inputCols=["__scaled", *coded], outputCol="features"))
+        stages += [StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep"), OneHotEncoder(inputCols=indexed, outputCols=coded, handleInvalid="keep", dropLast=False)]
+    stages += [VectorAssembler(inputCols=[*numeric, *coded], outputCol="__slots", handleInvalid="keep"), MinMaxScaler(inputCol="__slots", outputCol="features")]
     stages.append(LinearRegression(labelCol=label) if linear else GBTRegressor(labelCol=label, maxIter=trees, maxDepth=5, seed=1))
     return Pipeline(stages=stages)
 
 
+def elected(train: DataFrame, test: DataFrame, label: str, trees: int = 20) -> list[dict]:
+    """The base and every combination of blocks, fitted and measured on the test rows; which blocks pay, which set wins.
+
+    A block pays if alone it lowers the base's error by two per cent or more; sets with one that doesn't cannot win.
+    """
+    maes: dict[tuple[str, ...], float] = {}
+    for blocks in block_sets(list(BLOCKS)):
+        numeric, categories = feature_set(blocks)
+        model = pipeline(numeric, categories, label, trees=trees).fit(prepared(train, categories))
+        maes[blocks] = regression_metrics(model.transform(prepared(test, categories)), label, "prediction").first()["mae"]
+    approved = approved_blocks(maes[()], {b: maes[b,] for b in BLOCKS})
+    best = champion(maes, approved)
+    return [{"features": "+".join(("base", *s)), "mae": mae, "approved": set(s) <= set(approved), "champion": s == best} for s, mae in maes.items()]
+
+
 def scored(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``prediction`` held to 0..100, ``raw_score``, ``clamped``, and ``warnings``: imputed input, clamped output."""
     value, outside = clamp(F.col("prediction"))
-    return model.transform(df).withColumn("clamped", outside).withColumn("prediction", value)
+    imputed = F.coalesce(F.col("is_imputed"), F.lit(False)) if "is_imputed" in df.columns else F.lit(False)
+    out = model.transform(df).withColumn("clamped", outside).withColumn("raw_score", F.col("prediction")).withColumn("prediction", value)
+    return out.withColumn("warnings", F.array_compact(F.array(F.when(imputed, "imputed_features"), F.when(F.col("clamped"), "clamped_output"))))
 
 
 def cross_validated(df: DataFrame, build, label: str, identifier: str, folds: int = 5) -> tuple[float, float]:
@@ -40,17 +76,23 @@ def cross_validated(df: DataFrame, build, label: str, identifier: str, folds: in
     return mean, (sum((r - mean) ** 2 for r in found) / folds) ** 0.5
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[str], label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> list[tuple[str, float]]:
-    """Mean rise of MAE when a column's values change places, within buckets of a hash, so that no task orders all rows."""
-    base = regression_metrics(model.transform(test), label, "prediction").first()["mae"]
+def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[str], label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> DataFrame:
+    """feature, slot, r2_drop, r2_sd, mae_rise, mae_sd: means and deviations over permutations of a column's values.
+
+    Values change places within buckets of a hash, so that no task orders all rows; all permutations of a column are one job.
+    """
+    base = regression_metrics(model.transform(test), label, "prediction").first()
     own = F.pmod(F.xxhash64(F.col(identifier)), F.lit(buckets))
-    out = []
+    found = []
     for c in columns:
-        rise = 0.0
-        for p in range(permutations):
-            placed = test.withColumn("__b", own).withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(identifier)))
-            moved = test.select(own.alias("__b"), F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64(F.col(identifier), F.lit(p)), identifier)).alias("__n"), F.col(c).alias("__moved"))
-            shuffled = placed.join(moved, ["__b", "__n"]).withColumn(c, F.col("__moved")).drop("__b", "__n", "__moved")
-            rise += regression_metrics(model.transform(shuffled), label, "prediction").first()["mae"] - base
-        out.append((c, rise / permutations))
-    return out
+        placed = test.withColumn("__b", own).withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(identifier)))
+        dealt = test.select(identifier, own.alias("__b"), F.col(c).alias("__moved"), F.explode(F.array(*map(F.lit, range(permutations)))).alias("__p"))
+        order = Window.partitionBy("__p", "__b").orderBy(F.xxhash64(F.col(identifier), F.lit(c), F.col("__p")), identifier)
+        moved = dealt.select("__p", "__b", F.row_number().over(order).alias("__n"), "__moved")
+        shuffled = placed.join(moved, ["__b", "__n"]).withColumn(c, F.col("__moved")).drop("__moved")
+        error = F.col(label) - F.col("prediction")
+        sums = model.transform(shuffled).groupBy("__p").agg(F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("sse"), (F.var_pop(label) * F.count(label)).alias("sst"))
+        each = sums.select((F.col("mae") - base["mae"]).alias("rise"), (F.lit(base["r2"]) - F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0)).alias("drop"))
+        means = [F.avg("drop").alias("r2_drop"), F.stddev_pop("drop").alias("r2_sd"), F.avg("rise").alias("mae_rise"), F.stddev_pop("rise").alias("mae_sd")]
+        found.append(each.agg(*means).select(F.lit(c.split(".")[0]).alias("feature"), F.lit(c).alias("slot"), "r2_drop", "r2_sd", "mae_rise", "mae_sd"))
+    return reduce(DataFrame.unionByName, found)

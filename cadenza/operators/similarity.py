@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.functions.numeric import cosine, norm
 
-LEAST_DEVIATION, BOOST, MOST_SEEDS = 1e-9, 0.05, 10_000
+LEAST_DEVIATION, BOOST, MOST_SEEDS, MOST_LISTED = 1e-9, 0.05, 10_000, 100
 MODES = ("off", "boost", "same_genre")
+#: Cosines that are held at once.
+CELLS = 4_000_000
 
 
 def parameters(df: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -36,13 +44,29 @@ def index_of(items: DataFrame, vector: str, dims: int) -> DataFrame:
     return standardised(items, vector, parameters(items, vector, dims))
 
 
-def scored(seeds: DataFrame, index: DataFrame, mode: str = "off", boost: float = BOOST) -> DataFrame:
-    """Every pair of a seed and another item: cosine and score. A seed without a usable genre falls back to plain cosine."""
+def looked_up(index: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+    """The items of ``ids`` (id) to start searches from; where an id is repeated its last row by ``order`` counts."""
+    found = index.join(ids.select("id").distinct(), "id", "left_semi")
+    last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order)))
+    return found.withColumn("__last", last).where("__last = 1").drop("__last")
+
+
+def _mode(mode: str, boost: float) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     if boost < 0:
         raise ValueError("the boost must not be negative")
-    asked = seeds.select(F.col("id").alias("seed_id"), F.col("unit").alias("seed_unit"), F.col("length").alias("seed_length"), F.when(~F.col("is_imputed"), F.nullif(F.trim("genre"), F.lit(""))).alias("seed_genre"))
+
+
+def _asked(seeds: DataFrame) -> DataFrame:
+    usable = F.when(~F.col("is_imputed"), F.nullif(F.trim("genre"), F.lit("")))
+    return seeds.select(F.col("id").alias("seed_id"), F.col("unit").alias("seed_unit"), F.col("length").alias("seed_length"), usable.alias("seed_genre"))
+
+
+def scored(seeds: DataFrame, index: DataFrame, mode: str = "off", boost: float = BOOST) -> DataFrame:
+    """Every pair of a seed and another item: cosine and score. A seed without a usable genre falls back to plain cosine."""
+    _mode(mode, boost)
+    asked = _asked(seeds)
     few = seeds.select("id").limit(MOST_SEEDS + 1).count() <= MOST_SEEDS
     pairs = index.crossJoin(F.broadcast(asked) if few else asked).where(F.col("id") != F.col("seed_id"))
     shares = F.coalesce((F.col("genre") == F.col("seed_genre")) & ~F.col("is_imputed"), F.lit(False))
@@ -53,10 +77,69 @@ def scored(seeds: DataFrame, index: DataFrame, mode: str = "off", boost: float =
     return pairs.withColumn("score", F.round(F.col("cosine") + bonus, 9)).withColumn("fell_back", F.col("seed_genre").isNull() if mode != "off" else F.lit(False))
 
 
+def _nearest(asked: DataFrame, index: DataFrame, top_n: int, mode: str, boost: float) -> DataFrame:
+    """The best ``top_n`` of each block of the index for each seed, by matrix products of blocks; at most ``MOST_SEEDS`` seeds."""
+    held = asked.orderBy("seed_id").toArrow()
+    shared = index.sparkSession.sparkContext.broadcast(held)
+    schema = StructType([*index.schema.fields, *asked.schema.fields]).add("cosine", "double").add("score", "double").add("fell_back", "boolean")
+
+    def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+        flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = shared.value
+        count = seeds.num_rows
+        if not count:
+            return
+        units, lengths = matrix(seeds["seed_unit"], count), seeds["seed_length"].to_numpy()
+        ids, genres = seeds["seed_id"].to_numpy(), np.array(seeds["seed_genre"].to_pylist(), object)
+        bare = np.array([g is None for g in genres])
+        each = max(top_n, CELLS // count)
+        for batch in batches:
+            for first in range(0, batch.num_rows, each):
+                part = batch.slice(first, each)
+                own, theirs = part.column("id").to_numpy(), np.array(part.column("genre").to_pylist(), object)
+                product = np.outer(lengths, part.column("length").to_numpy())
+                dots = units @ matrix(part.column("unit"), part.num_rows).T
+                cosines = np.round(np.divide(dots, product, out=np.zeros_like(dots), where=product > 0), 9)
+                measured = ~np.array(part.column("is_imputed").to_pylist(), bool)
+                shares = (genres[:, None] == theirs[None, :]) & ~bare[:, None] & measured[None, :]
+                scores = np.round(cosines + boost * shares, 9) if mode == "boost" else cosines
+                barred = ids[:, None] == own[None, :]
+                if mode == "same_genre":
+                    barred |= ~bare[:, None] & ~shares
+                ranked = np.where(barred, -np.inf, scores)
+                if part.num_rows > top_n:  # all that reach the last score that can count
+                    least = np.partition(ranked, part.num_rows - top_n, axis=1)[:, part.num_rows - top_n]
+                    seed, item = np.nonzero((ranked >= least[:, None]) & ~barred)
+                else:
+                    seed, item = np.nonzero(~barred)
+                mine, asked = part.take(pa.array(item)), seeds.take(pa.array(seed)).combine_chunks()
+                columns = [*mine.columns, *(c.combine_chunks() for c in asked.columns), pa.array(cosines[seed, item]), pa.array(scores[seed, item]), pa.array(bare[seed] if mode != "off" else np.zeros(len(seed), bool))]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return index.mapInArrow(run, schema)
+
+
 def neighbours(seeds: DataFrame, index: DataFrame, top_n: int, mode: str = "off", boost: float = BOOST) -> DataFrame:
-    """The best of each seed by score, then id, ranked; Spark keeps only that many for each seed before it shuffles."""
+    """The best of each seed by score, then id, ranked.
+
+    Seeds are broadcast in parts of at most ``MOST_SEEDS``; each part meets every block of the index once, in one matrix
+    product, and only the best of a block leave its task.
+    """
+    _mode(mode, boost)
+    asked = _asked(seeds)
+    parts = max(1, -(-seeds.count() // MOST_SEEDS))
+    dealt = [asked.where(F.pmod(F.xxhash64("seed_id"), F.lit(parts)) == k) for k in range(parts)] if parts > 1 else [asked]
+    found = reduce(DataFrame.unionByName, (_nearest(part, index, top_n, mode, boost) for part in dealt))
     ranked = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("score"), F.asc("id"))).cast("long")
-    return scored(seeds, index, mode, boost).withColumn("rank", ranked).where(F.col("rank") <= top_n)
+    return found.withColumn("rank", ranked).where(F.col("rank") <= top_n)
+
+
+def diagnostic(seeds: DataFrame, index: DataFrame, top_n: int = 10) -> DataFrame:
+    """Plain neighbours for a look at the index; between 1 and ``MOST_LISTED`` of each seed."""
+    return neighbours(seeds, index, min(max(top_n, 1), MOST_LISTED))
 
 
 def contributions(k: int = 3) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import clamp
-from cadenza.functions.text import duration_label
+from cadenza.functions.text import duration_label, truncated
 from cadenza.operators import cooccurrence as co
-from cadenza.operators import insights, matching, paging
+from cadenza.operators import dataset, insights, matching, paging
 from cadenza.operators.insights import MEASURES, complete
 from cadenza.plans.registry import query
 from cadenza.plans.views import TRACKS_SQL, albums, artists, baskets, lines, table, tracks
@@ -239,3 +239,23 @@ def load_validity(spark, d):
     flat = tracks(spark, d).select(F.col("id").cast("string").alias("id"), "name", F.when(F.col("popularity") <= 40, F.col("popularity")).otherwise(F.col("popularity") + 100).alias("popularity"), "duration_ms", "audio_features.*")
     return flat.select(F.col("id").cast("long").alias("id"), matching.validity(flat, list(MEASURES)).alias("reason"))
 
+
+
+@query(T + "SELECT id, i - 1 AS position, artists[i] AS artist FROM (SELECT id, artists, unnest(range(1, len(artists) + 1)) AS i FROM tracks)")
+def array_unnest(spark, d):
+    """A row for each credit; tracks without credits have none."""
+    return tracks(spark, d).select("id", F.posexplode("artists").alias("position", "credit")).select("id", F.col("position").cast("long").alias("position"), F.col("credit.Name").alias("artist"))
+
+
+@query(T + """SELECT id, CASE WHEN danceability IS NULL OR danceability NOT BETWEEN 0 AND 1 THEN 'danceability' WHEN energy IS NULL OR energy NOT BETWEEN 0 AND 1 THEN 'energy' WHEN tempo - 100 < 0 OR tempo - 100 > 300 THEN 'tempo'
+ WHEN loudness * 2 < -60 OR loudness * 2 > 5 THEN 'loudness' WHEN duration_ms NOT BETWEEN 1000 AND 7200000 THEN 'duration_ms' WHEN key NOT BETWEEN 0 AND 11 THEN 'key' END AS bad FROM tracks WHERE has_features""")
+def input_ranges(spark, d):
+    """The first feature of each track that lies outside the range allowed for ad-hoc input (tempo and loudness stretched)."""
+    f = tracks(spark, d).where("audio_features IS NOT NULL").select("id", "duration_ms", "audio_features.*")
+    named = f.select("id", F.col("Danceability").alias("danceability"), F.col("Energy").alias("energy"), (F.col("Tempo") - 100).alias("tempo"), (F.col("Loudness") * 2).alias("loudness"), "duration_ms", F.col("Key").alias("key"))
+    return named.select("id", dataset.first_out_of_range(["danceability", "energy", "tempo", "loudness", "duration_ms", "key"]).alias("bad"))
+
+
+@query("SELECT doc_id, left(text, 400) AS text FROM documents")
+def truncate_text(spark, d):
+    return table(spark, d, "documents").select("doc_id", truncated(F.col("text")).alias("text"))

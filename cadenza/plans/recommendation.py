@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.operators import cooccurrence as co
 from cadenza.operators import dataset, evaluation, ml, recommend, similarity
 from cadenza.plans.registry import query
 from cadenza.plans.views import DIMS, ITEMS_SQL, items, seeds, table, tracks
-from cadenza.sources import catalog_csv, rest
+from cadenza.sources import catalog_csv, rest, sinks
 
 P = f"WITH {ITEMS_SQL}"
 TOP = 10
@@ -57,7 +59,7 @@ def knn_cosine_topn(spark, d):
 @query(f"{P}, {ranked_sql()} SELECT seed_id, id, rank, score FROM r WHERE rank <= 100")
 def knn_diagnostic(spark, d):
     i = index(spark, d)
-    return similarity.neighbours(seeds(i), i, 100).select("seed_id", "id", "rank", "score")
+    return similarity.diagnostic(seeds(i), i, 1000).select("seed_id", "id", "rank", "score")
 
 
 @query(f"{P}, {ranked_sql(BOOSTED)} SELECT seed_id, id, rank, score, seed_genre IS NULL OR seed_imputed AS fell_back FROM r WHERE rank <= {TOP}")
@@ -122,7 +124,7 @@ def collapse_by_key(spark, d):
 def edges_of_seeds(spark, d):
     """Items as parts: co-occurrence of the parts with the seeds' numbers."""
     some = items(spark, d).where("id % 100 = 0").select(F.col("id").alias("seed"))
-    found = co.of_seeds(co.matrix(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item"))), some)
+    found = co.seed_edges(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")), some)
     return found.select(F.col("seed").alias("seed_id"), F.col("item").alias("id"), "co_count", "jaccard")
 
 
@@ -139,22 +141,75 @@ def blend(spark, d):
     return recommend.blend(content, edges_of_seeds(spark, d)).select("seed_id", "id", "score", "content", "jaccard", "co_count", "signal")
 
 
-@query()
+def greedy_sql(source: str) -> str:
+    """Groups of near-duplicates row by row, as a recursion over the ranks of each seed and round of ``source``."""
+    return f"""lists AS (SELECT seed_id, round, list(id ORDER BY rank) AS ids, list(rank ORDER BY rank) AS ranks, list(score ORDER BY rank) AS scores, list(key ORDER BY rank) AS keys, list(coalesce(popularity, -1) ORDER BY rank) AS pops,
+  list(coalesce(is_imputed, false) ORDER BY rank) AS imps, list(unit ORDER BY rank) AS units FROM {source} GROUP BY ALL),
+walk AS (SELECT seed_id, round, 0 AS k, []::INTEGER[] AS heads, []::BIGINT[] AS others, []::VARCHAR[] AS named, []::INTEGER[] AS homes FROM lists
+  UNION ALL SELECT seed_id, round, k + 1,
+    CASE WHEN g IS NULL THEN list_append(heads, k + 1) ELSE list_transform(heads, lambda h, i: CASE WHEN i = g AND (pops[k + 1] > pops[h] OR (pops[k + 1] = pops[h] AND (imps[k + 1] < imps[h] OR (imps[k + 1] = imps[h] AND ids[k + 1] < ids[h])))) THEN k + 1 ELSE h END) END,
+    CASE WHEN g IS NULL THEN list_append(others, 0) ELSE list_transform(others, lambda n, i: CASE WHEN i = g THEN n + 1 ELSE n END) END,
+    CASE WHEN keys[k + 1] IS NULL OR list_contains(named, keys[k + 1]) THEN named ELSE list_append(named, keys[k + 1]) END,
+    CASE WHEN keys[k + 1] IS NULL OR list_contains(named, keys[k + 1]) THEN homes ELSE list_append(homes, CAST(coalesce(g, len(heads) + 1) AS INTEGER)) END
+  FROM (SELECT walk.*, lists.* EXCLUDE (seed_id, round), coalesce(homes[nullif(list_position(named, keys[k + 1]), 0)], list_filter(range(1, len(heads) + 1), lambda i: list_cosine_similarity(units[k + 1], units[heads[i]]) >= 0.999)[1]) AS g
+    FROM walk JOIN lists USING (seed_id, round) WHERE k < len(ids) AND len(heads) < {TOP})),
+ended AS (SELECT seed_id, round, max(k) AS k FROM walk GROUP BY ALL),
+final AS (SELECT walk.*, lists.* EXCLUDE (seed_id, round) FROM walk JOIN ended USING (seed_id, round, k) JOIN lists USING (seed_id, round)),
+kept AS (SELECT seed_id, round, k, len(heads) AS found, unnest(range(1, len(heads) + 1)) AS position, unnest(list_transform(heads, lambda h: ids[h])) AS id, unnest(list_transform(heads, lambda h: ranks[h])) AS rank, unnest(list_transform(heads, lambda h: scores[h])) AS score, unnest(others) AS collapsed FROM final)"""
+
+
+WINDOWS = similarity.overfetch(TOP)
+#: Content alone needs one pass: a round's first rows are those of the next.
+ROUND_SQL = "CAST(CASE " + " ".join(f"WHEN kept.k <= {w} THEN {n}" for n, w in enumerate(WINDOWS, 1)) + " END AS BIGINT)"
+CONTENT_SQL = P.replace("WITH ", "WITH RECURSIVE ", 1) + f", {ranked_sql(BOOSTED)}, near AS (SELECT *, 1 AS round FROM r WHERE rank <= {WINDOW}), {greedy_sql('near')}"
+
+
+@query(f"{CONTENT_SQL} SELECT seed_id, id, rank, score, collapsed, position, {ROUND_SQL} AS round FROM kept")
 def collapse_greedy(spark, d):
     i = index(spark, d)
     return recommend.collapse(similarity.neighbours(seeds(i), i, WINDOW, "boost"), TOP)
 
 
-@query()
+def told(frame):
+    """The explanation and the warnings as text."""
+    return frame.withColumn("reasons", F.array_join(F.transform("reasons", lambda x: x["dimension"].cast("string")), ",")).withColumn("warnings", F.array_join("warnings", ","))
+
+
+WHY_SQL = """why AS (SELECT seed_id, id, string_agg(CAST(dimension AS VARCHAR), ',' ORDER BY n) AS reasons FROM (SELECT *, row_number() OVER (PARTITION BY seed_id, id ORDER BY share DESC, dimension) AS n FROM
+  (SELECT seed_id, id, x - 1 AS dimension, round(unit[x] * seed_unit[x] / sqrt(list_inner_product(unit, unit) * list_inner_product(seed_unit, seed_unit)), 9) AS share FROM (SELECT DISTINCT seed_id, id FROM kept) JOIN pairs USING (seed_id, id), range(1, 65) t(x))) WHERE n <= 3 GROUP BY ALL)"""
+
+
+def recommended_sql(signal: str, co_count: str, jaccard: str, rounds: str, source: str, missing: str) -> str:
+    near = f"(n.rank <= {WINDOW})"
+    return f"""SELECT seed_id, position, id, kept.score AS score, CASE WHEN {near} THEN n.cosine ELSE 0 END AS cosine, CASE WHEN {near} THEN round(n.score - n.cosine, 9) ELSE 0 END AS genre_boost, {signal} AS signal, {co_count} AS co_count, {jaccard} AS jaccard,
+ n.is_imputed AS is_imputed, CASE WHEN {near} AND n.genre = n.seed_genre THEN n.genre END AS shared_genre, collapsed, kept.rank AS rank, {rounds} AS round, CASE WHEN {near} THEN reasons ELSE '' END AS reasons,
+ concat_ws(',', CASE WHEN n.seed_imputed THEN 'seed_imputed' END, CASE WHEN n.seed_imputed OR n.seed_genre IS NULL THEN 'genre_fallback' END, {missing}, CASE WHEN bool_or(n.is_imputed) OVER (PARTITION BY seed_id) THEN 'imputed_items' END) AS warnings
+ FROM kept JOIN r n USING (seed_id, id) LEFT JOIN why USING (seed_id, id) {source}"""
+
+
+@query(f"{CONTENT_SQL}, {WHY_SQL} " + recommended_sql("CAST(NULL AS VARCHAR)", "CAST(0 AS BIGINT)", "0e0", ROUND_SQL, "", "CAST(NULL AS VARCHAR)"))
 def recommend_content(spark, d):
     i = index(spark, d)
-    return recommend.recommend(seeds(i), i, TOP)
+    return told(recommend.recommend(seeds(i), i, TOP))
 
 
-@query()
+EDGES_SQL = """b AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem), q AS (SELECT x.item AS seed_id, y.item AS id, count(*) AS co_count FROM b x JOIN b y ON x.basket = y.basket AND x.item <> y.item WHERE x.item IN (SELECT id FROM items WHERE id % 100 = 0) GROUP BY ALL HAVING count(*) >= 2),
+t AS (SELECT item, count(*) AS total FROM b GROUP BY 1), c AS (SELECT seed_id, id, co_count, round(co_count / (l.total + h.total - co_count), 9) AS jaccard FROM q JOIN t l ON l.item = seed_id JOIN t h ON h.item = id)"""
+BLEND_SQL = P.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {ranked_sql(BOOSTED)}, {EDGES_SQL}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY jaccard DESC, co_count DESC, id) AS place FROM c) WHERE place <= {WINDOW}),
+turns AS (SELECT * FROM (VALUES {', '.join(f'({n}, {w})' for n, w in enumerate(WINDOWS, 1))}) v(round, width)),
+w AS (SELECT turns.round, seed_id, id, score FROM r, turns WHERE rank <= width), cw AS (SELECT turns.round, seed_id, id, co_count, jaccard FROM best, turns WHERE place <= width), m AS (SELECT round, seed_id, min(score) AS lo, max(score) AS hi FROM w GROUP BY ALL),
+n AS (SELECT w.*, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS content FROM w JOIN m USING (round, seed_id)), has AS (SELECT DISTINCT seed_id, true AS blends FROM best),
+mixed AS (SELECT round, seed_id, id, coalesce(co_count, 0) AS co_count, coalesce(jaccard, 0) AS jaccard, CASE WHEN content IS NOT NULL AND jaccard IS NOT NULL THEN 'blended' WHEN jaccard IS NOT NULL THEN 'collaborative' END AS signal,
+  CASE WHEN blends THEN round(0.65 * coalesce(content, 0) + 0.35 * coalesce(jaccard, 0), 9) ELSE score END AS score FROM n FULL JOIN cw USING (round, seed_id, id) LEFT JOIN has USING (seed_id)),
+placed AS (SELECT mixed.*, row_number() OVER (PARTITION BY round, seed_id ORDER BY mixed.score DESC, jaccard DESC, mixed.id) AS rank, key, popularity, is_imputed, unit FROM mixed LEFT JOIN facts USING (id)), {greedy_sql('placed')},
+sizes AS (SELECT seed_id, greatest(a.n, coalesce(e.n, 0)) AS available FROM (SELECT seed_id, count(*) AS n FROM r WHERE rank <= {WINDOW} GROUP BY 1) a LEFT JOIN (SELECT seed_id, count(*) AS n FROM best GROUP BY 1) e USING (seed_id)),
+pick AS (SELECT f.seed_id, min(f.round) AS round FROM (SELECT seed_id, round, len(heads) AS found FROM final) f JOIN turns USING (round) JOIN sizes USING (seed_id) WHERE found >= {TOP} OR available <= width OR round = {len(WINDOWS)} GROUP BY 1)"""
+
+
+@query(f"{BLEND_SQL}, {WHY_SQL} " + recommended_sql("mixed.signal", "mixed.co_count", "mixed.jaccard", "CAST(kept.round AS BIGINT)", "JOIN pick USING (seed_id, round) JOIN mixed USING (seed_id, id, round) LEFT JOIN has USING (seed_id)", "CASE WHEN blends IS NULL THEN 'no_collaborative' END"))
 def recommend_blend(spark, d):
     i = index(spark, d)
-    return recommend.recommend(seeds(i), i, TOP, edges=edges_of_seeds(spark, d))
+    return told(recommend.recommend(seeds(i), i, TOP, edges=edges_of_seeds(spark, d)))
 
 
 @query("""WITH g AS (SELECT p_name AS key, count(*) AS n, count(*) FILTER (p_partkey % 7 = 0) AS i FROM part WHERE p_partkey % 17 <> 0 GROUP BY 1)
@@ -184,14 +239,41 @@ def eval_duplicates(spark, d):
     return evaluation.duplicates(asked, similarity.neighbours(seeds(i), i, 100).select("seed_id", "key", "rank", "cosine"), 100)
 
 
-@query()
+@query(f"{CONTENT_SQL}, e AS (SELECT seed_id, max({ROUND_SQL}) AS round, count(*) AS items FROM kept GROUP BY 1) SELECT round, items, count(*) AS seeds FROM e GROUP BY ALL")
 def eval_result_size(spark, d):
     return evaluation.list_sizes(recommend_content(spark, d))
 
 
+@query()
+def recommender_gate(spark, d):
+    """Which of the gate's thresholds the recommendations over the table miss. Works of three items stand for the large groups."""
+    i = index(spark, d)
+    plain, boosted = (similarity.neighbours(seeds(i), i, TOP, mode) for mode in ("off", "boost"))
+    asked = seeds(i).select(F.col("id").alias("seed_id"), F.when(~F.col("is_imputed"), F.col("genre")).alias("seed_genre"))
+    groups = seeds(i).join(i.groupBy("key").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0"), "key").select(F.col("id").alias("seed_id"), F.col("key").alias("seed_key"), "siblings")
+    lists = recommend.recommend(seeds(i), i, TOP)
+    named = lists.join(i.select("id", "key"), "id").select("seed_id", "key", "rank", "cosine")
+
+    def coherence(found):
+        return evaluation.coherence(asked, found.select("seed_id", "genre", "is_imputed")).first().asDict() | evaluation.self_hits(found).first().asDict()
+
+    missed = evaluation.judged(
+        evaluation.Measurement(coherence(plain), "sample", "off"),
+        evaluation.Measurement(coherence(boosted), "sample", "boost"),
+        evaluation.Measurement(evaluation.duplicates(groups, similarity.neighbours(seeds(i), i, 100).select("seed_id", "key", "rank", "cosine"), 100).first().asDict(), "sample", "off"),
+        evaluation.Measurement(evaluation.duplicates(groups, named, TOP).first().asDict(), evaluation.LEADERS, dedupe=True),
+        evaluation.Measurement(evaluation.sizes(lists, asked, TOP).first().asDict(), evaluation.MEMBERS),
+    )
+    return spark.createDataFrame([(name, name in missed) for name in evaluation.GATE], "threshold string, missed boolean")
+
+
 def shared_folder(spark, name: str) -> str:
     """Where driver and executors both reach: the checkpoint folder, or a temporary one in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cadenza-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -230,24 +312,69 @@ def src_csv_playlist(spark, d):
 
 @query("SELECT r AS id, 'item ' || r AS name FROM range(0, 1234) t(r)")
 def src_rest_pages(spark, d):
-    return rest.read_pages(spark, 1234)
+    return rest.read_pages(spark, total=1234)
+
+
+def offline_lookup(ids: list) -> rest.Answer:
+    """A look-up service that needs no network; it doesn't know every seventh id."""
+    return 200, {}, [{"id": k, "name": f"artist {k}"} if k % 7 else None for k in ids]
+
+
+@query("SELECT s_suppkey AS id, 'artist ' || s_suppkey AS name FROM supplier WHERE s_suppkey % 7 <> 0")
+def src_rest_lookup(spark, d):
+    ids = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    return rest.look_up(ids.unionByName(ids), "id", offline_lookup, StructType().add("id", "long").add("name", "string"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0")
+def sink_rebuild(spark, d):
+    """A table written twice: the second time replaces the first."""
+    path = shared_folder(spark, "rebuilt")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    sinks.rebuild(rows, path)
+    sinks.rebuild(rows.where("id % 2 = 0"), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT * FROM (VALUES ('base'), ('base+A'), ('base+B'), ('base+A+B')) v(features)")
+def feature_sets(spark, d):
+    return spark.createDataFrame([("+".join(("base", *s)),) for s in dataset.block_sets(list(ml.BLOCKS))], "features string")
+
+
+def training(spark, d):
+    """Complete measured tracks with all columns that the models' blocks need."""
+    flat = tracks(spark, d).select("id", F.col("popularity").cast("double").alias("popularity"), F.col("duration_ms").cast("double").alias("duration_ms"), (F.col("id") % 3 == 0).cast("double").alias("explicit"), "audio_features.*")
+    named = flat.withColumnsRenamed({c: c.lower() for c in flat.columns} | {"TimeSignature": "time_signature", "IsImputed": "is_imputed"})
+    complete = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ml.BASE))
+    kept = named.where(complete & ~F.coalesce("is_imputed", F.lit(False)))
+    return kept.withColumn("mode", F.col("mode").cast("double")).withColumn("test", dataset.is_test(F.col("id").cast("string")))
+
+
+@query()
+def model_champion(spark, d):
+    """The base and all combinations of blocks, fitted and measured, and the elected one."""
+    rows = training(spark, d)
+    found = ml.elected(rows.where("NOT test"), rows.where("test"), "popularity", trees=3)
+    return spark.createDataFrame([(x["features"], x["mae"], x["approved"], x["champion"]) for x in found], "features string, mae double, approved boolean, champion boolean")
 
 
 def learnable(spark, d):
     rows = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size"), "l_partkey")
     return rows.groupBy("l_partkey").agg(F.first("p_type").alias("genre"), F.first("p_size").cast("double").alias("size"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_extendedprice").alias("popularity")).select(
-        "l_partkey", "genre", "size", "quantity", "discount", (F.col("popularity") / 1000).alias("popularity")
+        "l_partkey", "genre", "size", "quantity", "discount", (F.col("popularity") / 1000).alias("popularity"), (F.col("l_partkey") % 7 == 0).alias("is_imputed"), dataset.is_test(F.col("l_partkey").cast("string")).alias("test")
     )
 
 
+NUMERIC = ["size", "quantity", "discount"]
+
+
 @query()
 def model_gate(spark, d):
     """Trees, linear and mean baseline on the seeded split, with the gate's decision."""
-    rows = learnable(spark, d).withColumn("test", dataset.is_test(F.col("l_partkey").cast("string"))).persist()
+    rows = learnable(spark, d)
     train, test = rows.where("NOT test"), rows.where("test")
     baseline = dataset.mean_baseline(train, test, "popularity").withColumn("model", F.lit("mean"))
-    numeric = ["size", "quantity", "discount"]
-    found = {"trees": ml.pipeline(numeric, ["genre"], "popularity", trees=10), "linear": ml.pipeline(numeric, ["genre"], "popularity", linear=True)}
+    found = {"trees": ml.pipeline(NUMERIC, ["genre"], "popularity", trees=10), "linear": ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True)}
     out = baseline
     for name, pipeline in found.items():
         out = out.unionByName(dataset.regression_metrics(pipeline.fit(train).transform(test), "popularity", "prediction").withColumn("model", F.lit(name)))
@@ -257,24 +384,21 @@ def model_gate(spark, d):
 
 @query()
 def model_importance(spark, d):
-    """Rise of the error when a column's values change places, five times each."""
-    rows = learnable(spark, d).withColumn("test", dataset.is_test(F.col("l_partkey").cast("string"))).persist()
-    numeric = ["size", "quantity", "discount"]
-    model = ml.pipeline(numeric, [], "popularity", linear=True).fit(rows.where("NOT test"))
-    found = ml.permutation_importance(model, rows.where("test"), numeric, "popularity", "l_partkey")
-    return spark.createDataFrame([(c, round(x, 6)) for c, x in found], "feature string, mae_rise double")
+    """Loss of R² and rise of the error when a column's values change places, five times each, rolled up by feature."""
+    rows = learnable(spark, d)
+    model = ml.pipeline(NUMERIC, [], "popularity", linear=True).fit(rows.where("NOT test"))
+    return dataset.importance_rollup(ml.permutation_importance(model, rows.where("test"), NUMERIC, "popularity", "l_partkey"))
 
 
 @query()
 def model_cross_validation(spark, d):
-    rows = learnable(spark, d).persist()
-    mean, deviation = ml.cross_validated(rows, lambda: ml.pipeline(["size", "quantity", "discount"], ["genre"], "popularity", linear=True), "popularity", "l_partkey")
+    mean, deviation = ml.cross_validated(learnable(spark, d), lambda: ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True), "popularity", "l_partkey")
     return spark.createDataFrame([(5, round(mean, 6), round(deviation, 6))], "folds int, r2_mean double, r2_deviation double")
 
 
 @query()
 def model_scoring(spark, d):
-    """Every row scored by trees, clamped to 0..100."""
-    rows = learnable(spark, d).persist()
-    model = ml.pipeline(["size", "quantity", "discount"], ["genre"], "popularity", trees=5).fit(rows)
-    return ml.scored(model, rows).select("l_partkey", F.round("prediction", 6).alias("prediction"), "clamped")
+    """Every row scored by trees, held to 0..100, with its warnings."""
+    rows = learnable(spark, d)
+    model = ml.pipeline(NUMERIC, ["genre"], "popularity", trees=5).fit(rows)
+    return ml.scored(model, rows).select("l_partkey", F.round("prediction", 6).alias("prediction"), "clamped", F.array_join("warnings", ",").alias("warnings"))

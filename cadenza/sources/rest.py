@@ -1,18 +1,30 @@
-"""Paged and batched REST sources. The transport is a callable, so that readers run without a network."""
+"""Paged and batched REST sources.
+
+The transport is a callable that answers ``(status, headers, body)``, so that readers run without a network and every
+status reaches the retry rule.
+"""
 
 from __future__ import annotations
 
+import importlib
 import time
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 RETRIED = {429, 500, 502, 503, 504}
 LONGEST_WAIT = 30.0
+#: Most ids in one look-up.
+ARTIST_BATCH, ALBUM_BATCH = 50, 20
+
+Answer = tuple[int, dict, object]
 
 
-def with_retry(call: Callable[[], tuple[int, dict, object]], attempts: int = 5, first_wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> object:
+def with_retry(call: Callable[[], Answer], attempts: int = 5, first_wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> object:
     """The body of the first good answer; waits double, and ``Retry-After`` is obeyed, up to a bound."""
     for k in range(attempts):
         status, headers, body = call()
@@ -25,11 +37,11 @@ def with_retry(call: Callable[[], tuple[int, dict, object]], attempts: int = 5,
     raise RuntimeError("no attempt was allowed")
 
 
-def all_pages(fetch: Callable[[int, int], dict], size: int = 50) -> Iterator[dict]:
-    """Items page by page until the total is reached or a page is empty."""
+def all_pages(fetch: Callable[[int, int], Answer], size: int = 50, **retry) -> Iterator[dict]:
+    """Items page by page until the body's total is reached or a page is empty; null items are dropped."""
     offset = 0
     while True:
-        page = fetch(offset, size)
+        page = with_retry(lambda: fetch(offset, size), **retry)
         items = page.get("items") or []
         yield from (x for x in items if x is not None)
         offset += len(items)
@@ -37,16 +49,57 @@ def all_pages(fetch: Callable[[int, int], dict], size: int = 50) -> Iterator[dic
             return
 
 
-def in_batches(ids: list[str], fetch: Callable[[list[str]], list[dict | None]], size: int) -> Iterator[dict]:
+def in_batches(ids: list, fetch: Callable[[list], Answer], size: int, **retry) -> Iterator[dict]:
     """Look-ups of many ids; items that the service doesn't know are dropped."""
     for a in range(0, len(ids), size):
-        yield from (x for x in fetch(ids[a : a + size]) if x is not None)
+        yield from (x for x in with_retry(lambda a=a: fetch(ids[a : a + size]), **retry) if x is not None)
+
+
+def look_up(ids: DataFrame, key: str, transport: Callable[[list], Answer], schema: StructType, size: int = ARTIST_BATCH) -> DataFrame:
+    """The items of all distinct ids of a column, asked for in batches by the tasks that hold them; null ids ask nothing."""
+    names = schema.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted: list = []
+        arrow = _arrow_schema(schema)
+
+        def asked(part: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{n: x.get(n) for n in names} for x in in_batches(part, transport, size)], arrow)
+
+        for batch in batches:
+            wanted += batch.column(0).to_pylist()
+            while len(wanted) >= size:
+                yield asked(wanted[:size])
+                wanted = wanted[size:]
+        if wanted:
+            yield asked(wanted)
+
+    return ids.select(key).where(F.col(key).isNotNull()).distinct().mapInArrow(run, schema)
+
+
+def _arrow_schema(schema: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def offline(offset: int, size: int, options: dict) -> Answer:
+    """A service of ``total`` numbered items that needs no network."""
+    total = int(options.get("total", 100))
+    return 200, {}, {"total": total, "items": [{"id": k, "name": f"item {k}"} for k in range(offset, min(offset + size, total))]}
+
+
+def _named(transport: str) -> Callable[..., Answer]:
+    module, _, name = transport.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("cadenza_pages")``: rows 0..total-1 of a service, a task for each range of pages.
+    """``spark.read.format("cadenza_pages")``: the items of a paged service, a task for each range of pages.
 
-    Without a ``transport`` option (module:function, called with offset and size) an offline service answers.
+    Options: ``transport`` (module:function of offset, size and the options; ``offline`` where left out), ``size`` of a
+    page, ``tasks``, ``first_wait`` of the retry rule, and those of the transport. The first page's body says how many
+    items there are; a task stops at its first empty page. Fields are taken by name from the schema given to the reader.
     """
 
     @classmethod
@@ -56,35 +109,33 @@ class PagedSource(DataSource):
     def schema(self) -> str:
         return "id long, name string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _PagedReader(self.options)
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _PagedReader(schema.fieldNames(), dict(self.options))
 
 
 class _PagedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.total, self.size, self.tasks = int(options.get("total", 100)), int(options.get("size", 50)), int(options.get("tasks", 4))
-        self.transport = options.get("transport")
+    def __init__(self, names: list[str], options: dict):
+        self.names, self.options = names, options
+        self.size, self.tasks = int(options.get("size", 50)), int(options.get("tasks", 4))
+
+    def _page(self, number: int) -> dict:
+        fetch = _named(self.options.get("transport", "cadenza.sources.rest:offline"))
+        return with_retry(lambda: fetch(number * self.size, self.size, self.options), first_wait=float(self.options.get("first_wait", 0.5)))
 
     def partitions(self) -> list[InputPartition]:
-        count = -(-self.total // self.size)
+        count = -(-int(self._page(0).get("total", 0)) // self.size)
         return [InputPartition((k, count)) for k in range(min(self.tasks, max(count, 1)))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import importlib
-
-        fetch = self._offline
-        if self.transport:
-            module, _, name = self.transport.partition(":")
-            fetch = getattr(importlib.import_module(module), name)
         first, count = partition.value
-        for page in range(first, count, self.tasks):
-            body = with_retry(lambda page=page: (200, {}, fetch(page * self.size, self.size)))
-            yield from ((x["id"], x["name"]) for x in body["items"] if x is not None)
-
-    def _offline(self, offset: int, size: int) -> dict:
-        return {"total": self.total, "items": [{"id": k, "name": f"item {k}"} for k in range(offset, min(offset + size, self.total))]}
+        for number in range(first, count, self.tasks):
+            items = self._page(number).get("items") or []
+            if not items:
+                return
+            yield from (tuple(x.get(n) for n in self.names) for x in items if x is not None)
 
 
-def read_pages(spark: SparkSession, total: int, size: int = 50, tasks: int = 4) -> DataFrame:
+def read_pages(spark: SparkSession, schema: str | None = None, **options: object) -> DataFrame:
     spark.dataSource.register(PagedSource)
-    return spark.read.format("cadenza_pages").options(total=total, size=size, tasks=tasks).load()
+    reader = spark.read.format("cadenza_pages").options(**options)
+    return (reader.schema(schema) if schema else reader).load()

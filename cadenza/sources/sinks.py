@@ -1,13 +1,17 @@
-"""Writing: idempotent appends, rebuilds, model artifacts."""
+"""Writing: idempotent appends, rebuilds, model versions."""
 
 from __future__ import annotations
 
-import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.operators.dataset import promoted
+
+VERSIONS = "version string, sequence long, digest string, size_bytes long, mae double, baseline_mae double, metrics string"
+
 
 def only_new(fresh: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Rows whose key the target lacks, one for each key (the least row by all columns)."""
@@ -16,26 +20,67 @@ def only_new(fresh: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return one_each.join(target.select(key), key, "left_anti").select(*fresh.columns)
 
 
-def append_new(fresh: DataFrame, path: str, key: str) -> None:
-    """Safe to repeat: rows that are there already are not written again."""
-    spark = fresh.sparkSession
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at a path, an empty one where nothing has been written yet."""
     try:
-        target = spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        target = fresh.limit(0)
-    only_new(fresh, target, key).write.mode("append").parquet(path)
+        return spark.createDataFrame([], schema)
+
+
+def append_new(fresh: DataFrame, path: str, key: str) -> None:
+    """Safe to repeat: rows that are there already are not written again."""
+    only_new(fresh, read_or_empty(fresh.sparkSession, path, fresh.schema), key).write.mode("append").parquet(path)
 
 
 def rebuild(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def save_model(spark, model, path: str, metrics: dict[str, float]) -> str:
-    """The model, and beside it its description; returns the description's SHA-256."""
-    model.write().overwrite().save(f"{path}/model")
-    description = json.dumps({"metrics": metrics, "stages": [type(s).__name__ for s in model.stages]}, sort_keys=True)
-    digest = hashlib.sha256(description.encode()).hexdigest()
-    spark.createDataFrame([(digest, description)], "digest string, description string").write.mode("overwrite").json(f"{path}/description")
-    return digest
+def artifact(spark: SparkSession, folder: str) -> tuple[str, int]:
+    """SHA-256 over the digests of all files of a folder, and their bytes together; contents stay on the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    digests = F.array_sort(F.collect_list(F.sha2("content", 256)))  # a model is a few dozen files
+    row = files.agg(F.sha2(F.array_join(digests, ","), 256).alias("digest"), F.sum("length").cast("long").alias("size")).first()
+    return row["digest"], row["size"]
+
+
+def versions(spark: SparkSession, path: str) -> DataFrame:
+    """All saved versions of a model, and which of them is current (the one promoted last)."""
+    saved = read_or_empty(spark, f"{path}/versions", VERSIONS)
+    raised = read_or_empty(spark, f"{path}/promotions", "version string, at long")
+    last = raised.agg(F.max(F.struct("at", "version"))["version"].alias("last"))
+    return saved.crossJoin(F.broadcast(last)).withColumn("is_current", F.coalesce(F.col("version") == F.col("last"), F.lit(False))).drop("last")
+
+
+def current(spark: SparkSession, path: str):
+    return versions(spark, path).where("is_current").first()
+
+
+def save_model(spark: SparkSession, model, path: str, metrics: dict[str, float], baseline_mae: float | None = None) -> str:
+    """A new version of a model: its files, their digest and size, its metrics. Returns the version's name."""
+    version = uuid.uuid4().hex
+    model.write().save(f"{path}/artifacts/{version}")
+    digest, size = artifact(spark, f"{path}/artifacts/{version}")
+    count = versions(spark, path).count()
+    row = (version, count + 1, digest, size, metrics.get("mae"), baseline_mae, json.dumps(metrics, sort_keys=True))
+    spark.createDataFrame([row], VERSIONS).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def promote(spark: SparkSession, path: str, version: str) -> bool:
+    """Makes a version the current one if it passes the gate and is not worse than the present one; says whether it did.
+
+    One appended row both lowers the present version and raises the new one, so there is never none or more than one.
+    """
+    known = versions(spark, path).where(F.col("version") == version).first()
+    if known is None:
+        raise ValueError(f"no version {version}")
+    present = current(spark, path)
+    if known["mae"] is None or known["baseline_mae"] is None or not promoted(known["mae"], known["baseline_mae"], present["mae"] if present else None):
+        return False
+    at = read_or_empty(spark, f"{path}/promotions", "version string, at long").count() + 1
+    spark.createDataFrame([(version, at)], "version string, at long").write.mode("append").parquet(f"{path}/promotions")
+    return True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 BATCH, MOST_ATTEMPTS = 50, 5
+#: Seconds between the ticks of the log's dispatch, of the enrichment and of the ingestion.
+INTERVALS = {"dispatch": 5, "enrichment": 6 * 3600, "ingestion": 3600}
+
+log_of_jobs = logging.getLogger("cadenza.jobs")
 
 
 def due(log: DataFrame, batch: int = BATCH) -> DataFrame:
@@ -24,11 +30,27 @@ def after_tick(log: DataFrame, outcome: DataFrame, now: str, batch: int = BATCH,
     return tried.select("id", "occurred_at", F.when(ok, at).alias("processed_at"), attempts.alias("attempts"), F.when(~ok & (attempts >= most_attempts), at).alias("dead_lettered_at"))
 
 
-def dispatch(spark: SparkSession, source: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+def dispatch(spark: SparkSession, source: str, schema: str, handle: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, seconds: int = INTERVALS["dispatch"]) -> StreamingQuery:
     """New files of the log go to ``handle`` batch by batch; a failed batch is tried again from the checkpoint."""
     stream = spark.readStream.schema(schema).parquet(source)
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def timed(name: str, tick: Callable[[], object], seconds: float, stop: threading.Event) -> int:
+    """Runs a tick at once and then after each interval until ``stop`` is set; a failed tick is logged and not fatal.
+
+    Returns how many ticks failed.
+    """
+    failed = 0
+    while not stop.is_set():
+        try:
+            tick()
+        except Exception:  # noqa: BLE001
+            failed += 1
+            log_of_jobs.exception("a tick of %s failed", name)
+        stop.wait(seconds)
+    return failed
 
 
 def ingest_counters(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:

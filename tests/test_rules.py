@@ -1,14 +1,19 @@
 """Golden rows, edges and invariants of the catalogue's rules."""
 
+import hashlib
 import struct
+import threading
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.functions import numeric, text
-from cadenza.operators import dataset, evaluation, insights, matching, paging, recommend, similarity
+from cadenza.operators import cooccurrence, dataset, evaluation, insights, matching, paging, recommend, similarity
 from cadenza.sources import catalog_csv, rest, sinks
 from cadenza.streaming import outbox
 
@@ -152,15 +157,45 @@ def test_gates():
     assert approved == ["B"]
     maes = {(): 15.168, ("A",): 15.1862, ("B",): 11.5396, ("A", "B"): 11.5076}
     assert set(dataset.block_sets(["A", "B"])) == set(maes) and dataset.champion(maes, approved) == ("B",)
-    good = {"coherence": 0.5, "lift": 4.0, "saturation_most": 0.3, "recall": 0.6, "hit_rate": 0.7, "sibling_cosine": 0.99, "self_hits_most": 0, "short_most": 0, "redundant_most": 0}
+    good = {"coherence": 0.5, "lift": 4.0, "saturation_most": 0.3, "recall": 0.6, "hit_rate": 0.7, "sibling_cosine": 0.99, "self_hits_most": 0, "short_most": 0, "redundant_most": 0, "single_most": 0}
     assert evaluation.gate(good) == [] and evaluation.gate(good | {"lift": 1.0}) == ["lift"]
     with pytest.raises(ValueError):
         evaluation.gate({})
     with pytest.raises(ValueError):
         dataset.checked_input("a", {"energy": 1})
+    whole = {n: (low + top) / 2 for n, (low, top) in dataset.RANGES.items() if n not in dataset.DEFAULTS}
+    given = dataset.checked_input(features=whole)[1]
+    assert given == whole | {"key": 0, "mode": 0, "time_signature": 4, "explicit": False, "genre": None}
+    for bad in ({"energy": 1.2}, {"energi": 0.5}, {"tempo": None}, {"key": 12}):
+        with pytest.raises(ValueError):
+            dataset.checked_input(features=whole | bad)
     with pytest.raises(ValueError):
-        dataset.checked_input(features={"energy": 1.2})
-    assert dataset.checked_input(features={"tempo": 120})[1] == {"tempo": 120}
+        dataset.checked_input(features={"tempo": 120})
+
+
+def test_gate_refuses_what_does_not_fit():
+    m = evaluation.Measurement
+    good = {"mean": 0.5, "saturation": 0.1, "self_hits": 0, "recall": 0.6, "hit_rate": 0.7, "sibling_cosine": 0.99, "redundant": 0, "seeds_evaluated": 9, "short": 0.0, "single": 0}
+    parts = {
+        "plain": m(good | {"mean": 0.2}, "sample", "off"), "boosted": m(good, "sample"), "engine": m(good, "sample", "off"),
+        "deduped": m(good, evaluation.LEADERS, dedupe=True), "lengths": m(good, evaluation.MEMBERS),
+    }
+    assert evaluation.judged(**parts) == []
+    assert evaluation.judged(**parts | {"plain": m(good, "sample", "off")}) == ["lift"]
+    assert evaluation.judged(**parts | {"plain": m(good | {"mean": 0}, "sample", "off"), "lengths": m(good | {"single": 1, "short": 0.06}, evaluation.MEMBERS)}) == ["short_most", "single_most"]
+    for odd in (
+        {"boosted": m(good, "sample", strategy="blend")}, {"plain": m(good, "sample", "off", dedupe=True)}, {"plain": m(good, None, "off")}, {"plain": m(good, "other", "off")}, {"engine": m(good, "sample", "off", dedupe=True)},
+        {"deduped": m(good, evaluation.LEADERS)}, {"deduped": m(good, "sample", dedupe=True)}, {"deduped": m(good | {"seeds_evaluated": 0}, evaluation.LEADERS, dedupe=True)}, {"lengths": m(good, evaluation.MEMBERS, top_n=5)}, {"lengths": m(good, "sample")},
+    ):
+        with pytest.raises(ValueError):
+            evaluation.judged(**parts | odd)
+
+
+def test_list_sizes_of_a_population(spark):
+    seeds = spark.createDataFrame([(k,) for k in range(4)], "seed_id long")
+    lists = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (2, 2)], "seed_id long, id long")
+    row = evaluation.sizes(lists, seeds, 2).first()
+    assert (row.seeds_evaluated, row.short, row.single) == (4, 0.75, 2) and evaluation.self_hits(lists).first().self_hits == 2
 
 
 def test_match_chain_order_of_rules(spark):
@@ -195,8 +230,60 @@ def test_retry_waits_and_gives_up():
     assert rest.with_retry(lambda: answers.pop(0), sleep=waits.append) == "ok" and waits == [2.0, 1.0]
     with pytest.raises(RuntimeError):
         rest.with_retry(lambda: (404, {}, None), sleep=waits.append)
-    assert list(rest.all_pages(lambda o, n: {"total": 3, "items": [o, None] if o < 3 else []}, 2)) == [0, 2]
-    assert list(rest.in_batches(["a", "b", "c"], lambda ids: [x if x != "b" else None for x in ids], 2)) == ["a", "c"]
+    assert list(rest.all_pages(lambda o, n: (200, {}, {"total": 3, "items": [o, None] if o < 3 else []}), 2)) == [0, 2]
+    busy = [(429, {}, None), (200, {}, {"total": 9, "items": [1]}), (200, {}, {"total": 9, "items": []})]
+    assert list(rest.all_pages(lambda o, n: busy.pop(0), sleep=waits.append)) == [1]  # an empty page ends it before the total
+    asked = []
+    assert list(rest.in_batches(["a", "b", "c"], lambda ids: asked.append(ids) or (200, {}, [x if x != "b" else None for x in ids]), 2)) == ["a", "c"] and asked == [["a", "b"], ["c"]]
+
+
+def flaky(offset, size, options):
+    """Every page is refused once, so its reader has to ask again; the last page is empty though the total says more."""
+    import pathlib
+
+    seen = pathlib.Path(options["folder"], f"{offset}")
+    if not seen.exists():
+        seen.touch()
+        return 503, {"Retry-After": "0"}, None
+    return 200, {}, {"total": 12, "items": [{"id": k, "name": f"n{k}", "more": k * 2} if k != 5 else None for k in range(offset, min(offset + size, 10))]}
+
+
+def test_paged_source_retries_and_reads_the_body(spark, tmp_path):
+    options = {"transport": "tests.test_rules:flaky", "size": 2, "tasks": 3, "folder": str(tmp_path)}
+    got = rest.read_pages(spark, "id long, more long", **options).collect()
+    assert sorted((r.id, r.more) for r in got) == [(k, 2 * k) for k in range(10) if k != 5]
+    gone = rest.read_pages(spark, transport="tests.test_rules:missing")
+    with pytest.raises(Exception, match="404"):
+        gone.collect()
+
+
+def missing(offset, size, options):
+    return 404, {}, None
+
+
+def test_look_up_in_batches(spark):
+    ids = spark.createDataFrame([(k % 30,) for k in range(90)] + [(None,)], "k long")
+
+    def service(part):
+        assert len(part) <= 7
+        return 200, {}, [{"id": k, "extra": 1} if k % 3 else None for k in part]
+
+    found = rest.look_up(ids, "k", service, StructType().add("id", "long"), size=7).collect()
+    assert sorted(r.id for r in found) == [k for k in range(30) if k % 3]
+    assert rest.look_up(ids.where("false"), "k", service, StructType().add("id", "long")).collect() == []
+
+
+def test_failing_ticks_are_not_fatal():
+    stop, ran = threading.Event(), []
+
+    def tick():
+        ran.append(1)
+        if len(ran) == 3:
+            stop.set()
+        if len(ran) < 3:
+            raise RuntimeError("down")
+
+    assert outbox.timed("test", tick, 0.01, stop) == 2 and len(ran) == 3
 
 
 def test_append_is_idempotent(spark, tmp_path):
@@ -246,11 +333,115 @@ def test_jobs_from_files_to_cooccurrence(spark, tmp_path):
     assert [(e.low, e.high, e.co_count, e.jaccard) for e in edges] == [("t1", "t2", 3, 1.0)]
 
 
-def test_model_artifact(spark, tmp_path):
+def test_model_versions(spark, tmp_path):
     from cadenza.operators import ml
 
+    path = f"file://{tmp_path}/m"
     rows = spark.range(60).select("id", (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 7 * 3 + 1).cast("double").alias("y"))
     model = ml.pipeline(["x"], [], "y", linear=True).fit(rows)
-    digest = sinks.save_model(spark, model, f"file://{tmp_path}/m", {"mae": 0.5})
-    assert spark.read.json(f"file://{tmp_path}/m/description").first().digest == digest
+    assert sinks.current(spark, path) is None
+    first = sinks.save_model(spark, model, path, {"mae": 0.5}, baseline_mae=1.0)
+    other = sinks.save_model(spark, ml.pipeline(["x"], [], "y", trees=1).fit(rows), path, {"mae": 0.6}, baseline_mae=1.0)
+    third = sinks.save_model(spark, model, path, {"mae": 0.4}, baseline_mae=0.41)
+    rows_of = {r.version: r for r in sinks.versions(spark, path).collect()}
+    assert [rows_of[v].sequence for v in (first, other, third)] == [1, 2, 3] and rows_of[first].digest != rows_of[other].digest
+    files = sorted(hashlib.sha256(f.read_bytes()).hexdigest() for f in (tmp_path / "m/artifacts" / first).rglob("*") if f.is_file() and not f.name.startswith((".", "_")))
+    assert rows_of[first].digest == hashlib.sha256(",".join(files).encode()).hexdigest()
+    assert sinks.promote(spark, path, first) and sinks.current(spark, path).version == first
+    assert not sinks.promote(spark, path, other)  # worse than the present one
+    assert not sinks.promote(spark, path, third)  # hardly better than its baseline
+    assert [r.version for r in sinks.versions(spark, path).where("is_current").collect()] == [first]
+    with pytest.raises(ValueError):
+        sinks.promote(spark, path, "none")
     assert dataset.regression_metrics(ml.scored(model, rows), "y", "prediction").first().mae < 0.01
+
+
+def test_scoring_warns(spark):
+    from cadenza.operators import ml
+
+    rows = spark.range(60).select("id", F.col("id").cast("double").alias("x"), (F.col("id") * 3.0 - 20).alias("y"), F.when(F.col("id") != 5, F.col("id") % 2 == 1).alias("is_imputed"))
+    got = {r.id: r for r in ml.scored(ml.pipeline(["x"], [], "y", linear=True).fit(rows), rows).collect()}
+    assert got[10].warnings == [] and got[11].warnings == ["imputed_features"] and got[5].warnings == ["clamped_output"] and got[59].warnings == ["imputed_features", "clamped_output"]
+    assert got[0].prediction == 0 and got[0].raw_score == pytest.approx(-20, abs=1e-6) and got[10].prediction == pytest.approx(10, abs=1e-6)
+
+
+def test_linear_model_and_importance_equal_least_squares(spark):
+    from cadenza.operators import ml
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    y = 3 * x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=400) * 0.1
+    rows = spark.createDataFrame([(k, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, y double")
+    model = ml.pipeline(["a", "b"], [], "y", linear=True).fit(rows)
+    full = np.column_stack([x, np.ones(400)])
+    fitted = full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    mine = np.array([r.prediction for r in model.transform(rows).orderBy("id").collect()])
+    assert np.abs(mine - fitted).max() < 1e-6
+    found = {r.feature: r for r in dataset.importance_rollup(ml.permutation_importance(model, rows, ["a", "b"], "y", "id", buckets=1)).collect()}
+    # a column in another order adds twice its coefficient's share of variance to the squared error
+    for name, share in (("a", 9 * x[:, 0].var()), ("b", 0.25 * x[:, 1].var())):
+        assert found[name].r2_drop == pytest.approx(2 * share / y.var(), rel=0.15) and found[name].r2_sd > 0 and found[name].mae_rise > 0
+    mean, deviation = ml.cross_validated(rows, lambda: ml.pipeline(["a", "b"], [], "y", linear=True), "y", "id")
+    assert mean > 0.99 and 0 < deviation < 0.01
+
+
+def test_blocks_are_elected(spark):
+    from cadenza.operators import ml
+
+    rng = np.random.default_rng(5)
+    names = [*ml.BASE, "mode", "key", "time_signature", "genre", "popularity", "id"]
+    made = [(*map(float, rng.random(len(ml.BASE))), float(k % 2), k % 12, k % 3 + 3, ("rock", "pop", None)[k % 3], float(20 + 30 * (k % 3) + rng.normal()), k) for k in range(300)]
+    rows = spark.createDataFrame(made, ", ".join([*(f"{c} double" for c in names[:12]), "key int, time_signature int, genre string, popularity double, id long"]))
+    found = {r["features"]: r for r in ml.elected(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), "popularity", trees=2)}
+    assert set(found) == {"base", "base+A", "base+B", "base+A+B"} and found["base+B"]["approved"]
+    assert found["base+B"]["mae"] < 0.5 * found["base"]["mae"] and found["base"]["champion"] is False and sum(r["champion"] for r in found.values()) == 1
+
+
+def test_repeated_ids_and_clamps(spark):
+    index = small_index(spark)
+    twice = index.withColumn("at", F.lit(1)).unionByName(index.where("id = 0").withColumn("popularity", F.lit(99).cast("long")).withColumn("at", F.lit(2)))
+    assert [r.popularity for r in similarity.looked_up(twice, spark.createDataFrame([(0,), (0,)], "id long"), "at").collect()] == [99]
+    seed = index.where("id = 0")
+    assert [similarity.diagnostic(seed, index, n).count() for n in (0, 2, 1000)] == [1, 2, 3]
+
+
+def test_blocks_of_seeds_and_index_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.integers(0, 3, 3).astype(float).tolist(), "ab"[k % 2] if k % 7 else None, k % 5 == 0, k, "k") for k in range(150)]
+    items = spark.createDataFrame(rows, "id long, vector array<double>, genre string, is_imputed boolean, popularity long, key string")
+    index = similarity.index_of(items, "vector", 3)
+    for mode in similarity.MODES:
+        ranked = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("score"), F.asc("id")))
+        plain = sorted(map(tuple, similarity.scored(index, index, mode).withColumn("rank", ranked).where("rank <= 8").select("seed_id", "id", "rank", "score", "cosine", "fell_back").collect()))
+        for seeds, cells in ((10_000, 4_000_000), (40, 400)):
+            monkeypatch.setattr(similarity, "MOST_SEEDS", seeds)
+            monkeypatch.setattr(similarity, "CELLS", cells)
+            assert sorted(map(tuple, similarity.neighbours(index, index, 8, mode).select("seed_id", "id", "rank", "score", "cosine", "fell_back").collect())) == plain
+
+
+def test_large_baskets_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(int(b), int(i)) for b in range(12) for i in rng.choice(60, 5 + 4 * b)], "basket long, item long")
+    whole = sorted(map(tuple, cooccurrence.matrix(rows).collect()))
+    seeds = spark.createDataFrame([(3,), (4,), (999,)], "seed long")
+    assert sorted(map(tuple, cooccurrence.seed_edges(rows, seeds).collect())) == sorted(map(tuple, cooccurrence.of_seeds(cooccurrence.matrix(rows), seeds).collect()))
+    monkeypatch.setattr(cooccurrence, "PART", 6)
+    assert sorted(map(tuple, cooccurrence.matrix(rows).collect())) == whole and whole
+
+
+def test_recommendation_explains_and_warns(spark):
+    rows = [(0, [1.0, 0.2, 0.0], "rock", True, 10, "a"), (1, [0.9, 0.2, 0.0], "rock", False, 20, "b"), (2, [0.9, 0.2, 0.01], "rock", True, 30, "b"), (3, [0.0, 1.0, 0.3], "jazz", False, 5, "c"), (4, [0.1, 0.1, 1.0], None, False, 5, "d")]
+    index = similarity.index_of(spark.createDataFrame(rows, "id long, vector array<double>, genre string, is_imputed boolean, popularity long, key string"), "vector", 3)
+    seeds = index.where("id IN (0, 1, 4)")
+    edges = spark.createDataFrame([(1, 3, 4, 0.9), (1, 77, 2, 0.5)], "seed_id long, id long, co_count long, jaccard double")
+    got = {}
+    for r in recommend.recommend(seeds, index, 3, edges=edges).collect():
+        got.setdefault(r.seed_id, {})[r.id] = r
+    assert got[0][2].warnings == ["seed_imputed", "genre_fallback", "no_collaborative", "imputed_items"] and got[0][2].collapsed == 1
+    assert got[1][3].signal == "blended" and got[1][3].co_count == 4 and len(got[1][3].reasons) == 3
+    unheard = {r.id: r for r in recommend.recommend(seeds, index, 5, edges=edges).where("seed_id = 1").collect()}[77]
+    assert (unheard.signal, unheard.cosine, unheard.reasons, unheard.is_imputed, unheard.shared_genre) == ("collaborative", 0, [], False, None)
+    assert all("genre_fallback" in r.warnings and r.shared_genre is None for r in got[4].values()) and all("no_collaborative" not in r.warnings for r in got[1].values())
+    plain = recommend.recommend(index.where("id = 1"), index, 5, "off").collect()
+    assert all(r.genre_boost == 0 and r.signal is None and r.score == r.cosine for r in plain) and {r.id for r in plain} & {2} == {2}
+    assert next(r for r in plain if r.id == 2).shared_genre == "rock"
