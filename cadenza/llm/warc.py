@@ -9,7 +9,9 @@ files of lost attempts are never read.
 
 Defined results: a null html is the empty payload; a null url leaves out the target; control characters and blanks in
 urls are percent-encoded; rows with a null page id never stand for others but may revisit; of repeated rows with the
-largest page id each is a response; an empty table gives no archive and an empty result; further columns are ignored.
+largest page id each is a response; an empty table gives no archive and an empty result; very long payloads are one
+record each, in an archive of their own where they exceed its bound; every archive has a dictionary, that of one with
+too little to learn from holds its records' own first bytes; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from cadenza.llm.common import fresh_path, materialize
 DICTIONARY_MAGIC = 0x184D2A5D
 SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, record_id string, archive string"
 NAME = "urn:cadenza:page"
+#: With fewer sampled records than this, slices of so many bytes are sampled in their place.
+FEW_SAMPLES, SLICE = 64, 2048
 
 
 def with_decisions(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
@@ -61,18 +65,24 @@ def record(page_id: int | None, url: str | None, html: str | None, digest: str,
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archive(out, records: list[bytes], dictionary_bytes: int, sample_bytes: int, level: int) -> None:
-    total = sum(map(len, records))
-    step = max(1, -(-total // sample_bytes))
+def made_dictionary(records: list[bytes], dictionary_bytes: int, sample_bytes: int) -> zstandard.ZstdCompressionDict:
+    """From evenly spread records: trained on slices of them, or of their own bytes where they are too few to learn from."""
+    step = max(1, -(-sum(map(len, records)) // sample_bytes))
     sample = records[::step]
+    if len(sample) < FEW_SAMPLES:  # few or large records: evenly spread slices of all of them
+        slices = [r[k : k + SLICE] for r in records for k in range(0, len(r), SLICE)]
+        sample = slices[:: max(1, -(-len(slices) * SLICE // sample_bytes))]
     try:
-        dictionary = zstandard.train_dictionary(dictionary_bytes, sample, k=200, d=8, steps=1) if len(sample) > 7 else None
-    except zstandard.ZstdError:  # too little to learn from: the format allows archives without a dictionary
-        dictionary = None
-    if dictionary:
-        data = dictionary.as_bytes()
-        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
-    packer = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True) if dictionary else zstandard.ZstdCompressor(level=level, write_checksum=True)
+        return zstandard.train_dictionary(dictionary_bytes, sample, k=200, d=8, steps=1)
+    except zstandard.ZstdError:
+        return zstandard.ZstdCompressionDict(b"".join(sample)[:dictionary_bytes], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
+def write_archive(out, records: list[bytes], dictionary_bytes: int, sample_bytes: int, level: int) -> None:
+    dictionary = made_dictionary(records, dictionary_bytes, sample_bytes)
+    data = dictionary.as_bytes()
+    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(data)) + data)
+    packer = zstandard.ZstdCompressor(level=level, dict_data=dictionary, write_checksum=True)
     for r in records:
         out.write(packer.compress(r))
 
@@ -80,7 +90,7 @@ def write_archive(out, records: list[bytes], dictionary_bytes: int, sample_bytes
 def read_archive(file) -> Iterator[bytes]:
     """The records, one frame after the other."""
     head = file.read(8)
-    dictionary = None
+    dictionary = None  # archives of other writers may have none
     if len(head) == 8 and struct.unpack("<I", head[:4])[0] == DICTIONARY_MAGIC:
         dictionary = zstandard.ZstdCompressionDict(file.read(struct.unpack("<I", head[4:])[0]))
         head = b""
@@ -171,5 +181,6 @@ def read(archives: DataFrame) -> DataFrame:
 
 
 def roundtrip(pages: DataFrame, revisit_bytes: int = 1000) -> DataFrame:
+    """The records of ``pages`` as read back from archives in a fresh folder; the archives stay, they are the output."""
     folder = fresh_path(pages.sparkSession, "warc")
     return read(write(with_decisions(pages, revisit_bytes), folder))
