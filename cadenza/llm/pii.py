@@ -2,16 +2,19 @@
 
 Everything is made of built-in functions: no Python runs on the executors. ``split`` gives the stretches between the
 matches of a pattern and ``regexp_extract_all`` the matches; both walk the same leftmost non-overlapping matches, so
-running lengths give positions in code points. The patterns are possessive where nothing could follow a retry and
+running lengths give positions in code points. Running lengths are summed in blocks, and stretches of a text are cut from pieces
+of bounded size, so that the work stays in proportion to a text with very many matches too. The patterns are possessive where nothing could follow a retry and
 anchored at the start of a run of their own characters: the same matches, in time linear in the text and without a
 stack that grows with it.
 
 Defined results: a null text counts as the empty text, which has no spans; repeated rows give repeated results; an
-empty table gives an empty one; all columns of the input stay and the result's names are the caller's choice.
+empty table gives an empty one; texts of any length and number of matches are taken whole; all columns of the input
+stay, but for one named as the result, which is replaced; the result's name is the caller's choice.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +55,8 @@ CONTEXT = {
 }
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT_BONUS, CONTEXT_REACH, ADDED_LEAST = 0.3, 40, 0.5
+#: Values summed at once, and characters in one piece of a text; neither changes a result.
+BLOCK, PIECE = 128, 256
 
 
 def _digits(match: Column) -> Column:
@@ -95,28 +100,74 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each value all up to it, itself included, under ``join`` (a sum or a maximum of integers from 0).
+
+    Block by block: appending to one array for each value would copy that array each time.
+    """
+    none = F.array().cast("array<int>")
+    zero = F.lit(0)
+
+    def grown(values: Column, first: Column) -> Column:
+        """The running results of some values after ``first``."""
+        start = F.struct(first.alias("last"), none.alias("all"))
+
+        def step(state: Column, v: Column) -> Column:
+            return _let(join(state["last"], v), lambda now: F.struct(now.alias("last"), F.concat(state["all"], F.array(now)).alias("all")))
+
+        return F.aggregate(values, start, step, lambda state: state["all"])
+
+    def whole(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
+        return _let(grown(totals, zero), lambda ends: F.flatten(F.transform(blocks, lambda b, i: grown(b, F.when(i > 0, F.get(ends, i - 1)).otherwise(zero)))))
+
+    def dealt(values: Column) -> Column:
+        blocks = F.transform(F.sequence(zero, F.ceil(F.size(values) / BLOCK).cast("int") - 1), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+        return F.when(F.size(values) > 0, _let(blocks, whole)).otherwise(none)
+
+    return _let(values, dealt)
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces of ``PIECE`` characters, the last one shorter."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """Characters from ``start`` up to ``end`` of the text that ``pieces`` make."""
+    first = F.floor(start / PIECE).cast("int")
+    near = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+    return F.substr(F.array_join(near, ""), start - first * PIECE + 1, end - start)
+
+
 def kind_spans(text: Column, kind: str) -> Column:
     """Spans of one kind: array of (kind, start, end, score), by start."""
     pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     one = F.struct(F.lit(kind).alias("kind"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score"))
     none = F.slice(F.array(one), 1, 0)
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
+    def rated(pieces: Column, match: Column, end: Column) -> Column:
+        start = end - F.length(match)
         # from the whole text: other matches, confirmed or not, don't cut the context short
-        before = F.substr(text, F.greatest(start - CONTEXT_REACH, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_REACH)))
-        after = F.substr(text, end + 1, F.lit(CONTEXT_REACH))
+        before, after = _cut(pieces, F.greatest(start - CONTEXT_REACH, F.lit(0)), start), _cut(pieces, end, end + CONTEXT_REACH)
         near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
         score = F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near, CONTEXT_BONUS).otherwise(0.0))
-        found = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score")))
-        keep = confirmed(kind, pair["match"]) & (F.lit(kind in BASE_KINDS) | (score >= ADDED_LEAST))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], found)).otherwise(state["spans"]).alias("spans"))
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(F.contains(text, F.lit(HINTS[kind])), walked).otherwise(none) if kind in HINTS else walked
+    def spans(matches: Column) -> Column:
+        lengths = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+        placed = F.zip_with(matches, _running(lengths, lambda a, b: a + b), lambda m, e: F.struct(m.alias("match"), e.alias("end")))
+        good = F.filter(placed, lambda p: confirmed(kind, p["match"]))
+        scored = _let(_pieces(text), lambda pieces: F.transform(good, lambda p: rated(pieces, p["match"], p["end"])))
+        return scored if kind in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= ADDED_LEAST)
+
+    found = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: F.when(F.size(matches) > 0, spans(matches)).otherwise(none))
+    return F.when(F.contains(text, F.lit(HINTS[kind])), found).otherwise(none) if kind in HINTS else found
 
 
 def with_spans(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
@@ -135,12 +186,17 @@ def redacted(text: Column, spans: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     placed = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        more = F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(placed, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    def marked(placed: Column, reached: Column, pieces: Column) -> Column:
+        """Of each span that begins past all before it: the text since those, and its mark; then the text that is left."""
+        kept = F.filter(
+            F.transform(placed, lambda s, i: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), F.when(i > 0, F.get(reached, i - 1)).otherwise(F.lit(0)).alias("since"))),
+            lambda s: s["start"] >= s["since"],
+        )
+        parts = F.transform(kept, lambda s: F.concat(_cut(pieces, s["since"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+        return F.concat(F.array_join(parts, ""), _cut(pieces, F.element_at(reached, -1), F.length(text)))
+
+    done = _let(placed, lambda p: _let(_running(F.transform(p, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), lambda reached: _let(_pieces(text), lambda pieces: marked(p, reached, pieces))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def count_of(spans: Column, kind: str) -> Column:
