@@ -7,7 +7,9 @@ bounded sample (``most`` documents, ``WINDOWS_EACH`` evenly spread windows of ea
 a filter is a table of 256 numbers for each place, and a pass over a window adds up rows of those tables.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; if nothing was learned, ``und`` with
-score 0 for all; ties go to the first language in order; repeated rows get equal results; an empty table an empty one.
+score 0 for all; ties go to the first language in order; repeated rows get equal results; an empty table an empty one;
+very long texts are read whole, a chunk of windows at a time; all other columns of the input stay, those named as the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.sampling import labelled_sample
-from cadenza.llm.sentencepiece_codec import blocks
+from cadenza.llm.sentencepiece_codec import with_columns
 
 WINDOW, WIDTHS, FILTERS, WINDOWS_EACH = 160, (2, 3, 4), 16, 4
 LETTER = re.compile(r"[^\W\d_]")
@@ -135,12 +137,9 @@ def with_language(docs: DataFrame, network: Network, text_col: str = "text", out
     """``docs`` with the predicted language of the whole text and its probability."""
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few tables of a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, texts in blocks(batch, text_col):
-                part = batch.slice(first, len(texts))
-                names, scores = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*part.schema.names, *out])
+    def run(texts: Iterator[list[str | None]]) -> Iterator[list[pa.Array]]:
+        for block in texts:
+            names, scores = shared.value.predict(block)
+            yield [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{out[0]}` string, `{out[1]}` double")
+    return with_columns(docs, text_col, run, {out[0]: "string", out[1]: "double"})

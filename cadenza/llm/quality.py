@@ -1,14 +1,15 @@
 """Quality scores from learned hashed word and character n-gram vectors (a linear text classifier).
 
 A document is the mean of the vectors of its features: each word, the character n-grams of the word between marks, and
-each pair of neighbouring words by their shapes and whether they are the same word. A softmax layer follows; both are
+each pair of neighbouring words, twice: by the words themselves, and by their shapes and whether they are the same word. A softmax layer follows; both are
 trained by numpy stochastic gradient descent on the driver, on a bounded sample of labelled rows (``most``). As the
 layers are linear, a feature needs only its share of the score when documents are scored: a word's share is computed
 once per worker and block, and whole texts are scored in one pass without a shuffle.
 
 Defined results: null and empty texts, and texts of white space only, get the score of the bias alone; repeated rows get
 equal scores; an empty table gives an empty result; without labelled rows, or with one class only, every score is 0.5
-or that of the bias.
+or that of the bias; very long texts are scored whole, a block of their own; all other columns of the input stay, one
+named as the result is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.sampling import labelled_sample
-from cadenza.llm.sentencepiece_codec import WordIndex, blocks
+from cadenza.llm.sentencepiece_codec import WordIndex, with_columns
 
 WORDS = re.compile(r"[^ \t-\r]+")
 BUCKETS, DIM, GRAMS = 1 << 18, 10, (3, 4)
@@ -31,8 +32,8 @@ CACHE_WORDS = 300_000
 SHAPE_BITS = 9
 
 
-def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all words' features, how many each word has, and each word's shape."""
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all words' features, the word that each belongs to, and each word's shape and hash."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     size = lengths + 2
@@ -70,16 +71,20 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         shape |= np.logical_or.reduceat(kind, start).astype(np.int64) << bit
     shape |= (np.add.reduceat(other.astype(np.int64), start) > 1).astype(np.int64) << 4
     shape |= np.minimum(lengths // 6, 7) << 5
-    return buckets, owners, shape
+    return buckets, owners, shape, whole
 
 
-def pair_buckets(shapes: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Bucket of each pair of neighbours, for all but the last word."""
+def pair_buckets(shapes: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Buckets of each pair of neighbours, by words and by shapes (two columns), for all but the last word."""
     same = (words[1:] == words[:-1]).astype(np.int64)
-    return BUCKETS + ((same << 2 * SHAPE_BITS | shapes[:-1] << SHAPE_BITS | shapes[1:]) * 2654435761 & 0xFFFFFFFF) % (BUCKETS // 4)
+    by_shape = ((same << 2 * SHAPE_BITS | shapes[:-1] << SHAPE_BITS | shapes[1:]) * 2654435761 & 0xFFFFFFFF) % SHAPE_PAIRS
+    code = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] >> np.uint64(7)) ^ hashes[1:]
+    by_word = ((code * np.uint64(0x100000001B3)) >> np.uint64(40)).astype(np.int64) % WORD_PAIRS
+    return np.stack([BUCKETS + by_word, BUCKETS + WORD_PAIRS + by_shape], axis=1)
 
 
-TOTAL = BUCKETS + BUCKETS // 4
+SHAPE_PAIRS, WORD_PAIRS = BUCKETS // 4, BUCKETS
+TOTAL = BUCKETS + WORD_PAIRS + SHAPE_PAIRS
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.4, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -95,8 +100,8 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.
         number = {w: k for k, w in enumerate(distinct)}
         at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         times = np.bincount(at, minlength=len(distinct))
-        buckets, owners, shape = word_features(distinct)
-        pairs = pair_buckets(shape[at], at)
+        buckets, owners, shape, hashes = word_features(distinct)
+        pairs = pair_buckets(shape[at], hashes[at], at).ravel()
         every = np.concatenate([buckets, pairs])
         weight = np.concatenate([times[owners], np.ones(len(pairs), np.int64)])
         unique, inverse = np.unique(every, return_inverse=True)
@@ -132,7 +137,7 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.index, self.sums, self.counts, self.shapes = WordIndex(), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.index, self.sums, self.counts, self.shapes, self.hashes = WordIndex(), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if len(self.index) > CACHE_WORDS:
@@ -141,19 +146,19 @@ class Scorer:
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
         if self.index.new:
-            buckets, owners, shape = word_features(self.index.new)
+            buckets, owners, shape, hashes = word_features(self.index.new)
             self.sums = np.concatenate([self.sums, np.bincount(owners, weights=self.shares[buckets], minlength=len(shape))])
             self.counts = np.concatenate([self.counts, np.bincount(owners, minlength=len(shape))])
-            self.shapes = np.concatenate([self.shapes, shape])
+            self.shapes, self.hashes = np.concatenate([self.shapes, shape]), np.concatenate([self.hashes, hashes])
             self.index.new = []
         doc = np.repeat(np.arange(len(lists)), sizes)
         total = np.bincount(doc, weights=self.sums[at], minlength=len(lists))
         count = np.bincount(doc, weights=self.counts[at], minlength=len(lists))
         if len(at) > 1:
             inside = doc[1:] == doc[:-1]
-            pairs = self.shares[pair_buckets(self.shapes[at], at)][inside]
+            pairs = self.shares[pair_buckets(self.shapes[at], self.hashes[at], at)[inside]].sum(axis=1)
             total += np.bincount(doc[1:][inside], weights=pairs, minlength=len(lists))
-            count += np.bincount(doc[1:][inside], minlength=len(lists))
+            count += 2 * np.bincount(doc[1:][inside], minlength=len(lists))
         logit = np.where(count > 0, total / np.maximum(count, 1), 0.0) + self.bias
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
@@ -169,16 +174,12 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str =
     """``docs`` with ``out``, the probability of label 1 by the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float64), model[1]))  # TOTAL numbers: a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[list[str | None]]) -> Iterator[list[pa.Array]]:
         scorer = Scorer(*shared.value)
-        for batch in batches:
-            for first, texts in blocks(batch, text_col):
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scorer.score(texts))], names=[*part.schema.names, out])
-
-    rest = [f for f in docs.schema.fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{out}` double"
-    return docs.mapInArrow(run, schema)
+        for block in texts:
+            yield [pa.array(scorer.score(block))]
+
+    return with_columns(docs, text_col, run, {out: "double"})
 
 
 def fold(buckets: int) -> "F.Column":

@@ -15,13 +15,14 @@ from __future__ import annotations
 import codecs
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
@@ -360,14 +361,43 @@ def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_CHARS) -> Itera
         yield first, texts
 
 
+def with_columns(docs: DataFrame, text_col: str, work: Callable[[Iterator[list[str | None]]], Iterator[list[pa.Array]]], out: dict[str, str]) -> DataFrame:
+    """``docs`` with the columns that ``work`` gives for each block of texts; columns of the same names are replaced.
+
+    ``out``: name and type of each result.
+    """
+    clashing = {c.lower() for c in out}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in clashing]
+    narrow = docs.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[str | None]]:
+            for batch in batches:
+                for first, block in blocks(batch, "text"):
+                    held.append(batch.slice(first, len(block)))
+                    yield block
+
+        for found in work(texts()):
+            part = held.pop(0)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], names=names)
+
+    schema = StructType(narrow.schema.fields[:-1])
+    for i, kind in enumerate(out.values()):
+        schema.add(f"o{i}", kind)
+    names = schema.fieldNames()
+    return narrow.mapInArrow(run, schema).toDF(*(f.name for f in kept), *out)
+
+
 _codecs: dict[int, Codec] = {}
 
 
-def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", key_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``key_columns`` with ``ids array<int>`` of the whole text, and ``decoded``, the text that those ids stand for."""
+def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", key_columns: tuple[str, ...] = ("doc_id",), out: tuple[str, str] = ("ids", "decoded")) -> DataFrame:
+    """``key_columns`` with the ids of the whole text (array<int>), and the text that those ids stand for, named by ``out``."""
     model = df.sparkSession.sparkContext.broadcast(read_model(model_path))  # one vocabulary, whatever the input's size
     token = hash(model_path)
-    narrow = df.select(*key_columns, F.col(text_col).alias("__text"))
+    narrow = df.select(*(F.col(f"`{c}`") for c in key_columns), F.col(text_col).alias("__text"))
 
     def run(batches):
         codec = _codecs.get(token) or _codecs.setdefault(token, Codec(model.value))
@@ -380,8 +410,8 @@ def encode_decode(df: DataFrame, model_path: str, text_col: str = "text", key_co
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in key_columns), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
-                    names=[*key_columns, "ids", "decoded"],
+                    names=[*key_columns, *out],
                 )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:-1])
-    return narrow.mapInArrow(run, f"{fields}, ids array<int>, decoded string")
+    return narrow.mapInArrow(run, f"{fields}, `{out[0]}` array<int>, `{out[1]}` string")

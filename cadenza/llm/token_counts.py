@@ -4,12 +4,14 @@ The distinct pre-tokens of a block go into a trie, one character of all of them
 the best sum of piece scores over all segmentations of the prefix that it stands for, and the number of tokens of that
 segmentation are computed once for each node, thus once for each shared prefix; a pre-token's count is that of its
 terminal node. Pieces are followed through a second trie, that of the vocabulary: each node keeps the states that its
-last one, two, ... characters lead to.
+last one, two, ... characters lead to. The trie is ``DEPTH`` characters deep, below which hardly any prefix is shared: longer
+pre-tokens go on from the scores of their node there one by one, in time linear in their length.
 
 Scores: the vocabulary's order gives Zipf log-probabilities, ``-ln(position + 2)``; a character that is in no piece is
 one unknown unit with a score 10 below the least and counts as its UTF-8 bytes. Of equal scores that with fewer tokens
 counts. Defined results: null and empty texts have no tokens; repeated rows get equal counts; an empty table an empty
-result; pre-tokens of any length are handled whole.
+result; pre-tokens of any length are handled whole; all other columns of the input stay, those named as the results are
+replaced.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from cadenza.llm.sentencepiece_codec import NORMAL, SPACE, PairTable, WordIndex, blocks, read_model
+from cadenza.llm.sentencepiece_codec import NORMAL, SPACE, PairTable, WordIndex, read_model, with_columns
 
 CACHE_WORDS = 300_000
 UNKNOWN_PENALTY = 10.0
+DEPTH = 64
 
 
 def unigram_scores(model_path: str) -> dict[str, float]:
@@ -54,6 +56,8 @@ class TrieCounter:
         keys = np.array(list(states), np.int64)
         self.steps = PairTable(keys[:, 0], keys[:, 1], np.array(list(states.values()), np.int32)[:, None])
         self.value = np.array(value)
+        self.next = {at << 21 | char: nxt for (at, char), nxt in states.items()}
+        self.values = [None if v != v else v for v in value]  # of each state, where a piece ends
         self.words = re.compile(r" *[^ \n]+|\n| +")
         self.reset()
 
@@ -72,6 +76,10 @@ class TrieCounter:
         above = np.zeros((1, 0), np.int64)  # and the node above by as many characters
         depth = 0
         while len(alive):
+            if depth == DEPTH:
+                for w in alive.tolist():
+                    result[w] = self._alone(words[w], node[w], best, tokens, above)
+                break
             key = node[alive] << 21 | codes[starts[alive] + depth]
             own, inverse = np.unique(key, return_inverse=True)
             parent, char = own >> 21, own & 0x1FFFFF
@@ -105,6 +113,35 @@ class TrieCounter:
             alive = alive[~over]
         return result
 
+    def _alone(self, word: str, node: int, best: list[np.ndarray], tokens: list[np.ndarray], above: np.ndarray) -> int:
+        """Tokens of one word, from the scores of its last prefixes in the trie on."""
+        known = [node, *above[node].tolist()][: len(best)]
+        first = DEPTH + 1 - len(known)  # the shortest prefix whose score is at hand
+        none = float("-inf")
+        score, count = [none] * (len(word) - first + 1), [0] * (len(word) - first + 1)
+        for back, at in enumerate(known):
+            score[len(known) - 1 - back], count[len(known) - 1 - back] = float(best[-1 - back][at]), int(tokens[-1 - back][at])
+        codes, follow, values, reached = list(map(ord, word)), self.next.get, self.values, DEPTH - first
+        for start in range(len(word) - first):
+            own, number, state, end = score[start], count[start] + 1, 0, start
+            single = False
+            while end + first < len(word):
+                state = follow(state << 21 | codes[end + first])
+                if state is None:
+                    break
+                end += 1
+                piece = values[state]
+                if piece is not None:
+                    single |= end == start + 1
+                    if end > reached and ((total := own + piece) > score[end] or (total == score[end] and number < count[end])):
+                        score[end], count[end] = total, number
+            if not single and start >= reached:
+                char, total = codes[start + first], own + self.unknown
+                size = number + (char > 0x7F) + (char > 0x7FF) + (char > 0xFFFF)
+                if total > score[start + 1] or (total == score[start + 1] and size < count[start + 1]):
+                    score[start + 1], count[start + 1] = total, size
+        return count[-1]
+
     @staticmethod
     def _offer(at: np.ndarray, total: np.ndarray, number: np.ndarray, score: np.ndarray, count: np.ndarray) -> None:
         better = (total > score[at]) | ((total == score[at]) & (number < count[at]))
@@ -128,12 +165,9 @@ def with_counts(docs: DataFrame, scores: dict[str, float], text_col: str = "text
     """``docs`` with the number of tokens and of pre-tokens of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(scores)  # one vocabulary, whatever the input's size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[list[str | None]]) -> Iterator[list[pa.Array]]:
         counter = TrieCounter(shared.value)
-        for batch in batches:
-            for first, texts in blocks(batch, text_col):
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, counter.count(texts))], names=[*part.schema.names, *out])
+        for block in texts:
+            yield list(map(pa.array, counter.count(block)))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, `{out[0]}` long, `{out[1]}` long").select(*(F.col(f"`{c}`") for c in [*docs.columns, *out]))
+    return with_columns(docs, text_col, run, {out[0]: "long", out[1]: "long"})
