@@ -5,8 +5,8 @@ duplicates (five-word shingles, similarity 0.8) the row with the least id stays;
 (up to a fifth of its words edited) go; personal data is replaced by marks; texts are encoded to token ids and decoded.
 Rows with a null text count as empty texts in every stage; each row is decided by itself, by a key that a stage gives it,
 so ids may repeat or be null (in a group a row without an id comes last, and of equal ids one row stays); an empty table
-passes through empty. The columns of ``documents``, extra ones included, stay up to the last stage,
-which adds the ids and gives the decoded text. ``n_chars`` follows the text.
+passes through empty. The columns of ``documents``, extra ones included, stay; the last stage gives the decoded text and adds
+``ids`` and ``n_tokens``, in place of columns of those names. ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -65,9 +65,9 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the final texts, with the text that they decode to in place of the text."""
-    own = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids", "decoded"))
-    out = sentencepiece_codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), key_columns=own)
-    return out.select(*own, F.col("decoded").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    own = tuple(c for c in docs.columns if c not in ("text", "n_tokens", "ids"))
+    out = sentencepiece_codec.encode_decode(docs, tokenizer_path("piece_bpe_32k.model"), key_columns=own, out=("__ids", "__decoded"))
+    return out.select(*own, F.col("__decoded").alias("text"), F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
