@@ -5,12 +5,14 @@ import re
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import chroma, components, near_dedup, oracles, registry, sentencepiece_codec, url_filter, warc
+from cadenza.llm import bloom, chroma, components, decontaminate, near_dedup, oracles, quality, registry, url_filter, warc
 from tests.comparing import assert_same
 from tests.conftest import SMALL
+from tests.llm.test_text_operators import brute_spans
 
 
 @pytest.mark.parametrize("name", sorted(oracles.SQL))
@@ -46,6 +48,17 @@ def test_archive_format(tmp_path):
         list(warc.read_archive(file))
 
 
+@pytest.mark.parametrize("records", [[b"x"], [b"one record only " * 300], [b"a%d" % k for k in range(5)], [bytes(range(256)) * 2000 + b"%d" % k for k in range(3)], [b"<p>%d</p>" % (k * k) * 40000 for k in range(12)]])
+def test_every_archive_has_a_dictionary(tmp_path, records):
+    with open(tmp_path / "a.zst", "wb") as out:
+        warc.write_archive(out, records, 4096, 1 << 20, 3)
+    raw = (tmp_path / "a.zst").read_bytes()
+    size = int.from_bytes(raw[4:8], "little")
+    assert raw[:4] == bytes.fromhex("5d2a4d18") and 0 < size <= 4096
+    with open(tmp_path / "a.zst", "rb") as file:
+        assert list(warc.read_archive(file)) == records
+
+
 # -- 4
 
 
@@ -71,16 +84,17 @@ def test_verdicts_equal_plain_matching(spark):
     assert url_filter.judge(df.where("false"), rules, spark.createDataFrame([], "host string")).collect() == []
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 10])
+@pytest.mark.parametrize("bits", [bloom.PART_BITS, 500])
 def test_cascade_is_exact(spark, monkeypatch, bits):
-    monkeypatch.setattr(url_filter, "MOST_BITS", bits)  # 10: too few, so the join answers
-    monkeypatch.setattr(url_filter, "FALSE_RATE", 0.3)
+    monkeypatch.setattr(bloom, "PART_BITS", bits)  # 500: keys are dealt to several arrays
+    monkeypatch.setattr(bloom, "FALSE_RATE", 0.3)
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = spark.range(0, 3000, 7).select(F.concat(F.lit("k"), "id").alias("key")).unionByName(spark.createDataFrame([("unseen",)], "key string"))
     cascade = url_filter.Cascade(universe, listed)
-    assert (cascade.listed is not None) == (bits == 10) and (bits == 10 or len(cascade.levels) > 2)
-    got = cascade.mark(universe, "key", "hit").where("hit").select("key").collect()
-    assert {r.key for r in got} == {f"k{k}" for k in range(0, 3000, 7)}
+    assert len(cascade.levels) > 2 and (cascade.levels[0].parts > 1) == (bits == 500)
+    marked = universe.where(cascade.has(F.col("key")))
+    assert {r.key for r in marked.collect()} == {f"k{k}" for k in range(0, 3000, 7)}
+    assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
 
 
 # -- 9
@@ -127,12 +141,42 @@ def test_groups_equal_all_pairs(spark, monkeypatch, small_node):
 
 
 def test_groups_of_repeated_rows_and_empty_tables(spark):
-    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (8, None)], "id long, text string")
-    got = sorted((r.id is None, r.id or 0, r.n_shingles, r.component_id) for r in near_dedup.groups(df).collect() if r.n_shingles)
-    assert got == [(False, 3, 2, 3), (False, 5, 2, 3), (False, 5, 2, 3), (True, 0, 2, 3)]
+    df = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, None), (8, None), (None, "only here with no id at all")], "id long, text string")
+    got = sorted((r.id is None, r.id or 0, r.n_shingles, r.component_id) for r in near_dedup.groups(df).collect())
+    assert got == [(False, 3, 2, 3), (False, 5, 2, 3), (False, 5, 2, 3), (False, 8, 0, 8), (True, 0, 0, None), (True, 0, 2, 3), (True, 0, 3, None)]
     assert near_dedup.groups(df.where("false")).collect() == []
 
 
+def test_groups_are_of_rows_not_of_ids(spark):
+    """A row is grouped by its own text, whatever other texts its id has; rows without an id may link others."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    near, far = list(base), list(base)
+    near[0], far[0], far[89] = "x", "x", "y"
+    other = " ".join(f"q{k}" for k in range(50))
+    t, u, v = " ".join(base), " ".join(near), other
+    rows = [(3, t), (7, u), (7, v), (11, v), (None, u), (20, "z " + t[: len(t) // 9])]
+    got = sorted(((r.id is None, r.id or 0, r.component_id) for r in near_dedup.groups(spark.createDataFrame(rows, "id long, text string"), 4).collect()), key=repr)
+    assert got == sorted([(False, 3, 3), (False, 7, 3), (False, 7, 7), (False, 11, 7), (True, 0, 3), (False, 20, 20)], key=repr)
+
+
+def test_slices_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 10)
+    rng = random.Random(5)
+    rows = [(k, c, rng.choice([1, 1, 1, 1, 2, 3, 100 + c])) for k in (1, 2) for c in range(60)]
+    rows = [(k, c, label if k == 1 else (5 if c % 2 else 6)) for k, c, label in rows]
+    met = near_dedup.sliced(spark.createDataFrame(rows, "node long, cid long, label long")).collect()
+    parts = {}
+    for r in met:
+        parts.setdefault(r.node, []).append((r.cid, r.label))
+    together = {(a, b) for part in parts.values() for a, _ in part for b, _ in part if a < b}
+    for node in (1, 2):
+        own = {c: label for k, c, label in rows if k == node}
+        assert {(a, b) for a in own for b in own if a < b and own[a] != own[b]} <= together
+    assert max(map(len, parts.values())) <= 3 * near_dedup.SMALL_NODE
+    assert sum(map(len, parts.values())) < 120 * 12
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(40)] + [(100 + k, 100 + rng.randrange(30)) for k in range(30)] + [(7, 7), (200, 300)]
@@ -169,13 +213,51 @@ def test_alignment_finds_shifted_and_noisy_recordings(spark):
     song, other = [rng.randrange(24) for _ in range(90)], [rng.randrange(24) for _ in range(90)]
     rows = [(0, tones(song)), (1, tones(song)), (2, tones(song[20:])), (3, tones(song, 1)), (4, tones(other)), (5, None), (6, b""), (7, b"\0" * 9), (8, tones(song[:2]))]
     df = spark.createDataFrame(rows, "rec long, audio binary")
-    got = {r.rec: r for r in chroma.align(chroma.with_fingerprints(df, "audio", "rec"), F.col("rec") == 0, "rec").collect()}
-    assert got[0].class_id == got[1].class_id == 0 and got[0].links == []
-    assert [(x.query_id, x.offset) for x in got[2].links] == [(0, -20)] and [(x.query_id, x.offset) for x in got[3].links] == [(0, 0)]
-    assert got[2].links[0].bit_error_rate < 0.1 and got[4].links == []
-    assert {got[k].class_id for k in (5, 6, 7, 8)} == {5} and got[5].n_frames == 0
-    prints = chroma.with_fingerprints(df, "audio", "rec")
-    assert chroma.align(prints.where("false"), F.col("rec") == 0, "rec").collect() == []
+    prints = chroma.with_fingerprints(df.withColumns({c: F.lit("x") for c in ("fingerprint", "class_id", "__audio")}), "audio", "rec")
+    members, links = (x.collect() for x in chroma.align(prints, F.col("rec") == 0, "rec"))
+    classes, found = {r.rec: r for r in members}, {(r.class_id, r.query_id): r for r in links}
+    assert classes[0].class_id == classes[1].class_id == 0 and len(members) == len(rows)
+    assert {k: x.offset for k, x in found.items()} == {(2, 0): -20, (3, 0): 0}
+    assert found[2, 0].bit_error_rate < 0.1
+    assert {classes[k].class_id for k in (5, 6, 7, 8)} == {5} and classes[5].n_frames == 0
+    assert all(x.collect() == [] for x in chroma.align(prints.where("false"), F.col("rec") == 0, "rec"))
+
+
+def plain_links(prints, queries, most_errors=0.2, least_overlap=chroma.SPAN):
+    """class, query: (offset, error rate), by plain histograms over all pairs of different fingerprints."""
+    groups = {}
+    for k, own in sorted(prints.items()):
+        groups.setdefault(tuple(own), []).append(k)
+    asked = [min(ks) for code, ks in groups.items() if code and any(k in queries for k in ks)]
+    out = {}
+    for code, ks in groups.items():
+        for q in asked:
+            if not code or q == min(ks):
+                continue
+            other, votes = prints[q], {}
+            for i, x in enumerate(code):
+                for j, y in enumerate(other):
+                    if x == y and min(len(code) - max(0, i - j), len(other) + min(0, i - j)) >= least_overlap:
+                        votes[i - j] = votes.get(i - j, 0) + 1
+            rated = []
+            for d in [d for d, n in votes.items() if n == max(votes.values())]:
+                pairs = [(code[j + d], other[j]) for j in range(len(other)) if 0 <= j + d < len(code)]
+                rated.append((sum(((x ^ y) & 0xFFFFFFFF).bit_count() for x, y in pairs) / (32 * len(pairs)), abs(d), d))
+            if rated and min(rated)[0] <= most_errors:
+                out[min(ks), q] = (min(rated)[2], min(rated)[0])
+    return out
+
+
+def test_links_equal_plain_histograms(spark):
+    rng = random.Random(9)
+    song = [rng.randrange(-9, 9) for _ in range(60)]
+    rows = {k: [x if rng.random() < 0.7 else rng.randrange(-9, 9) for x in song[rng.randrange(8) :]] for k in range(1, 30)}
+    rows |= {0: song, 30: [5] * 40, 31: [5] * 25, 32: [], 33: list(song), 34: song[:10]}
+    df = spark.createDataFrame(list(rows.items()), "rec long, fingerprint array<int>")
+    members, links = (x.collect() for x in chroma.align(df, F.col("rec") % 10 == 0, "rec"))
+    wanted = plain_links(rows, {0, 10, 20, 30})
+    assert {(r.class_id, r.query_id): (r.offset, pytest.approx(r.bit_error_rate)) for r in links} == wanted and len(wanted) > 20
+    assert {r.rec: r.n_frames for r in members} == {k: len(x) for k, x in rows.items()}
 
 
 def test_integral_image_equals_plain_sums():
@@ -191,44 +273,75 @@ def test_integral_image_equals_plain_sums():
 
 
 def test_registered_search_equals_plain_histograms(spark):
-    rows = {r.vec_id: r for r in registry.op2_chroma(spark, SMALL).collect()}
-    prints = {r.vec_id: np.array(r.fingerprint, np.int64) for r in chroma.with_fingerprints(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "embedding", "vec_id", chroma.melody).collect()}
-    assert rows.keys() == prints.keys()
-    queries = sorted(k for k in prints if k % 100 == 0)
-    for k, own in list(prints.items())[:60]:
-        wanted = {}
-        for q in queries:
-            if q == k:
-                continue
-            a, b = np.nonzero(own[:, None] == prints[q][None, :])
-            if len(a):
-                offsets, counts = np.unique(a - b, return_counts=True)
-                wanted[q] = max(zip(counts, -np.abs(offsets), -offsets))[2] * -1
-        assert {x.query_id: x.offset for x in rows[k].links}.items() <= wanted.items()
+    found = registry.op2_chroma(spark, SMALL).collect()
+    prints = {r.vec_id: list(r.fingerprint) for r in chroma.with_fingerprints(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "embedding", "vec_id", chroma.melody).collect()}
+    assert {r.vec_id: r.n_frames for r in found} == {k: len(x) for k, x in prints.items()}
+    links = {(r.class_id, r.query_id): (r.offset, pytest.approx(r.bit_error_rate)) for r in found if r.query_id is not None}
+    assert links == plain_links(prints, {k for k in prints if k % 100 == 0})
 
 
 # -- the pipeline
 
 
-def test_pipeline_stages_follow_their_rules(spark):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("extra", F.lit("kept"))
+def test_pipeline_stages_equal_plain_versions(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns({c: F.lit("kept") for c in ("extra", "decoded", "__x", "score", "found", "id", "label")})
     seen = [docs]
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, seen[-1], SMALL).cache()
-        if name != "encoding":
-            assert out.columns == docs.columns
+        assert set(docs.columns) <= set(out.columns) and (name == "encoding" or out.columns == docs.columns)
+        assert out.where("decoded <> 'kept' OR extra <> 'kept' OR id <> 'kept'").count() == 0
         seen.append(out)
-    good, single, clean, masked, coded = seen[1:]
-    assert 0 < good.count() < docs.count()
-    groups = near_dedup.groups(good.select(F.col("doc_id").alias("id"), "text")).collect()
-    assert {r.doc_id for r in single.collect()} == {r.id for r in groups if r.id == r.component_id}
-    items = [" ".join(re.findall(r"\w+", r.text.lower())) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
-    assert not any(i in " ".join(re.findall(r"\w+", r.text.lower())) for r in clean.collect() for i in items)
-    assert masked.count() == clean.count() == coded.count()
-    assert not any(re.search(r"[A-Za-z0-9]@[A-Za-z0-9-]+\.[a-z]", r.text) for r in masked.collect())
-    texts = {r.doc_id: r.text for r in masked.collect()}
-    codec = sentencepiece_codec.Codec(sentencepiece_codec.read_model(registry.tokenizer_path("piece_bpe_32k.model")))
-    assert all(r.text == texts[r.doc_id] == codec.decode(list(r.ids)) for r in coded.collect())
+    texts = [{r.doc_id: r.text for r in x.collect()} for x in seen]
+    before, good, single, clean, masked, coded = texts
+    # quality: the model's own features, summed one by one
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    shares, bias = quality.fit(docs, labels)
+    kept = set()
+    for k, text in before.items():
+        words = re.findall(r"[^ \t-\r]+", text or "")
+        known = [quality.word_features([w]) for w in words]
+        features = [f for buckets, *_ in known for f in buckets.tolist()]
+        for i in range(len(words) - 1):
+            shapes, hashes = (np.concatenate([known[i][j], known[i + 1][j]]) for j in (2, 3))
+            features += quality.pair_buckets(shapes, hashes, np.array([0, int(words[i] != words[i + 1])]))[0].tolist()
+        logit = (float(np.mean(shares[features])) if features else 0.0) + bias
+        if 1 / (1 + np.exp(-logit)) >= corpus_pipeline.LEAST_QUALITY:
+            kept.add(k)
+    assert set(good) == kept and 0 < len(good) < len(before)
+    # near duplicates: all pairs
+    ids = sorted(good)
+    _, roots = plain_groups([good[k] for k in ids], 5)
+    assert set(single) == {ids[r] for r in set(roots)} | {k for k, r in zip(ids, roots) if ids[r] == k} and len(single) < len(good)
+    # contamination: every item against every stretch of every text
+    items = [decontaminate.words_of(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    held = set()
+    for k, text in single.items():
+        words = decontaminate.words_of(text)
+        for item in items:
+            most = int(0.2 * len(item) + 1e-9)
+            if item and len(set(item) & set(words)) >= len(set(item)) - most and decontaminate.best_stretch(np.array([hash(w) for w in item]), np.array([hash(w) for w in words] or [0]))[0] <= most:
+                held.add(k)
+                break
+    assert set(clean) == set(single) - held and held
+    # personal data: base kinds by plain patterns
+    assert set(masked) == set(clean) == set(coded)
+    changed = 0
+    for k, text in clean.items():
+        spans = sorted((a, b, kind) for kind, a, b in brute_spans(text))
+        if not spans:
+            continue
+        changed += 1
+        out, at = "", 0
+        for a, b, kind in spans:
+            if a >= at:
+                out += text[at:a] + f"<{kind.upper()}>"
+            at = max(at, b)
+        if not re.search(r"[A-Z]{2}[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}", text):
+            assert masked[k] == out + text[at:]
+    assert changed
+    library = sentencepiece.SentencePieceProcessor(model_file=registry.tokenizer_path("piece_bpe_32k.model"))
+    for r in seen[-1].collect():
+        assert list(r.ids) == library.encode(masked[r.doc_id]) and r.text == library.decode(list(r.ids)) and r.n_tokens == len(r.ids)
 
 
 def test_pipeline_edges(spark):

@@ -2,6 +2,9 @@
 
 import random
 import re
+import subprocess
+import sys
+import time
 
 import numpy as np
 import pytest
@@ -80,6 +83,23 @@ def test_token_counts_equal_a_plain_forward_pass(spark):
     assert token_counts.with_counts(texts(spark, ["x"]).where("false"), scores).collect() == []
 
 
+def test_long_words_equal_a_plain_forward_pass():
+    scores = token_counts.unigram_scores(MODEL)
+    counter = token_counts.TrieCounter(scores)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeinrsté世") for _ in range(n)) for n in (1, 62, 63, 64, 65, 66, 80, 200, 2000) for _ in range(3)]
+    words += [words[-1][: token_counts.DEPTH] + "zz", words[-1][:70], "a" * 500, "世" * 100]
+    assert counter.count_words(words).tolist() == [brute_count(w, scores, counter.unknown) for w in words]
+
+
+def test_one_unbroken_megabyte_is_counted_in_seconds():
+    counter = token_counts.TrieCounter(token_counts.unigram_scores(MODEL))
+    text = "".join(random.Random(9).choices("ABCDEFGHabcdefgh0123+/", k=1_000_000))
+    began = time.process_time()
+    total, words = counter.count([text])
+    assert total[0] > 100_000 and words[0] == 1 and time.process_time() - began < 15
+
+
 # -- 6
 
 BASE = {
@@ -150,6 +170,28 @@ def test_redaction_leaves_no_covered_character(spark):
     assert got == ["", "", "<EMAIL>, <PHONE> and <CARD>.", "nothing", "é<IP>é"]
 
 
+def test_very_many_matches_in_one_text(spark):
+    n = 50_000
+    text = " ".join(f"u{k}@ex.org" for k in range(n))
+    df = pii.with_spans(texts(spark, [text, "a@b.co " * 1000 + "+49 30 1234567"], extra=True)).cache()
+    began = time.time()
+    got = df.orderBy("doc_id").select("spans", pii.redacted(F.col("text"), F.col("spans")).alias("t")).collect()
+    assert time.time() - began < 60
+    assert [(s.start, s.end) for s in got[0].spans] == [m.span() for m in re.finditer(r"\S+", text)]
+    assert got[0].t == " ".join(["<EMAIL>"] * n) and got[1].t == "<EMAIL> " * 1000 + "<PHONE>"
+    df.unpersist()
+
+
+def test_running_totals_and_cuts(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    monkeypatch.setattr(pii, "PIECE", 5)
+    values, text = [3, 1, 4, 1, 5, 9, 2, 6], "é😀abc\ndefghijklm"
+    df = spark.createDataFrame([(values, text), ([], ""), ([7], "x")], "v array<int>, t string")
+    rows = df.select(pii._running(F.col("v"), lambda a, b: a + b).alias("s"), pii._running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m"), *(pii._cut(pii._pieces(F.col("t")), F.lit(a), F.lit(b)).alias(f"c{a}_{b}") for a, b in ((0, 2), (4, 11), (5, 5), (9, 99)))).collect()
+    assert rows[0].s == [3, 4, 8, 9, 14, 23, 25, 31] and rows[0].m == [3, 3, 4, 4, 5, 9, 9, 9] and rows[1].s == [] and rows[2].m == [7]
+    assert (rows[0].c0_2, rows[0].c4_11, rows[0].c5_5, rows[0].c9_99) == (text[:2], text[4:11], "", text[9:])
+
+
 # -- 1
 
 
@@ -235,6 +277,23 @@ def test_counting_in_parts_gives_the_same(monkeypatch):
     assert decontaminate.Finder(items, 0.8).find(docs) == whole and whole
 
 
+def test_long_items_need_little_memory():
+    code = """
+import random, resource
+from cadenza.llm import decontaminate
+rng = random.Random(3)
+pool = [f"w{k}" for k in range(3000)]
+item = rng.choices(pool, k=5000)
+text = [*rng.choices(pool, k=300), *item, *rng.choices(pool, k=300)]
+for k in range(500):
+    text[300 + rng.randrange(5000)] = "zz"
+found = decontaminate.Finder([(7, item), (8, rng.choices(pool, k=38))], 0.8).find([text])
+assert len(found) == 1 and found[0][1:3] == (7, 300) and found[0][3] == 5300, found
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) < 500
+
+
 # -- 8 and 10
 
 
@@ -257,6 +316,48 @@ def test_language_edges(spark):
     assert language.fit(texts(spark, EDGES), unlabelled).classes == []
 
 
+def test_network_equals_a_plain_forward_pass():
+    network = language.Network(["a", "b", "c"], seed=3)
+    rng = np.random.default_rng(4)
+    for bias in network.bias:
+        bias += rng.normal(size=len(bias)).astype(np.float32)
+    network.out_bias += rng.normal(size=3).astype(np.float32)
+    rows = ["short é text", "x" * 159 + "yz", "many words of one text " * 30, "1234 5", None, "é" * 200]
+    names, scores = network.predict(rows)
+    for text, name, score in zip(rows, names, scores, strict=True):
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert name == "und" and score == 0
+            continue
+        raw, total = text.encode(), np.zeros(3)
+        for at in range(0, len(raw), language.WINDOW):
+            window = raw[at : at + language.WINDOW]
+            cells = window + bytes(language.WINDOW - len(window))
+            pooled = []
+            for k, width in enumerate(language.WIDTHS):
+                for f in range(language.FILTERS):
+                    best = max(sum(float(network.tables[k][j, cells[p + j], f]) for j in range(width)) for p in range(language.WINDOW - width + 1))
+                    pooled.append(max(best + float(network.bias[k][f]), 0.0))
+            logits = [sum(x * float(network.out[i, c]) for i, x in enumerate(pooled)) + float(network.out_bias[c]) for c in range(3)]
+            odds = np.exp(np.array(logits) - max(logits))
+            total += odds / odds.sum() * len(window)
+        assert name == "abc"[int(total.argmax())] and score == pytest.approx(total.max() / len(raw), abs=1e-4)
+
+
+@pytest.mark.parametrize("name", ["score", "lang_pred", "n_tokens", "extra"])
+def test_columns_named_like_results_are_replaced(spark, name):
+    docs = spark.createDataFrame([(1, "some words", "old"), (2, None, "old")], f"doc_id long, text string, `{name}` string").withColumn("a.b", F.lit(1))
+    found = {
+        "quality": (quality.with_score(docs, (np.zeros(quality.TOTAL), 0.0)), ["score"]),
+        "language": (language.with_language(docs, language.Network(["x"])), ["lang_pred", "score"]),
+        "tokens": (token_counts.with_counts(docs, token_counts.unigram_scores(MODEL)), ["n_tokens", "n_pretokens"]),
+    }
+    for frame, results in found.values():
+        rows = frame.collect()
+        assert len(rows) == 2 and frame.columns == [c for c in docs.columns if c not in results] + results
+        assert name in results or all(r[name] == "old" for r in rows)
+        assert name not in results or all(r[name] != "old" for r in rows)
+
+
 def test_network_learns_by_its_gradient():
     rng = np.random.default_rng(1)
     cells = rng.integers(97, 105, (200, language.WINDOW)).astype(np.uint8)
@@ -274,6 +375,35 @@ def test_quality_on_held_out_rows(spark):
     assert sum(r.predicted == r.quality for r in held) >= 0.9 * len(held)
 
 
+def test_quality_equals_plain_sums():
+    """Every feature of a text one by one: words, character n-grams, pairs of words, pairs of shapes."""
+    shares = np.random.default_rng(5).normal(size=quality.TOTAL)
+    rows = ["Some words, some WORDS 12 some words", "one", "", None, "é é é x", "a b a b"]
+    for text, score in zip(rows, quality.Scorer(shares, 0.3).score(rows), strict=True):
+        words = re.findall(r"[^ \t-\r]+", text or "")
+        features = []
+        known = [quality.word_features([w]) for w in words]
+        for buckets, owners, _, _ in known:
+            assert set(owners.tolist()) == {0}
+            features += buckets.tolist()
+        for k in range(len(words) - 1):
+            (_, _, left_shape, left), (_, _, right_shape, right) = known[k], known[k + 1]
+            same = np.array([0, 0]) if words[k] == words[k + 1] else np.array([0, 1])
+            features += quality.pair_buckets(np.concatenate([left_shape, right_shape]), np.concatenate([left, right]), same)[0].tolist()
+        grams = sum(max(0, len(w) + 2 - n + 1) for w in words for n in quality.GRAMS)
+        assert len(features) == len(words) + grams + 2 * max(0, len(words) - 1)
+        logit = float(np.mean(shares[features])) + 0.3 if features else 0.3
+        assert score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-12)
+
+
+def test_pairs_of_words_tell_texts_apart():
+    """Texts of the same words and shapes in another order differ by their pairs of words alone."""
+    good, bad = "ab cd ef gh", "ab ef cd gh"
+    shares, bias = quality.train([good, bad] * 20, [1, 0] * 20, epochs=40)
+    high, low = quality.Scorer(shares, bias).score([good, bad])
+    assert high > 0.7 and low < 0.3
+
+
 def test_quality_edges(spark):
     docs = texts(spark, EDGES, extra=True)
     labels = spark.createDataFrame([(4, 1), (4, 0), (7, 0), (8, None), (99, 1), (10, 1), (None, 1)], "doc_id long, label int")
