@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from cadenza.llm.pii import IBAN_LENGTHS
+
 
 def _op6() -> str:
-    lengths = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
     patterns = [
         ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
         ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
         ("card", r"[0-9]([\x20-]?[0-9])+"),
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
-        ("iban", r"\b(" + "|".join(rf"{c}[0-9]{{2}}(\x20?[A-Z0-9]){{{n - 4}}}" for c, n in lengths.items()) + r")\b"),
+        ("iban", r"\b(" + "|".join(rf"{c}[0-9]{{2}}(\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTHS.items()) + r")\b"),
         ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     ]
     proposed = " UNION ALL ".join(
@@ -25,14 +26,15 @@ def _op6() -> str:
       WHEN 'phone' THEN len(digits) BETWEEN 9 AND 15
       WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c:
         CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (CASE WHEN v < 10 THEN a * 10 ELSE a * 100 END + v) % 97) = 1
-      ELSE NOT regexp_matches(m, '^(000|666|9)|^...-00-|-0000$') AND regexp_matches(lower(right(g, 40)), 'ssn|social security|tax') END"""
+      ELSE NOT regexp_matches(m, '^(000|666|9)|^...-00-|-0000$') AND (regexp_matches(lower(substr(t, greatest(st - 40, 0) + 1, least(st, 40))), 'ssn|social security|tax') OR regexp_matches(lower(substr(t, e + 1, 40)), 'ssn|social security|tax')) END"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({proposed}),
 u AS (SELECT row_id, ord, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS i FROM p WHERE len(ms) > 0),
 s AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS bare,
   CAST(sum(len(g) + len(m)) OVER (PARTITION BY row_id, ord ORDER BY i) AS BIGINT) AS e FROM u),
-v AS (SELECT row_id, ord, kind, e - len(m) AS st, e FROM s WHERE {valid}),
+x AS (SELECT s.*, e - len(m) AS st, t FROM s JOIN d USING (row_id)),
+v AS (SELECT row_id, ord, kind, st, e FROM x WHERE {valid}),
 a AS (SELECT row_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
   coalesce(string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) AS spans FROM v GROUP BY row_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
