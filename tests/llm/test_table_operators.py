@@ -2,6 +2,7 @@
 
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cadenza.llm import bloom, chroma, components, decontaminate, near_dedup, oracles, quality, registry, url_filter, warc
+from cadenza.llm import bloom, chroma, common, components, decontaminate, near_dedup, oracles, quality, registry, url_filter, warc
 from tests.comparing import assert_same
 from tests.conftest import SMALL
 from tests.llm.test_text_operators import brute_spans
@@ -20,6 +21,14 @@ def test_equals_sql(spark, duck, name):
     assert_same(registry.queries()[name](spark, SMALL), duck, oracles.SQL[name])
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    there = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: "hdfs://x/y/"), sparkContext=SimpleNamespace(master="spark://a:1"))
+    assert common.shared_dir(there) == "hdfs://x/y"
+    without = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="local-cluster[3,2,1000]"))
+    with pytest.raises(ValueError):
+        common.shared_dir(without)
+
+
 # -- 3
 
 
