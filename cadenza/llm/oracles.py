@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cadenza.llm.pii import IBAN_LENGTHS
+from cadenza.llm.pii import CONTEXT, IBAN_LENGTHS, SCORES
 
 
 def _op6() -> str:
@@ -26,7 +26,10 @@ def _op6() -> str:
       WHEN 'phone' THEN len(digits) BETWEEN 9 AND 15
       WHEN 'iban' THEN list_reduce(list_prepend(0, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c:
         CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (CASE WHEN v < 10 THEN a * 10 ELSE a * 100 END + v) % 97) = 1
-      ELSE NOT regexp_matches(m, '^(000|666|9)|^...-00-|-0000$') AND (regexp_matches(lower(substr(t, greatest(st - 40, 0) + 1, least(st, 40))), 'ssn|social security|tax') OR regexp_matches(lower(substr(t, e + 1, 40)), 'ssn|social security|tax')) END"""
+      ELSE NOT regexp_matches(m, '^(000|666|9)|^...-00-|-0000$') AND near END"""
+    word = "CASE kind " + " ".join(f"WHEN '{kind}' THEN '{words}'" for kind, words in CONTEXT.items()) + " END"
+    near = f"regexp_matches(lower(substr(t, greatest(st - 40, 0) + 1, least(st, 40))), {word}) OR regexp_matches(lower(substr(t, e + 1, 40)), {word})"
+    base = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {round(10 * score)}" for kind, score in SCORES.items()) + " END"
     return f"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents),
 p AS ({proposed}),
@@ -34,11 +37,12 @@ u AS (SELECT row_id, ord, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unn
 s AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS bare,
   CAST(sum(len(g) + len(m)) OVER (PARTITION BY row_id, ord ORDER BY i) AS BIGINT) AS e FROM u),
 x AS (SELECT s.*, e - len(m) AS st, t FROM s JOIN d USING (row_id)),
-v AS (SELECT row_id, ord, kind, st, e FROM x WHERE {valid}),
+y AS (SELECT *, {near} AS near FROM x),
+v AS (SELECT row_id, ord, kind, st, e, least(10, {base} + CASE WHEN near THEN 3 ELSE 0 END) AS score FROM y WHERE {valid}),
 a AS (SELECT row_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-  coalesce(string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) AS spans FROM v GROUP BY row_id)
+  coalesce(string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) FILTER (ord < 4), '') AS base, string_agg(kind || ':' || st || ':' || e, ',' ORDER BY ord, st) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY ord, st) AS scores FROM v GROUP BY row_id)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (row_id)"""
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN a USING (row_id)"""
 
 
 OP3 = """

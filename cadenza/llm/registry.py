@@ -61,12 +61,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scores``: of all spans, as listed in ``spans``, in tenths."""
     found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), out="found").select("doc_id", "found")
     return found.select(
         "doc_id",
         *(pii.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.BASE_KINDS),
         F.sha2(pii.listed(pii.base_only(F.col("found"))), 256).alias("base_sha256"),
         pii.listed(F.col("found")).alias("spans"),
+        F.array_join(F.transform("found", lambda s: F.round(s["score"] * 10).cast("int").cast("string")), ",").alias("scores"),
     )
 
 
