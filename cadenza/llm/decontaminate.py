@@ -35,7 +35,7 @@ from cadenza.llm.sentencepiece_codec import PairTable, blocks
 
 WORD = re.compile(r"\w+")
 SAMPLES, REPEATS, STRETCH, BLOCK_WORDS = 6, 32, 3, 500_000
-WINDOWS, CELLS = 1024, 1 << 19  # walked at once: windows, and words of theirs (a longer window is walked alone)
+WINDOWS, CELLS = 1024, 1 << 16  # walked at once: windows, and words of theirs (a longer window is walked alone)
 COUNTED = 4_000_000  # places of pairs by item that are counted at once
 SCHEMA = "item_id long, word_start long, word_end long, distance int, item_words int"
 MIX, ODD = np.uint64(0x9E3779B97F4A7C15), np.uint32(0x9E3779B1)
@@ -94,13 +94,17 @@ class Finder:
         rng = np.random.default_rng(seed)
         self.salts = rng.integers(1, 2**32, (REPEATS, 1)).astype(np.uint32)
         sizes = sorted({len(x) for x in self.symbols})
-        self.due: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}  # of each size the steps sampled: repeats, and which sample it is of theirs
+        self.width = {n: max(m for m in sizes if self._class(m) == self._class(n)) for n in sizes}
+        self.places = {n: rng.integers(0, STRETCH * n, (REPEATS, SAMPLES)) for n in sizes}
         self.keys: dict[int, tuple[np.ndarray, list[dict[int, list[int]]]]] = {}
         for n in sizes:
-            places = np.sort(rng.integers(0, STRETCH * n, (REPEATS, SAMPLES)), axis=1)
-            self.due[n] = [(step, *np.nonzero(places == step)) for step in np.unique(places).tolist()]
             own = [k for k, x in enumerate(self.symbols) if len(x) == n]
-            got = np.concatenate([self.walked(np.stack([self.symbols[k] for k in part]), n) for part in self._dealt(own, n)], axis=1)
+            got = []
+            for part in self._dealt(own, self.width[n]):
+                windows = np.zeros((len(part), self.width[n]), np.int64)
+                windows[:, :n] = np.stack([self.symbols[k] for k in part])
+                got.append(self.sampled(*self.walk(windows), n, np.arange(len(part))))
+            got = np.concatenate(got, axis=1)
             tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(REPEATS)]
             for r in range(REPEATS):
                 for k, key in zip(own, got[r].tolist(), strict=True):
@@ -108,9 +112,14 @@ class Finder:
             self.keys[n] = np.sort(got, axis=1), tables
 
     @staticmethod
-    def _dealt(windows: Sequence, n: int) -> Iterator[Sequence]:
-        """As many windows of n words at once as memory is meant for."""
-        each = max(1, min(WINDOWS, CELLS // n))
+    def _class(n: int) -> int:
+        """Items up to 64 words are walked together, longer ones with those of up to twice their length."""
+        return max(6, (n - 1).bit_length())
+
+    @staticmethod
+    def _dealt(windows: Sequence, width: int) -> Iterator[Sequence]:
+        """As many windows at once as memory is meant for: what a walk keeps grows with their words together."""
+        each = max(1, min(WINDOWS, CELLS // width))
         return (windows[a : a + each] for a in range(0, len(windows), each))
 
     def _postings(self, entries: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,23 +156,34 @@ class Finder:
             yield from zip(owner[a[same]].tolist(), item[: len(a)][same].tolist(), a[same].tolist(), b[same].tolist(), strict=True)
             first = end
 
-    def walked(self, windows: np.ndarray, n: int) -> np.ndarray:
-        """Keys of windows of n words, a row for each repeat: only the sampled steps of the walks are kept."""
-        width = n + 1
+    def walk(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each repeat, step and window, the word that the walk shows and its place in the window.
+
+        A walk doesn't depend on the item's size, which only says where it ends: one walk serves all sizes of a class.
+        """
+        longest = windows.shape[1]
         padded = np.concatenate([windows, np.zeros((len(windows), 1), np.int64)], axis=1).astype(np.uint32).ravel()
-        rows, pointer = np.arange(len(windows), dtype=np.int64) * width, np.zeros((REPEATS, len(windows)), np.int64)
-        keys = np.zeros((REPEATS, len(windows)), np.uint64)
-        done = 0
-        for step, repeats, which in self.due[n]:
-            for at in range(done, step):
-                mixed = (padded.take(rows + pointer) * ODD + np.uint32(at * 0x85EBCA6B & 0xFFFFFFFF)) ^ self.salts
-                mixed ^= mixed >> np.uint32(15)
-                pointer += (mixed * ODD) >> np.uint32(31)
-                np.minimum(pointer, n, out=pointer)
-            done = step
-            shown = padded.take(rows + pointer[repeats]).astype(np.uint64)
-            for r, k, symbol in zip(repeats.tolist(), which.tolist(), shown, strict=True):  # ``which`` ascends for each repeat
-                keys[r] = (keys[r] ^ symbol) * MIX + np.uint64(k)
+        steps = STRETCH * longest
+        shown = np.zeros((steps, REPEATS, len(windows)), np.uint32)
+        place = np.zeros((steps, REPEATS, len(windows)), np.uint8 if longest < 255 else np.int32)
+        rows, pointer = np.arange(len(windows), dtype=np.int32) * (longest + 1), np.zeros((REPEATS, len(windows)), np.int32)
+        for step in range(steps):
+            symbol = padded.take(rows + pointer)
+            shown[step], place[step] = symbol, pointer
+            mixed = (symbol * ODD + np.uint32(step * 0x85EBCA6B & 0xFFFFFFFF)) ^ self.salts
+            mixed ^= mixed >> np.uint32(15)
+            pointer += ((mixed * ODD) >> np.uint32(31)).astype(np.int32)
+            np.minimum(pointer, longest, out=pointer)
+        return shown, place
+
+    def sampled(self, shown: np.ndarray, place: np.ndarray, n: int, mine: np.ndarray) -> np.ndarray:
+        """Keys of the windows ``mine`` as windows of n words, a row for each repeat."""
+        each = np.arange(REPEATS)
+        keys = np.zeros((REPEATS, len(mine)), np.uint64)
+        for k in range(SAMPLES):
+            spot = self.places[n][:, k][:, None], each[:, None], mine
+            symbol = np.where(place[spot] < n, shown[spot], 0).astype(np.uint64)
+            keys = (keys ^ symbol) * MIX + np.uint64(k)
         return keys
 
     def find(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -205,20 +225,16 @@ class Finder:
             close = (before >= 0) & (starts[before] >= here - reach + 2) if len(starts) else np.zeros(len(here), bool)
             hits = self.counted(here[close], marks[mine, -1][close].astype(np.int64), owner, self.pair_items, number, need, reach - 2)
             self._add(regions, hits, 2, reach, limits - lengths)
-        padded = np.concatenate([text, np.zeros(max((n for n, _ in wanted), default=0), np.int64)])
-        for (n, most), near in wanted.items():
-            known, tables = self.keys[n]
-            for part in self._dealt(near, n):
-                reach = part[:, None] + np.arange(n)
-                keys = self.walked(np.where(reach < last[part][:, None], padded[reach], 0), n)
-                for r in range(REPEATS):
-                    slot = np.searchsorted(known[r], keys[r])
-                    slot[slot == known.shape[1]] = 0
-                    for w in np.flatnonzero(known[r][slot] == keys[r]).tolist():
-                        start = int(part[w])
-                        for k in tables[r][int(keys[r][w])]:
-                            if self.most[k] == most:
-                                regions[int(owner[start]), k].add(start)
+        for width in sorted(set(self.width.values())):
+            near_by = {size: near for size, near in wanted.items() if self.width[size[0]] == width}
+            padded = np.concatenate([text, np.zeros(width, np.int64)])
+            for part in self._dealt(np.unique(np.concatenate(list(near_by.values()))), width):
+                reach = part[:, None] + np.arange(width)
+                shown, place = self.walk(np.where(reach < last[part][:, None], padded[reach], 0))
+                for (n, most), near in near_by.items():
+                    mine = np.flatnonzero(np.isin(part, near, assume_unique=True))
+                    if len(mine):
+                        self._keyed(self.sampled(shown, place, n, mine), part[mine], n, most, owner, regions)
         for (doc, k), places in regions.items():
             n, most, low = len(self.symbols[k]), self.most[k], int(limits[doc] - lengths[doc])
             same = min((p for p in places if p + n <= limits[doc] and np.array_equal(text[p : p + n], self.symbols[k])), default=None)
@@ -234,6 +250,17 @@ class Finder:
                     best[doc, k] = found
         return [(doc, self.items[k][0], a, b, d, len(self.symbols[k])) for (doc, k), (d, a, b) in sorted(best.items())]
 
+    def _keyed(self, keys: np.ndarray, starts: np.ndarray, n: int, most: int, owner: np.ndarray, regions: dict[tuple[int, int], set[int]]) -> None:
+        """The starts of windows that share a key with an item."""
+        known, tables = self.keys[n]
+        for r in range(REPEATS):
+            slot = np.searchsorted(known[r], keys[r])
+            slot[slot == known.shape[1]] = 0
+            for w in np.flatnonzero(known[r][slot] == keys[r]).tolist():
+                for k in tables[r][int(keys[r][w])]:
+                    if self.most[k] == most:
+                        regions[int(owner[starts[w]]), k].add(int(starts[w]))
+
     @staticmethod
     def _add(regions: dict[tuple[int, int], set[int]], hits: Iterator[tuple[int, int, int, int]], width: int, reach: int, least: np.ndarray) -> None:
         """The first and the last start of a stretch that holds a hit; their surroundings overlap, so they cover all between."""
