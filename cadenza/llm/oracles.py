@@ -74,4 +74,73 @@ r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FR
 m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON m.id = n.doc_id"""
 
-SQL = {"op9_near_dedup": OP9, "op3_warc": OP3, "op4_url_filter": OP4, "op6_pii": _op6()}
+#: The hexadecimal text stands for the bytes: two characters each.
+OP11 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 99)) AS p, h FROM d WHERE len(h) >= 200),
+w AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) AS w FROM p),
+g AS (SELECT w, min((doc_id, p)) AS first FROM w GROUP BY w HAVING count(*) > 1),
+m AS (SELECT w.doc_id, w.p FROM w JOIN g USING (w) WHERE (w.doc_id, w.p) <> g.first),
+r AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 100 THEN 0 ELSE 1 END AS fresh FROM m),
+n AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r),
+s AS (SELECT doc_id, k, min(p) AS a, max(p) + 100 AS b FROM n GROUP BY ALL),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM s),
+k AS (SELECT t.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS b, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM t JOIN d USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN b IS NULL THEN h ELSE kept || substr(h, 2 * b + 1) END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+c AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+b AS (SELECT d.part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 2 * length(d.t))::INT
+    + 8 * regexp_matches(d.t, '[#$%&*|]')::INT + 16 * coalesce(d.doc_id > c.first, false)::INT AS fails,
+  coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM d JOIN c USING (t) LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b GROUP BY part, fails),
+l(x, f) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order, [a.f, b.f, c.f, d.f, e.f] AS fs FROM l a, l b, l c, l d, l e WHERE a.f + b.f + c.f + d.f + e.f = 31 AND len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step, fs FROM o),
+q AS (SELECT filter_order, step, fs[step] AS f, coalesce(list_sum(fs[1:step - 1]), 0)::INT AS before FROM s),
+r AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (fails & (before | f) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & f > 0), 0) AS removed,
+  coalesce(sum(n) FILTER (fails & before > 0 AND fails & f > 0), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (fails & before = 0 AND fails & f > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & f > 0), 0) AS toxic_lost FROM g, q GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+OP13 = r"""
+WITH RECURSIVE c AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 20 AS kind FROM conversations),
+r AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM c WHERE kind <> 0),
+o AS (SELECT k, turn, role, text, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM r),
+p AS (SELECT *, lag(ini) OVER (PARTITION BY k ORDER BY i) AS prior FROM o),
+f AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY k),
+g(a, b, cost, letters, made) AS (VALUES ('0', '0', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('0', 'u', 2, 'I', ['user:']), ('s', 'u', 2, 'I', ['user:']), ('a', 'u', 2, 'I', ['user:']),
+  ('u', 'a', 2, 'I', ['assistant:']), ('0', 'a', 4, 'II', ['user:', 'assistant:']), ('s', 'a', 4, 'II', ['user:', 'assistant:'])),
+v(a, ini, b) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('a', 'u', 'u'), ('u', 'a', 'a')),
+w(a, b, role) AS (VALUES ('0', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')),
+e AS (SELECT k, i, v.a, v.b, (fault = 't')::INT AS cost, 'K' AS letter, [o.role || ':' || text] AS made FROM o JOIN v USING (ini) WHERE fault IN ('', 't')
+  UNION ALL SELECT k, i, w.a, w.b, 2 + (fault = 't')::INT, 'R', [w.role || ':' || text] FROM o, w WHERE fault IN ('', 't')
+  UNION ALL SELECT k, i, a, a, 3, 'D', [] FROM o, (VALUES ('0'), ('s'), ('u'), ('a')) x(a)),
+t(k, i, a, cost, audit, made) AS (SELECT k, 0::BIGINT, '0', 0::BIGINT, '', []::VARCHAR[] FROM f
+  UNION ALL SELECT k, i, a, best.cost, best.audit, best.made FROM (SELECT t.k, t.i + 1 AS i, e.b AS a,
+    min({'cost': t.cost + g.cost + e.cost, 'audit': t.audit || g.letters || e.letter, 'made': t.made || g.made || e.made}) AS best
+    FROM t JOIN g ON g.a = t.a JOIN e ON e.k = t.k AND e.i = t.i + 1 AND e.a = g.b GROUP BY ALL)),
+l AS (SELECT t.k, min({'cost': t.cost + g.cost, 'audit': t.audit || g.letters, 'made': t.made || g.made}) AS best FROM t JOIN f ON f.k = t.k AND t.i = f.n JOIN g ON g.a = t.a WHERE g.b IN ('0', 'a') GROUP BY t.k)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT k, conv_id FROM c) LEFT JOIN f USING (k) LEFT JOIN l USING (k)"""
+
+SQL = {
+    "op3_warc": OP3,
+    "op4_url_filter": OP4,
+    "op6_pii": _op6(),
+    "op9_near_dedup": OP9,
+    "op11_repeats": OP11,
+    "op12_filter_audit": OP12,
+    "op13_conversations": OP13,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import chroma, decontaminate, language, near_dedup, oracles, pii, quality, sentencepiece_codec, token_counts, url_filter, warc
+from cadenza.llm import chroma, conversations, decontaminate, filter_audit, language, near_dedup, oracles, pii, quality, repeats, sentencepiece_codec, token_counts, url_filter, warc
 from cadenza.llm.common import table
 
 
@@ -97,8 +97,38 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = (
+    op1_decontaminate,
+    op2_chroma,
+    op3_warc,
+    op4_url_filter,
+    op5_sentencepiece,
+    op6_pii,
+    op7_token_counts,
+    op8_language,
+    op9_near_dedup,
+    op10_quality,
+    op11_repeats,
+    op12_filter_audit,
+    op13_conversations,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_chroma, op3_warc, op4_url_filter, op5_sentencepiece, op6_pii, op7_token_counts, op8_language, op9_near_dedup, op10_quality)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
