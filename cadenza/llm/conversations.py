@@ -70,8 +70,8 @@ def with_codes(turns: DataFrame) -> DataFrame:
     fault = F.when(F.col("gone"), GONE).when(bare, BLANK).when(again, DUPLICATE).when(~F.substring(end, -1, 1).isin(".", "!", "?"), TRUNCATED).otherwise(FINE)
     first = F.substring("role", 1, 1)
     initial = F.when(first == "s", S).when(first == "u", U).when(first == "a", A).otherwise(0)
-    coded = rows.select("conv_id", "turn", "role", "text", initial.cast("byte").alias("initial"), fault.cast("byte").alias("fault"))
-    return coded.sortWithinPartitions("conv_id", "turn", "role", "text")
+    coded = rows.select("conv_id", "turn", "role", "text", initial.cast("byte").alias("initial"), fault.cast("byte").alias("fault"), again.alias("again"))
+    return coded.sortWithinPartitions("conv_id", "turn", "role", "text", "again").drop("again")
 
 
 def backward(initial: np.ndarray, fault: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -113,9 +113,10 @@ WITH RECURSIVE c AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS k, conv_id,
     lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 20 AS kind FROM conversations),
 r AS (SELECT k, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
   unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) FROM c WHERE kind <> 0),
-o AS (SELECT k, turn, role, text, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) AS i,
-  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 THEN 'd'
-    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM r),
+q AS (SELECT *, row_number() OVER (PARTITION BY k, role, text ORDER BY turn NULLS FIRST) > 1 AS again FROM r),
+o AS (SELECT k, turn, role, text, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, again) AS i,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault FROM q),
 p AS (SELECT *, lag(ini) OVER (PARTITION BY k ORDER BY i) AS prior FROM o),
 f AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM p GROUP BY k),
