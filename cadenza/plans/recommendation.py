@@ -310,11 +310,6 @@ def src_csv_playlist(spark, d):
     return catalog_csv.read_playlists(spark, path)
 
 
-@query("SELECT r AS id, 'item ' || r AS name FROM range(0, 1234) t(r)")
-def src_rest_pages(spark, d):
-    return rest.read_pages(spark, total=1234)
-
-
 def offline_lookup(ids: list) -> rest.Answer:
     """A look-up service that needs no network; it doesn't know every seventh id."""
     return 200, {}, [{"id": k, "name": f"artist {k}"} if k % 7 else None for k in ids]

@@ -9,11 +9,13 @@ from __future__ import annotations
 import importlib
 import time
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 RETRIED = {429, 500, 502, 503, 504}
@@ -24,6 +26,24 @@ ARTIST_BATCH, ALBUM_BATCH = 50, 20
 Answer = tuple[int, dict, object]
 
 
+def wait_of(asked: object, otherwise: float, now: datetime | None = None) -> float:
+    """Seconds to wait by a ``Retry-After`` value: a number of seconds or a date; never below zero, never beyond the bound.
+
+    A value that is neither counts as none.
+    """
+    wait = otherwise
+    if asked is not None:
+        try:
+            wait = float(str(asked))
+        except ValueError:
+            try:
+                date = parsedate_to_datetime(str(asked))
+                wait = ((date if date.tzinfo else date.replace(tzinfo=UTC)) - (now or datetime.now(UTC))).total_seconds()
+            except ValueError:
+                pass
+    return min(max(wait, 0.0), LONGEST_WAIT) if wait == wait else otherwise
+
+
 def with_retry(call: Callable[[], Answer], attempts: int = 5, first_wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> object:
     """The body of the first good answer; waits double, and ``Retry-After`` is obeyed, up to a bound."""
     for k in range(attempts):
@@ -32,8 +52,8 @@ def with_retry(call: Callable[[], Answer], attempts: int = 5, first_wait: float
             return body
         if status not in RETRIED or k + 1 == attempts:
             raise RuntimeError(f"the service answered {status}")
-        wait = float(headers.get("Retry-After", first_wait * 2**k))
-        sleep(min(wait, LONGEST_WAIT))
+        asked = next((v for name, v in headers.items() if name.lower() == "retry-after"), None)
+        sleep(wait_of(asked, first_wait * 2**k))
     raise RuntimeError("no attempt was allowed")
 
 
@@ -95,11 +115,16 @@ def _named(transport: str) -> Callable[..., Answer]:
 
 
 class PagedSource(DataSource):
-    """``spark.read.format("cadenza_pages")``: the items of a paged service, a task for each range of pages.
+    """``cadenza_pages``: the items of a paged service, as a batch or as a stream.
 
     Options: ``transport`` (module:function of offset, size and the options; ``offline`` where left out), ``size`` of a
-    page, ``tasks``, ``first_wait`` of the retry rule, and those of the transport. The first page's body says how many
-    items there are; a task stops at its first empty page. Fields are taken by name from the schema given to the reader.
+    page, ``tasks``, ``first_wait`` of the retry rule, and those of the transport. The service's total is split into one
+    range of items for each task. Within its range a task asks again from where the last answer ended, so a service that
+    gives shorter pages than asked for loses nothing; it stops at its first empty page. Fields are taken by name from the
+    schema given to the reader; ``position`` is an item's place in the service's order.
+
+    As a stream an offset is the next item's position: each batch has what the service has gained, and a restart goes on
+    with the first item that no finished batch had.
     """
 
     @classmethod
@@ -112,30 +137,68 @@ class PagedSource(DataSource):
     def reader(self, schema: StructType) -> DataSourceReader:
         return _PagedReader(schema.fieldNames(), dict(self.options))
 
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _PagedStream(schema.fieldNames(), dict(self.options))
+
+
+class _Pages:
+    """Ranges of a service's items."""
 
-class _PagedReader(DataSourceReader):
     def __init__(self, names: list[str], options: dict):
         self.names, self.options = names, options
         self.size, self.tasks = int(options.get("size", 50)), int(options.get("tasks", 4))
 
-    def _page(self, number: int) -> dict:
+    def page(self, offset: int, size: int) -> dict:
         fetch = _named(self.options.get("transport", "cadenza.sources.rest:offline"))
-        return with_retry(lambda: fetch(number * self.size, self.size, self.options), first_wait=float(self.options.get("first_wait", 0.5)))
+        return with_retry(lambda: fetch(offset, size, self.options), first_wait=float(self.options.get("first_wait", 0.5)))
 
-    def partitions(self) -> list[InputPartition]:
-        count = -(-int(self._page(0).get("total", 0)) // self.size)
-        return [InputPartition((k, count)) for k in range(min(self.tasks, max(count, 1)))]
+    def total(self) -> int:
+        return int(self.page(0, 1).get("total", 0))
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        first, count = partition.value
-        for number in range(first, count, self.tasks):
-            items = self._page(number).get("items") or []
+    def ranges(self, first: int, last: int) -> list[InputPartition]:
+        each = max(-(-(last - first) // self.tasks), self.size, 1)
+        return [InputPartition((a, min(a + each, last))) for a in range(first, last, each)]
+
+    def items(self, partition: InputPartition) -> Iterator[tuple]:
+        at, last = partition.value
+        while at < last:
+            items = (self.page(at, min(self.size, last - at)).get("items") or [])[: last - at]
             if not items:
                 return
-            yield from (tuple(x.get(n) for n in self.names) for x in items if x is not None)
+            for k, x in enumerate(items):
+                if x is not None:
+                    yield tuple(at + k if n == "position" else x.get(n) for n in self.names)
+            at += len(items)
+
+
+class _PagedReader(_Pages, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.ranges(0, self.total()) or [InputPartition((0, 0))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.items(partition)
+
+
+class _PagedStream(_Pages, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"next": 0}
+
+    def latestOffset(self) -> dict:
+        return {"next": self.total()}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.ranges(start["next"], end["next"])
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return self.items(partition)
 
 
 def read_pages(spark: SparkSession, schema: str | None = None, **options: object) -> DataFrame:
     spark.dataSource.register(PagedSource)
     reader = spark.read.format("cadenza_pages").options(**options)
     return (reader.schema(schema) if schema else reader).load()
+
+
+def stream_pages(spark: SparkSession, schema: str, **options: object) -> DataFrame:
+    spark.dataSource.register(PagedSource)
+    return spark.readStream.format("cadenza_pages").options(**options).schema(schema).load()

@@ -35,6 +35,42 @@ def append_new(fresh: DataFrame, path: str, key: str) -> None:
     only_new(fresh, read_or_empty(fresh.sparkSession, path, fresh.schema), key).write.mode("append").parquet(path)
 
 
+def bucket_of(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def upsert(fresh: DataFrame, path: str, key: str, buckets: int = 64) -> list[int]:
+    """New keys are added, known ones replaced, in a table of hash buckets; which buckets were written anew.
+
+    ``fresh``: one row for each key, written down or cheap to read again. Only buckets in which a row really changes are
+    rewritten (dynamic partition overwrite); all others keep their files, so a repeated run writes nothing. A table keeps
+    the number of buckets that it began with, as its folders' names depend on it.
+    """
+    spark, columns = fresh.sparkSession, fresh.columns
+    dealt = fresh.withColumn("bucket", bucket_of(key, buckets))
+    old = read_or_empty(spark, path, dealt.schema)
+    touched = [r.bucket for r in dealt.select("bucket").distinct().collect()]  # at most ``buckets``
+    near = old.where(F.col("bucket").isin(touched))
+    # a column is compared as it is, null with null
+    rows = dealt.select(key, "bucket", F.struct(*columns).alias("__new")).join(near.select(key, F.struct(*columns).alias("__old")), key, "left")
+    changed = sorted(r.bucket for r in rows.where(~F.col("__new").eqNullSafe(F.col("__old"))).select("bucket").distinct().collect())
+    if changed:
+        own = dealt.where(F.col("bucket").isin(changed))
+        kept = old.where(F.col("bucket").isin(changed)).join(own.select(key), key, "left_anti")
+        merged = kept.select(*columns, "bucket").unionByName(own).repartition("bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return changed
+
+
+def append_bucketed(fresh: DataFrame, name: str, path: str, key: str, buckets: int = 64) -> None:
+    """As ``append_new``, for a bucketed table: looking for known keys shuffles the fresh rows alone, not the table."""
+    spark = fresh.sparkSession
+    exists = spark.catalog.tableExists(name)
+    rows = only_new(fresh, spark.table(name), key) if exists else only_new(fresh, fresh.limit(0), key)
+    writer = rows.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(name)
+
+
 def rebuild(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

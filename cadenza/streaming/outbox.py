@@ -5,10 +5,14 @@ from __future__ import annotations
 import logging
 import threading
 from collections.abc import Callable
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from cadenza.sources import sinks
 
 BATCH, MOST_ATTEMPTS = 50, 5
 #: Seconds between the ticks of the log's dispatch, of the enrichment and of the ingestion.
@@ -37,6 +41,72 @@ def dispatch(spark: SparkSession, source: str, schema: str, handle: Callable[[Da
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 
+ATTEMPTS = "id long, attempt int, at timestamp, ok boolean, dead boolean, error string"
+#: The id of rows that only bring the time.
+CLOCK = -1
+
+
+class Delivery(StatefulProcessor):
+    """One message: tried when it comes and again after each interval, until it is delivered or has failed too often.
+
+    State, only of messages that have failed: attempts so far, time of the next one, the payload. A timer of the event
+    time brings a message back, without a new row of its own. ``deliver`` (id, payload, attempt) raises where it fails.
+    """
+
+    def __init__(self, deliver: Callable[[int, str, int], None], seconds: int, most_attempts: int):
+        self.deliver, self.wait, self.most_attempts = deliver, 1000 * seconds, most_attempts
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("waiting", "attempts int, due long, payload string")
+
+    def tried(self, id_: int, payload: str, attempt: int, now: int):
+        error = None
+        try:
+            self.deliver(id_, payload, attempt)
+        except Exception as e:  # noqa: BLE001
+            error = str(e)
+        dead = error is not None and attempt >= self.most_attempts
+        if error is not None and not dead:
+            self.state.update((attempt, now + self.wait, payload))
+            self.handle.registerTimer(now + self.wait)
+        elif attempt > 1:
+            self.state.clear()
+        at = datetime.fromtimestamp(now / 1000, UTC)
+        return Row(id=id_, attempt=attempt, at=at, ok=error is None, dead=dead, error=error)
+
+    def handleInputRows(self, key, rows, timerValues):
+        for row in rows:
+            if row.id != CLOCK:
+                yield self.tried(row.id, row.payload, 1, int(row.at.timestamp() * 1000))
+                return  # a message that comes again in the same batch is the same message
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        attempts, due, payload = self.state.get()
+        yield self.tried(key[0], payload, attempts + 1, due)
+
+    def close(self) -> None:
+        pass
+
+
+def dispatch_messages(messages: DataFrame, deliver: Callable[[int, str, int], None], path: str, checkpoint: str, seconds: int = INTERVALS["dispatch"], most_attempts: int = MOST_ATTEMPTS, once: bool = True) -> StreamingQuery:
+    """Delivers a stream of messages (id, payload, at) with retries kept in state; attempts are appended to ``path``.
+
+    ``at``: when the message entered the log; it drives the watermark, so rows of the id ``CLOCK`` may move the time on
+    where no message comes. A restart goes on from the checkpoint: attempts and waiting messages are not lost.
+    """
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    tried = messages.withWatermark("at", "0 seconds").groupBy("id").transformWithState(Delivery(deliver, seconds, most_attempts), ATTEMPTS, "append", "eventTime")
+    writer = tried.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def marks(attempts: DataFrame) -> DataFrame:
+    """The state of each message after its attempts: id, attempts, processed_at, dead_lettered_at, error of the last one."""
+    last = attempts.groupBy("id").agg(F.max(F.struct("attempt", "at", "ok", "dead", "error")).alias("last"))
+    return last.select("id", F.col("last.attempt").alias("attempts"), F.expr("CASE WHEN last.ok THEN last.at END").alias("processed_at"), F.expr("CASE WHEN last.dead THEN last.at END").alias("dead_lettered_at"), F.col("last.error").alias("error"))
+
+
 def timed(name: str, tick: Callable[[], object], seconds: float, stop: threading.Event) -> int:
     """Runs a tick at once and then after each interval until ``stop`` is set; a failed tick is logged and not fatal.
 
@@ -61,6 +131,37 @@ def ingest_counters(batch: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(batch.agg(F.count_if(blank).alias("skipped"))))
 
 
+def ingest(batch: DataFrame, run: int, target: str, counters: str, key: str = "id", name: str = "name", order: str = "position") -> None:
+    """One run of an ingestion: the first row of each key with a name is added to, or replaces that of, the table ``target``.
+
+    Safe to repeat: a row remembers the run that added it (``first_run``), so a run that is done again after a failure
+    writes the same rows and counts the same. Counters, a row for each run: ingested, updated, skipped (blank key or name),
+    duplicates (a key seen earlier in the run), total.
+    """
+    spark = batch.sparkSession
+    blank = (F.coalesce(F.trim(F.col(key)), F.lit("")) == "") | (F.coalesce(F.trim(F.col(name)), F.lit("")) == "")
+    marked = batch.withColumn("__blank", blank)
+    rest = [c for c in batch.columns if c not in (key, order)]
+    first = marked.where("NOT __blank").groupBy(key).agg(F.min(F.struct(order, *rest)).alias("__row"), F.count("*").alias("__n"))
+    schema = batch.select(key, *rest).withColumn("first_run", F.lit(0).cast("long")).withColumn("bucket", F.lit(0)).schema
+    known = sinks.read_or_empty(spark, target, schema).select(key, F.col("first_run").alias("__run"))
+    # read again below: once for the table, once for the counters, so it is written first
+    held = f"{counters}_runs/{run}"
+    first.join(known, key, "left").select(key, *(f"__row.{c}" for c in rest), F.coalesce("__run", F.lit(run).cast("long")).alias("first_run"), "__n").write.mode("overwrite").parquet(held)
+    done = spark.read.parquet(held)
+    counts = done.agg(F.count_if(F.col("first_run") == run).alias("ingested"), F.count_if(F.col("first_run") != run).alias("updated"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    totals = marked.agg(F.count_if("__blank").alias("skipped"), F.count("*").alias("total"))
+    sinks.upsert(done.drop("__n"), target, key)
+    row = counts.crossJoin(F.broadcast(totals)).select(F.lit(run).cast("long").alias("run"), "ingested", "updated", "skipped", "duplicates", "total")
+    row.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(counters)
+
+
+def ingest_stream(items: DataFrame, target: str, counters: str, checkpoint: str, once: bool = True, seconds: int = INTERVALS["ingestion"]) -> StreamingQuery:
+    """``ingest`` for each micro-batch of a stream of items (id, name, position and further columns)."""
+    writer = items.writeStream.foreachBatch(lambda batch, run: ingest(batch, run, target, counters)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def windowed(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Beyond the catalogue's own needs: event-time windows with a watermark; the same for a batch and a stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
