@@ -29,8 +29,8 @@ def seed_references(spark, catalog: str, target: str) -> None:
 
 
 def seed_playlists(spark, source: str, catalog: str, target: str) -> None:
-    """Playlists whose tracks resolve to one catalogue track by key; ambiguous keys are discarded."""
-    rows = catalog_csv.read_playlists(spark, source).withColumn("row_id", F.monotonically_increasing_id())
+    """Playlists whose tracks resolve to one catalogue track by key, in the order of the files; ambiguous keys are discarded."""
+    rows = catalog_csv.read_playlists(spark, source, place="row_id")
     keyed = rows.withColumn("match_key", match_key(F.col("track"), F.col("artist")))
     found = keyed.join(matching.unique_keys(spark.read.parquet(catalog)), "match_key", "left")
     named = found.select("row_id", derived_id(F.col("user_id"), F.col("playlist")).alias("playlist"), F.col("id").alias("track"), truncated(F.col("playlist")).alias("name"))

@@ -8,22 +8,41 @@ from pyspark.sql import functions as F
 
 #: Items of a basket that are paired in one task; larger baskets are dealt to pairs of parts.
 PART = 500
+#: Large baskets whose sizes are sent to all tasks; more are joined.
+MOST_LARGE = 10_000
+
+
+def frequent(memberships: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct memberships of items with ``least`` baskets or more (fewer can't make a pair), and those items' totals."""
+    distinct = memberships.select("basket", "item").distinct()
+    totals = distinct.groupBy("item").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    return distinct.join(totals.select("item"), "item", "left_semi"), totals
 
 
 def pairs(memberships: DataFrame, least: int = 2) -> DataFrame:
     """``memberships``: basket, item (repeats count once). Pairs low < high in at least ``least`` baskets.
 
-    A basket of n items makes n * (n - 1) / 2 pairs, as its definition asks. Those with more than ``PART`` items are cut
-    into parts by a hash of the item, and each two parts meet under a key of their own, so that one basket spreads
-    over many tasks.
+    A basket meets once, as a sorted array of its frequent items, and makes its pairs in place: n * (n - 1) / 2, as the
+    definition asks. One with more than ``PART`` items is cut into parts by a hash of the item, and each two parts meet
+    under a key of their own, so that it spreads over many tasks and no array is longer than two parts.
     """
-    distinct = memberships.select("basket", "item").distinct()
-    large = distinct.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("basket", F.ceil(F.col("n") / PART).alias("parts"))
-    cut = distinct.join(large, "basket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0).cast("long")))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long")))))
-    placed = met.select("basket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "item")
-    a, b = placed.withColumnsRenamed({"item": "low", "own": "low_part"}), placed.withColumnsRenamed({"item": "high", "own": "high_part"})
-    both = a.join(b, ["basket", "x", "y"]).where("low < high AND (x = y OR low_part <> high_part)")
+    return _paired(memberships, frequent(memberships, least)[0], least)
+
+
+def _paired(memberships: DataFrame, kept: DataFrame, least: int) -> DataFrame:
+    large = memberships.groupBy("basket").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("basket", F.ceil(F.col("n") / PART).alias("parts"))
+    few = large.limit(MOST_LARGE + 1).collect()
+    if few:
+        sizes = F.broadcast(memberships.sparkSession.createDataFrame(few, large.schema)) if len(few) <= MOST_LARGE else large
+        cut = kept.join(sizes, "basket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("item"), F.col("parts")), F.lit(0).cast("long")))
+        met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0).cast("long")))))
+        cells = met.groupBy("basket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).agg(F.array_sort(F.collect_list(F.struct("item", "own"))).alias("items"))
+        lows = cells.select("x", "y", F.posexplode("items").alias("k", "a"), "items")
+        both = lows.select("x", "y", "a", F.explode(F.expr("slice(items, k + 2, size(items))")).alias("b")).where("x = y OR a.own <> b.own")
+        both = both.select(F.col("a.item").alias("low"), F.col("b.item").alias("high"))
+    else:
+        lows = kept.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).select(F.posexplode("items").alias("k", "low"), "items")
+        both = lows.select("low", F.explode(F.expr("slice(items, k + 2, size(items))")).alias("high"))
     return both.groupBy("low", "high").agg(F.count("*").alias("co_count")).where(F.col("co_count") >= least)
 
 
@@ -40,8 +59,8 @@ def seed_edges(memberships: DataFrame, seeds: DataFrame, least: int = 2) -> Data
 
 def matrix(memberships: DataFrame, least: int = 2) -> DataFrame:
     """Pairs with the baskets of each side and the Jaccard weight."""
-    totals = memberships.select("basket", "item").distinct().groupBy("item").agg(F.count("*").alias("total"))
-    sided = pairs(memberships, least).join(totals.select(F.col("item").alias("low"), F.col("total").alias("low_total")), "low")
+    kept, totals = frequent(memberships, least)
+    sided = _paired(memberships, kept, least).join(totals.select(F.col("item").alias("low"), F.col("total").alias("low_total")), "low")
     sided = sided.join(totals.select(F.col("item").alias("high"), F.col("total").alias("high_total")), "high")
     weight = F.col("co_count") / (F.col("low_total") + F.col("high_total") - F.col("co_count"))
     return sided.select("low", "high", "co_count", "low_total", "high_total", F.round(weight, 9).alias("jaccard"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.functions.numeric import pearson
+from cadenza.operators import ranks
 from cadenza.operators.paging import DEFAULT_SIZE, page_of, sort_columns
 
 NO_GENRE = "(no genre)"
@@ -31,12 +32,9 @@ def optional_equal(df: DataFrame, column: str, wanted: str | None) -> DataFrame:
 
 def genre_insights(df: DataFrame, sort: str = "average", page: int = 1, size: int = DEFAULT_SIZE) -> DataFrame:
     """``df``: genre, popularity, is_imputed."""
-    grouped = df.groupBy(F.coalesce("genre", F.lit(NO_GENRE)).alias("genre")).agg(
-        F.round(F.avg("popularity"), 6).alias("average_popularity"),
-        F.round(F.percentile("popularity", 0.5), 6).alias("median_popularity"),
-        F.count("*").alias("track_count"),
-        F.count_if("is_imputed").alias("imputed_track_count"),
-    )
+    named = df.withColumn("genre", F.coalesce("genre", F.lit(NO_GENRE)))
+    grouped = named.groupBy("genre").agg(F.round(F.avg("popularity"), 6).alias("average_popularity"), F.count("*").alias("track_count"), F.count_if("is_imputed").alias("imputed_track_count"))
+    grouped = grouped.join(ranks.medians(named, ["genre"], "popularity"), "genre").select("genre", "average_popularity", F.round("median", 6).alias("median_popularity"), "track_count", "imputed_track_count")
     sorts = {"average": [F.desc("average_popularity"), F.asc("genre")], "count": [F.desc("track_count"), F.asc("genre")], "genre": [F.asc("genre")]}
     return page_of(grouped, sort_columns(sorts, sort), page, size)
 
@@ -140,15 +138,17 @@ def search(tracks: DataFrame, term: str | None, page: int = 1, size: int = DEFAU
 
 
 def zero_inflation(df: DataFrame) -> DataFrame:
-    """``df``: genre, popularity."""
-    return df.groupBy("genre").agg(
+    """``df``: genre, popularity. Rows without a genre are a group of their own."""
+    flagged = df.select(F.col("genre").isNull().alias("bare"), F.coalesce("genre", F.lit("")).alias("genre"), "popularity")
+    counts = flagged.groupBy("bare", "genre").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("popularity") == 0).alias("zeros"),
         F.round(F.try_divide(100.0 * F.count_if(F.col("popularity") == 0), F.count("*")), 6).alias("zero_percent"),
         F.round(F.avg("popularity"), 6).alias("mean"),
-        F.round(F.percentile("popularity", 0.5), 6).alias("median"),
         F.max("popularity").alias("highest"),
     )
+    whole = counts.join(ranks.medians(flagged, ["bare", "genre"], "popularity"), ["bare", "genre"])
+    return whole.select(F.when(~F.col("bare"), F.col("genre")).alias("genre"), "n", "zeros", "zero_percent", "mean", F.round("median", 6).alias("median"), "highest")
 
 
 def complete(columns: list[str]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions.text import split_credits
+from cadenza.operators import ranks
 
 TOLERANCE_MS = 2000
 CONTINUOUS = ("danceability", "energy", "valence")
@@ -44,23 +45,13 @@ def first_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def medians(df: DataFrame, genre: str, measures: list[str]) -> DataFrame:
-    """Exact medians for each genre, and over all rows (genre null), those without a genre included.
-
-    Values are counted first, before the shuffle, and the middle ones are found on the running counts of distinct values.
-    """
+    """Exact medians for each genre, and over all rows (genre null), those without a genre included."""
     cleaned = df.select(F.nullif(F.lower(F.trim(genre)), F.lit("")).alias("genre"), *(F.col(m).cast("double").alias(m) for m in measures))
-    long = cleaned.unpivot("genre", measures, "measure", "value").groupBy("genre", "measure", "value").agg(F.count("value").alias("n"))
-    own = long.where("genre IS NOT NULL").withColumn("whole", F.lit(False))
-    every = long.groupBy("measure", "value").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("genre"), "measure", "value", "n", F.lit(True).alias("whole"))
-    group = Window.partitionBy("whole", "genre", "measure")
-    counted = own.unionByName(every).withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("total", F.sum("n").over(group))
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= place, F.when(F.col("n") > 0, F.col("value"))))
-
-    low, high = at(F.floor((F.col("total") + 1) / 2)), at(F.floor(F.col("total") / 2) + 1)
-    found = counted.groupBy("whole", "genre", "measure").agg((low + (high - low) * 0.5).alias("median"))
-    return found.groupBy("whole", "genre").pivot("measure", measures).agg(F.first("median")).select("genre", *measures)
+    group = F.array_compact(F.array(F.struct(F.lit(True).alias("whole"), F.lit("").alias("genre")), F.when(F.col("genre").isNotNull(), F.struct(F.lit(False).alias("whole"), "genre"))))
+    long = cleaned.select(F.explode(group).alias("g"), *measures).select("g.whole", "g.genre", *measures).unpivot(["whole", "genre"], measures, "measure", "value")
+    found = ranks.medians(long, ["whole", "genre", "measure"], "value")
+    turned = found.groupBy("whole", "genre").agg(*(F.max(F.when(F.col("measure") == m, F.col("median"))).alias(m) for m in measures))
+    return turned.select(F.when(~F.col("whole"), F.col("genre")).alias("genre"), *measures)
 
 
 def impute(df: DataFrame, genre: str, continuous: list[str], discrete: list[str]) -> DataFrame:

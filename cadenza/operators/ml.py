@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import MinMaxScaler, OneHotEncoder, OneHotEncoderModel, StringIndexer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,23 +75,51 @@ def cross_validated(df: DataFrame, build, label: str, identifier: str, folds: in
     return mean, (sum((r - mean) ** 2 for r in found) / folds) ** 0.5
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[str], label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> DataFrame:
-    """feature, slot, r2_drop, r2_sd, mae_rise, mae_sd: means and deviations over permutations of a column's values.
+def slots_of(model: PipelineModel, df: DataFrame) -> list[tuple[str, str]]:
+    """(feature, slot) of each place of the assembled vector, from its metadata: a category has a slot for each value."""
+    attributes = model.transform(df.limit(0)).schema["__slots"].metadata["ml_attr"]["attrs"]
+    named = sorted((a["idx"], a["name"]) for kind in attributes.values() for a in kind)
+    coded = {f"__o_{c}_": c for s in model.stages if isinstance(s, OneHotEncoderModel) for c in (x.removeprefix("__o_") for x in s.getOutputCols())}
+
+    def feature(name: str) -> tuple[str, str]:
+        found = max((p for p in coded if name.startswith(p)), key=len, default=None)
+        return (coded[found], f"{coded[found]}={name.removeprefix(found)}") if found else (name, name)
+
+    return [feature(name) for _, name in named]
+
+
+def partners(rows: DataFrame, identifier: str, permutations: int, buckets: int) -> DataFrame:
+    """(identifier, __p, __x): the vector of another row, by a permutation for each __p.
 
-    Values change places within buckets of a hash, so that no task orders all rows; all permutations of a column are one job.
+    Rows change places within buckets of a hash, so that no task orders all rows.
     """
-    base = regression_metrics(model.transform(test), label, "prediction").first()
-    own = F.pmod(F.xxhash64(F.col(identifier)), F.lit(buckets))
-    found = []
-    for c in columns:
-        placed = test.withColumn("__b", own).withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(identifier)))
-        dealt = test.select(identifier, own.alias("__b"), F.col(c).alias("__moved"), F.explode(F.array(*map(F.lit, range(permutations)))).alias("__p"))
-        order = Window.partitionBy("__p", "__b").orderBy(F.xxhash64(F.col(identifier), F.lit(c), F.col("__p")), identifier)
-        moved = dealt.select("__p", "__b", F.row_number().over(order).alias("__n"), "__moved")
-        shuffled = placed.join(moved, ["__b", "__n"]).withColumn(c, F.col("__moved")).drop("__moved")
-        error = F.col(label) - F.col("prediction")
-        sums = model.transform(shuffled).groupBy("__p").agg(F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("sse"), (F.var_pop(label) * F.count(label)).alias("sst"))
-        each = sums.select((F.col("mae") - base["mae"]).alias("rise"), (F.lit(base["r2"]) - F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0)).alias("drop"))
-        means = [F.avg("drop").alias("r2_drop"), F.stddev_pop("drop").alias("r2_sd"), F.avg("rise").alias("mae_rise"), F.stddev_pop("rise").alias("mae_sd")]
-        found.append(each.agg(*means).select(F.lit(c.split(".")[0]).alias("feature"), F.lit(c).alias("slot"), "r2_drop", "r2_sd", "mae_rise", "mae_sd"))
-    return reduce(DataFrame.unionByName, found)
+    own = rows.select(identifier, "__x", F.pmod(F.xxhash64(F.col(identifier)), F.lit(buckets)).alias("__b"))
+    placed = own.select(identifier, "__b", F.row_number().over(Window.partitionBy("__b").orderBy(identifier)).alias("__n"))
+    each = F.explode(F.array(*map(F.lit, range(permutations)))).alias("__p")
+    order = Window.partitionBy("__p", "__b").orderBy(F.xxhash64(F.col(identifier), F.col("__p")), identifier)
+    moved = own.select(identifier, "__b", "__x", each).select("__p", "__b", "__x", F.row_number().over(order).alias("__n"))
+    return placed.join(moved, ["__b", "__n"]).select(identifier, "__p", "__x")
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> DataFrame:
+    """feature, slot, r2_drop, r2_sd, mae_rise, mae_sd of every slot of the model's vector: means and deviations over
+    permutations of the slot's values.
+
+    All slots and permutations are scored by one job: a row meets its partner of each permutation once, and copies of its
+    vector with one slot taken from the partner are made, scored and summed up in place.
+    """
+    slots = slots_of(model, test)
+    ready = PipelineModel(model.stages[:-1]).transform(test).select(identifier, F.col(label).cast("double").alias("__y"), vector_to_array("features").alias("__own"))
+    met = ready.join(partners(ready.withColumnRenamed("__own", "__x"), identifier, permutations, buckets), identifier)
+    # slot -1 is the vector as it is
+    swapped = F.transform(F.sequence(F.lit(-1), F.lit(len(slots) - 1)), lambda s: F.struct(s.alias("slot"), F.transform("__own", lambda v, k: F.when(k == s, F.get("__x", k)).otherwise(v)).alias("v")))
+    each = met.select("__y", "__p", F.explode(swapped).alias("s")).select("__y", "__p", "s.slot", array_to_vector("s.v").alias("features"))
+    error = F.col("__y") - F.col("prediction")
+    sums = model.stages[-1].transform(each).groupBy("slot", "__p").agg(F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("sse"), (F.var_pop("__y") * F.count("__y")).alias("sst"))
+    # a row for each slot and permutation from here on
+    measured = sums.select("slot", "__p", "mae", F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).otherwise(0.0).alias("r2"))
+    whole = measured.where("slot = -1").select("__p", F.col("mae").alias("mae_whole"), F.col("r2").alias("r2_whole"))
+    gone = measured.where("slot >= 0").join(whole, "__p").select("slot", (F.col("r2_whole") - F.col("r2")).alias("drop"), (F.col("mae") - F.col("mae_whole")).alias("rise"))
+    means = gone.groupBy("slot").agg(F.avg("drop").alias("r2_drop"), F.stddev_pop("drop").alias("r2_sd"), F.avg("rise").alias("mae_rise"), F.stddev_pop("rise").alias("mae_sd"))
+    names = test.sparkSession.createDataFrame([(k, *n) for k, n in enumerate(slots)], "k int, feature string, name string")
+    return means.join(F.broadcast(names), F.col("slot") == F.col("k")).select("feature", F.col("name").alias("slot"), "r2_drop", "r2_sd", "mae_rise", "mae_sd")

@@ -126,12 +126,10 @@ def page_offset(spark, d):
     return paging.page_of(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], page=3)
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS row_number, (row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1) // 200 + 1 AS page FROM orders")
 def page_drain(spark, d):
-    drained = None
-    for page in paging.pages(table(spark, d, "nation").select("n_nationkey", "n_name"), [F.asc("n_name"), F.asc("n_nationkey")], 10):
-        drained = page if drained is None else drained.unionByName(page)
-    return drained
+    """All pages at once: one sort gives each row its page."""
+    return paging.all_pages(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")])
 
 
 @query(T + "SELECT id, name, popularity FROM tracks WHERE id > 150 ORDER BY id LIMIT 100")

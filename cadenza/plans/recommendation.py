@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cadenza.operators import cooccurrence as co
-from cadenza.operators import dataset, evaluation, ml, recommend, similarity
+from cadenza.operators import cells, dataset, evaluation, ml, recommend, similarity
 from cadenza.plans.registry import query
 from cadenza.plans.views import DIMS, ITEMS_SQL, items, seeds, table, tracks
 from cadenza.sources import catalog_csv, rest, sinks
+from cadenza.sources.sinks import shared_folder
 
 P = f"WITH {ITEMS_SQL}"
 TOP = 10
@@ -56,6 +55,32 @@ def knn_cosine_topn(spark, d):
     return similarity.neighbours(seeds(i), i, TOP).select("seed_id", "id", "rank")
 
 
+def repeated_items(spark, d, times: int = 20):
+    """The items with further takes of each, a little off: vectors that cluster, as those of a catalogue do."""
+    takes = items(spark, d).withColumn("take", F.explode(F.array(*map(F.lit, range(times)))))
+    moved = F.transform("vector", lambda x, k: x + 0.01 * F.sin(F.col("take") * (k + 1)))
+    return takes.select((F.col("id") * times + F.col("take")).alias("id"), moved.alias("vector"), "genre", "is_imputed")
+
+
+@query(f"{P}, {ranked_sql(BOOSTED)} SELECT seed_id, id, rank, score FROM r WHERE rank <= {TOP}")
+def knn_cells(spark, d):
+    """The search with boost over cells instead of all pairs."""
+    i = index(spark, d)
+    return cells.neighbours(seeds(i), cells.build(i), TOP, "boost")[0].select("seed_id", "id", "rank", "score")
+
+
+REPEATED = ITEMS_SQL.replace("items AS (", "base AS (", 1).replace("\ndims AS", """,
+items AS (SELECT id * 20 + take AS id, list_transform(vector, lambda x, k: x + 0.01 * sin(take * k)) AS vector, genre, is_imputed, popularity, key FROM base, range(0, 20) t(take)),
+dims AS""", 1).replace("popularity, key FROM base", "popularity, key FROM base")
+
+
+@query(f"WITH {REPEATED.replace('),,', '),')}, {ranked_sql()} SELECT seed_id, id, rank FROM r WHERE rank <= {TOP}")
+def knn_cells_repeated(spark, d):
+    """Over twenty takes of each vector: cells then let most products be passed over."""
+    i = similarity.index_of(repeated_items(spark, d), "vector", DIMS)
+    return cells.neighbours(seeds(i), cells.build(i, 1024), TOP)[0].select("seed_id", "id", "rank")
+
+
 @query(f"{P}, {ranked_sql()} SELECT seed_id, id, rank, score FROM r WHERE rank <= 100")
 def knn_diagnostic(spark, d):
     i = index(spark, d)
@@ -267,16 +292,6 @@ def recommender_gate(spark, d):
     return spark.createDataFrame([(name, name in missed) for name in evaluation.GATE], "threshold string, missed boolean")
 
 
-def shared_folder(spark, name: str) -> str:
-    """Where driver and executors both reach: the checkpoint folder, or a temporary one in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT p_partkey AS id, p_name AS track_name, p_size AS popularity, CASE WHEN p_partkey % 4 <> 0 THEN p_retailprice END AS tempo, p_partkey % 3 = 0 AS explicit FROM part""")
 def src_csv_catalog(spark, d):
     """The table goes out as a CSV file with holes and bad numbers and is read by the typed reader."""
@@ -366,7 +381,7 @@ NUMERIC = ["size", "quantity", "discount"]
 @query()
 def model_gate(spark, d):
     """Trees, linear and mean baseline on the seeded split, with the gate's decision."""
-    rows = learnable(spark, d)
+    rows = sinks.written(learnable(spark, d), "learnable")
     train, test = rows.where("NOT test"), rows.where("test")
     baseline = dataset.mean_baseline(train, test, "popularity").withColumn("model", F.lit("mean"))
     found = {"trees": ml.pipeline(NUMERIC, ["genre"], "popularity", trees=10), "linear": ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True)}
@@ -379,15 +394,15 @@ def model_gate(spark, d):
 
 @query()
 def model_importance(spark, d):
-    """Loss of R² and rise of the error when a column's values change places, five times each, rolled up by feature."""
-    rows = learnable(spark, d)
-    model = ml.pipeline(NUMERIC, [], "popularity", linear=True).fit(rows.where("NOT test"))
-    return dataset.importance_rollup(ml.permutation_importance(model, rows.where("test"), NUMERIC, "popularity", "l_partkey"))
+    """Loss of R² and rise of the error when a slot's values change places, five times each, rolled up by feature."""
+    rows = sinks.written(learnable(spark, d), "learnable")
+    model = ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True).fit(rows.where("NOT test"))
+    return dataset.importance_rollup(ml.permutation_importance(model, rows.where("test"), "popularity", "l_partkey"))
 
 
 @query()
 def model_cross_validation(spark, d):
-    mean, deviation = ml.cross_validated(learnable(spark, d), lambda: ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True), "popularity", "l_partkey")
+    mean, deviation = ml.cross_validated(sinks.written(learnable(spark, d), "learnable"), lambda: ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True), "popularity", "l_partkey")
     return spark.createDataFrame([(5, round(mean, 6), round(deviation, 6))], "folds int, r2_mean double, r2_deviation double")
 
 

@@ -1,13 +1,14 @@
-"""Streams that play the given tables: deliveries with retries, a paged service that grows, tables that are kept up to date."""
+"""Given tables played as streams, services, files and tables that are kept up to date."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cadenza.plans.recommendation import shared_folder
+from cadenza.operators import matching
 from cadenza.plans.registry import query
 from cadenza.plans.views import table
-from cadenza.sources import rest, sinks
+from cadenza.sources import catalog_csv, rest, sinks
+from cadenza.sources.sinks import shared_folder
 from cadenza.streaming import outbox
 
 #: Of the replay: ticks, and their distance in seconds.
@@ -121,3 +122,15 @@ def sink_bucketed_append(spark, d):
     sinks.append_bucketed(rows, name, path, "id", 8)
     spark.sql(f"DROP TABLE {name}")  # its files stay
     return spark.read.parquet(path)
+
+
+@query("""WITH l AS (SELECT 'list ' || l_suppkey AS playlist, l_partkey AS track, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), s AS (SELECT playlist, track, min(n) AS n FROM l GROUP BY ALL)
+SELECT playlist, string_agg(CAST(track AS VARCHAR), ',' ORDER BY n) AS track_ids FROM s GROUP BY 1""")
+def playlist_file_order(spark, d):
+    """Lines go out as files of unlike sizes, in order of their names, and come back in the order in which they stand there."""
+    path = sinks.shared_folder(spark, "playlists")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = table(spark, d, "lineitem").select(*keys).repartitionByRange(5, *keys).sortWithinPartitions(*keys)
+    rows.select(F.lit("u").alias("user"), F.lit("a").alias("artist"), F.col("l_partkey").cast("string").alias("track"), F.concat(F.lit("list "), F.col("l_suppkey").cast("string")).alias("playlist")).write.csv(path, header=True, quoteAll=True, escape="\\")
+    lists = matching.accumulate(catalog_csv.read_playlists(spark, path, place="row_id").select("row_id", "playlist", "track"))
+    return lists.select("playlist", F.concat_ws(",", "track_ids").alias("track_ids"))

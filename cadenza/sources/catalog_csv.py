@@ -26,7 +26,17 @@ def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _blank_to_null(spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", quote='"', escape='"'))
 
 
-def read_playlists(spark: SparkSession, path: str) -> DataFrame:
-    """Columns by position, backslash escapes; rows without user or playlist are dropped."""
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of a file scan with the place of each in its files: path, start of the block, order within the block.
+
+    The places sort as the rows stand in the files, whatever their number, size or splits: a block's rows are read by one
+    task, one after the other, so an id that grows within a task orders them.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias(name))
+
+
+def read_playlists(spark: SparkSession, path: str, place: str | None = None) -> DataFrame:
+    """Columns by position, backslash escapes; rows without user or playlist are dropped. ``place``: a column for ``placed``."""
     rows = spark.read.csv(path, schema=PLAYLIST, header=True, mode="PERMISSIVE", enforceSchema=True, quote='"', escape="\\", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return _blank_to_null(rows).where("user_id IS NOT NULL AND playlist IS NOT NULL")
+    return _blank_to_null(placed(rows, place) if place else rows).where("user_id IS NOT NULL AND playlist IS NOT NULL")

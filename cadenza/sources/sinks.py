@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,23 @@ from cadenza.operators.dataset import promoted
 VERSIONS = "version string, sequence long, digest string, size_bytes long, mae double, baseline_mae double, metrics string"
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Where driver and executors both reach: the checkpoint folder, or a temporary one in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="cadenza-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once where all tasks read it, and read back: what follows doesn't compute it again."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def only_new(fresh: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """Rows whose key the target lacks, one for each key (the least row by all columns)."""
     rest = [c for c in fresh.columns if c != key]
@@ -20,10 +41,10 @@ def only_new(fresh: DataFrame, target: DataFrame, key: str) -> DataFrame:
     return one_each.join(target.select(key), key, "left_anti").select(*fresh.columns)
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema, kind: str = "parquet") -> DataFrame:
     """The table at a path, an empty one where nothing has been written yet."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).format(kind).load(path)
     except Exception as error:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(error):
             raise
@@ -83,11 +104,59 @@ def artifact(spark: SparkSession, folder: str) -> tuple[str, int]:
     return row["digest"], row["size"]
 
 
+def create_only(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one of that name; says whether it did. Of several writers one succeeds."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getScheme() == "file":  # Hadoop looks and then creates there; a link is made or not
+        own = target.toUri().getPath()
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        with tempfile.NamedTemporaryFile("w", dir=os.path.dirname(own), prefix=".") as draft:
+            draft.write(text)
+            draft.flush()
+            try:
+                os.link(draft.name, own)
+            except FileExistsError:
+                return False
+        return True
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()) or fs.exists(target):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def entries(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """The entries of a ledger, in no order; one that is being written is not there yet."""
+    rows = read_or_empty(spark, folder, "value string", "text")
+    return rows.where("value <> ''").select(F.from_json("value", schema).alias("e")).select("e.*")
+
+
+def commit(spark: SparkSession, folder: str, schema: str, make: Callable[[DataFrame, int], dict | None]) -> dict | None:
+    """Adds the next numbered entry to a ledger, as ``make`` sees its state: (entries so far, number) to an entry or None.
+
+    Another writer's entry of the same number makes it look again, so each entry was decided on all before it.
+    """
+    while True:
+        known = entries(spark, folder, schema)
+        number = known.count() + 1
+        entry = make(known, number)
+        if entry is None or create_only(spark, f"{folder}/{number:012d}", json.dumps(entry, sort_keys=True)):
+            return entry
+
+
+PROMOTIONS = "version string, at long"
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
     """All saved versions of a model, and which of them is current (the one promoted last)."""
-    saved = read_or_empty(spark, f"{path}/versions", VERSIONS)
-    raised = read_or_empty(spark, f"{path}/promotions", "version string, at long")
-    last = raised.agg(F.max(F.struct("at", "version"))["version"].alias("last"))
+    saved = entries(spark, f"{path}/versions", VERSIONS)
+    last = entries(spark, f"{path}/promotions", PROMOTIONS).agg(F.max(F.struct("at", "version"))["version"].alias("last"))
     return saved.crossJoin(F.broadcast(last)).withColumn("is_current", F.coalesce(F.col("version") == F.col("last"), F.lit(False))).drop("last")
 
 
@@ -100,23 +169,26 @@ def save_model(spark: SparkSession, model, path: str, metrics: dict[str, float],
     version = uuid.uuid4().hex
     model.write().save(f"{path}/artifacts/{version}")
     digest, size = artifact(spark, f"{path}/artifacts/{version}")
-    count = versions(spark, path).count()
-    row = (version, count + 1, digest, size, metrics.get("mae"), baseline_mae, json.dumps(metrics, sort_keys=True))
-    spark.createDataFrame([row], VERSIONS).write.mode("append").parquet(f"{path}/versions")
+    own = {"version": version, "digest": digest, "size_bytes": size, "mae": metrics.get("mae"), "baseline_mae": baseline_mae, "metrics": json.dumps(metrics, sort_keys=True)}
+    commit(spark, f"{path}/versions", VERSIONS, lambda known, number: own | {"sequence": number})
     return version
 
 
 def promote(spark: SparkSession, path: str, version: str) -> bool:
     """Makes a version the current one if it passes the gate and is not worse than the present one; says whether it did.
 
-    One appended row both lowers the present version and raises the new one, so there is never none or more than one.
+    One entry both lowers the present version and raises the new one, so there is never none or more than one; of two
+    promotions at once the later one is measured against the version that the other has raised.
     """
-    known = versions(spark, path).where(F.col("version") == version).first()
+    known = entries(spark, f"{path}/versions", VERSIONS).where(F.col("version") == version).first()
     if known is None:
         raise ValueError(f"no version {version}")
-    present = current(spark, path)
-    if known["mae"] is None or known["baseline_mae"] is None or not promoted(known["mae"], known["baseline_mae"], present["mae"] if present else None):
+    if known["mae"] is None or known["baseline_mae"] is None:
         return False
-    at = read_or_empty(spark, f"{path}/promotions", "version string, at long").count() + 1
-    spark.createDataFrame([(version, at)], "version string, at long").write.mode("append").parquet(f"{path}/promotions")
-    return True
+
+    def decided(raised: DataFrame, number: int) -> dict | None:
+        present = current(spark, path)
+        better = promoted(known["mae"], known["baseline_mae"], present["mae"] if present else None)
+        return {"version": version, "at": number} if better else None
+
+    return commit(spark, f"{path}/promotions", PROMOTIONS, decided) is not None
