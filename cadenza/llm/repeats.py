@@ -36,7 +36,7 @@ from cadenza.llm.run_index import RunIndex
 
 LEAST = 100
 #: Bytes of text that a task hashes, or indexes, at once (one longer text is taken alone).
-BLOCK_BYTES, INDEX_BYTES = 4 << 20, 2 << 20
+BLOCK_BYTES, INDEX_BYTES = 4 << 20, 1 << 18
 #: Most windows of one stretch.
 MOST_WINDOWS = 256
 #: One of so many texts is counted to find anchors with at least so many stretches there, the most frequent ones first.
@@ -241,25 +241,27 @@ def pieces(texts: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("route", "at", "tie", "place", "piece")}
-            size = 0
-            for k in range(batch.num_rows):
-                data, at, tie = (batch.column(c)[k].as_py() for c in ("data", "at", "tie"))
-                parts = batch.column("parts").slice(k, 1).flatten()
-                for place, windows, state, anchor in zip(*(parts.field(f).to_pylist() for f in ("place", "windows", "state", "anchor")), strict=True):
-                    if state == COPY:
-                        continue
-                    spans = [(place, windows)] if state != HOT else [(p, 1) for p in range(place, place + windows)]
-                    for p, n in spans:
-                        piece = data[p : p + n + least - 1]
-                        route = anchor if state != HOT else int(np.uint64(xxhash.xxh3_64_intdigest(piece)).astype(np.int64))
-                        for c, v in zip(out, (route, at, tie, p, piece), strict=True):
-                            out[c].append(v)
-                        size += len(piece)
-                    if size > BLOCK_BYTES:
-                        yield arrow(out, PIECES)
-                        out, size = {k: [] for k in out}, 0
-            yield arrow(out, PIECES)
+            bounds, (place, windows, state, anchor) = parts_of(batch, "place", "windows", "state", "anchor")
+            ats, ties = (batch.column(c).to_numpy() for c in ("at", "tie"))
+            for a, b, data, sizes in blocks(batch, "data"):
+                raw, begins = data.tobytes(), np.cumsum(sizes) - sizes
+                part = np.arange(bounds[a], bounds[b])
+                part = part[state[part] != COPY]
+                each = np.where(state[part] == HOT, windows[part], 1)
+                own = np.repeat(part, each)  # a row for each piece
+                offset = np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)
+                row = np.searchsorted(bounds, own, "right") - 1
+                hot = state[own] == HOT
+                start = place[own] + offset
+                size = np.where(hot, 1, windows[own]) + least - 1
+                for x in range(0, len(own), 1 << 15):
+                    some = slice(x, x + (1 << 15))
+                    first = (begins[row[some] - a] + start[some]).tolist()
+                    cut_ = [raw[p : p + n] for p, n in zip(first, size[some].tolist(), strict=True)]
+                    route = anchor[own[some]].copy()
+                    if hot[some].any():
+                        route[hot[some]] = np.array([xxhash.xxh3_64_intdigest(c) for c, h in zip(cut_, hot[some].tolist(), strict=True) if h], np.uint64).view(np.int64)
+                    yield arrow({"route": route, "at": ats[row[some]], "tie": ties[row[some]], "place": start[some], "piece": cut_}, PIECES)
 
     return texts.mapInArrow(run, PIECES)
 
@@ -313,24 +315,40 @@ def compare(found: DataFrame, least: int) -> DataFrame:
 RESULT = "at long, tie long, n_bytes long, n_removed long, spans array<struct<start:long,length:long>>, kept binary"
 
 
+def parts_of(batch: pa.RecordBatch, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where the parts of each row begin, and the fields of all of them."""
+    lists = batch.column("parts")
+    flat = lists.flatten()
+    bounds = np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    return bounds, [flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields]
+
+
 def cut_out(texts: DataFrame, least: int) -> DataFrame:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
 
+    def spans(place: np.ndarray, end: np.ndarray) -> tuple[list[int], list[int]]:
+        order = np.argsort(place)
+        first, last = place[order], np.maximum.accumulate(end[order])
+        apart = np.ones(len(first), bool)
+        apart[1:] = first[1:] > last[:-1]
+        return first[apart].tolist(), last[np.append(np.flatnonzero(apart)[1:], len(first)) - 1].tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                data = batch.column("data")[k].as_py()
-                parts = batch.column("parts").slice(k, 1).flatten()
-                place, windows = (parts.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("place", "windows"))
-                order = np.argsort(place)
-                first, last = place[order], np.maximum.accumulate((place + windows + least - 1)[order])
-                apart = np.ones(len(first), bool)
-                apart[1:] = first[1:] > last[:-1]
-                begin = first[apart]
-                end = last[np.append(np.flatnonzero(apart)[1:], len(first)) - 1] if len(first) else last
-                kept = b"".join(data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True))
-                spans = [[{"start": a, "length": b - a} for a, b in zip(begin.tolist(), end.tolist(), strict=True)]]
-                values = [batch.column("at").slice(k, 1), batch.column("tie").slice(k, 1), pa.array([len(data)], pa.int64()), pa.array([len(data) - len(kept)], pa.int64()), pa.array(spans, spans_type), pa.array([kept], pa.binary())]
+            bounds, (place, windows) = parts_of(batch, "place", "windows")
+            end = place + windows + least - 1
+            for a, b, data, sizes in blocks(batch, "data"):
+                raw, at = data.tobytes(), 0
+                removed, found, kept = [], [], []
+                for k, size in enumerate(sizes.tolist(), a):
+                    i, j = bounds[k], bounds[k + 1]
+                    begins, ends = spans(place[i:j], end[i:j]) if j > i else ([], [])
+                    kept.append(b"".join(raw[at + x : at + y] for x, y in zip([0, *ends], [*begins, size], strict=True)))
+                    removed.append(size - len(kept[-1]))
+                    found.append([{"start": x, "length": y - x} for x, y in zip(begins, ends, strict=True)])
+                    at += size
+                rows = [batch.column(c).slice(a, b - a) for c in ("at", "tie")]
+                values = [*rows, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(found, spans_type), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(values, ["at", "tie", "n_bytes", "n_removed", "spans", "kept"])
 
     return texts.mapInArrow(run, RESULT)
