@@ -101,18 +101,19 @@ def partners(rows: DataFrame, identifier: str, permutations: int, buckets: int)
     return placed.join(moved, ["__b", "__n"]).select(identifier, "__p", "__x")
 
 
-def permutation_importance(model: PipelineModel, test: DataFrame, label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> DataFrame:
-    """feature, slot, r2_drop, r2_sd, mae_rise, mae_sd of every slot of the model's vector: means and deviations over
-    permutations of the slot's values.
+def permutation_importance(model: PipelineModel, test: DataFrame, columns: list[str] | None, label: str, identifier: str, permutations: int = 5, buckets: int = 64) -> DataFrame:
+    """feature, slot, r2_drop, r2_sd, mae_rise, mae_sd of every slot of the model's vector, or of those of ``columns``: means
+    and deviations over permutations of the slot's values.
 
     All slots and permutations are scored by one job: a row meets its partner of each permutation once, and copies of its
     vector with one slot taken from the partner are made, scored and summed up in place.
     """
     slots = slots_of(model, test)
+    tried = [k for k, (feature, _) in enumerate(slots) if columns is None or feature in columns]
     ready = PipelineModel(model.stages[:-1]).transform(test).select(identifier, F.col(label).cast("double").alias("__y"), vector_to_array("features").alias("__own"))
     met = ready.join(partners(ready.withColumnRenamed("__own", "__x"), identifier, permutations, buckets), identifier)
     # slot -1 is the vector as it is
-    swapped = F.transform(F.sequence(F.lit(-1), F.lit(len(slots) - 1)), lambda s: F.struct(s.alias("slot"), F.transform("__own", lambda v, k: F.when(k == s, F.get("__x", k)).otherwise(v)).alias("v")))
+    swapped = F.transform(F.array(*(F.lit(k) for k in [-1, *tried])), lambda s: F.struct(s.alias("slot"), F.transform("__own", lambda v, k: F.when(k == s, F.get("__x", k)).otherwise(v)).alias("v")))
     each = met.select("__y", "__p", F.explode(swapped).alias("s")).select("__y", "__p", "s.slot", array_to_vector("s.v").alias("features"))
     error = F.col("__y") - F.col("prediction")
     sums = model.stages[-1].transform(each).groupBy("slot", "__p").agg(F.avg(F.abs(error)).alias("mae"), F.sum(error * error).alias("sse"), (F.var_pop("__y") * F.count("__y")).alias("sst"))

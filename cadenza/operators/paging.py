@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def page_of(df: DataFrame, order: list[Column], page: int = 1, size: int = DEFAU
     return rows.crossJoin(F.broadcast(df.agg(F.count("*").alias(total)))) if total else rows
 
 
+def pages(df: DataFrame, order: list[Column], size: int = LARGEST_SIZE) -> Iterator[DataFrame]:
+    """All pages, one after the other, for callers that need pages; otherwise use ``df`` itself, or ``all_pages``."""
+    _, size = clamped(1, size)
+    count = df.count()
+    for page in range(1, -(-count // size) + 1):
+        yield page_of(df, order, page, size)
+
+
 def all_pages(df: DataFrame, order: list[Column], size: int = LARGEST_SIZE) -> DataFrame:
     """Every row with its ``row_number`` and ``page``, by one sort for all pages; ``order`` must name unique keys."""
     _, size = clamped(1, size)

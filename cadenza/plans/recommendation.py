@@ -397,7 +397,7 @@ def model_importance(spark, d):
     """Loss of R² and rise of the error when a slot's values change places, five times each, rolled up by feature."""
     rows = sinks.written(learnable(spark, d), "learnable")
     model = ml.pipeline(NUMERIC, ["genre"], "popularity", linear=True).fit(rows.where("NOT test"))
-    return dataset.importance_rollup(ml.permutation_importance(model, rows.where("test"), "popularity", "l_partkey"))
+    return dataset.importance_rollup(ml.permutation_importance(model, rows.where("test"), None, "popularity", "l_partkey"))
 
 
 @query()
