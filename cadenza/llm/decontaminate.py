@@ -3,15 +3,18 @@
 Documents and items are sequences of lower-cased words. A document holds an item if some stretch of it is within
 ``floor((1 - similarity) * words)`` word edits of the item. Windows of an item's size are embedded by a CGK random walk
 (a random bit for each step and word says whether the walk stays or advances), which turns few edits into few differing
-places; repeated samples of the embedding's places make the LSH keys, ``REPEATS`` of them, each of ``SAMPLES`` places. Windows that
-share a key with an item are verified by exact edit distance against every stretch around them.
+places; repeated samples of the embedding's places make the LSH keys, ``REPEATS`` of them. Windows that share a key with an
+item, and no others, are verified by exact edit distance against every stretch around them.
+
+The longer an item is, the less the walks of its edited copies agree. So the number of places in a key is chosen for each
+size of items: copies of the items are edited as much as is allowed, half by substitutions alone, both are walked, and
+the most places are taken with which at least ``TARGET`` of such copies share a key (at most ``SAMPLES``, at least one).
 
 Windows are taken at every word of the whole text. A window is embedded only where it can match at all: an edit changes
 at most two pairs of neighbouring words, so a stretch within t edits of an item of n words holds n - 1 - 2t of the
-items' word pairs or more; counting those pairs loses nothing. Keys do lose passages, the more the longer an item is.
-So the same count is taken for each single item in the windows that pass, and where it reaches the item's number the
-stretch is verified too, whether it shares a key or not: no passage is missed, whatever its length. Items so short for
-the allowed edits that no pair need stay are counted by words, of which n - t stay.
+items' word pairs or more; counting those pairs loses nothing. Items so short for the allowed edits that no pair need
+stay are counted by words, of which n - t stay. ``exact`` takes the same count for each single item too, and verifies
+where it reaches the item's number whether a key is shared or not: no passage is missed then, for more work.
 
 Defined results: null and empty texts and items hold nothing; items are read in blocks of ``BLOCK_WORDS`` words, so that
 any number of them fits a worker; of repeated items each id is reported; repeated documents are reported each; for a
@@ -35,6 +38,7 @@ from cadenza.llm.sentencepiece_codec import PairTable, blocks
 
 WORD = re.compile(r"\w+")
 SAMPLES, REPEATS, STRETCH, BLOCK_WORDS = 6, 32, 3, 500_000
+TARGET, TRIALS = 0.99, 32  # of copies at the largest allowed distance that are to share a key, and copies tried for a size
 WINDOWS, CELLS = 1024, 1 << 16  # walked at once: windows, and words of theirs (a longer window is walked alone)
 COUNTED = 4_000_000  # places of pairs by item that are counted at once
 SCHEMA = "item_id long, word_start long, word_end long, distance int, item_words int"
@@ -68,7 +72,8 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Finder:
     """The items of one block, and what of them is needed to find them."""
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, seed: int = 5):
+    def __init__(self, items: list[tuple[int, list[str]]], similarity: float, seed: int = 5, exact: bool = True, samples: dict[int, int] | None = None):
+        self.exact = exact
         self.items = [(i, w) for i, w in items if w]
         vocabulary = sorted({w for _, ws in self.items for w in ws})
         self.number = {w: k for k, w in enumerate(vocabulary, 1)}
@@ -90,12 +95,16 @@ class Finder:
         self.pairs = PairTable(known[:, 0], known[:, 1], marks)
         rows = {pair: row for row, pair in enumerate(sorted(pairs))}
         self.pair_items = self._postings([(rows[pair], k) for k, s in enumerate(self.symbols) for pair in set(zip(s[:-1].tolist(), s[1:].tolist()))])
+        self.word_sizes = np.zeros((len(vocabulary) + 1, len(self.by_size)), bool)
+        for k, s in enumerate(self.symbols):
+            self.word_sizes[s, self.by_size[len(s), self.most[k]]] = True
         self.word_items = self._postings([(w, k) for k, s in enumerate(self.symbols) if len(s) - 1 - 2 * self.most[k] <= 0 for w in set(s.tolist())])
         rng = np.random.default_rng(seed)
         self.salts = rng.integers(1, 2**32, (REPEATS, 1)).astype(np.uint32)
         sizes = sorted({len(x) for x in self.symbols})
         self.width = {n: max(m for m in sizes if self._class(m) == self._class(n)) for n in sizes}
         self.places = {n: rng.integers(0, STRETCH * n, (REPEATS, SAMPLES)) for n in sizes}
+        self.samples = samples or {n: self._places_for(n, seed) for n in sizes}
         self.keys: dict[int, tuple[np.ndarray, list[dict[int, list[int]]]]] = {}
         for n in sizes:
             own = [k for k, x in enumerate(self.symbols) if len(x) == n]
@@ -111,6 +120,31 @@ class Finder:
                     tables[r][key].append(k)
             self.keys[n] = np.sort(got, axis=1), tables
 
+    def _places_for(self, n: int, seed: int) -> int:
+        """The most places of a key with which copies at the largest allowed distance are found as often as wanted."""
+        rng = np.random.default_rng([seed, n])
+        own = [(s, m) for s, m in zip(self.symbols, self.most, strict=True) if len(s) == n]
+        windows = np.zeros((2 * TRIALS, self.width[n]), np.int64)
+        for k in range(TRIALS):
+            item, most = own[k % len(own)]
+            windows[2 * k, :n] = item
+            copy = item.tolist()
+            for at in rng.permutation(n)[:most].tolist() if k % 2 else rng.integers(0, n, most).tolist():
+                kind = 0 if k % 2 else int(rng.integers(0, 3))
+                at = min(at, len(copy))
+                copy[at : at + (kind != 1)] = [0] * (kind != 2)  # another word in place, one more, one less
+            windows[2 * k + 1, : min(n, len(copy))] = copy[:n]
+        agreed = []
+        for part in self._dealt(windows, self.width[n]):
+            shown, place = self.walk(part if len(part) % 2 == 0 else np.repeat(part, 2, axis=0))
+            word = np.where(place[: STRETCH * n] < n, shown[: STRETCH * n], 0)
+            agreed.append((word[:, :, ::2] == word[:, :, 1::2]).mean(axis=0))
+        agreed = np.concatenate(agreed, axis=1)
+        for count in range(SAMPLES, 1, -1):
+            if (1 - np.prod(1 - agreed**count, axis=0)).mean() >= TARGET:
+                return count
+        return 1
+
     @staticmethod
     def _class(n: int) -> int:
         """Items up to 64 words are walked together, longer ones with those of up to twice their length."""
@@ -180,7 +214,7 @@ class Finder:
         """Keys of the windows ``mine`` as windows of n words, a row for each repeat."""
         each = np.arange(REPEATS)
         keys = np.zeros((REPEATS, len(mine)), np.uint64)
-        for k in range(SAMPLES):
+        for k in range(self.samples[n]):
             spot = self.places[n][:, k][:, None], each[:, None], mine
             symbol = np.where(place[spot] < n, shown[spot], 0).astype(np.uint64)
             keys = (keys ^ symbol) * MIX + np.uint64(k)
@@ -203,28 +237,31 @@ class Finder:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         wanted: dict[tuple[int, int], np.ndarray] = {}
         for (n, most), number in self.by_size.items():
-            mine = marks[:, number // 31] >> number % 31 & 1 > 0
-            here = at[mine]  # places of word pairs of items of this size
-            need, reach = n - 1 - 2 * most, n + most
-            if need <= 0:
-                wanted[n, most] = np.arange(size)
-                spots = np.flatnonzero(text)
-                hits = self.counted(spots, text[spots], owner, self.word_items, number, max(1, n - most), reach - 1)
-                self._add(regions, hits, 1, reach, limits - lengths)
-                continue
-            # a window that holds ``need`` pairs starts at most ``reach`` before the last of some ``need`` in a row
-            close = np.flatnonzero(here[need - 1 :] - here[: len(here) - need + 1] < reach) if len(here) >= need else here[:0]
-            ends = here[close + need - 1] + 2
+            need, reach, wide = n - 1 - 2 * most, n + most, 2
+            if need > 0:
+                mine = marks[:, number // 31] >> number % 31 & 1 > 0
+                here = at[mine]  # places of word pairs of items of this size
+            else:
+                need, wide = max(1, n - most), 1
+                here = np.flatnonzero(self.word_sizes[text, number] & (text > 0))
+            # a window that holds ``need`` of them starts at most ``reach`` before the last of some ``need`` in a row
+            close = np.flatnonzero(here[need - 1 :] - here[: len(here) - need + 1] <= reach - wide) if len(here) >= need else here[:0]
+            ends = here[close + need - 1] + wide
             spread = np.zeros(size + 1, np.int32)
             np.add.at(spread, np.maximum(ends - reach, 0), 1)
             np.add.at(spread, here[close] + 1, -1)
             starts = np.flatnonzero(np.cumsum(spread[:-1]) > 0) if len(close) else close
-            inside = np.searchsorted(here, np.minimum(starts + reach, last[starts]) - 1) - np.searchsorted(here, starts)
+            inside = np.searchsorted(here, np.minimum(starts + reach, last[starts]) - wide + 1) - np.searchsorted(here, starts)
             wanted[n, most] = starts = starts[inside >= need]
+            if not self.exact:
+                continue
             before = np.searchsorted(starts, here, "right") - 1
-            close = (before >= 0) & (starts[before] >= here - reach + 2) if len(starts) else np.zeros(len(here), bool)
-            hits = self.counted(here[close], marks[mine, -1][close].astype(np.int64), owner, self.pair_items, number, need, reach - 2)
-            self._add(regions, hits, 2, reach, limits - lengths)
+            close = (before >= 0) & (starts[before] >= here - reach + wide) if len(starts) else np.zeros(len(here), bool)
+            if wide == 2:
+                hits = self.counted(here[close], marks[mine, -1][close].astype(np.int64), owner, self.pair_items, number, need, reach - 2)
+            else:
+                hits = self.counted(here[close], text[here[close]], owner, self.word_items, number, need, reach - 1)
+            self._add(regions, hits, wide, reach, limits - lengths)
         for width in sorted(set(self.width.values())):
             near_by = {size: near for size, near in wanted.items() if self.width[size[0]] == width}
             padded = np.concatenate([text, np.zeros(width, np.int64)])
@@ -283,8 +320,13 @@ class Finder:
             yield low, high
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text", key: str = "doc_id") -> DataFrame:
-    """A row for each document and item that it holds: the key, item_id, the stretch in words, edit distance, item's words."""
+def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text", key: str = "doc_id", exact: bool = False) -> DataFrame:
+    """A row for each document and item that it holds: the key, item_id, the stretch in words, edit distance, item's words.
+
+    Of ``docs`` only the key and the text are read; a key named like a column of the result is refused.
+    """
+    if key.lower() in {f.split()[0] for f in SCHEMA.split(", ")}:
+        raise ValueError(f"a key must not be named {key}")
     spark = docs.sparkSession
     parts: list[list[tuple[int, list[str]]]] = [[]]
     size = 0
@@ -299,10 +341,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, t
     kind = narrow.schema[0].dataType.simpleString()
 
     def against(items: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)  # at most BLOCK_WORDS words
+        shared = spark.sparkContext.broadcast((items, Finder(items, similarity, exact=exact).samples))  # at most BLOCK_WORDS words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value, similarity)
+            block, samples = shared.value
+            finder = Finder(block, similarity, exact=exact, samples=samples)
             for batch in batches:
                 for first, texts in blocks(batch, "__text"):
                     rows = [(first + k, *hit) for k, *hit in finder.find([words_of(text) for text in texts])]

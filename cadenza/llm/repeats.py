@@ -236,6 +236,27 @@ def sift(found: DataFrame) -> DataFrame:
 PIECES = "route long, at long, tie long, place int, piece binary"
 
 
+def told_apart(columns: dict[str, np.ndarray], piece: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Of equal ``windows`` the first stands for all: others lose their bytes, which marks them as repeated, and go to tasks
+    of their own, so a window that very many texts have is one row for each block of texts. True: another row of the same
+    document, to be dropped."""
+    dropped = np.zeros(len(piece), bool)
+    if not len(windows):
+        return dropped
+    route, at, tie, place = (columns[k] for k in ("route", "at", "tie", "place"))
+    order = windows[np.lexsort(tuple(x[windows] for x in (place, tie, at, route)))]
+    new = np.append(True, route[order][1:] != route[order][:-1])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    for k, h in zip(order[~new].tolist(), head[~new].tolist(), strict=True):
+        if piece[k] == piece[h]:
+            if (at[k], tie[k], place[k]) == (at[h], tie[h], place[h]):
+                dropped[k] = True
+            else:
+                piece[k] = b""
+                route[k] = mixed(np.array([at[k] + (int(place[k]) << 20)], np.int64).view(np.uint64)).view(np.int64)[0]
+    return dropped
+
+
 def pieces(texts: DataFrame, least: int) -> DataFrame:
     """Bytes of the stretches to be compared, under their anchor; of HOT ones each window, under its own hash."""
 
@@ -261,7 +282,12 @@ def pieces(texts: DataFrame, least: int) -> DataFrame:
                     route = anchor[own[some]].copy()
                     if hot[some].any():
                         route[hot[some]] = np.array([xxhash.xxh3_64_intdigest(c) for c, h in zip(cut_, hot[some].tolist(), strict=True) if h], np.uint64).view(np.int64)
-                    yield arrow({"route": route, "at": ats[row[some]], "tie": ties[row[some]], "place": start[some], "piece": cut_}, PIECES)
+                    columns = {"route": route, "at": ats[row[some]], "tie": ties[row[some]], "place": start[some]}
+                    dropped = told_apart(columns, cut_, np.flatnonzero(hot[some]))
+                    if dropped.any():
+                        columns = {k: v[~dropped] for k, v in columns.items()}
+                        cut_ = [c for c, gone in zip(cut_, dropped.tolist(), strict=True) if not gone]
+                    yield arrow(columns | {"piece": cut_}, PIECES)
 
     return texts.mapInArrow(run, PIECES)
 
@@ -282,6 +308,7 @@ def compare(found: DataFrame, least: int) -> DataFrame:
 
     def marks(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[1:4])
+        rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # rows that are one document
         index = RunIndex([r[4] for r in rows])
         owner, first, n = runs_of(index.repeated(least), index.starts, index.rest)
         at, tie, place = (np.array([r[k] for r in rows], np.int64)[owner] for k in (1, 2, 3))
@@ -290,20 +317,28 @@ def compare(found: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole: list[tuple] = []  # of finished anchors
         part: list[tuple] = []  # of the present one
+        known: list[tuple] = []  # windows whose repetition is plain
         size = part_size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not row[4]:
+                    known.append(row)
+                    continue
                 if part and row[0] != part[0][0]:
                     if size and size + part_size > INDEX_BYTES:
                         yield marks(whole)
                         whole, size = [], 0
                     whole, size = whole + part if size else part, size + part_size
                     part, part_size = [], 0
-                if part and row[4] == part[-1][4] and len(row[4]) == least:  # a window seen before: the order is by content, then place
-                    yield arrow({"at": [row[1]], "tie": [row[2]], "place": [row[3]], "windows": [1]}, RUNS)
+                if part and row[4] == part[-1][4] and len(row[4]) == least:  # the order is by content, then place
+                    if row[1:4] != part[-1][1:4]:
+                        known.append(row)
                     continue
                 part.append(row)
                 part_size += len(row[4]) + 1
+            if known:
+                yield arrow({"at": [r[1] for r in known], "tie": [r[2] for r in known], "place": [r[3] for r in known], "windows": [1] * len(known)}, RUNS)
+                known = []
         for rows in (whole + part,) if size + part_size <= INDEX_BYTES else (whole, part):
             if rows:
                 yield marks(rows)
