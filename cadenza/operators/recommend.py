@@ -4,35 +4,37 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.operators.similarity import contributions, neighbours, overfetch
+from cadenza.sources.sinks import written
 
 WEIGHT, SAME_COSINE, MOST = 0.35, 0.999, 100
 COLLAPSED = "seed_id long, id long, rank long, score double, collapsed long, position long, round long"
 
 
-def blend(content: DataFrame, collaborative: DataFrame, weight: float = WEIGHT, plain: DataFrame | None = None) -> DataFrame:
+def blend(content: DataFrame, collaborative: DataFrame, weight: float = WEIGHT, plain: DataFrame | None = None, keys: tuple[str, ...] = ("seed_id",)) -> DataFrame:
     """``content``: seed_id, id, score; ``collaborative``: seed_id, id, co_count, jaccard. Ranked for each seed.
 
     Content is rescaled to 0..1 over a seed's candidates (1 where they don't differ); a missing side counts 0. With
-    ``plain`` (seed_id of those that have a collaborative side) the others keep their content's score and order.
+    ``plain`` (seed_id of those that have a collaborative side) the others keep their content's score and order. ``keys``:
+    what a list belongs to, if a seed has several.
     """
     if not 0 <= weight <= 1:
         raise ValueError("the weight must lie in [0, 1]")
-    bounds = Window.partitionBy("seed_id")
+    bounds = Window.partitionBy(*keys)
     own = content.where("seed_id <> id").withColumn("low", F.min("score").over(bounds)).withColumn("top", F.max("score").over(bounds))
-    own = own.select("seed_id", "id", F.when(F.col("top") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("top") - F.col("low"))).otherwise(1.0).alias("content"))
-    both = own.join(collaborative.where("seed_id <> id"), ["seed_id", "id"], "full")
+    own = own.select(*keys, "id", F.col("score").alias("own"), F.when(F.col("top") > F.col("low"), (F.col("score") - F.col("low")) / (F.col("top") - F.col("low"))).otherwise(1.0).alias("content"))
+    both = own.join(collaborative.where("seed_id <> id"), [*keys, "id"], "full")
     content_part, jaccard = F.coalesce("content", F.lit(0.0)), F.coalesce("jaccard", F.lit(0.0))
     signal = F.when(F.col("content").isNotNull() & F.col("jaccard").isNotNull(), "blended").when(F.col("jaccard").isNotNull(), "collaborative")
     mixed = F.round((1 - weight) * content_part + weight * jaccard, 9)
     if plain is not None:
-        both = both.join(plain.select("seed_id", F.lit(True).alias("blends")), "seed_id", "left").join(content.select("seed_id", "id", F.col("score").alias("own")), ["seed_id", "id"], "left")
+        both = both.join(plain.select("seed_id", F.lit(True).alias("blends")), "seed_id", "left")
         mixed = F.when(F.col("blends"), mixed).otherwise(F.col("own"))
-    final = both.select("seed_id", "id", mixed.alias("score"), F.round(content_part, 9).alias("content"), jaccard.alias("jaccard"), F.coalesce("co_count", F.lit(0).cast("long")).alias("co_count"), signal.alias("signal"))
-    order = Window.partitionBy("seed_id").orderBy(F.desc("score"), F.desc("jaccard"), F.asc("id"))
+    final = both.select(*keys, "id", mixed.alias("score"), F.round(content_part, 9).alias("content"), jaccard.alias("jaccard"), F.coalesce("co_count", F.lit(0).cast("long")).alias("co_count"), signal.alias("signal"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("jaccard"), F.asc("id"))
     return final.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
@@ -119,7 +121,8 @@ def recommend(seeds: DataFrame, index: DataFrame, limit: int = 10, mode: str = "
     """
     limit, reasons, windows = min(max(limit, 1), MOST), min(max(reasons, 1), 9), overfetch(min(max(limit, 1), MOST))
     near = neighbours(seeds, index, windows[-1], mode).withColumn("why", contributions(reasons))
-    content = near.select("seed_id", "id", "rank", "score", "cosine", "why", F.round(F.col("score") - F.col("cosine"), 9).alias("genre_boost"))
+    # the search is read several times below and made once
+    content = written(near.select("seed_id", "id", "rank", "score", "cosine", "why", F.round(F.col("score") - F.col("cosine"), 9).alias("genre_boost")), "near")
     asked = seeds.select(F.col("id").alias("seed_id"), F.nullif(F.trim("genre"), F.lit("")).alias("seed_genre"), F.col("is_imputed").alias("seed_imputed"))
     facts = index.select("id", "key", "popularity", "is_imputed", "unit", "genre")
     if edges is None:
@@ -127,15 +130,19 @@ def recommend(seeds: DataFrame, index: DataFrame, limit: int = 10, mode: str = "
         rounds, shared = listed, None
     else:
         order = Window.partitionBy("seed_id").orderBy(F.desc("jaccard"), F.desc("co_count"), F.asc("id"))
-        best = edges.where("seed_id <> id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= windows[-1])
+        best = written(edges.where("seed_id <> id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= windows[-1]), "edges")
         shared = best.select("seed_id").distinct().withColumn("collaborative", F.lit(True))
         found = content.groupBy("seed_id").agg(F.count("*").alias("fetched")).join(best.groupBy("seed_id").agg(F.count("*").alias("met")), "seed_id", "left")
         least = found.select("seed_id", F.greatest("fetched", F.coalesce("met", F.lit(0))).alias("available"))
-        rounds = None
-        for n, window in enumerate(windows, 1):
-            one = blend(content.where(F.col("rank") <= window).select("seed_id", "id", "score"), best.where(F.col("place") <= window).select("seed_id", "id", "co_count", "jaccard"), weight, plain=shared)
-            one = one.withColumn("round", F.lit(n)).join(least, "seed_id", "left").withColumn("exhausted", F.coalesce(F.col("available") <= window, F.lit(True))).drop("available", "content")
-            rounds = one if rounds is None else rounds.unionByName(one)
+
+        def turns(place: str) -> Column:
+            """The rounds whose window a place lies in."""
+            return F.explode(F.array_compact(F.array(*(F.when(F.col(place) <= w, F.lit(n)) for n, w in enumerate(windows, 1))))).alias("round")
+
+        own, theirs = content.select("seed_id", "id", "score", turns("rank")), best.select("seed_id", "id", "co_count", "jaccard", turns("place"))
+        mixed = blend(own, theirs, weight, plain=shared, keys=("round", "seed_id")).join(least, "seed_id", "left")
+        width = F.element_at(F.array(*map(F.lit, windows)), F.col("round"))
+        rounds = mixed.withColumn("exhausted", F.coalesce(F.col("available") <= width, F.lit(True))).drop("available", "content")
     extra = ["round", "exhausted"] if edges is not None else []
     given = rounds.join(facts, "id", "left").select("seed_id", "id", "rank", "score", "key", "popularity", F.coalesce("is_imputed", F.lit(False)).alias("is_imputed"), "unit", *extra)
     kept = collapse(given, limit)
