@@ -5,6 +5,11 @@ sixteen rectangular filters over that image, each evaluated from an integral ima
 two Gray-coded bits and packed into one integer for each position. Two recordings align where a histogram of the offsets
 between their equal integers peaks; the share of differing bits over the overlap at that offset says how well.
 
+Equal integers in a row, as silence and held tones give, are one run. Two runs of an integer vote for all offsets between
+any of their places; the votes rise, stay and fall, so four turns of the histogram's slope say it all, whatever the
+lengths. The turns of a pair of recordings, summed up by offset, give the votes at every turn, and at the ends of the
+offsets that overlap enough; between two turns votes are linear, so a peak lies on one, or fills all between two.
+
 The search takes queries and all rows. Recordings with equal fingerprints form a class and are searched once; classes are
 linked by integers that they share, so no pair is looked at that shares none. Offsets with too short an overlap don't
 count in the histogram; all offsets at its peak are rated by their bit errors. Defined results: null, empty and too short
@@ -20,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.common import materialize
@@ -115,6 +120,36 @@ def melody(vector: list[float] | None) -> bytes:
     return (np.sin(2 * np.pi * hertz[:, None] * (np.arange(HOP) / RATE)).ravel() * 20000).astype("<i2").tobytes()
 
 
+#: Of ``takes``: tones that a late take leaves out, tones that a short one has, and the noise of a noisy one.
+LATE, SHORT, NOISE = 9, 40, 400
+
+
+def takes(table: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, take, fingerprint): each vector played as ``melody``, whole (take 0) and once more: late, short or noisy, by a hash of the key."""
+    narrow = table.select(F.col(key).alias("key"), F.pmod(F.xxhash64(F.col(key)), F.lit(3)).cast("int").alias("kind"), F.col(vector).alias("vector"))
+    tone = 2 * HOP  # bytes
+
+    def second(pcm: bytes, kind: int, seed: int) -> bytes:
+        if kind == 0:
+            return pcm[LATE * tone :]
+        if kind == 1:
+            return pcm[: SHORT * tone]
+        sound = np.frombuffer(pcm, "<i2") + np.random.default_rng(seed & 0xFFFFFFFF).normal(0, NOISE, len(pcm) // 2)
+        return sound.clip(-32768, 32767).astype("<i2").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                some = batch.slice(k, 64)
+                keys, kinds, vectors = (c.to_pylist() for c in some.columns)
+                whole = [melody(v) for v in vectors]
+                other = [second(w, kind, i or 0) for w, kind, i in zip(whole, kinds, keys, strict=True)]
+                columns = [pa.array([*keys, *keys], some.column(0).type), pa.array([0] * len(keys) + [1] * len(keys), pa.int32()), pa.array([fingerprint(x) for x in whole + other], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "take", "fingerprint"])
+
+    return narrow.mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, take int, fingerprint array<int>")
+
+
 def align(prints: DataFrame, is_query: F.Column, key: str, most_errors: float = 0.2, least_overlap: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """Members (key, class_id: least key with an equal fingerprint, n_frames) and links between classes.
 
@@ -126,14 +161,33 @@ def align(prints: DataFrame, is_query: F.Column, key: str, most_errors: float =
     classes = named.groupBy("__print").agg(F.min("__key").alias("class_id"), F.max("__query").alias("query"), F.min("fingerprint").alias("fingerprint"))
     classes = materialize(classes.where("class_id IS NOT NULL"), "classes")
     sizes = classes.select("class_id", F.size("fingerprint").alias("own_size"))
-    places = classes.where(F.size("fingerprint") > 0).select("class_id", "query", F.posexplode("fingerprint").alias("at", "code"))
-    queries = places.where("query").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), "code")
-    votes = places.join(queries, "code").where("class_id <> query_id").groupBy("class_id", "query_id", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    votes = votes.join(sizes, "class_id").join(sizes.withColumnsRenamed({"class_id": "query_id", "own_size": "asked_size"}), "query_id")
+    at = F.sequence(F.lit(0), F.size("fingerprint") - 1)
+    begins = F.filter(at, lambda i: (i == 0) | (F.get("fingerprint", i) != F.get("fingerprint", i - 1)))
+    marked = classes.where(F.size("fingerprint") > 0).select("class_id", "query", "fingerprint", begins.alias("begins"))
+    run = F.transform("begins", lambda i, k: F.struct(F.get("fingerprint", i).alias("code"), i.alias("at"), (F.coalesce(F.get("begins", k + 1), F.size("fingerprint")) - i).alias("length")))
+    runs = marked.select("class_id", "query", F.explode(run).alias("run")).select("class_id", "query", "run.*")
+    asked_runs = runs.where("query").select(F.col("class_id").alias("query_id"), F.col("at").alias("query_at"), F.col("length").alias("query_length"), "code")
+    met = runs.join(asked_runs, "code").where("class_id <> query_id")
+    low = F.col("at") - F.col("query_at") - F.col("query_length")  # before the first offset
+    a, b = F.least("length", "query_length"), F.greatest("length", "query_length")
+    turns = F.array(F.struct(low.alias("offset"), F.lit(1).alias("turn")), F.struct((low + a).alias("offset"), F.lit(-1).alias("turn")), F.struct((low + b).alias("offset"), F.lit(-1).alias("turn")), F.struct((low + a + b).alias("offset"), F.lit(1).alias("turn")))
+    pair = ["class_id", "query_id"]
+    slopes = met.select(*pair, F.explode(turns).alias("t")).groupBy(*pair, F.col("t.offset").alias("offset")).agg(F.sum("t.turn").alias("turn"))
+    # the offsets of a pair with enough overlap; their ends turn nothing
+    bounds = slopes.select(*pair).distinct().join(sizes, "class_id").join(sizes.withColumnsRenamed({"class_id": "query_id", "own_size": "asked_size"}), "query_id")
+    bounds = bounds.select(*pair, "own_size", "asked_size", (F.lit(least_overlap) - F.col("asked_size")).alias("least"), (F.col("own_size") - least_overlap).alias("most")).where("least <= most AND own_size >= {0} AND asked_size >= {0}".format(int(least_overlap)))
+    ends = bounds.select(*pair, F.explode(F.array_distinct(F.array("least", "most"))).alias("offset"), F.lit(0).cast("long").alias("turn"))
+    events = slopes.join(bounds.select(*pair), pair, "left_semi").unionByName(ends).groupBy(*pair, "offset").agg(F.sum("turn").alias("turn"))
+    so_far = Window.partitionBy(*pair).orderBy("offset")
+    sloped = events.withColumn("slope", F.sum("turn").over(so_far)).withColumn("next", F.lead("offset").over(so_far))
+    risen = F.coalesce(F.sum(F.col("slope") * (F.col("next") - F.col("offset"))).over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    voted = sloped.withColumn("votes", risen).join(bounds, pair).where(F.col("offset").between(F.col("least"), F.col("most")) & (F.col("votes") > 0))
+    peaks = voted.groupBy(*pair).agg(F.max("votes").alias("peak"))
+    # a level stretch at the peak: all its offsets
+    last = F.when(F.col("slope") == 0, F.least("most", F.coalesce(F.col("next") - 1, F.col("offset")))).otherwise(F.col("offset"))
+    level = voted.join(peaks, pair).where("votes = peak").withColumn("offset", F.explode(F.sequence("offset", last)))
     overlap = F.least(F.col("own_size") - F.greatest(F.lit(0), F.col("offset")), F.col("asked_size") + F.least(F.lit(0), F.col("offset")))
-    votes = votes.withColumn("size", overlap).where(F.col("size") >= least_overlap)
-    peak = votes.groupBy("class_id", "query_id").agg(F.max("votes").alias("peak"))
-    found = votes.join(peak, ["class_id", "query_id"]).where("votes = peak").select("class_id", "query_id", "offset", "size")
+    found = level.select(*pair, "offset", overlap.alias("size")).where(F.col("size") >= least_overlap)
     own = classes.select("class_id", F.col("fingerprint").alias("own"))
     asked = classes.where("query").select(F.col("class_id").alias("query_id"), F.col("fingerprint").alias("asked"))
     both = found.join(own, "class_id").join(asked, "query_id")

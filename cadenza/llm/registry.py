@@ -22,14 +22,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No table holds audio: the vectors of ``embeddings`` are played as tones. Queries: ids divisible by 100.
+    """No table holds audio: the vectors of ``embeddings`` are played as tones, each whole and in a second take.
 
-    A class's own row (vec_id = class_id) is there once for each of its links, or once without; other members once each.
+    A recording's number is twice the vector's, plus the take. Queries: whole takes of ids divisible by 100. A class's own
+    row (recording = class_id) is there once for each of its links, or once without; other members once each.
     """
-    prints = chroma.with_fingerprints(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", chroma.melody)
-    members, links = chroma.align(prints, F.col("vec_id") % 100 == 0, "vec_id")
-    linked = links.withColumnRenamed("class_id", "vec_id")
-    return members.join(linked, "vec_id", "left").select("vec_id", "class_id", "n_frames", "query_id", "offset", "bit_error_rate")
+    both = chroma.takes(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    prints = both.select((2 * F.col("vec_id") + F.col("take")).alias("recording"), "fingerprint")
+    members, links = chroma.align(prints, F.col("recording") % 200 == 0, "recording")
+    linked = links.withColumnRenamed("class_id", "recording")
+    named = members.join(linked, "recording", "left")
+    return named.select(F.floor(F.col("recording") / 2).alias("vec_id"), (F.col("recording") % 2).cast("int").alias("take"), "recording", "class_id", "n_frames", "query_id", "offset", "bit_error_rate")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +84,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = language.fit(docs, docs.where(quality.fold(3) != 1).select("doc_id", F.col("lang").alias("label")))
     out = language.with_language(docs.select("doc_id", "text"), network)
-    return out.select("doc_id", (quality.fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(quality.fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +97,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(quality.fold(4) != 2).select("doc_id", F.col("quality").alias("label"))
     out = quality.with_score(docs.select("doc_id", "text"), quality.fit(docs, labels))
-    return out.select("doc_id", (quality.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(quality.fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

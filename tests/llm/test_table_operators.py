@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -283,10 +284,30 @@ def test_integral_image_equals_plain_sums():
 
 def test_registered_search_equals_plain_histograms(spark):
     found = registry.op2_chroma(spark, SMALL).collect()
-    prints = {r.vec_id: list(r.fingerprint) for r in chroma.with_fingerprints(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "embedding", "vec_id", chroma.melody).collect()}
-    assert {r.vec_id: r.n_frames for r in found} == {k: len(x) for k, x in prints.items()}
+    prints = {2 * r.vec_id + r["take"]: list(r.fingerprint) for r in chroma.takes(spark.read.parquet(f"{SMALL}/embeddings.parquet"), "vec_id", "embedding").collect()}
+    assert {r.recording: r.n_frames for r in found} == {k: len(x) for k, x in prints.items()}
     links = {(r.class_id, r.query_id): (r.offset, pytest.approx(r.bit_error_rate)) for r in found if r.query_id is not None}
-    assert links == plain_links(prints, {k for k in prints if k % 100 == 0})
+    asked = {k for k in prints if k % 200 == 0}
+    assert links == plain_links(prints, asked) and len(asked) > 1
+    assert {q for _, q in links} == asked and all((q + 1, q) in links for q in asked)  # each query's second take is found
+    assert {-chroma.LATE, 0} >= {o for (c, q), (o, _) in links.items() if c == q + 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_vote_as_their_places_do(spark, seed):
+    rng = random.Random(seed)
+    rows = {k: [c for _ in range(rng.randint(1, 6)) for c in [rng.choice([0, 0, 1, 2, 3])] * rng.randint(1, 9)] for k in range(40)}
+    df = spark.createDataFrame(list(rows.items()), "rec long, fingerprint array<int>")
+    links = chroma.align(df, F.col("rec") % 10 == 0, "rec", least_overlap=5)[1].collect()
+    wanted = plain_links(rows, {0, 10, 20, 30}, least_overlap=5)
+    assert {(r.class_id, r.query_id): (r.offset, pytest.approx(r.bit_error_rate)) for r in links} == wanted and len(wanted) > 20
+
+
+def test_long_silence_is_one_run(spark):
+    rows = [(k, [7] * (30_000 - k) + [k, k + 1]) for k in range(10)]
+    started = time.monotonic()
+    links = chroma.align(spark.createDataFrame(rows, "rec long, fingerprint array<int>"), F.lit(True), "rec")[1].collect()
+    assert len(links) == 90 and time.monotonic() - started < 90
 
 
 # -- the pipeline
