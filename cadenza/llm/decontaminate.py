@@ -69,6 +69,25 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end
 
 
+def least_distance(item: list[int], text: list[int]) -> int:
+    """That distance alone, a text word at a time for all words of the item at once, as bits of an integer."""
+    size, at = len(item), {}
+    for k, symbol in enumerate(item):
+        at[symbol] = at.get(symbol, 0) | 1 << k
+    every, last = (1 << size) - 1, 1 << size - 1
+    more, less = every, 0  # where the cost rises and falls along the item
+    cost = best = size
+    for symbol in text:
+        equal = at.get(symbol, 0)
+        level = (((equal & more) + more) ^ more) | equal | less
+        up, down = less | ~(level | more) & every, level & more
+        cost += bool(up & last) - bool(down & last)
+        best = min(best, cost)
+        up, down = up << 1 & every, down << 1 & every
+        more, less = down | ~(level | up) & every, up & level
+    return best
+
+
 class Finder:
     """The items of one block, and what of them is needed to find them."""
 
@@ -105,7 +124,7 @@ class Finder:
         self.width = {n: max(m for m in sizes if self._class(m) == self._class(n)) for n in sizes}
         self.places = {n: rng.integers(0, STRETCH * n, (REPEATS, SAMPLES)) for n in sizes}
         self.samples = samples or {n: self._places_for(n, seed) for n in sizes}
-        self.keys: dict[int, tuple[np.ndarray, list[dict[int, list[int]]]]] = {}
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # sorted keys of each repeat, and their items
         for n in sizes:
             own = [k for k, x in enumerate(self.symbols) if len(x) == n]
             got = []
@@ -114,11 +133,8 @@ class Finder:
                 windows[:, :n] = np.stack([self.symbols[k] for k in part])
                 got.append(self.sampled(*self.walk(windows), n, np.arange(len(part))))
             got = np.concatenate(got, axis=1)
-            tables: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(REPEATS)]
-            for r in range(REPEATS):
-                for k, key in zip(own, got[r].tolist(), strict=True):
-                    tables[r][key].append(k)
-            self.keys[n] = np.sort(got, axis=1), tables
+            order = np.argsort(got, axis=1, kind="stable")
+            self.keys[n] = np.take_along_axis(got, order, axis=1), np.array(own)[order]
 
     def _places_for(self, n: int, seed: int) -> int:
         """The most places of a key with which copies at the largest allowed distance are found as often as wanted."""
@@ -274,13 +290,18 @@ class Finder:
                         self._keyed(self.sampled(shown, place, n, mine), part[mine], n, most, owner, regions)
         for (doc, k), places in regions.items():
             n, most, low = len(self.symbols[k]), self.most[k], int(limits[doc] - lengths[doc])
-            same = min((p for p in places if p + n <= limits[doc] and np.array_equal(text[p : p + n], self.symbols[k])), default=None)
+            spots = np.array(sorted(places))
+            spots = spots[spots + n <= limits[doc]]
+            equal = np.flatnonzero((text[spots[:, None] + np.arange(n)] == self.symbols[k]).all(axis=1)) if len(spots) else spots
+            same = int(spots[equal[0]]) if len(equal) else None
             if same is not None:  # a window without an edit always shares its keys, so no earlier one is overlooked
                 best[doc, k] = (0, same - low, same - low + n)
                 continue
             for a, b in self._merged(sorted(places), n, most, low, int(limits[doc])):
                 if int(np.isin(text[a:b], self.symbols[k]).sum()) < n - most:  # fewer of its words than any such stretch keeps
                     continue
+                if least_distance(self.symbols[k].tolist(), text[a:b].tolist()) > most:
+                    continue
                 distance, x, y = best_stretch(self.symbols[k], text[a:b])
                 found = (distance, a + x - low, a + y - low)
                 if distance <= most and ((doc, k) not in best or found < best[doc, k]):
@@ -289,14 +310,14 @@ class Finder:
 
     def _keyed(self, keys: np.ndarray, starts: np.ndarray, n: int, most: int, owner: np.ndarray, regions: dict[tuple[int, int], set[int]]) -> None:
         """The starts of windows that share a key with an item."""
-        known, tables = self.keys[n]
+        known, items = self.keys[n]
         for r in range(REPEATS):
-            slot = np.searchsorted(known[r], keys[r])
-            slot[slot == known.shape[1]] = 0
-            for w in np.flatnonzero(known[r][slot] == keys[r]).tolist():
-                for k in tables[r][int(keys[r][w])]:
+            low, high = (np.searchsorted(known[r], keys[r], side) for side in ("left", "right"))
+            for w in np.flatnonzero(high > low).tolist():
+                start = int(starts[w])
+                for k in items[r, low[w] : high[w]].tolist():
                     if self.most[k] == most:
-                        regions[int(owner[starts[w]]), k].add(int(starts[w]))
+                        regions[int(owner[start]), k].add(start)
 
     @staticmethod
     def _add(regions: dict[tuple[int, int], set[int]], hits: Iterator[tuple[int, int, int, int]], width: int, reach: int, least: np.ndarray) -> None:
