@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,36 @@ def list_sizes(collapsed: DataFrame) -> DataFrame:
     return per_seed.groupBy("round", "items").agg(F.count("*").alias("seeds"))
 
 
+#: The sample's seed text, its seeds and groups, and the members of a group that count in it.
+SAMPLING, SEEDS, GROUPS, GROUP_MEMBERS = "e4.4-proxies-v1", 300, 300, 8
+
+
+def sampled_seeds(items: DataFrame, sampling: str = SAMPLING, size: int = SEEDS) -> DataFrame:
+    """(seed_id) of the items that come first by a seeded hash of their ids."""
+    text = F.col("id").cast("string")
+    return items.select(F.col("id").alias("seed_id")).orderBy(F.md5(F.concat(F.lit(sampling), text)), "id").limit(size)
+
+
+def group_members(items: DataFrame, least: int = 2, sampling: str = SAMPLING, groups: int | None = None, most: int | None = None) -> DataFrame:
+    """(key, id, size, place) of groups of ``least`` items or more with one key; items without a key are in no group.
+
+    ``groups``: as many groups, the first by a seeded hash of their keys; ``most``: as many members of each, the first by id.
+    """
+    sizes = items.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    if groups is not None:
+        sizes = sizes.orderBy(F.md5(F.concat(F.lit(sampling), "key")), "key").limit(groups)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    members = items.select("key", "id").join(sizes, "key").withColumn("place", place.cast("long"))
+    return members.where(F.col("place") <= most) if most is not None else members
+
+
+def large_groups(items: DataFrame, top_n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(seed_id, seed_key, siblings) of the leaders and of all members of groups so large that a seed's whole list could be
+    its siblings; a leader is the first of its group by id."""
+    members = group_members(items, top_n + 1).select(F.col("id").alias("seed_id"), F.col("key").alias("seed_key"), (F.col("size") - 1).alias("siblings"), "place")
+    return members.where("place = 1").drop("place"), members.drop("place")
+
+
 #: The gate's thresholds.
 GATE = {"coherence": 0.40, "lift": 2.0, "saturation_most": 0.50, "recall": 0.45, "hit_rate": 0.50, "sibling_cosine": 0.98, "self_hits_most": 0, "short_most": 0.05, "redundant_most": 0, "single_most": 0}
 #: The populations on which thresholds were set.

@@ -269,14 +269,40 @@ def eval_result_size(spark, d):
     return evaluation.list_sizes(recommend_content(spark, d))
 
 
+#: Works of three items, and every fifth of twelve.
+WORKS_SQL = "w AS (SELECT vec_id AS id, CASE WHEN vec_id // 12 % 5 = 0 THEN 'long work ' || (vec_id // 12) ELSE 'work ' || (vec_id // 3) END AS key FROM embeddings)"
+
+
+def works(index):
+    long = F.floor(F.col("id") / 12)
+    return index.withColumn("key", F.when(long % 5 == 0, F.concat(F.lit("long work "), long.cast("string"))).otherwise(F.concat(F.lit("work "), F.floor(F.col("id") / 3).cast("string"))))
+
+
+@query(f"""WITH {WORKS_SQL}, g AS (SELECT key, count(*) AS size FROM w GROUP BY 1 HAVING count(*) > 1), s AS (SELECT * FROM g ORDER BY md5('{evaluation.SAMPLING}' || key), key LIMIT 20),
+m AS (SELECT key, id, size, row_number() OVER (PARTITION BY key ORDER BY id) AS place FROM w JOIN s USING (key)), l AS (SELECT key, id, size, row_number() OVER (PARTITION BY key ORDER BY id) AS place FROM w JOIN g USING (key) WHERE size >= 11)
+SELECT 'group' AS population, key, id, size, place FROM m WHERE place <= 8 UNION ALL SELECT 'leader', key, id, size, place FROM l WHERE place = 1 UNION ALL SELECT 'member', key, id, size, place FROM l
+ UNION ALL SELECT 'seed', NULL, id, NULL, NULL FROM (SELECT id FROM w ORDER BY md5('{evaluation.SAMPLING}' || id), id LIMIT 30)""")
+def eval_populations(spark, d):
+    """The samples of an evaluation: seeds, capped groups, leaders and members of large groups."""
+    i = works(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")))
+    capped = evaluation.group_members(i, groups=20, most=evaluation.GROUP_MEMBERS).withColumn("population", F.lit("group"))
+    large = evaluation.group_members(i, TOP + 1)
+    seeds_ = evaluation.sampled_seeds(i, size=30).select(F.lit("seed").alias("population"), F.col("seed_id").alias("id"))
+    found = capped.unionByName(large.where("place = 1").withColumn("population", F.lit("leader"))).unionByName(large.withColumn("population", F.lit("member")))
+    return found.unionByName(seeds_, allowMissingColumns=True).select("population", "key", "id", "size", "place")
+
+
 @query()
 def recommender_gate(spark, d):
-    """Which of the gate's thresholds the recommendations over the table miss. Works of three items stand for the large groups."""
-    i = index(spark, d)
-    plain, boosted = (similarity.neighbours(seeds(i), i, TOP, mode) for mode in ("off", "boost"))
-    asked = seeds(i).select(F.col("id").alias("seed_id"), F.when(~F.col("is_imputed"), F.col("genre")).alias("seed_genre"))
-    groups = seeds(i).join(i.groupBy("key").agg((F.count("*") - 1).alias("siblings")).where("siblings > 0"), "key").select(F.col("id").alias("seed_id"), F.col("key").alias("seed_key"), "siblings")
-    lists = recommend.recommend(seeds(i), i, TOP)
+    """Which of the gate's thresholds the recommendations over the table miss, each over the seeds that it was set on."""
+    i = works(index(spark, d))
+    drawn = i.join(evaluation.sampled_seeds(i).select(F.col("seed_id").alias("id")), "id", "left_semi")
+    plain, boosted = (similarity.neighbours(drawn, i, TOP, mode) for mode in ("off", "boost"))
+    asked = drawn.select(F.col("id").alias("seed_id"), F.when(~F.col("is_imputed"), F.col("genre")).alias("seed_genre"))
+    groups = evaluation.group_members(i, groups=evaluation.GROUPS, most=evaluation.GROUP_MEMBERS).select(F.col("id").alias("seed_id"), F.col("key").alias("seed_key"), (F.col("size") - 1).alias("siblings"))
+    near = similarity.neighbours(i.join(groups.select(F.col("seed_id").alias("id")), "id", "left_semi"), i, 100).select("seed_id", "key", "rank", "cosine")
+    leaders, members = evaluation.large_groups(i, TOP)
+    lists = sinks.written(recommend.recommend(i.join(members.select(F.col("seed_id").alias("id")), "id", "left_semi"), i, TOP), "lists")
     named = lists.join(i.select("id", "key"), "id").select("seed_id", "key", "rank", "cosine")
 
     def coherence(found):
@@ -285,9 +311,9 @@ def recommender_gate(spark, d):
     missed = evaluation.judged(
         evaluation.Measurement(coherence(plain), "sample", "off"),
         evaluation.Measurement(coherence(boosted), "sample", "boost"),
-        evaluation.Measurement(evaluation.duplicates(groups, similarity.neighbours(seeds(i), i, 100).select("seed_id", "key", "rank", "cosine"), 100).first().asDict(), "sample", "off"),
-        evaluation.Measurement(evaluation.duplicates(groups, named, TOP).first().asDict(), evaluation.LEADERS, dedupe=True),
-        evaluation.Measurement(evaluation.sizes(lists, asked, TOP).first().asDict(), evaluation.MEMBERS),
+        evaluation.Measurement(evaluation.duplicates(groups, near, 100).first().asDict(), "sample", "off"),
+        evaluation.Measurement(evaluation.duplicates(leaders, named, TOP).first().asDict(), evaluation.LEADERS, dedupe=True),
+        evaluation.Measurement(evaluation.sizes(lists, members, TOP).first().asDict(), evaluation.MEMBERS),
     )
     return spark.createDataFrame([(name, name in missed) for name in evaluation.GATE], "threshold string, missed boolean")
 
