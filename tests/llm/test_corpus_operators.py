@@ -251,3 +251,24 @@ def test_keys_alone_find_edited_passages_of_any_length(n):
 def test_a_key_may_not_be_named_as_a_result(spark):
     with pytest.raises(ValueError):
         decontaminate.find_items(spark.createDataFrame([(1, "a")], "distance long, text string"), spark.createDataFrame([], "item_id long, text string"), key="distance")
+
+
+# -- 9
+
+
+def test_trees_alone_give_the_same_groups(spark):
+    """Without the star phase the chosen-path trees find the same components."""
+    from cadenza.llm import near_dedup
+    from cadenza.llm.common import materialize
+    from cadenza.llm.components import connected
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    described = near_dedup.describe(docs, 5)
+    one_each = described.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("id", "text_hash", "signature", "sketch")).alias("least"))
+    classes = materialize(one_each.select(F.col("least.id").alias("cid"), "set_key", "least.*"), "classes").withColumn("label", F.col("cid"))
+    links = near_dedup.links_of(docs, classes, near_dedup.tree_leaves(classes, 0, near_dedup.TREES)[0], 5, 80)
+    roots = {r.id: r.root for r in connected(links).collect()}
+    whole = {r.id: r.component_id for r in near_dedup.groups(docs).collect()}
+    own = {r.set_key: r.cid for r in classes.select("set_key", "cid").collect()}
+    mine = {r.id: roots.get(own.get(r.set_key, r.id), own.get(r.set_key, r.id)) for r in described.select("id", "set_key").collect()}
+    assert mine == whole and links.count() > 2
