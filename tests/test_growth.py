@@ -257,3 +257,48 @@ def test_a_stream_of_pages_goes_on_where_it_stopped(spark, tmp_path):
         query = items.writeStream.foreachBatch(lambda b, _: seen.append([r.position for r in b.collect()])).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
         query.awaitTermination()
     assert [sorted(s) for s in seen if s] == [list(range(31)), list(range(31, 90))]
+
+
+def least_squares(train, test):
+    """Errors on ``test`` of a linear model with one-hot genres, fitted on ``train`` (rows of ``learnable``)."""
+    genres = sorted({r.genre for r in train})
+    design = lambda rows: np.array([[r["size"], r.quantity, r.discount, *(r.genre == g for g in genres), 1.0] for r in rows], float)
+    weights = np.linalg.lstsq(design(train), np.array([r.popularity for r in train]), rcond=None)[0]
+    return np.array([r.popularity for r in test]), design(test) @ weights
+
+
+def test_gate_and_folds_equal_least_squares(spark):
+    import xxhash
+
+    from cadenza.plans import QUERIES
+    from cadenza.plans.recommendation import learnable
+    from tests.conftest import SMALL
+
+    rows = learnable(spark, SMALL).collect()
+    truth, guess = least_squares([r for r in rows if not r.test], test := [r for r in rows if r.test])
+    mean = np.mean([r.popularity for r in rows if not r.test])
+    got = {r.model: r for r in QUERIES["model_gate"](spark, SMALL).collect()}
+    for name, value in (("linear", guess), ("mean", np.full(len(truth), mean))):
+        error = truth - value
+        wanted = [np.abs(error).mean(), np.sqrt((error**2).mean()), 1 - (error**2).sum() / ((truth - truth.mean()) ** 2).sum()]
+        assert np.allclose([got[name].mae, got[name].rmse, got[name].r2], wanted, atol=2e-6) and got[name].n == len(test)
+        assert got[name].passes == (wanted[0] <= 0.95 * got["mean"].mae)
+    fold = lambda r: np.int64(np.uint64(xxhash.xxh64_intdigest(str(r.l_partkey), seed=42)).astype(np.int64)) % 5
+    scores = []
+    for k in range(5):
+        truth, guess = least_squares([r for r in rows if fold(r) != k], [r for r in rows if fold(r) == k])
+        scores.append(1 - ((truth - guess) ** 2).sum() / ((truth - truth.mean()) ** 2).sum())
+    row = QUERIES["model_cross_validation"](spark, SMALL).first()
+    assert np.allclose([row.r2_mean, row.r2_deviation], [np.mean(scores), np.std(scores)], atol=2e-6)
+
+
+def test_populations_are_measured(spark):
+    from cadenza.operators import evaluation
+
+    items = spark.createDataFrame([(k, "big" if k < 12 else "pair" if k < 14 else None if k < 16 else f"own{k}") for k in range(30)], "id long, key string")
+    leaders, members = evaluation.large_groups(items, 10)
+    assert [tuple(r) for r in leaders.collect()] == [(0, "big", 11)] and sorted(r.seed_id for r in members.collect()) == list(range(12))
+    capped = evaluation.group_members(items, groups=5, most=3).collect()
+    assert sorted((r.key, r.id, r["size"]) for r in capped) == [("big", 0, 12), ("big", 1, 12), ("big", 2, 12), ("pair", 12, 2), ("pair", 13, 2)]
+    assert evaluation.large_groups(items, 12)[1].collect() == []
+    assert evaluation.sampled_seeds(items, "s", 4).count() == 4 and evaluation.sampled_seeds(items, "s", 4).collect() == evaluation.sampled_seeds(items.repartition(3), "s", 4).collect()
