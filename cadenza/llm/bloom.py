@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.common import materialize
 
 FALSE_RATE, MOST_HASHES = 0.02, 8
-#: Bits in one row of a filter's table; larger filters have several rows, each read by itself.
-PART_BITS = 1 << 31
+#: Bits in one row of a filter's table (8 MB); larger filters have several rows, each read by itself.
+PART_BITS = 1 << 26
 
 
 class Level:
@@ -22,9 +22,9 @@ class Level:
     makes the hashes of several filters independent of each other.
     """
 
-    def __init__(self, number: int, keys: DataFrame, count: int):
+    def __init__(self, number: int, keys: DataFrame, count: int, rate: float | None = None):
         self.number = number
-        wanted = -count * math.log(FALSE_RATE) / math.log(2) ** 2
+        wanted = -count * math.log(rate or FALSE_RATE) / math.log(2) ** 2
         self.parts = max(1, math.ceil(wanted / PART_BITS))
         self.bits = max(64, -(-math.ceil(wanted / self.parts) // 64) * 64)  # of each part
         self.hashes = max(1, min(MOST_HASHES, round(self.bits * self.parts / count * math.log(2)))) if count else 1
@@ -36,6 +36,13 @@ class Level:
         rows = dense.groupBy(F.floor(F.col("word") / each).cast("int").alias("part")).agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all"))
         self.table = materialize(rows.select("part", F.transform("all", lambda s: s["bits"]).alias("bits")), "bloom")
 
+    @classmethod
+    def saved(cls, number: int, parts: int, bits: int, hashes: int, table: DataFrame) -> Level:
+        """A filter whose table (part, bits) is there."""
+        level = cls.__new__(cls)
+        level.number, level.parts, level.bits, level.hashes, level.table = number, parts, bits, hashes, table
+        return level
+
     def part(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit(-1 - self.number)), F.lit(self.parts).cast("long")).cast("int")
 

@@ -107,6 +107,30 @@ def test_cascade_is_exact(spark, monkeypatch, bits):
     assert "Join" not in marked._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_filter_has_levels_and_may_be_saved(spark, tmp_path):
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".example/p")).alias("url"))
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host")).distinct()
+    listed = hosts.where(F.md5("host") < "6")
+    built = url_filter.Filter.build(pages, registry.RULES, listed)
+    assert len(built.cascade.levels) >= 4
+    built.cascade.save(f"file://{tmp_path}/cascade")
+    again = url_filter.Filter(registry.RULES, url_filter.Cascade.load(spark, f"file://{tmp_path}/cascade"))
+    part = pages.where("page_id % 3 = 0")
+    wanted = sorted(map(repr, built.judge(part).collect()))
+    assert sorted(map(repr, again.judge(part).collect())) == wanted and "Join" not in again.judge(part)._jdf.queryExecution().optimizedPlan().toString()
+    known = {r.host for r in listed.collect()}
+    assert all((r.verdict == "block") == (r.host in known) for r in again.judge(pages).where("rule IS NULL").collect())
+
+
+def test_parts_of_a_large_filter_are_small(spark):
+    level = bloom.Level(0, spark.createDataFrame([("a",)], "key string"), 1)
+    for count in (10_000_000, 1_000_000_000):  # the arithmetic alone
+        wanted = -count * np.log(0.25) / np.log(2) ** 2
+        parts = max(1, int(np.ceil(wanted / bloom.PART_BITS)))
+        assert wanted / parts / 8 <= 8 << 20
+    assert level.parts == 1 and bloom.PART_BITS // 8 <= 8 << 20
+
+
 # -- 9
 
 
