@@ -162,3 +162,9 @@ def overfetch(limit: int, rounds: int = 3, most: int = 600) -> list[int]:
             break
         windows.append(size)
     return windows
+
+
+def overfetch_of(limit: Column, rounds: int = 3, most: int = 600) -> Column:
+    """``overfetch`` for each row."""
+    first = F.greatest(limit * 3, F.lit(10))
+    return F.array_distinct(F.array(*(F.least(first * (1 << r), F.lit(most)).cast("int") for r in range(rounds))))

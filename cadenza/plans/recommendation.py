@@ -128,10 +128,11 @@ def knn_explained(spark, d):
     return found.select("seed_id", "id", "rank", F.array_join(F.transform("why", lambda s: s["dimension"].cast("string")), ",").alias("reasons"))
 
 
-@query("SELECT CAST(l AS INTEGER) AS wanted, CAST(r AS INTEGER) AS round, CAST(least(greatest(3 * l, 10) * 2 ** (r - 1), 600) AS INTEGER) AS size FROM (VALUES (1), (10), (50), (150), (200)) v(l), (VALUES (1), (2), (3)) w(r) WHERE r = 1 OR least(greatest(3 * l, 10) * 2 ** (r - 1), 600) > least(greatest(3 * l, 10) * 2 ** (r - 2), 600)")
+@query("SELECT CAST(l AS INTEGER) AS wanted, CAST(r AS INTEGER) AS round, CAST(least(greatest(3 * l, 10) * 2 ** (r - 1), 600) AS INTEGER) AS size, n FROM (SELECT 1 + p_partkey % 250 AS l, count(*) AS n FROM part GROUP BY 1), (VALUES (1), (2), (3)) w(r) WHERE r = 1 OR least(greatest(3 * l, 10) * 2 ** (r - 1), 600) > least(greatest(3 * l, 10) * 2 ** (r - 2), 600)")
 def overfetch_windows(spark, d):
-    rows = [(n, r, size) for n in (1, 10, 50, 150, 200) for r, size in enumerate(similarity.overfetch(n), 1)]
-    return spark.createDataFrame(rows, "wanted int, round int, size int")
+    """The windows of lists as long as the parts' numbers ask, and how many ask for each."""
+    wanted = table(spark, d, "part").groupBy((F.col("p_partkey") % 250 + 1).cast("int").alias("wanted")).agg(F.count("*").alias("n"))
+    return wanted.select("wanted", F.posexplode(similarity.overfetch_of(F.col("wanted"))).alias("round", "size"), "n").withColumn("round", F.col("round") + 1)
 
 
 WINDOW = similarity.overfetch(TOP)[-1]
@@ -372,9 +373,14 @@ def sink_rebuild(spark, d):
     return spark.read.parquet(path)
 
 
-@query("SELECT * FROM (VALUES ('base'), ('base+A'), ('base+B'), ('base+A+B')) v(features)")
+@query("""SELECT features, count(*) FILTER (p_partkey % 17 <> 0 AND p_partkey % 19 <> 0 AND (NOT g OR p_partkey % 11 <> 0)) AS complete FROM part, (VALUES ('base', false), ('base+A', false), ('base+B', true), ('base+A+B', true)) v(features, g) GROUP BY 1""")
 def feature_sets(spark, d):
-    return spark.createDataFrame([("+".join(("base", *s)),) for s in dataset.block_sets(list(ml.BLOCKS))], "features string")
+    """Every combination of blocks, and for how many tracks all of its columns are known."""
+    flat = tracks(spark, d).select("popularity", "duration_ms", (F.col("id") % 3 == 0).alias("explicit"), "audio_features.*")
+    named = flat.withColumnsRenamed({c: c.lower() for c in flat.columns} | {"TimeSignature": "time_signature"})
+    sets = {"+".join(("base", *s)): sum(ml.feature_set(s), []) for s in dataset.block_sets(list(ml.BLOCKS))}
+    row = named.agg(*(F.count_if(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))).alias(name) for name, columns in sets.items()))
+    return row.unpivot([], list(sets), "features", "complete")
 
 
 def training(spark, d):
