@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions.text import split_credits
 from cadenza.operators import ranks
+from cadenza.sources.sinks import written
 
 TOLERANCE_MS = 2000
 CONTINUOUS = ("danceability", "energy", "valence")
@@ -57,7 +58,7 @@ def medians(df: DataFrame, genre: str, measures: list[str]) -> DataFrame:
 def impute(df: DataFrame, genre: str, continuous: list[str], discrete: list[str]) -> DataFrame:
     """Missing measures from the genre's median, else the overall one, else 0; discrete ones rounded half away from zero."""
     measures = [*continuous, *discrete]
-    profile = medians(df, genre, measures)
+    profile = written(medians(df, genre, measures), "profile")  # a row for each genre, read twice
     own = profile.where("genre IS NOT NULL").select(F.col("genre").alias("__genre"), *(F.col(m).alias(f"__own_{m}") for m in measures))
     every = profile.where("genre IS NULL").select(*(F.col(m).alias(f"__all_{m}") for m in measures))
     joined = df.withColumn("__genre", F.nullif(F.lower(F.trim(genre)), F.lit(""))).join(own, "__genre", "left").crossJoin(F.broadcast(every))
