@@ -84,17 +84,29 @@ def pair_buckets(shapes: np.ndarray, hashes: np.ndarray, words: np.ndarray) -> n
 
 
 SHAPE_PAIRS, WORD_PAIRS = BUCKETS // 4, BUCKETS
+KEPT_TOGETHER = 64  # documents whose features lie side by side
 TOTAL = BUCKETS + WORD_PAIRS + SHAPE_PAIRS
 
 
 def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Each bucket's share of the score, and the bias."""
     rng = np.random.default_rng(seed)
-    docs = []
+    docs: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep() -> None:
+        """Lays the features of some documents side by side: half as large, and given back whole after the training."""
+        buckets, shares = np.concatenate([b for b, _ in held]).astype(np.int32), np.concatenate([s for _, s in held]).astype(np.float32)
+        ends = np.cumsum([len(b) for b, _ in held]).tolist()
+        docs.extend((buckets[a:b], shares[a:b]) for a, b in zip([0, *ends], ends, strict=False))
+        held.clear()
+
     for text in texts:
+        if len(held) == KEPT_TOGETHER:
+            keep()
         words = WORDS.findall(text)
         if not words:
-            docs.append((np.zeros(0, np.int64), np.zeros(0)))
+            held.append((np.zeros(0, np.int64), np.zeros(0)))
             continue
         distinct = list(dict.fromkeys(words))
         number = {w: k for k, w in enumerate(distinct)}
@@ -106,7 +118,9 @@ def train(texts: list[str], labels: list[int], epochs: int = 6, rate: float = 0.
         weight = np.concatenate([times[owners], np.ones(len(pairs), np.int64)])
         unique, inverse = np.unique(every, return_inverse=True)
         share = np.bincount(inverse, weights=weight)
-        docs.append((unique, share / share.sum()))
+        held.append((unique, share / share.sum()))
+    if held:
+        keep()
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (TOTAL, DIM))
     out, bias = np.zeros((2, DIM)), np.zeros(2)
     out += rng.uniform(-0.1, 0.1, out.shape)

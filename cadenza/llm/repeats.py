@@ -295,7 +295,7 @@ def pieces(texts: DataFrame, least: int) -> DataFrame:
 RUNS = "at long, tie long, place int, windows short"
 
 
-def runs_of(marked: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(marked: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of marks within each string: (string, first mark, marks)."""
     edge = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -310,7 +310,7 @@ def compare(found: DataFrame, least: int) -> DataFrame:
         rows.sort(key=lambda r: r[1:4])
         rows = [r for k, r in enumerate(rows) if not k or r[1:4] != rows[k - 1][1:4]]  # rows that are one document
         index = RunIndex([r[4] for r in rows])
-        owner, first, n = runs_of(index.repeated(least), index.starts, index.rest)
+        owner, first, n = runs_of(index.repeated(least), index.starts)
         at, tie, place = (np.array([r[k] for r in rows], np.int64)[owner] for k in (1, 2, 3))
         return arrow({"at": at, "tie": tie, "place": place + first, "windows": n}, RUNS)
 
