@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.operators.similarity import contributions, neighbours, overfetch
+from cadenza.operators.similarity import contributions, nearest, overfetch
 from cadenza.sources.sinks import written
 
 WEIGHT, SAME_COSINE, MOST = 0.35, 0.999, 100
@@ -120,11 +120,10 @@ def recommend(seeds: DataFrame, index: DataFrame, limit: int = 10, mode: str = "
     shared_genre, collapsed, the ``reasons`` dimensions that add most to the cosine, and the seed's warnings.
     """
     limit, reasons, windows = min(max(limit, 1), MOST), min(max(reasons, 1), 9), overfetch(min(max(limit, 1), MOST))
-    near = neighbours(seeds, index, windows[-1], mode).withColumn("why", contributions(reasons))
-    # the search is read several times below and made once
-    content = written(near.select("seed_id", "id", "rank", "score", "cosine", "why", F.round(F.col("score") - F.col("cosine"), 9).alias("genre_boost")), "near")
-    asked = seeds.select(F.col("id").alias("seed_id"), F.nullif(F.trim("genre"), F.lit("")).alias("seed_genre"), F.col("is_imputed").alias("seed_imputed"))
-    facts = index.select("id", "key", "popularity", "is_imputed", "unit", "genre")
+    # the search is read several times below and made once; vectors are joined to what is kept of it alone
+    content = written(nearest(seeds, index, windows[-1], mode).select("seed_id", "id", "rank", "score", "cosine", F.round(F.col("score") - F.col("cosine"), 9).alias("genre_boost")), "near")
+    asked = seeds.select(F.col("id").alias("seed_id"), F.nullif(F.trim("genre"), F.lit("")).alias("seed_genre"), F.col("is_imputed").alias("seed_imputed"), F.col("unit").alias("seed_unit"), F.col("length").alias("seed_length"))
+    facts = index.select("id", "key", "popularity", "is_imputed", "unit", "length", "genre")
     if edges is None:
         listed = content.select("seed_id", "id", "rank", "score", F.lit(0).cast("long").alias("co_count"), F.lit(0.0).alias("jaccard"), F.lit(None).cast("string").alias("signal"))
         rounds, shared = listed, None
@@ -147,7 +146,8 @@ def recommend(seeds: DataFrame, index: DataFrame, limit: int = 10, mode: str = "
     given = rounds.join(facts, "id", "left").select("seed_id", "id", "rank", "score", "key", "popularity", F.coalesce("is_imputed", F.lit(False)).alias("is_imputed"), "unit", *extra)
     kept = collapse(given, limit)
     joined = kept.join(rounds.drop("rank", "score", "exhausted"), ["seed_id", "id", "round"] if extra else ["seed_id", "id"], "left")
-    joined = joined.join(content.select("seed_id", "id", "cosine", "why", "genre_boost"), ["seed_id", "id"], "left").join(facts.select("id", "genre", "is_imputed"), "id", "left").join(asked, "seed_id")
+    joined = joined.join(content.select("seed_id", "id", "cosine", "genre_boost"), ["seed_id", "id"], "left").join(facts.select("id", "genre", "is_imputed", "unit", "length"), "id", "left").join(asked, "seed_id")
+    joined = joined.withColumn("why", F.when(F.col("cosine").isNotNull(), contributions(reasons)))
     joined = joined.join(shared, "seed_id", "left") if shared is not None else joined.withColumn("collaborative", F.lit(True))
     estimated = F.coalesce("is_imputed", F.lit(False))
     any_estimated = F.max(estimated).over(Window.partitionBy("seed_id"))  # at most ``limit`` rows

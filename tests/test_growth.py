@@ -63,6 +63,33 @@ def test_cells_find_what_all_pairs_find(spark, mode):
     assert cells.neighbours(seeds.where("false"), cells.build(index, 4), 8, mode)[0].collect() == []
 
 
+@pytest.mark.parametrize("mode", similarity.MODES)
+def test_a_task_gives_only_ids_and_scores_of_its_best_items(spark, mode):
+    rng = np.random.default_rng(9)
+    rows = [(k, rng.normal(size=8).tolist() if k else [0.0] * 8, "ab"[k % 2] if k % 7 else None, k % 5 == 0) for k in range(1200)]
+    index = similarity.index_of(spark.createDataFrame(rows, "id long, vector array<double>, genre string, is_imputed boolean"), "vector", 8)
+    seeds = index.where("id % 60 = 0")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = similarity._nearest(similarity._asked(seeds), index.coalesce(1), 7, mode, similarity.BOOST)
+        assert found.columns == ["seed_id", "id", "cosine", "score", "fell_back"] and 0 < found.count() <= 20 * 7
+        plain = sorted(map(tuple, similarity.scored(seeds, index, mode).select("seed_id", "id", "cosine", "score", "fell_back").withColumn("n", F.expr("row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, id)")).where("n <= 7").drop("n").collect()))
+        assert sorted(map(tuple, found.collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_all_pairs_come_in_bounded_batches(spark, monkeypatch):
+    rows = [(k, [float(k % 5), 1.0, float(k % 3)]) for k in range(40)] + [(40, [0.0, 0.0, 0.0])]
+    index = similarity.standardised(spark.createDataFrame([(*r, "a", False) for r in rows], "id long, vector array<double>, genre string, is_imputed boolean"), "vector", spark.createDataFrame([([0.0] * 3, [1.0] * 3)], "means array<double>, deviations array<double>"))
+    wanted = sorted(map(tuple, similarity.scored(index, index).select("seed_id", "id", "cosine").collect()))
+    for most in (similarity.MOST_SEEDS, 9):
+        monkeypatch.setattr(similarity, "MOST_SEEDS", most)
+        assert sorted(map(tuple, similarity.cosines(index, index).collect())) == wanted
+    assert similarity.cosines(index.where("false"), index).collect() == []
+
+
 def lines(numbers, path):
     path.write_text('"user","artist","track","playlist"\n' + "".join(f'"u","a","t{n}","p{n % 3}"\n' for n in numbers))
 
