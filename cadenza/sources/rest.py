@@ -22,6 +22,8 @@ RETRIED = {429, 500, 502, 503, 504}
 LONGEST_WAIT = 30.0
 #: Most ids in one look-up.
 ARTIST_BATCH, ALBUM_BATCH = 50, 20
+#: Most items that one task asks for.
+MOST_ITEMS = 100_000
 
 Answer = tuple[int, dict, object]
 
@@ -119,7 +121,7 @@ class PagedSource(DataSource):
 
     Options: ``transport`` (module:function of offset, size and the options; ``offline`` where left out), ``size`` of a
     page, ``tasks``, ``first_wait`` of the retry rule, and those of the transport. The service's total is split into one
-    range of items for each task. Within its range a task asks again from where the last answer ended, so a service that
+    range of items for each task, into more where a range would have over ``MOST_ITEMS``. Within its range a task asks again from where the last answer ended, so a service that
     gives shorter pages than asked for loses nothing; it stops at its first empty page. Fields are taken by name from the
     schema given to the reader; ``position`` is an item's place in the service's order.
 
@@ -156,7 +158,7 @@ class _Pages:
         return int(self.page(0, 1).get("total", 0))
 
     def ranges(self, first: int, last: int) -> list[InputPartition]:
-        each = max(-(-(last - first) // self.tasks), self.size, 1)
+        each = max(min(-(-(last - first) // self.tasks), MOST_ITEMS), self.size, 1)
         return [InputPartition((a, min(a + each, last))) for a in range(first, last, each)]
 
     def items(self, partition: InputPartition) -> Iterator[tuple]:

@@ -139,6 +139,9 @@ def ingest(batch: DataFrame, run: int, target: str, counters: str, key: str = "i
     duplicates (a key seen earlier in the run), total.
     """
     spark = batch.sparkSession
+    # read several times below, so the source is asked once
+    batch.write.mode("overwrite").parquet(f"{counters}_batches/{run}")
+    batch = spark.read.schema(batch.schema).parquet(f"{counters}_batches/{run}")
     blank = (F.coalesce(F.trim(F.col(key)), F.lit("")) == "") | (F.coalesce(F.trim(F.col(name)), F.lit("")) == "")
     marked = batch.withColumn("__blank", blank)
     rest = [c for c in batch.columns if c not in (key, order)]

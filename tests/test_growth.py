@@ -90,6 +90,17 @@ def test_all_pairs_come_in_bounded_batches(spark, monkeypatch):
     assert similarity.cosines(index.where("false"), index).collect() == []
 
 
+def test_a_service_reads_each_block_once(spark, monkeypatch):
+    monkeypatch.setattr(streams, "BLOCK", 10)
+    rows = spark.range(1, 36).select(F.col("id").alias("place"), F.when(F.col("id") % 4 != 0, F.col("id")).alias("id"), F.lit("x").alias("name"))
+    folder, total = streams.service(spark, rows.where("place < 20 OR place >= 30"), "service")
+    streams.block.cache_clear()
+    found = [x for at in range(0, 36, 3) for x in streams.served(at, 3, {"folder": folder, "total": "36"})[2]["items"]]
+    assert total == 25 and [x and x["id"] for x in found] == [k if k % 4 else None for k in [*range(1, 20), *range(30, 36)]]
+    assert streams.block.cache_info().misses == 4
+    assert streams.served(36, 3, {"folder": folder, "total": "36"})[2]["items"] == []
+
+
 def lines(numbers, path):
     path.write_text('"user","artist","track","playlist"\n' + "".join(f'"u","a","t{n}","p{n % 3}"\n' for n in numbers))
 
