@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cadenza.operators.similarity import BOOST, MOST_SEEDS, _asked, _mode
+from cadenza.operators.similarity import BOOST, MOST_SEEDS, SLACK as SCORE_SLACK, Lists, _asked, _dealt, _mode, found_schema, matrix, ranked_lists, with_facts
 from cadenza.sources.sinks import written
 
 #: Most cells, so that centres and their products with a part of the seeds stay small on the driver and in a task.
 MOST_CELLS = 1024
-#: For rounding: of angles, in radians, and of scores, which are rounded to nine places.
-SLACK, SCORE_SLACK = 1e-6, 2e-9
+#: For rounding of angles, in radians.
+SLACK = 1e-6
 
 
 @dataclass
@@ -36,11 +37,6 @@ class Cells:
     sizes: np.ndarray
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.zeros((0, 0))
-
-
 def _angles(units: np.ndarray, lengths: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Of vectors with centres; a vector of length 0 has a cosine of 0 with everything, a right angle."""
     scaled = np.divide(units, lengths[:, None], out=np.zeros_like(units), where=lengths[:, None] > 0)
@@ -51,13 +47,13 @@ def build(index: DataFrame, cells: int = 256) -> Cells:
     """``index`` (id, unit, length and further columns) in at most ``cells`` cells, around items picked by a hash of their ids."""
     cells = min(cells, MOST_CELLS)
     picked = index.where("length > 0").orderBy(F.xxhash64("id"), "id").limit(cells).select("unit", "length").toArrow()
-    units = _matrix(picked["unit"], picked.num_rows)
+    units = matrix(picked["unit"], picked.num_rows)
     centres = units / picked["length"].to_numpy()[:, None] if picked.num_rows else np.zeros((1, 0))
     schema = StructType([*index.schema.fields]).add("cell", "integer").add("angle", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, length = _matrix(batch.column("unit"), batch.num_rows), batch.column("length").to_numpy()
+            own, length = matrix(batch.column("unit"), batch.num_rows), batch.column("length").to_numpy()
             angles = _angles(own, length, centres) if centres.size else np.full((batch.num_rows, 1), np.pi / 2)
             cell = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell])], schema.fieldNames())
@@ -72,47 +68,23 @@ def build(index: DataFrame, cells: int = 256) -> Cells:
 
 
 def _searched(cells: Cells, held: pa.Table, wanted: np.ndarray, floors: np.ndarray, top_n: int, mode: str, boost: float, only: list[int] | None, asked: DataFrame) -> DataFrame:
-    """Scores of each cell's items with the seeds that ``wanted`` [cell, seed] names, from ``floors`` (by seed) up."""
+    """The best of each task's cells for the seeds that ``wanted`` [cell, seed] names, from ``floors`` (by seed) up."""
     spark = cells.members.sparkSession
     shared = spark.sparkContext.broadcast((held, np.packbits(wanted, axis=1), floors))
     rows = cells.members if only is None else cells.members.where(F.col("cell").isin(only))
-    base = rows.drop("angle")
-    schema = StructType([*base.schema.fields, *asked.schema.fields]).add("cosine", "double").add("score", "double").add("fell_back", "boolean")
+    schema = found_schema(asked, cells.members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds, packed, least = shared.value
-        units, lengths = _matrix(seeds["seed_unit"], seeds.num_rows), seeds["seed_length"].to_numpy()
-        ids, genres = seeds["seed_id"].to_numpy(), np.array(seeds["seed_genre"].to_pylist(), object)
-        bare = np.array([g is None for g in genres])
+        lists = Lists(seeds, top_n, mode, boost, least)
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             edges = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(cell)], strict=True):
-                of = np.flatnonzero(np.unpackbits(packed[cell[a]], count=seeds.num_rows))
-                if not len(of):
-                    continue
-                part = batch.slice(a, b - a)
-                own, theirs = part.column("id").to_numpy(), np.array(part.column("genre").to_pylist(), object)
-                product = np.outer(lengths[of], part.column("length").to_numpy())
-                dots = units[of] @ _matrix(part.column("unit"), part.num_rows).T
-                cosines = np.round(np.divide(dots, product, out=np.zeros_like(dots), where=product > 0), 9)
-                measured = ~np.array(part.column("is_imputed").to_pylist(), bool)
-                shares = (genres[of][:, None] == theirs[None, :]) & ~bare[of][:, None] & measured[None, :]
-                scores = np.round(cosines + boost * shares, 9) if mode == "boost" else cosines
-                barred = ids[of][:, None] == own[None, :]
-                if mode == "same_genre":
-                    barred |= ~bare[of][:, None] & ~shares
-                open_ = ~barred & (scores >= least[of][:, None])
-                if part.num_rows > top_n:
-                    ranked = np.where(open_, scores, -np.inf)
-                    last = np.partition(ranked, part.num_rows - top_n, axis=1)[:, part.num_rows - top_n]
-                    open_ &= ranked >= last[:, None]
-                seed, item = np.nonzero(open_)
-                mine, theirs_ = part.take(pa.array(item)), seeds.take(pa.array(of[seed])).combine_chunks()
-                columns = [*mine.columns, *(c.combine_chunks() for c in theirs_.columns), pa.array(cosines[seed, item]), pa.array(scores[seed, item]), pa.array(bare[of[seed]] if mode != "off" else np.zeros(len(seed), bool))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return base.mapInArrow(run, schema)
+                lists.meet(batch.slice(a, b - a), np.flatnonzero(np.unpackbits(packed[cell[a]], count=seeds.num_rows)))
+        yield from lists.rows(schema.names)
+
+    return rows.select("id", "genre", "is_imputed", "unit", "length", "cell").mapInArrow(run, schema)
 
 
 def neighbours(seeds: DataFrame, cells: Cells, top_n: int, mode: str = "off", boost: float = BOOST) -> tuple[DataFrame, float]:
@@ -123,13 +95,12 @@ def neighbours(seeds: DataFrame, cells: Cells, top_n: int, mode: str = "off", bo
     """
     _mode(mode, boost)
     asked = _asked(seeds)
-    parts = max(1, -(-seeds.count() // MOST_SEEDS))
     lists, made, all_ = [], 0, 0
-    for k in range(parts):
-        held = (asked.where(F.pmod(F.xxhash64("seed_id"), F.lit(parts)) == k) if parts > 1 else asked).orderBy("seed_id").toArrow()
+    for part in _dealt(asked, seeds.count(), MOST_SEEDS):
+        held = part.orderBy("seed_id").toArrow()
         count, number = held.num_rows, len(cells.centres)
         # the cosine of a vector without length is 0, whatever the cell
-        units, lengths = _matrix(held["seed_unit"], count), held["seed_length"].to_numpy()
+        units, lengths = matrix(held["seed_unit"], count), held["seed_length"].to_numpy()
         near = _angles(units, lengths, cells.centres) if count and cells.centres.size else np.full((count, number), np.pi / 2)
         bound = np.cos(np.maximum(near - cells.radii - SLACK, 0)) + (boost if mode == "boost" else 0.0)
         bound[lengths == 0] = np.inf
@@ -147,8 +118,5 @@ def neighbours(seeds: DataFrame, cells: Cells, top_n: int, mode: str = "off", bo
         made += int((wanted.sum(axis=1) * cells.sizes).sum()) + int((first.sum(axis=1) * cells.sizes).sum())
         all_ += count * int(cells.sizes.sum())
         lists.append(_searched(cells, held, wanted, floors, top_n, mode, boost, None, asked))
-    whole = lists[0]
-    for more in lists[1:]:
-        whole = whole.unionByName(more)
-    ranked = F.row_number().over(Window.partitionBy("seed_id").orderBy(F.desc("score"), F.asc("id"))).cast("long")
-    return whole.drop("cell").withColumn("rank", ranked).where(F.col("rank") <= top_n), max(0.0, 1 - made / all_) if all_ else 0.0
+    ranked = ranked_lists(reduce(DataFrame.unionByName, lists), top_n)
+    return with_facts(ranked, asked, cells.members.drop("cell", "angle")), max(0.0, 1 - made / all_) if all_ else 0.0
