@@ -2,7 +2,8 @@
 
 Each window of ``least`` bytes has an anchor: the least hash among its k-byte pieces. Equal windows have equal anchors
 wherever they stand, so a text is cut into stretches, runs of windows with one anchor, and only stretches with an anchor in
-common can repeat one another:
+common can repeat one another. A document whose whole text an earlier one has is repeated as a whole and goes no further:
+whatever repeats it repeats the earlier one too. For the others:
 
 1. ``stretches``: anchor, digest and place of each stretch. Of equal ones within a block of texts one stands for all.
 2. ``sift``: stretches by anchor. Those equal to an earlier one are repeated as a whole and need no text; anchors that
@@ -37,8 +38,8 @@ from cadenza.llm.run_index import RunIndex
 LEAST = 100
 #: Bytes of text that a task hashes, or indexes, at once (one longer text is taken alone).
 BLOCK_BYTES, INDEX_BYTES = 4 << 20, 1 << 18
-#: Most windows of one stretch.
-MOST_WINDOWS = 256
+#: Most windows of one stretch, and of one run.
+MOST_WINDOWS, MOST_RUN = 256, 30_000
 #: One of so many texts is counted to find anchors with at least so many stretches there, the most frequent ones first.
 HOT_SHARE, HOT_COUNT, MOST_HOT, HOT_PARTS = 16, 256, 500_000, 64
 FIRST, COPY, HOT, INNER = 0, 1, 2, 3
@@ -389,17 +390,31 @@ def cut_out(texts: DataFrame, least: int) -> DataFrame:
     return texts.mapInArrow(run, RESULT)
 
 
+def copied(rows: DataFrame, least: int) -> DataFrame:
+    """(at, tie, size) of documents whose whole text, of ``least`` bytes or more, an earlier document has."""
+    size = F.octet_length("data").cast("long")
+    known = materialize(rows.where(size >= least).select("at", "tie", size.alias("size"), F.unhex(F.sha2("data", 256)).alias("digest")), "digests")
+    first = known.groupBy("digest").agg(F.min(F.struct("at", "tie")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = known.join(first, "digest").where(F.struct("at", "tie") != F.col("first"))
+    return materialize(later.select("at", "tie", "size").distinct(), "copies")
+
+
 def find(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST, hot_share: int = HOT_SHARE, hot_count: int = HOT_COUNT) -> DataFrame:
     """id, n_bytes, n_removed, ``spans`` (maximal removed runs, in bytes) and ``kept`` (the other bytes, joined) of each row."""
-    rows = keyed(docs, id, text)
-    hot = hot_anchors(rows, least, hot_share, hot_count)
     key = ["at", "tie"]
+    rows = keyed(docs, id, text)
+    again = copied(rows, least)
+    texts = rows.join(again.select(*key), key, "left_anti")
+    hot = hot_anchors(texts, least, hot_share, hot_count)
     part = F.struct("place", "windows", "state", "anchor")
-    sifted = materialize(sift(stretches(rows, least, hot)).groupBy(*key).agg(F.collect_list(part).alias("parts")), "stretches")
+    sifted = materialize(sift(stretches(texts, least, hot)).groupBy(*key).agg(F.collect_list(part).alias("parts")), "stretches")
     unfinished = sifted.where(F.exists("parts", lambda p: p["state"] != COPY))
-    found = compare(pieces(rows.join(unfinished, key), least), least)
+    found = compare(pieces(texts.join(unfinished, key), least), least)
+    count = F.col("size") - least + 1
+    whole_texts = again.select(*key, count.alias("count"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1, F.lit(MOST_RUN).cast("long"))).alias("at_"))
+    whole_texts = whole_texts.select(*key, F.col("at_").cast("int").alias("place"), F.least(F.col("count") - F.col("at_"), F.lit(MOST_RUN)).cast("short").alias("windows"))
     copies = sifted.select(*key, F.explode(F.filter("parts", lambda p: p["state"] == COPY)).alias("p")).select(*key, "p.place", "p.windows")
-    runs = copies.unionByName(found).groupBy(*key).agg(F.collect_list(F.struct("place", "windows")).alias("parts"))
+    runs = copies.unionByName(found).unionByName(whole_texts).groupBy(*key).agg(F.collect_list(F.struct("place", "windows")).alias("parts"))
     whole = rows.join(runs, key, "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<place:int,windows:short>>")))
     named = F.when((F.col("at") == NO_ID) & (F.col("tie").bitwiseAND(1) == 1), None).otherwise(F.col("at"))
     return cut_out(whole, least).select(named.alias(id), "n_bytes", "n_removed", "spans", "kept")

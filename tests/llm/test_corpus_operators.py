@@ -88,6 +88,19 @@ def test_repeats_equal_brute_force(spark, least, hot_count, monkeypatch):
         assert found(df.repartition(2), least=least) == wanted
 
 
+def test_copies_of_whole_texts_are_removed_before_they_are_cut(spark, monkeypatch):
+    long = "".join(f"{k} " for k in range(9000))  # more windows than a run may have
+    assert len(long) > repeats.MOST_RUN
+    rows = [(1, "x" * 19), (2, long), (3, "x" * 19), (4, long), (5, long + "."), (6, "abcdefghij" * 2), (7, "abcdefghij" * 2), (8, None), (4, long)]
+    seen = []
+    cut = repeats.stretches
+    monkeypatch.setattr(repeats, "stretches", lambda texts, *rest: (seen.append(texts.where("octet_length(data) >= 20").count()), cut(texts, *rest))[1])
+    got = sorted(tuple(r) for r in repeats.find(spark.createDataFrame(rows, "doc_id long, text string"), least=20).selectExpr("doc_id", "n_bytes", "n_removed", "size(spans)", "length(kept)").collect())
+    n = len(long)
+    assert got == [(1, 19, 0, 0, 19), (2, n, 0, 0, n), (3, 19, 0, 0, 19), (4, n, n, 1, 0), (4, n, n, 1, 0), (5, n + 1, n, 1, 1), (6, 20, 0, 0, 20), (7, 20, 20, 1, 0), (8, 0, 0, 0, 0)]
+    assert seen == [3]
+
+
 def test_repeats_of_rows_without_or_with_equal_ids(spark):
     text, other = "x" * 30 + "0123456789" * 5, "y" + "0123456789" * 5
     rows = [(1, text), (1, text), (2, other), (None, text), (None, other), (None, other), (2, "z" * 60)]
