@@ -10,6 +10,8 @@ from cadenza.operators import ranks
 from cadenza.sources.sinks import written
 
 TOLERANCE_MS = 2000
+#: Rows from which a key counts as frequent, and tasks that its rows are dealt to.
+HOT_ROWS, DEALT = 10_000, 64
 CONTINUOUS = ("danceability", "energy", "valence")
 DISCRETE = ("key", "mode", "time_signature")
 
@@ -24,16 +26,29 @@ def match_chain(rows: DataFrame, tracks: DataFrame, tolerance: int = TOLERANCE_M
     by_id = rows.join(tracks.select(F.col("id").alias("external_id"), F.lit(1).alias("hit")), "external_id", "left_semi").select("row_id", F.col("external_id").alias("by_id"))
     keyed = tracks.where("match_key <> '|'")
     cell = F.floor(F.col("duration_ms") / tolerance)
-    cells = keyed.select("id", "match_key", F.col("duration_ms").alias("their_ms"), cell.alias("cell"))
+    # of tracks with one key and duration the least id alone can win
+    cells = keyed.groupBy("match_key", "duration_ms").agg(F.min("id").alias("id")).select("id", "match_key", F.col("duration_ms").alias("their_ms"), cell.alias("cell"))
     asked = rows.select("row_id", "match_key", "duration_ms", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
     near = asked.join(cells, ["match_key", "cell"]).withColumn("gap", F.abs(F.col("duration_ms") - F.col("their_ms"))).where(F.col("gap") <= tolerance)
     near = near.groupBy("row_id").agg(F.min(F.struct("gap", "id")).alias("near"))
     least = keyed.groupBy("match_key").agg(F.min("id").alias("by_key"))
-    joined = rows.join(by_id, "row_id", "left").join(near, "row_id", "left").join(least, "match_key", "left")
+    joined = by_frequent_key(rows.join(by_id, "row_id", "left").join(near, "row_id", "left"), least, "match_key", "row_id", counted=rows)
     kind = F.when(F.col("by_id").isNotNull(), "id").when(F.col("near").isNotNull(), "key_duration").when(F.col("by_key").isNotNull(), "key").otherwise("none")
     return joined.select("row_id", F.coalesce("by_id", "near.id", "by_key").alias("track_id"), kind.alias("match_kind"))
 
 
+def by_frequent_key(rows: DataFrame, facts: DataFrame, key: str, row: str, hot: int = HOT_ROWS, counted: DataFrame | None = None) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row for each key); rows of a key with over ``hot`` are dealt to ``DEALT`` tasks.
+
+    ``counted``: the same keys, cheaper to read.
+    """
+    frequent = F.broadcast((rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > hot).select(key, F.lit(True).alias("__hot")))
+    dealt = F.when(F.col("__hot") | F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(DEALT))).otherwise(0).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), DEALT - 1).otherwise(0)))
+    each = facts.join(frequent, key, "left").withColumn("__part", copies).drop("__hot")
+    return rows.join(frequent, key, "left").withColumn("__part", dealt).drop("__hot").join(each, [key, "__part"], "left").drop("__part")
+
+
 def unique_keys(catalogue: DataFrame) -> DataFrame:
     """(match_key, id) of keys that one id only has."""
     return catalogue.where("match_key <> '|'").groupBy("match_key").agg(F.countDistinct("id").alias("ids"), F.min("id").alias("id")).where("ids = 1").drop("ids")
