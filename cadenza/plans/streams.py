@@ -145,13 +145,19 @@ def sink_bucketed_append(spark, d):
     return spark.read.parquet(path)
 
 
+def files_of(rows: int) -> int:
+    """As many files that none has much over a million rows, which one task sorts."""
+    return max(5, -(-rows // 1_000_000))
+
+
 @query("""WITH l AS (SELECT 'list ' || l_suppkey AS playlist, l_partkey AS track, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem), s AS (SELECT playlist, track, min(n) AS n FROM l GROUP BY ALL)
 SELECT playlist, string_agg(CAST(track AS VARCHAR), ',' ORDER BY n) AS track_ids FROM s GROUP BY 1""")
 def playlist_file_order(spark, d):
     """Lines go out as files of unlike sizes, in order of their names, and come back in the order in which they stand there."""
     path = sinks.shared_folder(spark, "playlists")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    rows = table(spark, d, "lineitem").select(*keys).repartitionByRange(5, *keys).sortWithinPartitions(*keys)
+    lines = table(spark, d, "lineitem").select(*keys)
+    rows = lines.repartitionByRange(files_of(lines.count()), *keys).sortWithinPartitions(*keys)
     rows.select(F.lit("u").alias("user"), F.lit("a").alias("artist"), F.col("l_partkey").cast("string").alias("track"), F.concat(F.lit("list "), F.col("l_suppkey").cast("string")).alias("playlist")).write.csv(path, header=True, quoteAll=True, escape="\\")
     lists = matching.accumulate(catalog_csv.read_playlists(spark, path, place="row_id").select("row_id", "playlist", "track"))
     return lists.select("playlist", F.concat_ws(",", "track_ids").alias("track_ids"))

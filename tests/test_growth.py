@@ -101,6 +101,25 @@ def test_a_service_reads_each_block_once(spark, monkeypatch):
     assert streams.served(36, 3, {"folder": folder, "total": "36"})[2]["items"] == []
 
 
+def test_files_grow_in_number_not_in_rows():
+    assert [streams.files_of(n) for n in (0, 600_000, 36_000_000, 216_000_001)] == [5, 5, 36, 217]
+
+
+def test_rows_of_a_frequent_key_are_dealt_out(spark):
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 100 != 7, F.when(F.col("id") % 3 == 0, "often").otherwise(F.concat(F.lit("k"), F.col("id").cast("string")))).alias("match_key"))
+    facts = spark.createDataFrame([("often", 1), ("k1", 2), ("other", 3)], "match_key string, by_key int")
+    wanted = sorted((r.row_id, r.match_key, r.by_key) for r in rows.join(facts, "match_key", "left").collect())
+    for hot in (100, 10**6):
+        assert sorted((r.row_id, r.match_key, r.by_key) for r in matching.by_frequent_key(rows, facts, "match_key", "row_id", hot).collect()) == wanted
+
+
+def test_tracks_of_one_key_and_duration_meet_a_row_once(spark):
+    tracks = spark.createDataFrame([(k, "a|b", 1000 * (k % 2)) for k in range(200)] + [(500, "a|b", None)], "id long, match_key string, duration_ms long")
+    rows = spark.createDataFrame([(1, None, "a|b", 600), (2, None, "a|b", 500), (3, None, "a|b", 9000), (4, None, "c|d", 0), (5, 500, "a|b", 0)], "row_id long, external_id long, match_key string, duration_ms long")
+    found = matching.match_chain(rows, tracks)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, "key_duration"), (2, 0, "key_duration"), (3, 0, "key"), (4, None, "none"), (5, 500, "id")]
+
+
 def lines(numbers, path):
     path.write_text('"user","artist","track","playlist"\n' + "".join(f'"u","a","t{n}","p{n % 3}"\n' for n in numbers))
 
