@@ -1,10 +1,11 @@
 """Quality scores from learned hashed word and character n-gram vectors (a linear text classifier).
 
 A document is the mean of the vectors of its features: each word, the character n-grams of the word between marks, and
-each pair of neighbouring words, twice: by the words themselves, and by their shapes and whether they are the same word. A softmax layer follows; both are
-trained by numpy stochastic gradient descent on the driver, on a bounded sample of labelled rows (``most``). As the
-layers are linear, a feature needs only its share of the score when documents are scored: a word's share is computed
-once per worker and block, and whole texts are scored in one pass without a shuffle.
+each pair of neighbouring words, twice: by the words themselves, and by their shapes and whether they are the same word.
+A softmax layer follows; both are trained by numpy stochastic gradient descent in one task, on a bounded sample of
+labelled rows (``most``), so that the driver holds nothing but the model. As the layers are linear, a feature needs only
+its share of the score when documents are scored: a word's share is computed once per worker and block, and whole texts
+are scored in one pass without a shuffle.
 
 Defined results: null and empty texts, and texts of white space only, get the score of the bias alone; repeated rows get
 equal scores; an empty table gives an empty result; without labelled rows, or with one class only, every score is 0.5
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.sampling import labelled_sample
+from cadenza.llm.sampling import in_one_task
 from cadenza.llm.sentencepiece_codec import WordIndex, with_columns
 
 WORDS = re.compile(r"[^ \t-\r]+")
@@ -180,8 +181,17 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> tuple[np.ndarray, float]:
     """``labels``: (doc_id, label 0 or 1); of a document's repeated labels the least counts, null ones don't."""
     known = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    sample = labelled_sample(docs, known, most)
-    return train([t for t, _ in sample], [int(y) for _, y in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, truth = [], []
+        for batch in batches:
+            texts += [t or "" for t in batch.column("text").to_pylist()]
+            truth += batch.column("label").to_pylist()
+        shares, bias = train(texts, [int(y) for y in truth])
+        yield pa.RecordBatch.from_arrays([pa.array([shares.tobytes()], pa.binary()), pa.array([bias], pa.float64())], names=["shares", "bias"])
+
+    found = in_one_task(docs, known, most).mapInArrow(run, "shares binary, bias double").collect()  # one row of a fixed size
+    return (np.frombuffer(found[0]["shares"]), found[0]["bias"]) if found else train([], [])
 
 
 def with_score(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", out: str = "score") -> DataFrame:

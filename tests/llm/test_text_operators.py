@@ -1,5 +1,6 @@
 """Operators on single texts, against brute-force versions and the tokenizer library, with edge cases."""
 
+import os
 import random
 import re
 import subprocess
@@ -421,3 +422,11 @@ def test_block_cuts_do_not_change_scores():
     whole = quality.Scorer(shares, 0.1).score(rows)
     single = [float(quality.Scorer(shares, 0.1).score([t])[0]) for t in rows]
     assert whole.tolist() == pytest.approx(single, abs=1e-12)
+
+
+def test_quality_learns_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(9)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, label int")
+    monkeypatch.setattr(quality, "train", lambda texts, truth: (np.full(quality.TOTAL, float(len(texts))), float(os.getpid())))
+    shares, bias = quality.fit(docs, labels, most=5)
+    assert bias != os.getpid() and set(shares.tolist()) == {5.0}
