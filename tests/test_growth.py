@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.operators import cells, cooccurrence, matching, ml, ranks, similarity
-from cadenza.plans import streams
+from cadenza.plans import recommendation, streams
 from cadenza.sources import catalog_csv, rest, sinks
 from cadenza.streaming import outbox
+from tests.conftest import SMALL
 
 
 def test_medians_are_exact(spark, monkeypatch):
@@ -359,3 +360,16 @@ def test_populations_are_measured(spark):
     assert sorted((r.key, r.id, r["size"]) for r in capped) == [("big", 0, 12), ("big", 1, 12), ("big", 2, 12), ("pair", 12, 2), ("pair", 13, 2)]
     assert evaluation.large_groups(items, 12)[1].collect() == []
     assert evaluation.sampled_seeds(items, "s", 4).count() == 4 and evaluation.sampled_seeds(items, "s", 4).collect() == evaluation.sampled_seeds(items.repartition(3), "s", 4).collect()
+
+
+def test_election_reads_its_rows_in_many_tasks(spark, monkeypatch):
+    seen = []
+
+    def elected(train, test, label, trees):
+        seen.append((train.rdd.getNumPartitions(), train.count() + test.count(), train.inputFiles()[0]))
+        return [{"features": "base", "mae": 1.0, "approved": True, "champion": True}]
+
+    monkeypatch.setattr(recommendation.ml, "elected", elected)
+    monkeypatch.setattr(recommendation, "ROWS_OF_A_FILE", 50, raising=False)
+    assert recommendation.model_champion(spark, SMALL).count() == 1
+    assert seen[0][0] >= 4 and seen[0][1] == recommendation.training(spark, SMALL).count() and "/part.parquet" not in seen[0][2]
