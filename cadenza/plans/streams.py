@@ -36,11 +36,12 @@ def outbox_dispatch(spark, d):
     id_, tick = F.col("event_id"), F.col("event_id") % TICKS
     at = F.timestamp_seconds(F.unix_timestamp(F.lit(MIDNIGHT)) + SECONDS * tick)
     messages = table(spark, d, "events").select(id_.alias("id"), F.col("event_type").alias("payload"), at.alias("at"), tick.alias("tick"))
+    buckets = max(64, -(-messages.count() // outbox.BUCKET_ROWS))
     clock = spark.range(TICKS).select(F.lit(outbox.CLOCK).cast("long").alias("id"), F.lit("").alias("payload"), F.timestamp_seconds(F.unix_timestamp(F.lit(MIDNIGHT)) + SECONDS * F.col("id")).alias("at"), F.col("id").alias("tick"))
     for k in range(TICKS):
         messages.unionByName(clock).where(F.col("tick") == k).drop("tick").write.mode("append").parquet(log)
         stream = spark.readStream.schema("id long, payload string, at timestamp").parquet(log)
-        outbox.dispatch_messages(stream, unreliable, out, checkpoint, SECONDS).awaitTermination()
+        outbox.dispatch_messages(stream, unreliable, out, checkpoint, SECONDS, buckets=buckets).awaitTermination()
     found = outbox.marks(spark.read.schema(outbox.ATTEMPTS).parquet(out))
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("processed_at", "dead_lettered_at")})
 

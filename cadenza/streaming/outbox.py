@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import logging
 import threading
-from collections.abc import Callable
-from datetime import UTC, datetime
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Row, SparkSession, Window
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
@@ -46,11 +47,18 @@ ATTEMPTS = "id long, attempt int, at timestamp, ok boolean, dead boolean, error
 CLOCK = -1
 
 
+#: Groups of the state, by a hash of the id; a checkpoint keeps the number that it began with. About ``BUCKET_ROWS`` messages
+#: that wait in a bucket are few for its task, and many for a call to the state.
+BUCKETS, BUCKET_ROWS = 1 << 10, 1 << 13
+
+
 class Delivery(StatefulProcessor):
-    """One message: tried when it comes and again after each interval, until it is delivered or has failed too often.
+    """A bucket of messages: each tried when it comes and again after each interval, until it is delivered or has failed too often.
 
-    State, only of messages that have failed: attempts so far, time of the next one, the payload. A timer of the event
-    time brings a message back, without a new row of its own. ``deliver`` (id, payload, attempt) raises where it fails.
+    State, only of messages that have failed: attempts so far, time of the next one, the payload; those of a bucket lie in
+    one Arrow table, so that the state is asked once for a bucket and batch, not several times for each message. A timer of
+    the event time, at the first of these times, brings a bucket back without new rows. A message that comes again in a
+    later batch starts anew. ``deliver`` (id, payload, attempt) raises where it fails.
     """
 
     def __init__(self, deliver: Callable[[int, str, int], None], seconds: int, most_attempts: int):
@@ -58,46 +66,85 @@ class Delivery(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("waiting", "attempts int, due long, payload string")
-
-    def tried(self, id_: int, payload: str, attempt: int, now: int):
-        error = None
-        try:
-            self.deliver(id_, payload, attempt)
-        except Exception as e:  # noqa: BLE001
-            error = str(e)
-        dead = error is not None and attempt >= self.most_attempts
-        if error is not None and not dead:
-            self.state.update((attempt, now + self.wait, payload))
-            self.handle.registerTimer(now + self.wait)
-        elif attempt > 1:
+        self.state = handle.getValueState("waiting", "timer long, messages binary")
+
+    def held(self) -> tuple[int | None, dict[int, tuple]]:
+        """The bucket's timer, and (attempts, due, payload) of each message that waits."""
+        found = self.state.get()
+        if found is None:
+            return None, {}
+        ids, attempts, due, payloads = (c.to_pylist() for c in pa.ipc.open_stream(found[1]).read_all().columns)
+        return found[0], dict(zip(ids, zip(attempts, due, payloads), strict=True))
+
+    def hold(self, timer: int | None, waiting: dict[int, tuple], fired: int | None = None) -> None:
+        first = min((due for _, due, _ in waiting.values()), default=None)
+        if timer not in (None, first, fired):
+            self.handle.deleteTimer(timer)
+        if first is not None and first != timer:
+            self.handle.registerTimer(first)
+        if waiting:
+            columns = zip(*waiting.values(), strict=True)
+            table = pa.table([pa.array(list(waiting), pa.int64()), *(pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.string()), strict=True))], names=["id", "attempts", "due", "payload"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.state.update((first, sink.getvalue().to_pybytes()))
+        elif timer is not None:
             self.state.clear()
-        at = datetime.fromtimestamp(now / 1000, UTC)
-        return Row(id=id_, attempt=attempt, at=at, ok=error is None, dead=dead, error=error)
+
+    def tried(self, messages: Iterable[tuple[int, str, int, int]], waiting: dict[int, tuple]) -> pd.DataFrame:
+        """The attempts for messages (id, payload, attempt, now); those to be tried again are in ``waiting`` afterwards."""
+        rows = []
+        for id_, payload, attempt, now in messages:
+            error = None
+            try:
+                self.deliver(id_, payload, attempt)
+            except Exception as e:  # noqa: BLE001
+                error = str(e)
+            dead = error is not None and attempt >= self.most_attempts
+            if error is not None and not dead:
+                waiting[id_] = (attempt, now + self.wait, payload)
+            else:
+                waiting.pop(id_, None)
+            rows.append((id_, attempt, now, error is None, dead, error))
+        return pd.DataFrame(rows, columns=["id", "attempt", "now", "ok", "dead", "error"])
 
     def handleInputRows(self, key, rows, timerValues):
-        for row in rows:
-            if row.id != CLOCK:
-                yield self.tried(row.id, row.payload, 1, int(row.at.timestamp() * 1000))
-                return  # a message that comes again in the same batch is the same message
+        timer, waiting = self.held()
+        seen = {CLOCK}
+        for batch in rows:
+            fresh = []
+            for id_, payload, now in zip(batch["id"].tolist(), batch["payload"].tolist(), batch["now"].tolist(), strict=True):
+                if id_ not in seen:  # a message that comes again in the same batch is the same message
+                    seen.add(id_)
+                    fresh.append((id_, payload, 1, now))
+            if fresh:
+                yield self.tried(fresh, waiting)
+        self.hold(timer, waiting)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        attempts, due, payload = self.state.get()
-        yield self.tried(key[0], payload, attempts + 1, due)
+        timer, waiting = self.held()
+        until = timerValues.getCurrentWatermarkInMs()
+        ready = [(id_, payload, attempts + 1, due) for id_, (attempts, due, payload) in waiting.items() if due <= until]
+        if ready:
+            yield self.tried(ready, waiting)
+        self.hold(timer, waiting, expiredTimerInfo.getExpiryTimeInMs())
 
     def close(self) -> None:
         pass
 
 
-def dispatch_messages(messages: DataFrame, deliver: Callable[[int, str, int], None], path: str, checkpoint: str, seconds: int = INTERVALS["dispatch"], most_attempts: int = MOST_ATTEMPTS, once: bool = True) -> StreamingQuery:
+def dispatch_messages(messages: DataFrame, deliver: Callable[[int, str, int], None], path: str, checkpoint: str, seconds: int = INTERVALS["dispatch"], most_attempts: int = MOST_ATTEMPTS, once: bool = True, buckets: int = BUCKETS) -> StreamingQuery:
     """Delivers a stream of messages (id, payload, at) with retries kept in state; attempts are appended to ``path``.
 
     ``at``: when the message entered the log; it drives the watermark, so rows of the id ``CLOCK`` may move the time on
     where no message comes. A restart goes on from the checkpoint: attempts and waiting messages are not lost.
     """
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    tried = messages.withWatermark("at", "0 seconds").groupBy("id").transformWithState(Delivery(deliver, seconds, most_attempts), ATTEMPTS, "append", "eventTime")
-    writer = tried.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    timed_ = messages.withWatermark("at", "0 seconds").select("id", "payload", "at", F.unix_millis("at").alias("now"), F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket"))
+    tried = timed_.groupBy("bucket").transformWithStateInPandas(Delivery(deliver, seconds, most_attempts), "id long, attempt int, now long, ok boolean, dead boolean, error string", "append", "eventTime")
+    found = tried.select("id", "attempt", F.timestamp_millis("now").alias("at"), "ok", "dead", "error")
+    writer = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

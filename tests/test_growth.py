@@ -373,3 +373,67 @@ def test_election_reads_its_rows_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(recommendation, "ROWS_OF_A_FILE", 50, raising=False)
     assert recommendation.model_champion(spark, SMALL).count() == 1
     assert seen[0][0] >= 4 and seen[0][1] == recommendation.training(spark, SMALL).count() and "/part.parquet" not in seen[0][2]
+
+
+class Calls:
+    """The handle of a processor for one bucket; notes what is asked of the state."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.asked.append("timer")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def getExpiryTimeInMs(self):
+        return self.fired
+
+
+def test_a_bucket_of_messages_asks_the_state_once(spark):
+    pd = pytest.importorskip("pandas")
+    calls = Calls()
+    bucket = outbox.Delivery(lambda id_, payload, attempt: 1 / (0 if attempt <= id_ % 4 else 1), 5, 3)
+    bucket.init(calls)
+
+    def came(rows):
+        frames = (pd.DataFrame(rows[k : k + 400], columns=["id", "payload", "now"]) for k in range(0, len(rows), 400))
+        return [tuple(r) for f in bucket.handleInputRows((0,), frames, calls) for r in f[["id", "attempt", "now", "ok", "dead"]].itertuples(index=False)]
+
+    def fire(now):
+        calls.now, found = now, []
+        for calls.fired in sorted(t for t in calls.timers if t <= now):
+            found += [tuple(r) for f in bucket.handleExpiredTimer((0,), calls, calls) for r in f[["id", "attempt", "now", "ok", "dead"]].itertuples(index=False)]
+            calls.timers.remove(calls.fired)
+        return found
+
+    rows = [(k, f"m{k}", 1000) for k in range(1000)] + [(5, "again", 1000), (outbox.CLOCK, "", 1000)]
+    assert sorted(came(rows)) == [(k, 1, 1000, k % 4 == 0, False) for k in range(1000)]
+    assert sorted(calls.asked) == ["get", "timer", "update"] and calls.timers == {6000}
+    calls.asked.clear()
+    # an earlier message moves the timer; one that comes again starts anew
+    assert sorted(came([(1001, "early", 500), (3, "anew", 3000)])) == [(3, 1, 3000, False, False), (1001, 1, 500, False, False)] and calls.timers == {5500}
+    assert fire(5499) == [] and fire(5500) == [(1001, 2, 5500, True, False)] and calls.timers == {6000}
+    assert sorted(fire(6000)) == [(k, 2, 6000, k % 4 < 2, False) for k in range(1000) if k % 4 and k != 3] and calls.timers == {8000}
+    assert fire(8000) == [(3, 2, 8000, False, False)] and calls.timers == {11000}
+    assert sorted(fire(11000)) == [(k, 3, 11000, k % 4 == 2, k % 4 == 3) for k in range(1000) if k % 4 > 1 and k != 3] and calls.timers == {13000}
+    assert fire(13000) == [(3, 3, 13000, False, True)] and calls.timers == set() and calls.value is None
