@@ -10,8 +10,10 @@ below the threshold), then the full sets of those that may have a link. Independ
 Two phases. First ``STAR_TREES`` trees go down ``STAR_LEVELS`` levels at once; their nodes are compared whole where small,
 and otherwise cut into parts of bounded size that share one class of the node, the centre: work in proportion to the rows,
 which already joins nearly all copies, large groups of near copies among them. Then ``TREES`` trees branch until their nodes are
-small. A node whose classes all lie in one component can add nothing any more and is dropped. Nodes that are large after
-``MOST_LEVELS`` levels are compared in pairs of slices, but for pairs that lie within one component: no link is dropped.
+small. A node whose classes all lie in one component can add nothing any more and is dropped. In a large group of near copies
+branching multiplies the rows and hardly parts them, in every tree anew: large nodes of which one component has a third or
+more end, and those of a component, of whatever trees, become one node. Such nodes, and those that are large after
+``MOST_LEVELS`` levels, are compared in pairs of slices, but for pairs that lie within one component: no link is dropped.
 
 Links are confirmed on the full sets, hashed to 64 bits anew from the texts of those documents that may have one. Those
 texts are picked by a Bloom filter before they move; of a node only the connected parts of its possible links go on, and
@@ -43,6 +45,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
 PLACES, SMALL_NODE, SLACK, BRANCHES = 128, 200, 4.0, 1.25
 STAR_TREES, STAR_LEVELS, TREES, STEP_LEVELS, MOST_LEVELS = 2, 3, 10, 4, 13
+#: A large node ends where one component has this share; it is cut into about this many slices, of at most so many classes.
+MAIN_SHARE, SLICES, MOST_SLICE = 1 / 3, 12, 500
 CACHE_WORDS = 300_000
 #: Keys that size the filter of wanted texts; with more it lets more other texts pass, which the join then drops.
 MOST_FILTER_KEYS = 16_000_000
@@ -176,12 +180,13 @@ def rooted(classes: DataFrame, first_tree: int, trees: int) -> DataFrame:
 
 
 def sized(rows: DataFrame) -> DataFrame:
-    """(node, n, first) of the nodes with classes of more than one component; written, so that joins with it can be split where skewed.
+    """(node, parent, step, n, first) of the nodes with classes of more than one component; written, so that joins with it can be split where skewed.
 
     ``first``: the least hash of a class in the node.
     """
-    counted = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.xxhash64("node", "cid")).alias("first"))
-    return materialize(counted.where("low <> high").select("node", "n", "first"), "nodes")
+    ends = F.min("label").alias("low"), F.max("label").alias("high")
+    counted = rows.groupBy("node").agg(F.min("parent").alias("parent"), F.min("step").alias("step"), F.count("*").alias("n"), F.min(F.xxhash64("node", "cid")).alias("first"), *ends)
+    return materialize(counted.where("low <> high").drop("low", "high"), "nodes")
 
 
 def star_leaves(classes: DataFrame, first_tree: int, trees: int) -> DataFrame:
@@ -190,7 +195,7 @@ def star_leaves(classes: DataFrame, first_tree: int, trees: int) -> DataFrame:
     sizes = sized(rows)
     parts = F.ceil(F.col("n") / SMALL_NODE)
     own = F.when(F.xxhash64("node", "cid") == F.col("first"), F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("cid"), parts)))
-    dealt = rows.join(sizes, "node").select("node", "cid", "label", F.explode(own).alias("part"))
+    dealt = rows.join(sizes.select("node", "n", "first"), "node").select("node", "cid", "label", F.explode(own).alias("part"))
     out = materialize(dealt.select(F.xxhash64("node", "part").alias("node"), "cid", "label"), "leaves")
     forget(rows, sizes)
     return out
@@ -199,20 +204,22 @@ def star_leaves(classes: DataFrame, first_tree: int, trees: int) -> DataFrame:
 def sliced(rows: DataFrame) -> DataFrame:
     """Pairs of slices of large nodes (node, cid, label): all but those within one component.
 
-    Components with more than half a node's bound of classes there get slices of their own; the rest are mixed.
+    Components with more classes there than a slice have slices of their own; the rest are mixed. Slices grow with the node, so
+    a class goes into a bounded number of pairs, up to nodes of ``SLICES * MOST_SLICE`` classes; beyond, pairs grow and tasks don't.
     """
-    half = SMALL_NODE // 2
     rows = rows.select("node", "cid", "label")
     own = materialize(rows.groupBy("node", "label").agg(F.count("*").alias("own")), "own")
-    mixed_rows = materialize(own.where(F.col("own") <= half).groupBy("node").agg(F.sum("own").alias("rest")), "rest")
-    pure = own.where(F.col("own") > half).select("node", "label", F.ceil(F.col("own") / half).alias("pure"))
+    size = F.least(F.greatest(F.lit(SMALL_NODE // 2), F.ceil(F.sum("own") / SLICES)), F.lit(max(SMALL_NODE // 2, MOST_SLICE)))
+    own = own.join(materialize(own.groupBy("node").agg(size.alias("half")), "halves"), "node")
+    mixed_rows = materialize(own.where("own <= half").groupBy("node").agg(F.ceil(F.sum("own") / F.first("half")).alias("rest")), "rest")
+    pure = own.where("own > half").select("node", "label", F.ceil(F.col("own") / F.col("half")).alias("pure"))
     pure = materialize(pure, "pure")
     named = rows.join(pure, ["node", "label"], "left").join(mixed_rows, "node", "left")
-    number = F.when(F.col("pure").isNotNull(), F.pmod(F.xxhash64("cid"), F.col("pure"))).otherwise(F.pmod(F.xxhash64("cid"), F.ceil(F.col("rest") / half)))
+    number = F.when(F.col("pure").isNotNull(), F.pmod(F.xxhash64("cid"), F.col("pure"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("rest")))
     kind = F.when(F.col("pure").isNotNull(), F.col("label"))
     named = named.select("node", "cid", "label", kind.alias("kind"), F.xxhash64("node", kind, number).alias("slice"))
     every = pure.select("node", F.col("label").alias("other_kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pure") - 1)).alias("number"))
-    every = every.unionByName(mixed_rows.select("node", F.lit(None).cast("long").alias("other_kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("rest") / half) - 1)).alias("number")))
+    every = every.unionByName(mixed_rows.select("node", F.lit(None).cast("long").alias("other_kind"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("number")))
     every = materialize(every.select("node", "other_kind", F.xxhash64("node", "other_kind", "number").alias("other")), "slices")
     met = materialize(named, "named").join(every, "node").where("kind IS NULL OR other_kind IS NULL OR kind <> other_kind")
     return met.select(F.xxhash64(F.least("slice", "other"), F.greatest("slice", "other")).alias("node"), "cid", "label")
@@ -221,30 +228,39 @@ def sliced(rows: DataFrame) -> DataFrame:
 def tree_leaves(classes: DataFrame, first_tree: int, trees: int) -> tuple[DataFrame, list[DataFrame]]:
     """(node, cid, label) of all nodes to compare exhaustively, and the written tables to delete once it has been used."""
     starts, depth, levels = rooted(classes, first_tree, trees), 0, 1
-    found, written, above = [], [], None
+    found, united, written = [], [], []
     while True:
         rows = materialize(walked(starts, levels), "paths")
         depth += levels
         sizes = sized(rows)
-        ends = (F.col("n") <= SMALL_NODE) | (F.col("step") == levels)  # of large nodes above the last level nothing is kept
-        nodes = rows.alias("r").join(sizes.select("node", "n").alias("s"), (F.col("r.node") == F.col("s.node")) & ends).drop(F.col("s.node"))
+        ends = sizes.where((F.col("n") <= SMALL_NODE) | (F.col("step") == levels))  # of large nodes above the last level nothing is kept
         wide = sizes.where(F.col("n") > SMALL_NODE).select(F.col("node").alias("parent"))
-        nodes = materialize(nodes, "nodes")
-        if above is not None:  # below a small node nothing is to be done; written before, so that the few rows left are looked up, not all paths
-            nodes, every = materialize(nodes.join(wide.unionByName(above), "parent", "left_semi"), "nodes"), nodes
-            forget(every)
-        above = wide
+        ends = ends.where("step = 1").unionByName(ends.where("step > 1").join(wide, "parent", "left_semi"))  # below a small node nothing is to be done
+        nodes = materialize(rows.join(ends.select("node", "n"), "node"), "nodes")
         forget(rows)
         written += [sizes, nodes]
         found.append(nodes.where(F.col("n") <= SMALL_NODE).select("node", "cid", "label"))
-        large = nodes.where((F.col("n") > SMALL_NODE) & (F.col("step") == levels))
+        large = nodes.where(F.col("n") > SMALL_NODE)
+        own = large.groupBy("node", "label").agg(F.count("*").alias("own"), F.min("n").alias("n"))
+        main = own.where(F.col("own") >= F.col("n") * MAIN_SHARE).groupBy("node").agg(F.max(F.struct("own", "label")).alias("main"))
+        main = materialize(main.select("node", F.xxhash64(F.lit("main"), "main.label").alias("group")), "main")
+        united.append(large.join(main, "node").select(F.col("group").alias("node"), "cid", "label"))
+        written.append(main)
+        large = large.join(main, "node", "left_anti")
         if large.isEmpty():
             break
         if depth >= MOST_LEVELS:
-            found.append(sliced(large))
+            united.append(large.select("node", "cid", "label"))
             break
         held = large.groupBy("cid").agg(F.min("label").alias("label"), F.collect_list("node").alias("nodes"))  # a class is in a bounded number of nodes
         starts, levels = held.join(classes.select("cid", "signature"), "cid"), STEP_LEVELS
+    whole = united[0]
+    for more in united[1:]:
+        whole = whole.unionByName(more)
+    whole = materialize(whole.distinct(), "united")
+    written.append(whole)
+    if not whole.isEmpty():
+        found.append(sliced(whole))
     everything = found[0]
     for more in found[1:]:
         everything = everything.unionByName(more)

@@ -211,6 +211,39 @@ def test_slices_lose_no_pair(spark, monkeypatch):
     assert sum(map(len, parts.values())) < 120 * 12
 
 
+def test_large_groups_of_near_copies_do_not_branch_on(spark, monkeypatch):
+    """Rows in trees grow with a group of near copies, not faster, and all its pairs of different components meet."""
+    monkeypatch.setattr(near_dedup, "SMALL_NODE", 20)
+    real, made = near_dedup.materialize, []
+
+    def counted(df, name):
+        out = real(df, name)
+        made.extend([out.count()] if name == "nodes" and "cid" in out.columns else [])
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    rng = np.random.default_rng(6)
+    rows = {}
+    for n in (200, 800):  # a half is one component; the others have fewer places of the signature in common with it
+        base = rng.integers(0, 2**32, near_dedup.PLACES)
+        share = np.where(np.arange(n) % 2, 0.1, 0.25)[:, None]
+        signs = np.where(rng.random((n, near_dedup.PLACES)) < share, rng.integers(0, 2**32, (n, near_dedup.PLACES)), base).astype(np.uint32)
+        classes = spark.createDataFrame([(c, -1 if c % 2 else c, s.tobytes()) for c, s in enumerate(signs)], "cid long, label long, signature binary")
+        made.clear()
+        leaves, parts = near_dedup.tree_leaves(classes, 0, near_dedup.TREES)[0].collect(), {}
+        rows[n] = sum(made)
+        for r in leaves:
+            parts.setdefault(r.node, set()).add(r.cid)
+        met = np.zeros((n, n), bool)
+        for part in parts.values():
+            met[np.ix_(list(part), list(part))] = True
+        other = np.arange(n)[:, None] % 2 * (np.arange(n) % 2) == 0
+        assert met[other].all()
+        assert len(leaves) < 30 * n and max(map(len, parts.values())) <= 4 * max(near_dedup.SMALL_NODE, n / near_dedup.SLICES)
+        assert rows[n] < 2 * near_dedup.BRANCHES * near_dedup.TREES * n
+    assert rows[800] < 5 * rows[200]
+
+
 def test_components(spark):
     rng = random.Random(3)
     pairs = [(k, k + 1) for k in range(40)] + [(100 + k, 100 + rng.randrange(30)) for k in range(30)] + [(7, 7), (200, 300)]
