@@ -375,6 +375,19 @@ def test_election_reads_its_rows_in_many_tasks(spark, monkeypatch):
     assert seen[0][0] >= 4 and seen[0][1] == recommendation.training(spark, SMALL).count() and "/part.parquet" not in seen[0][2]
 
 
+def test_election_grows_all_trees_of_its_candidates(spark, monkeypatch):
+    fitted, pipeline = [], recommendation.ml.pipeline
+
+    def few(numeric, categories, label, linear=False, trees=20):
+        fitted.append((len(numeric) + len(categories), trees))
+        return pipeline(numeric, categories, label, linear, 1)
+
+    monkeypatch.setattr(recommendation.ml, "pipeline", few)
+    found = recommendation.model_champion(spark, SMALL).collect()
+    assert [r.features for r in found] == ["base", "base+A", "base+B", "base+A+B"] and sum(r.champion for r in found) == 1
+    assert sorted(fitted) == [(11, 100), (12, 100), (14, 100), (15, 100)]
+
+
 class Calls:
     """The handle of a processor for one bucket; notes what is asked of the state."""
 
