@@ -22,17 +22,20 @@ def match_chain(rows: DataFrame, tracks: DataFrame, tolerance: int = TOLERANCE_M
     The first rule that hits wins: same id; same key and a duration within the tolerance (nearest, then least id); same
     key (least id). The range rule joins on the key and a duration cell and its two neighbours, and every rule is
     reduced to one candidate for each row before the shuffle, so that a popular key makes no wide rows.
+
+    Every side grows with the tables, and packed files look small to the planner: the joins are merges, so that none of
+    them is broadcast through the driver.
     """
-    by_id = rows.join(tracks.select(F.col("id").alias("external_id"), F.lit(1).alias("hit")), "external_id", "left_semi").select("row_id", F.col("external_id").alias("by_id"))
+    by_id = rows.join(tracks.select(F.col("id").alias("external_id"), F.lit(1).alias("hit")).hint("merge"), "external_id", "left_semi").select("row_id", F.col("external_id").alias("by_id"))
     keyed = tracks.where("match_key <> '|'")
     cell = F.floor(F.col("duration_ms") / tolerance)
     # of tracks with one key and duration the least id alone can win
     cells = keyed.groupBy("match_key", "duration_ms").agg(F.min("id").alias("id")).select("id", "match_key", F.col("duration_ms").alias("their_ms"), cell.alias("cell"))
     asked = rows.select("row_id", "match_key", "duration_ms", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell"))
-    near = asked.join(cells, ["match_key", "cell"]).withColumn("gap", F.abs(F.col("duration_ms") - F.col("their_ms"))).where(F.col("gap") <= tolerance)
+    near = asked.join(cells.hint("merge"), ["match_key", "cell"]).withColumn("gap", F.abs(F.col("duration_ms") - F.col("their_ms"))).where(F.col("gap") <= tolerance)
     near = near.groupBy("row_id").agg(F.min(F.struct("gap", "id")).alias("near"))
     least = keyed.groupBy("match_key").agg(F.min("id").alias("by_key"))
-    joined = by_frequent_key(rows.join(by_id, "row_id", "left").join(near, "row_id", "left"), least, "match_key", "row_id", counted=rows)
+    joined = by_frequent_key(rows.join(by_id.hint("merge"), "row_id", "left").join(near.hint("merge"), "row_id", "left"), least, "match_key", "row_id", counted=rows)
     kind = F.when(F.col("by_id").isNotNull(), "id").when(F.col("near").isNotNull(), "key_duration").when(F.col("by_key").isNotNull(), "key").otherwise("none")
     return joined.select("row_id", F.coalesce("by_id", "near.id", "by_key").alias("track_id"), kind.alias("match_kind"))
 
@@ -46,7 +49,7 @@ def by_frequent_key(rows: DataFrame, facts: DataFrame, key: str, row: str, hot:
     dealt = F.when(F.col("__hot") | F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(DEALT))).otherwise(0).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), DEALT - 1).otherwise(0)))
     each = facts.join(frequent, key, "left").withColumn("__part", copies).drop("__hot")
-    return rows.join(frequent, key, "left").withColumn("__part", dealt).drop("__hot").join(each, [key, "__part"], "left").drop("__part")
+    return rows.join(frequent, key, "left").withColumn("__part", dealt).drop("__hot").join(each.hint("merge"), [key, "__part"], "left").drop("__part")
 
 
 def unique_keys(catalogue: DataFrame) -> DataFrame:

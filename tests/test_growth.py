@@ -121,6 +121,14 @@ def test_tracks_of_one_key_and_duration_meet_a_row_once(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 1, "key_duration"), (2, 0, "key_duration"), (3, 0, "key"), (4, None, "none"), (5, 500, "id")]
 
 
+def test_matching_broadcasts_no_table_that_grows(spark):
+    from cadenza.plans import curation
+
+    physical = curation.match_chain(spark, SMALL)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    # only the list of frequent keys, for rows and for facts
+    assert sum("BroadcastHashJoin" in x for x in physical) == 2 and sum("SortMergeJoin" in x for x in physical) == 5
+
+
 def lines(numbers, path):
     path.write_text('"user","artist","track","playlist"\n' + "".join(f'"u","a","t{n}","p{n % 3}"\n' for n in numbers))
 
