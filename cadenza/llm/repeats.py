@@ -25,6 +25,7 @@ whatever their length; further columns are ignored. Matches never cross document
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,12 @@ from cadenza.llm.run_index import RunIndex
 LEAST = 100
 #: Bytes of text that a task hashes, or indexes, at once (one longer text is taken alone).
 BLOCK_BYTES, INDEX_BYTES = 4 << 20, 1 << 18
+#: Bytes of pieces that are looked through at once (an anchor with more is taken whole), and rows that then go on at once.
+SEEN_BYTES, MOST_ROWS = 4 << 20, 10_000
 #: Most windows of one stretch, and of one run.
 MOST_WINDOWS, MOST_RUN = 256, 30_000
+#: Positions that are reckoned at once, so that what is between stays in a processor's cache.
+CHUNK = 1 << 14
 #: One of so many texts is counted to find anchors with at least so many stretches there, the most frequent ones first.
 HOT_SHARE, HOT_COUNT, MOST_HOT, HOT_PARTS = 16, 256, 500_000, 64
 FIRST, COPY, HOT, INNER = 0, 1, 2, 3
@@ -66,21 +71,27 @@ def piece_hashes(data: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             word = (word << np.uint64(8)) | data[k : k + count]
         return mixed(word)
-    words = np.ndarray((len(data) - 7,), np.uint64, buffer=data.tobytes(), strides=(1,))
-    code = mixed(words[:count].copy())
-    for k in range(8, size, 8):
-        code = mixed(code * np.uint64(31) ^ words[k : k + count])
-    return code
-
-
-def anchors(hashes: np.ndarray, pieces: int) -> np.ndarray:
-    """The anchor of the window from each position: the least of so many hashes."""
-    least_so_far, width = hashes, 1
-    while 2 * width <= pieces:
-        least_so_far, width = np.minimum(least_so_far[:-width], least_so_far[width:]), 2 * width
-    if pieces > width:
-        least_so_far = np.minimum(least_so_far[: width - pieces], least_so_far[pieces - width :])
-    return least_so_far
+    raw, codes = data.tobytes(), np.empty(count, np.uint64)
+    for a in range(0, count, CHUNK):
+        n = min(CHUNK, count - a)
+        words = np.ndarray((n + size - 8,), np.uint64, buffer=raw, offset=a, strides=(1,)).copy()
+        code = mixed(words[:n])
+        for k in range(8, size, 8):
+            code = mixed(code * np.uint64(31) ^ words[k : k + n])
+        codes[a : a + n] = code
+    return codes
+
+
+def anchors(hashes: np.ndarray, pieces: int, chosen: np.ufunc = np.minimum) -> np.ndarray:
+    """The anchor of the window from each position: the least (or another choice) of so many hashes."""
+    count = len(hashes) - pieces + 1
+    found = np.empty(count, hashes.dtype)
+    for a in range(0, count, CHUNK):
+        so_far, width = hashes[a : min(a + CHUNK, count) + pieces - 1], 1
+        while 2 * width <= pieces:
+            so_far, width = chosen(so_far[:-width], so_far[width:]), 2 * width
+        found[a : a + CHUNK] = chosen(so_far[: width - pieces], so_far[pieces - width :]) if pieces > width else so_far
+    return found
 
 
 def cut(data: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +103,8 @@ def cut(data: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np
     size = piece_size(least)
     hashes, pieces = piece_hashes(data, size), least - size + 1
     anchor = anchors(hashes, pieces)
-    inside = np.repeat(ends, sizes)[: len(anchor)] - np.arange(len(anchor)) >= least
+    tails = np.minimum(sizes, least - 1)  # where no window begins
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.column_stack([sizes - tails, tails]).ravel())[: len(anchor)]
     edge = np.ones(len(anchor), bool)
     edge[1:] = (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1])
     begins = (ends - sizes)[sizes > 0]
@@ -104,11 +116,18 @@ def cut(data: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np
     number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     place = np.repeat(first, parts) + MOST_WINDOWS * number
     windows = np.minimum(np.repeat(run, parts) - MOST_WINDOWS * number, MOST_WINDOWS)
-    anchor = anchor[place]
+    window_anchor, anchor = anchor, anchor[place]
     spans = windows + pieces - 1
-    before = np.cumsum(spans) - spans
-    at = np.repeat(place - before, spans) + np.arange(spans.sum())
-    held = np.add.reduceat(hashes[at] == np.repeat(anchor, spans), before) if len(place) else spans
+    if not len(place):
+        return place, windows, anchor, np.zeros(0, bool)
+    # places of anchors: a hash that is the least of a window over it equals the greatest anchor of the windows over it
+    outside = np.zeros(pieces - 1, np.uint64)
+    at = np.flatnonzero(hashes == anchors(np.concatenate([outside, window_anchor, outside]), pieces, np.maximum))
+    low = np.searchsorted(at, place)
+    n = np.searchsorted(at, place + spans) - low  # one at least: the stretch's own
+    before = np.cumsum(n) - n
+    near = at[np.repeat(low - before, n) + np.arange(n.sum())]
+    held = np.add.reduceat(hashes[near] == np.repeat(anchor, n), before, dtype=np.int64)
     return place, windows, anchor, held > 1
 
 
@@ -304,6 +323,81 @@ def runs_of(marked: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return owner, first - starts[owner], last - first
 
 
+def codes_at(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash for the ``size`` bytes from each of some positions."""
+    held = np.zeros((len(at), -(-size // 8) * 8), np.uint8)
+    held[:, :size] = data[at[:, None] + np.arange(size)]
+    code = np.zeros(len(at), np.uint64)
+    for word in held.view(np.uint64).T:
+        code = mixed(code * np.uint64(31) ^ word)
+    return code
+
+
+def may_share(route: np.ndarray, data: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Whether a piece may share a window with another of its anchor, or have one twice: False means it does not.
+
+    Around the anchor a window has ``least`` less the anchor's bytes, and so half of them on the left or half on the
+    right. Equal windows agree in that half: only pieces where one of the two codes is there twice are to be compared.
+    Pieces without the anchor are single windows under their own hash, and equal in all if in anything.
+    """
+    size = piece_size(least)
+    ends = np.cumsum(sizes)
+    begins, owner = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    if len(data) < size:
+        return np.ones(len(sizes), bool)
+    at = np.flatnonzero(piece_hashes(data, size) == route.view(np.uint64)[owner[: len(data) - size + 1]])
+    at = at[at + size <= ends[owner[at]]]
+    left = (least - size + 1) // 2
+    right = least - size - left + 1
+    codes, owners = [], []
+    for kind, first, length in ((1, at - left, size + left), (2, at, size + right)):
+        fits = (first >= begins[owner[at]]) & (first + length <= ends[owner[at]])
+        own = owner[at[fits]]
+        for a in range(0, len(own), CHUNK):
+            some = own[a : a + CHUNK]
+            codes.append(mixed(codes_at(data, first[fits][a : a + CHUNK], length) ^ mixed(route[some].view(np.uint64) + np.uint64(kind))))
+        owners.append(own)
+    without = np.ones(len(sizes), bool)
+    without[owner[at]] = False
+    owners.append(np.flatnonzero(without))
+    codes.append(mixed(route[without].view(np.uint64)))
+    _, code, count = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+    shared = np.zeros(len(sizes), bool)
+    shared[np.concatenate(owners)[count[code] > 1]] = True
+    return shared
+
+
+def candidates(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple]:
+    """Rows of pieces in their order, without those that cannot share a window; whole anchors are seen at once."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def told(rows: pa.Table) -> Iterator[tuple]:
+        # one chunk, whatever its size: an anchor's pieces stay together
+        at = rows.schema.get_field_index("piece")
+        for batch in rows.set_column(at, "piece", rows.column(at).cast(pa.large_binary())).combine_chunks().to_batches():
+            route, values = batch.column("route").to_numpy(), batch.column("piece")
+            offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+            data = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if values.buffers()[2] else np.zeros(0, np.uint8)
+            sizes = np.diff(offsets)
+            wanted = batch.filter(pa.array((sizes == 0) | may_share(route, data, sizes, least)))
+            yield from zip(*(c.to_pylist() for c in wanted.columns), strict=True)
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        last = batch.column("route")[-1].as_py() if len(batch) else None
+        if size < SEEN_BYTES or last is None or held[0].column("route")[0].as_py() == last:
+            continue
+        rows = pa.Table.from_batches(held)
+        end = int(np.searchsorted(rows.column("route").to_numpy(), last))
+        yield from told(rows.slice(0, end))
+        held = rows.slice(end).combine_chunks().to_batches()
+        size = sum(b.nbytes for b in held)
+    if held:
+        yield from told(pa.Table.from_batches(held))
+
+
 def compare(found: DataFrame, least: int) -> DataFrame:
     """Runs of windows that an earlier piece has too, by an index of whole anchors of up to ``INDEX_BYTES``."""
 
@@ -320,8 +414,9 @@ def compare(found: DataFrame, least: int) -> DataFrame:
         part: list[tuple] = []  # of the present one
         known: list[tuple] = []  # windows whose repetition is plain
         size = part_size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        rows = candidates(batches, least)
+        while some := list(islice(rows, MOST_ROWS)):
+            for row in some:
                 if not row[4]:
                     known.append(row)
                     continue

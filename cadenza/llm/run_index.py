@@ -47,15 +47,18 @@ class RunIndex:
         return word | tail
 
     def _order(self, words: np.ndarray, longest: int) -> np.ndarray:
-        """Positions by their suffixes, by doubling; equal suffixes of two strings by place."""
+        """Positions by their suffixes, three times as many bytes a round (twice in large texts, whose ranks are too long
+        for three in a key); equal suffixes of two strings by place."""
         order = np.argsort(words)
         rank, step = self._ranked(words, order), WORD
+        bits, ranks = (21, 3) if len(rank) <= 1 << 21 else (31, 2)
         while step < longest:
-            after = np.zeros(len(rank), np.int64)
-            after[:-step] = np.where(self.rest[:-step] >= step, rank[step:], 0)
-            key = (rank << np.int64(32)) | after
+            key = rank
+            for further in range(step, ranks * step, step):
+                key = key << np.int64(bits)
+                key[:-further] |= np.where(self.rest[:-further] >= further, rank[further:], 0)
             order = np.argsort(key)
-            rank, step = self._ranked(key, order), 2 * step
+            rank, step = self._ranked(key, order), ranks * step
             if rank.max() == len(rank) - 1:
                 return order
         return np.argsort((rank << np.int64(32)) | np.arange(len(rank)))

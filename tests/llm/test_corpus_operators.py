@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,40 @@ def test_copies_of_whole_texts_are_removed_before_they_are_cut(spark, monkeypatc
     assert seen == [3]
 
 
+def test_pieces_that_cannot_share_a_window_reach_no_index(monkeypatch):
+    rng = np.random.default_rng(8)
+    made = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    anchor, same = made(24), made(60)
+    route = int(repeats.piece_hashes(np.frombuffer(anchor, np.uint8), 24).view(np.int64)[0])
+    apart = [made(60) + anchor + made(60) for _ in range(50)]
+    left, right = [made(5) + same + anchor + made(60) for _ in range(2)], [made(60) + anchor + same + made(5) for _ in range(2)]
+    twice = made(40) + same + anchor + same + anchor + made(40)
+    window = made(100)  # of a frequent anchor, under a hash of its own
+    rows = [(route, p) for p in sorted([*apart, *left, *right])] + [(route + 1, twice), (route + 2, b""), (route + 3, made(100)), (route + 4, window), (route + 4, window)]
+    columns = {"route": [r for r, _ in rows], "at": range(len(rows)), "tie": [0] * len(rows), "place": [0] * len(rows), "piece": [p for _, p in rows]}
+    table = pa.table({k: pa.array(v, pa.binary() if k == "piece" else pa.int64()) for k, v in columns.items()})
+    for seen, most in ((1, 1), (1, 7), (1 << 20, 1000)):
+        monkeypatch.setattr(repeats, "SEEN_BYTES", seen)
+        found = [(r[0], r[4]) for r in repeats.candidates(iter(table.to_batches(max_chunksize=most)), 100)]
+        assert found == [x for x in rows if x[1] in {*left, *right, b"", window}]
+    data = twice.replace(anchor, made(24))  # the anchor of its own stretch, twice in it
+    hashes = repeats.piece_hashes(np.frombuffer(data, np.uint8), 24)
+    assert repeats.may_share(hashes[[100]].view(np.int64), np.frombuffer(data, np.uint8), np.array([len(data)]), 100).tolist() == [True]
+
+
+def test_anchors_that_are_twice_in_a_stretch():
+    rng = np.random.default_rng(9)
+    for least in (20, 100):
+        sizes = np.array([0, 5, 700, least, 1300, least - 1, 0, 900])
+        data = rng.integers(97, 99, sizes.sum(), dtype=np.uint8)
+        data[300:600] = np.tile(data[300:330], 10)
+        hashes, size = repeats.piece_hashes(data, repeats.piece_size(least)), repeats.piece_size(least)
+        place, windows, anchor, inner = repeats.cut(data, sizes, least)
+        spans = [hashes[p : p + w + least - size] for p, w in zip(place, windows)]
+        assert [(x == a).sum() > 1 for x, a in zip(spans, anchor)] == inner.tolist() and inner.any() and not inner.all()
+        assert all(x.min() == a for x, a in zip(spans, anchor)) and windows.sum() == np.maximum(sizes - least + 1, 0).sum()
+
+
 def test_repeats_of_rows_without_or_with_equal_ids(spark):
     text, other = "x" * 30 + "0123456789" * 5, "y" + "0123456789" * 5
     rows = [(1, text), (1, text), (2, other), (None, text), (None, other), (None, other), (2, "z" * 60)]
